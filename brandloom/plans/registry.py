@@ -1,6 +1,580 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the SQL that gives the same rows.
+
+Inputs that the driver's tables lack (stylesheets, palettes, rules) are fixed small tables, or columns derived from
+parts and line items; both sides derive them alike.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import color as C, fonts as N, geo as G, social as S, text as T, url as U
+from ..operators import colors, consistency, contact, crawl, evaluation, exports, identity, marketing, merge, pages as P, seo, typography
+from ..sources.tables import table
+from ..streaming import state
+from . import fixtures as X
+from .analysis import analyse
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where there is one."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+# Pages -------------------------------------------------------------------------------------------------------------
+
+_SITE = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '')"
+_TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+_PATH = "CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) END"
+_BARE = f"CASE WHEN regexp_replace(lower({_PATH}), '/$', '') = '' THEN '/' ELSE regexp_replace(lower({_PATH}), '/$', '') END"
+_PRIORITY = "(" + " OR ".join([f"b IN ({', '.join(repr(p) for p in U.PRIORITY_PATHS)})", *[f"starts_with(b, '{p}/')" for p in U.PRIORITY_PATHS]]) + ")"
+_VOTES = ", ".join(f"count(*) FILTER (contains(title, '{s}'))" for s in seo.SEPARATORS)
+
+
+@query(f"""
+WITH r AS (SELECT {_SITE} AS site, {_TITLE} AS title, len(regexp_extract_all(html, '(?i)<h1[ >]')) AS h1 FROM pages),
+g AS (SELECT site, count(*) AS n_pages, count(*) FILTER (title <> '') AS n_titles, [{_VOTES}] AS votes,
+             avg(len(title)) FILTER (title <> '') AS mean, count(*) FILTER (h1 = 0) AS missing_h1, count(*) FILTER (h1 > 1) AS multiple_h1 FROM r GROUP BY site),
+v AS (SELECT *, list_max(votes) AS most FROM g),
+s AS (SELECT *, CASE WHEN most = 0 THEN '|' ELSE ['|', '-', '–', ':', '•', '—'][list_position(votes, most)] END AS separator,
+             n_titles > 0 AND most >= n_titles * 0.6 AS is_consistent, CAST(coalesce(floor(mean + 0.5), 0) AS INT) AS avg_length FROM v)
+SELECT site, n_pages, separator, is_consistent, avg_length, missing_h1, multiple_h1,
+       greatest(0, least(10, 10 - 2 * CAST(missing_h1 > 0 AS INT) - CAST(NOT is_consistent AND n_pages > 1 AS INT) - CAST(avg_length > 70 AS INT) - CAST(multiple_h1 > 0 AS INT))) AS score
+FROM s""")
+def site_audit(spark, d):
+    return seo.site_audit(table(spark, d, "pages"))
+
+
+@query(f"""SELECT {_SITE} AS site, lower({_TITLE}) AS title_key, count(*) AS n_pages FROM pages WHERE {_TITLE} <> '' GROUP BY 1, 2 HAVING count(*) > 1""")
+def duplicate_titles(spark, d):
+    return seo.duplicate_titles(table(spark, d, "pages"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_SITE} AS site, {_BARE} AS b FROM pages), q AS (SELECT page_id, site, CASE WHEN {_PRIORITY} THEN 0 ELSE 1 END AS priority FROM p)
+SELECT page_id, site, priority, row_number() OVER (PARTITION BY site ORDER BY priority, page_id) AS crawl_ord FROM q""")
+def crawl_order(spark, d):
+    return seo.ordered_pages(table(spark, d, "pages"))
+
+
+@query(f"""WITH l AS (SELECT page_id, {_SITE} AS site, url, unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) AS href FROM pages),
+n AS (SELECT page_id, site, 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), ':(80|443)$', '') AS origin, regexp_extract(href, '^([^?#]*)', 1) AS p, regexp_extract(href, '(\\?[^#]*)', 1) AS q FROM l)
+SELECT DISTINCT page_id, site, origin || CASE WHEN len(p) > 1 AND p LIKE '%/' THEN p[:-2] ELSE p END || q AS link FROM n""")
+def page_links(spark, d):
+    href = F.regexp_extract_all("html", F.lit('<a href="(/[^"#]*)"'), F.lit(1))
+    rows = table(spark, d, "pages").select("page_id", U.site("url").alias("site"), "url", F.explode(href).alias("href"))
+    return rows.select("page_id", "site", U.normalise_url(F.concat(U.base_domain("url"), "href")).alias("link")).distinct()
+
+
+_NORMAL = """'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), ':(80|443)$', '') ||
+CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' WHEN len(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) > 1
+THEN regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/$', '') ELSE '/' END || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"""
+
+
+@query(f"SELECT page_id, {_NORMAL} AS normalised, {_SITE} AS site, {_PATH} AS path FROM pages")
+def normalised_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", U.normalise_url("url").alias("normalised"), U.site("url").alias("site"), U.path("url").alias("path"))
+
+
+@query(f"SELECT page_id, {_SITE} AS site, url FROM pages WHERE regexp_matches(url, '(?i)/lp/|/landing|/campaign|/promo|/offer|/special|/free-|utm_')")
+def campaign_pages(spark, d):
+    return table(spark, d, "pages").filter(U.is_campaign("url")).select("page_id", U.site("url").alias("site"), "url")
+
+
+@query(f"SELECT DISTINCT {_SITE} AS site, regexp_replace(split_part({_SITE}, '.', 1), '[^a-z0-9]', '', 'g') AS token FROM pages")
+def brand_tokens(spark, d):
+    return table(spark, d, "pages").select(U.site("url").alias("site"), U.brand_token("url").alias("token")).distinct()
+
+
+@query(r"""WITH f AS (SELECT page_id, regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1) AS t FROM pages),
+p AS (SELECT page_id, unnest(list_concat(regexp_extract_all(t, '\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}'), regexp_extract_all(t, '\+?[0-9]{1,4}[-.\s]?[0-9]{2,4}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{3,4}'))) AS raw FROM f)
+SELECT DISTINCT page_id, trim(raw) AS phone FROM p WHERE len(regexp_replace(raw, '\D', '', 'g')) BETWEEN 10 AND 15""")
+def footer_phones(spark, d):
+    footer = F.regexp_extract("html", "(?is)<footer[^>]*>(.*?)</footer>", 1)
+    return table(spark, d, "pages").select("page_id", F.explode(G.phones(footer)).alias("phone"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_SITE} AS site, {_PATH} AS path FROM pages),
+r(pattern, allow) AS (VALUES {X.values(X.ROBOTS)}),
+e AS (SELECT pattern, allow, '^' || regexp_replace(regexp_replace(regexp_replace(pattern, '\\$$', ''), '([\\\\.^$|?+(){{}}\\[\\]])', '\\\\\\1', 'g'), '\\*+', '.*', 'g') || CASE WHEN pattern LIKE '%$' THEN '$' ELSE '' END AS rx FROM r),
+h AS (SELECT page_id, arg_max(allow, len(pattern) * 2 + CAST(allow AS INT)) AS allowed FROM p, e WHERE regexp_matches(path, rx) GROUP BY page_id)
+SELECT p.page_id, p.site, p.path, coalesce(allowed, true) AS allowed FROM p LEFT JOIN h USING (page_id)""")
+def robots_allowed(spark, d):
+    urls = table(spark, d, "pages").select("page_id", U.site("url").alias("site"), U.path("url").alias("path"))
+    # the same rules for each site
+    per_site = urls.select("site").distinct().select("site", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(a).alias("allow")) for p, a in X.ROBOTS])).alias("r")).select("site", "r.path", "r.allow")
+    return crawl.allowed_urls(urls, per_site).select("page_id", "site", "path", "allowed")
+
+
+@query(f"""WITH p AS (SELECT page_id, {_SITE} AS site, {_NORMAL} AS url, {_BARE} AS b FROM pages),
+n AS (SELECT site, url, min(page_id) AS seq, min(b) AS b FROM p GROUP BY site, url), s AS (SELECT site, url FROM p WHERE page_id % 5 = 0),
+f AS (SELECT site, url, seq, b FROM n ANTI JOIN s USING (site, url)),
+r AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY CASE WHEN {_PRIORITY} THEN 0 ELSE 1 END, seq) AS ord FROM f), t AS (SELECT site, count(DISTINCT url) AS n FROM s GROUP BY site)
+SELECT site, url, ord FROM r LEFT JOIN t USING (site) WHERE ord <= 25 - coalesce(n, 0)""")
+def crawl_frontier(spark, d):
+    rows = table(spark, d, "pages").select(U.site("url").alias("site"), F.col("page_id").alias("seq"), U.normalise_url("url").alias("url"))
+    seen = rows.filter("seq % 5 = 0").select("site", "url").distinct()  # the pages visited so far
+    return crawl.next_level(rows, seen, seen.groupBy("site").agg(F.count("*").alias("n_taken")))
+
+
+@query()
+def parsed_pages(spark, d):
+    p = P.parse_pages(table(spark, d, "pages"), "page_id")
+    return p.select("site", "page_ord", "url", "title", F.size("headings").alias("n_headings"), F.size("links").alias("n_links"), F.size("nav_labels").alias("n_nav"), F.length("visible_text").alias("n_text"), "footer")
+
+
+@query()
+def seo_report(spark, d):
+    return seo.seo_report(P.parse_pages(table(spark, d, "pages"), "page_id"))
+
+
+@query()
+def geo_report(spark, d):
+    return contact.geo_report(P.parse_pages(table(spark, d, "pages"), "page_id"))
+
+
+@query()
+def marketing_elements(spark, d):
+    return marketing.marketing_elements(P.parse_pages(table(spark, d, "pages"), "page_id"))
+
+
+@query()
+def brand_names(spark, d):
+    return identity.brand_names(P.parse_pages(table(spark, d, "pages"), "page_id"))
+
+
+@query()
+def consistency_scores(spark, d):
+    parts = analyse(table(spark, d, "pages").withColumnRenamed("page_id", "page_ord"))
+    return parts["consistency"].select("site", "n_pages", "score", "grade", "issues", "insufficient")
+
+
+# Colours -----------------------------------------------------------------------------------------------------------
+
+_HEX = "'#' || substr(md5(p_brand || p_name), 1, 6)"
+_CH = lambda h, i: f"CAST(('0x' || substr({h}, {2 + 2 * i}, 2)) AS INT)"
+_LIN = lambda h, i, knee: f"CASE WHEN {_CH(h, i)} / 255.0 <= {knee} THEN {_CH(h, i)} / 255.0 / 12.92::DOUBLE ELSE pow(({_CH(h, i)} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
+_LUM = lambda h: f"(0.2126::DOUBLE * ({_LIN(h, 0, 0.03928)}) + 0.7152::DOUBLE * ({_LIN(h, 1, 0.03928)}) + 0.0722::DOUBLE * ({_LIN(h, 2, 0.03928)}))"
+_CON = lambda a, b: f"((greatest({_LUM(a)}, {_LUM(b)}) + 0.05::DOUBLE) / (least({_LUM(a)}, {_LUM(b)}) + 0.05::DOUBLE))"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", "p_brand", F.concat(F.lit("#"), F.substring(F.md5(F.concat("p_brand", "p_name").cast("binary")), 1, 6)).alias("hex"))
+
+
+@query(f"WITH c AS (SELECT p_partkey, {_HEX} AS hex FROM part) SELECT p_partkey, hex, {_CH('hex', 0)} AS r, {_CH('hex', 1)} AS g, {_CH('hex', 2)} AS b FROM c")
+def hex_channels(spark, d):
+    return _parts(spark, d).select("p_partkey", "hex", *[C.channel("hex", i).alias(n) for i, n in enumerate("rgb")])
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_HEX} AS hex FROM part)
+SELECT p_partkey, round({_LUM('hex')}, 6) AS luminance, round({_CON('hex', "'#ffffff'")}, 4) AS on_white,
+       CASE WHEN {_CON("'#ffffff'", 'hex')} >= {_CON("'#0f172a'", 'hex')} THEN '#ffffff' ELSE '#0f172a' END AS readable FROM c""")
+def contrast(spark, d):
+    rows = _parts(spark, d)
+    return rows.select("p_partkey", F.round(C.luminance("hex"), 6).alias("luminance"), F.round(C.contrast_ratio("hex", F.lit("#ffffff")), 4).alias("on_white"), C.readable_text_on("hex").alias("readable"))
+
+
+_MIX = lambda i: f"lpad(to_hex(CAST(floor({_CH('hex', i)} + ({_CH('t', i)} - {_CH('hex', i)}) * s / 20.0::DOUBLE + 0.5) AS INT)), 2, '0')"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_HEX} AS hex FROM part), t AS (SELECT *, '#0f172a' AS t FROM c),
+m AS (SELECT p_partkey, hex, s, lower('#' || {_MIX(0)} || {_MIX(1)} || {_MIX(2)}) AS mixed FROM t, range(0, 21) AS r(s)),
+f AS (SELECT p_partkey, min(s) AS s FROM m WHERE {_CON('mixed', "'#ffffff'")} >= 4.5 GROUP BY p_partkey)
+SELECT p_partkey, mixed AS safe FROM m JOIN f USING (p_partkey, s)""")
+def safe_foreground(spark, d):
+    return _parts(spark, d).select("p_partkey", C.ensure_contrast("hex", F.lit("#ffffff")).alias("safe"))
+
+
+_OKL = f"""k AS (SELECT *, {_LIN('hex', 0, 0.04045)} AS lr, {_LIN('hex', 1, 0.04045)} AS lg, {_LIN('hex', 2, 0.04045)} AS lb FROM c),
+q AS (SELECT *, cbrt(0.4122214708::DOUBLE * lr + 0.5363325363::DOUBLE * lg + 0.0514459929::DOUBLE * lb) AS l3, cbrt(0.2119034982::DOUBLE * lr + 0.6806995451::DOUBLE * lg + 0.1073969566::DOUBLE * lb) AS m3,
+             cbrt(0.0883024619::DOUBLE * lr + 0.2817188376::DOUBLE * lg + 0.6299787005::DOUBLE * lb) AS s3 FROM k),
+o AS (SELECT *, 0.2104542553::DOUBLE * l3 + 0.793617785::DOUBLE * m3 - 0.0040720468::DOUBLE * s3 AS okl,
+             sqrt(pow(1.9779984951::DOUBLE * l3 - 2.428592205::DOUBLE * m3 + 0.4505937099::DOUBLE * s3, 2) + pow(0.0259040371::DOUBLE * l3 + 0.7827717662::DOUBLE * m3 - 0.808675766::DOUBLE * s3, 2)) AS okc FROM q)"""
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_HEX} AS hex FROM part), {_OKL}
+SELECT p_partkey, round(okl, 5) AS lightness, round(okc, 5) AS chroma, okc < 0.05 OR okl > 0.97 OR okl < 0.12 OR (okl < 0.3 AND okc < 0.08) AS neutral FROM o""")
+def neutral_colours(spark, d):
+    ok = C.oklch("hex")
+    return _parts(spark, d).select("p_partkey", F.round(ok["l"], 5).alias("lightness"), F.round(ok["c"], 5).alias("chroma"), C.is_neutral(ok).alias("neutral"))
+
+
+_F = lambda t: f"CASE WHEN {t} > pow(6 / 29.0::DOUBLE, 3) THEN pow({t}, 1 / 3.0::DOUBLE) ELSE {t} * (pow(29 / 6.0::DOUBLE, 2) / 3) + 4 / 29.0::DOUBLE END"
+_LAB = f"""k AS (SELECT *, {_LIN('hex', 0, 0.04045)} AS lr, {_LIN('hex', 1, 0.04045)} AS lg, {_LIN('hex', 2, 0.04045)} AS lb FROM c),
+xyz AS (SELECT *, (0.4123907993::DOUBLE * lr + 0.3575843394::DOUBLE * lg + 0.1804807884::DOUBLE * lb) / 0.9504559271::DOUBLE AS x, 0.2126390059::DOUBLE * lr + 0.7151686788::DOUBLE * lg + 0.0721923154::DOUBLE * lb AS y,
+               (0.0193308187::DOUBLE * lr + 0.1191947798::DOUBLE * lg + 0.9505321522::DOUBLE * lb) / 1.0890577508::DOUBLE AS z FROM k),
+fx AS (SELECT *, {_F('x')} AS f1, {_F('y')} AS f2, {_F('z')} AS f3 FROM xyz),
+lab AS (SELECT *, 116 * f2 - 16 AS l, 500 * (f1 - f2) AS a, 200 * (f2 - f3) AS b FROM fx)"""
+
+
+@query(f"WITH c AS (SELECT p_partkey, {_HEX} AS hex FROM part), {_LAB} SELECT p_partkey, round(l, 4) AS l, round(a, 4) AS a, round(b, 4) AS b FROM lab")
+def lab_values(spark, d):
+    rows = _parts(spark, d).withColumn("x", C.lab("hex"))
+    return rows.select("p_partkey", *[F.round(f"x.{n}", 4).alias(n) for n in "lab"])
+
+
+_HUE = lambda a, b: f"CASE WHEN {a} = 0 AND {b} = 0 THEN 0 WHEN degrees(atan2({b}, {a})) < 0 THEN degrees(atan2({b}, {a})) + 360 ELSE degrees(atan2({b}, {a})) END"
+_DELTA = f"""e1 AS (SELECT *, sqrt(a * a + b * b) AS c1, sqrt(ta * ta + tb * tb) AS c2 FROM pairs),
+e2 AS (SELECT *, 0.5::DOUBLE * (1 - sqrt(pow((c1 + c2) / 2, 7) / (pow((c1 + c2) / 2, 7) + pow(25.0::DOUBLE, 7)))) AS g FROM e1),
+e3 AS (SELECT *, a * (1 + g) AS a1, ta * (1 + g) AS a2 FROM e2), e4 AS (SELECT *, sqrt(a1 * a1 + b * b) AS d1, sqrt(a2 * a2 + tb * tb) AS d2, {_HUE('a1', 'b')} AS h1, {_HUE('a2', 'tb')} AS h2 FROM e3),
+e5 AS (SELECT *, CASE WHEN d1 * d2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh,
+              CASE WHEN d1 * d2 = 0 THEN h1 + h2 WHEN abs(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh FROM e4),
+e6 AS (SELECT *, (l + tl) / 2 AS ml, (d1 + d2) / 2 AS mc, 2 * sqrt(d1 * d2) * sin(radians(dh / 2)) AS dhh,
+              1 - 0.17::DOUBLE * cos(radians(mh - 30)) + 0.24::DOUBLE * cos(radians(2 * mh)) + 0.32::DOUBLE * cos(radians(3 * mh + 6)) - 0.2::DOUBLE * cos(radians(4 * mh - 63)) AS t FROM e5),
+e7 AS (SELECT *, (tl - l) / (1 + 0.015::DOUBLE * pow(ml - 50, 2) / sqrt(20 + pow(ml - 50, 2))) AS x, (d2 - d1) / (1 + 0.045::DOUBLE * mc) AS y, dhh / (1 + 0.015::DOUBLE * mc * t) AS z,
+              -sin(radians(60 * exp(-pow((mh - 275) / 25, 2)))) * 2 * sqrt(pow(mc, 7) / (pow(mc, 7) + pow(25.0::DOUBLE, 7))) AS tw FROM e6)"""
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_HEX} AS hex FROM part), {_LAB}, pairs AS (SELECT p.p_partkey, p.l, p.a, p.b, q.l AS tl, q.a AS ta, q.b AS tb FROM lab p JOIN lab q ON q.p_partkey = p.p_partkey + 1), {_DELTA}
+SELECT p_partkey, round(sqrt(greatest(0, x * x + y * y + z * z + tw * y * z)), 3) AS delta_e FROM e7""")
+def colour_differences(spark, d):
+    rows = _parts(spark, d).select("p_partkey", C.lab("hex").alias("p"))
+    following = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p").alias("q"))
+    return rows.join(following, "p_partkey").select("p_partkey", F.round(C.ciede2000(F.col("p"), F.col("q")), 3).alias("delta_e"))
+
+
+def _uses(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as declarations: a part's colour, used as its type says, as often as its quantity."""
+    li = table(spark, d, "lineitem").select("l_partkey", "l_quantity")
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("site"), F.concat(F.lit("#"), F.substring(F.md5(F.col("p_type").cast("binary")), 1, 3)).alias("short"), F.col("p_size"))
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    kind = F.when(F.col("p_size") % 3 == 0, "background").when(F.col("p_size") % 3 == 1, "text").otherwise("border")
+    return rows.select("site", C.normalise_hex("short").alias("hex"), kind.alias("kind"), (F.col("p_size") % 5 == 0).alias("branded"), (F.col("l_quantity") * F.when(kind == "border", 0.4).otherwise(1.0)).alias("weight"))
+
+
+_SIGNALS = """u AS (SELECT p_brand AS site, '#' || regexp_replace(substr(md5(p_type), 1, 3), '(.)', '\\1\\1', 'g') AS hex, p_size % 3 AS k, p_size % 5 = 0 AS branded, l_quantity * CASE WHEN p_size % 3 = 2 THEN 0.4::DOUBLE ELSE 1 END AS weight
+FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT site, hex, sum(weight) AS weight, sum(CASE WHEN branded THEN weight ELSE 0 END) AS brand_weight, sum(CASE WHEN k = 0 THEN weight ELSE 0 END) AS bg_weight, sum(CASE WHEN k = 1 THEN weight ELSE 0 END) AS text_weight FROM u GROUP BY site, hex)"""
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    w = lambda test: F.sum(F.when(test, F.col("weight")).otherwise(0.0))
+    return _uses(spark, d).groupBy("site", "hex").agg(F.sum("weight").alias("weight"), w(F.col("branded")).alias("brand_weight"), w(F.col("kind") == "background").alias("bg_weight"), w(F.col("kind") == "text").alias("text_weight"))
+
+
+@query(f"WITH {_SIGNALS} SELECT site, hex, round(weight, 3) AS weight, round(brand_weight, 3) AS brand_weight, round(bg_weight, 3) AS bg_weight, round(text_weight, 3) AS text_weight FROM g")
+def colour_signals(spark, d):
+    return _signals(spark, d).select("site", "hex", *[F.round(c, 3).alias(c) for c in ("weight", "brand_weight", "bg_weight", "text_weight")])
+
+
+@query(f"""WITH {_SIGNALS}, t AS (SELECT *, sum(weight) OVER (PARTITION BY site) AS total FROM g)
+SELECT site, hex, round(40 * brand_weight / weight + 20 * log2(1 + weight), 4) AS css_score, CAST(floor(least(95, 30 + 60 * sqrt(least(1, weight / total / 0.3::DOUBLE))) + 0.5) AS INT) AS confidence FROM t WHERE weight > 0""")
+def colour_scores(spark, d):
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("site"))
+    none = F.lit(None).cast("string")
+    rows = _signals(spark, d).filter("weight > 0").withColumn("share", share)
+    return rows.select("site", "hex", F.round(C.css_score(F.col("weight"), F.col("brand_weight"), none), 4).alias("css_score"), C.confidence(F.lit(0.0), F.col("share"), F.lit(False), F.lit(True)).alias("confidence"))
+
+
+@query(f"""WITH {_SIGNALS}, c AS (SELECT * FROM g), {_OKL},
+n AS (SELECT *, okc < 0.05 OR okl > 0.97 OR okl < 0.12 OR (okl < 0.3 AND okc < 0.08) AS neutral, CASE WHEN weight > 0 THEN 40 * brand_weight / weight ELSE 0 END + 20 * log2(1 + weight) AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, neutral ORDER BY CASE WHEN neutral THEN 0 ELSE round(score, 6) END DESC, round(weight, 6) DESC, hex) AS k FROM n),
+a AS (SELECT *, CASE WHEN neutral THEN CASE WHEN bg_weight > 2 * text_weight THEN 'background' WHEN text_weight > 2 * bg_weight THEN 'text' WHEN okl >= 0.6 THEN 'background' ELSE 'text' END
+      WHEN k = 1 THEN 'primary' WHEN k = 2 THEN 'secondary' WHEN k <= 5 THEN 'accent' ELSE 'other' END AS role FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY site, neutral, role ORDER BY k) AS of_role FROM a),
+z AS (SELECT site, hex, role, row_number() OVER (PARTITION BY site ORDER BY neutral, k) AS rank FROM f WHERE CASE WHEN neutral THEN of_role <= 2 ELSE k <= 7 END)
+SELECT site, rank, hex, role FROM z WHERE rank <= 10""")
+def ranked_palette(spark, d):
+    """Ranks and roles, every colour its own cluster."""
+    rows = _signals(spark, d).select("site", "hex", *[F.round(c, 6).alias(c) for c in ("weight", "brand_weight", "bg_weight", "text_weight")])
+    empty = F.array().cast("array<struct<at:struct<page_ord:int,css_ord:int,pos:int>,hint:string,n:bigint>>")
+    evidence = F.array().cast("array<struct<at:int,url:string,snippet:string,context:string>>")
+    alone = rows.withColumns({"area": F.lit(0.0), "has_areas": F.lit(False), "leader": F.col("hex"), "_rank": F.lit(1), "hints": empty, "variable": F.lit(None).cast("string"), "evidence": evidence})
+    return colors.rank_palette(alone).select("site", F.col("rank").cast("long").alias("rank"), "hex", "role")
+
+
+@query()
+def clustered_palette(spark, d):
+    """Near colours merged first: an order-dependent fold, checked against brute force in the tests."""
+    rows = _signals(spark, d)
+    empty = F.array().cast("array<struct<at:struct<page_ord:int,css_ord:int,pos:int>,hint:string,n:bigint>>")
+    evidence = F.array().cast("array<struct<at:int,url:string,snippet:string,context:string>>")
+    plain = rows.withColumns({"area": F.lit(0.0), "has_areas": F.lit(False), "hints": empty, "variable": F.lit(None).cast("string"), "evidence": evidence})
+    return colors.rank_palette(colors.cluster(plain)).select("site", "rank", "hex", "role", "confidence")
+
+
+_PALETTE = f"{X.cte('palette', ('site', 'rank', 'hex', 'role', 'source', 'confidence'), X.PALETTE)}"
+
+
+def _palette(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(X.PALETTE, "site string, rank int, hex string, role string, source string, confidence int")
+
+
+def _fonts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(X.FONTS, "site string, rank int, name string, role string, google_url string, variants array<string>, source string, confidence int")
+
+
+@query(f"""WITH {_PALETTE} SELECT site, rank, hex, role || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY site, role ORDER BY rank) AS n FROM palette WHERE regexp_matches(hex, '(?i)^#[0-9a-f]{{6}}$'))""")
+def role_keys(spark, d):
+    return exports.role_keys(exports.valid_colors(_palette(spark))).select("site", "rank", "hex", "key")
+
+
+@query(f"""WITH {_PALETTE}, v AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY rank) AS n FROM palette WHERE regexp_matches(hex, '(?i)^#[0-9a-f]{{6}}$'))
+SELECT site, 'https://coolors.co/' || string_agg(lower(hex[2:]), '-' ORDER BY rank) AS url FROM v WHERE n <= 5 GROUP BY site""")
+def coolors_links(spark, d):
+    return exports.coolors_url(_palette(spark))
+
+
+@query(f"""WITH {_PALETTE}, v AS (SELECT *, row_number() OVER (PARTITION BY site, role ORDER BY rank) AS n FROM palette WHERE regexp_matches(hex, '(?i)^#[0-9a-f]{{6}}$'))
+SELECT site, '// tailwind.config.js
+module.exports = {{
+  theme: {{
+    extend: {{
+      colors: {{
+' || string_agg('        ''' || role || CASE WHEN n > 1 THEN '-' || n ELSE '' END || ''': ''' || lower(hex) || ''',', chr(10) ORDER BY rank) || '
+      }},
+    }},
+  }},
+}}' AS config FROM v GROUP BY site""")
+def tailwind_configs(spark, d):
+    return exports.tailwind_config(_palette(spark))
+
+
+@query()
+def css_exports(spark, d):
+    return exports.css_variables_export(_palette(spark), _fonts(spark))
+
+
+@query()
+def design_tokens(spark, d):
+    names = spark.createDataFrame(X.NAMES, "site string, brand_name string")
+    return exports.design_tokens(_palette(spark), _fonts(spark), names)
+
+
+@query()
+def google_font_links(spark, d):
+    return exports.google_fonts(_fonts(spark))
+
+
+@query(f"""WITH {_PALETTE}, v AS (SELECT * FROM palette), p AS (SELECT site, coalesce(arg_min(hex, rank) FILTER (role = 'primary'), arg_min(hex, rank)) AS h FROM v GROUP BY site),
+q AS (SELECT site, CASE WHEN regexp_matches(h, '(?i)^#[0-9a-f]{{6}}$') THEN lower(h) ELSE '#4338ca' END AS main FROM p),
+s AS (SELECT v.site, q.main, coalesce(arg_min(hex, rank) FILTER (role = 'secondary'), arg_min(hex, rank) FILTER (lower(hex) <> q.main AND role NOT IN ('background', 'text'))) AS h FROM v JOIN q ON v.site = q.site GROUP BY v.site, q.main)
+SELECT site, main AS "primary", CASE WHEN regexp_matches(h, '(?i)^#[0-9a-f]{{6}}$') THEN lower(h) ELSE '#1e293b' END AS secondary FROM s""")
+def brand_pairs(spark, d):
+    return colors.brand_pair(_palette(spark))
+
+
+@query(f"""WITH {X.cte('props', ('property',), [(p,) for p in X.PROPERTIES])}
+SELECT property, CASE WHEN starts_with(p, '--') THEN 'definition' WHEN p = 'color' THEN 'text' WHEN p IN ('background', 'background-color', 'background-image') THEN 'background'
+WHEN regexp_matches(p, '^border(-color|-(top|right|bottom|left|block|inline)(-(start|end))?(-color)?)?$') THEN 'border' WHEN p IN ('outline', 'outline-color') THEN 'outline' WHEN p = 'caret-color' THEN 'caret'
+WHEN p = 'accent-color' THEN 'accent-control' WHEN p IN ('fill', 'stroke') THEN p WHEN p IN ('text-decoration', 'text-decoration-color', 'column-rule-color', 'column-rule') THEN 'decoration'
+WHEN p IN ('box-shadow', 'text-shadow') THEN 'shadow' END AS kind FROM (SELECT property, lower(trim(property)) AS p FROM props)""")
+def property_kinds(spark, d):
+    rows = spark.createDataFrame([(p,) for p in X.PROPERTIES], "property string")
+    return rows.select("property", C.classify_property("property").alias("kind"))
+
+
+@query()
+def site_palettes(spark, d):
+    sheets = spark.createDataFrame(X.SHEETS, "site string, page_ord int, page_url string, css_ord int, css string")
+    pages = sheets.select("site", "page_ord", F.col("page_url").alias("url"), F.lit("").alias("html")).distinct()
+    return colors.extract_colors(pages, sheets).select("site", "rank", "hex", "role", "confidence", "css_variable")
+
+
+# Fonts, social, addresses, merges, scores on fixed tables -----------------------------------------------------------
+
+
+@query(f"""WITH {X.cte('names', ('name',), [(n,) for n in X.FONT_NAMES])}
+SELECT name, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[-_\\s]+', '', 'g'), '[''"]', '', 'g'), 'ltstd|std', '', 'g')) AS key,
+       lower(trim(replace(replace(name, '"', ''), '''', ''))) IN ({', '.join(repr(f) for f in N.SYSTEM_FONTS)}) AS system, regexp_matches(lower(name), '{'|'.join(N.ICON_FONTS)}') AS icon,
+       CASE WHEN regexp_matches(lower(name), 'mono|code|courier|consol') THEN 'monospace' WHEN contains(lower(name), 'sans') THEN 'sans-serif' WHEN regexp_matches(lower(name), 'serif|georgia|times|garamond|playfair|merriweather|baskerville|caslon|didot|bodoni') THEN 'serif' ELSE 'sans-serif' END AS generic
+FROM names""")
+def font_names(spark, d):
+    rows = spark.createDataFrame([(n,) for n in X.FONT_NAMES], "name string")
+    return rows.select("name", N.normalise_key("name").alias("key"), N.is_system_font("name").alias("system"), N.is_icon_font("name").alias("icon"), N.generic_family("name").alias("generic"))
+
+
+@query(f"""WITH {X.cte('e', ('site', 'ord', 'name', 'role', 'confidence'), X.ENTRIES)}, k AS (SELECT *, regexp_replace(lower(name), '[-_\\s]+', '', 'g') AS key FROM e),
+m AS (SELECT site, key, arg_min(name, -confidence * 1000 + ord) AS name, arg_min(role, -confidence * 1000 + ord) AS role, max(confidence) AS confidence, min(ord) AS ord FROM k GROUP BY site, key),
+r AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)(^|[\\s-])(mono|monospace|code|consolas|courier|menlo|monaco)([\\s-]|$)|mono$') AND role IN ('primary', 'heading') THEN 'accent' ELSE role END AS final_role FROM m)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY list_position(['primary', 'heading', 'button', 'accent', 'secondary'], final_role), confidence DESC, ord) AS rank, name, final_role AS role, confidence FROM r""")
+def ranked_fonts(spark, d):
+    rows = spark.createDataFrame(X.ENTRIES, "site string, ord int, name string, role string, confidence int")
+    rows = rows.withColumns({"variants": F.array(F.lit("400")), "google_url": F.lit(None).cast("string"), "context": F.lit("")})
+    return typography.final_fonts(rows).select("site", F.col("rank").cast("long").alias("rank"), "name", "role", "confidence")
+
+
+@query(f"""WITH {X.cte('u', ('url',), [(u,) for u in X.GOOGLE_URLS])}, f AS (SELECT url, unnest(regexp_extract_all(url, 'family=([^&]+)', 1)) AS p FROM u), s AS (SELECT url, unnest(string_split(p, '|')) AS f FROM f),
+w AS (SELECT url, trim(replace(split_part(f, ':', 1), '+', ' ')) AS name, CASE WHEN regexp_extract(split_part(f, ':', 2), 'wght@([\\d;,]+)', 1) <> '' THEN regexp_extract(split_part(f, ':', 2), 'wght@([\\d;,]+)', 1) ELSE split_part(f, ':', 2) END AS spec FROM s)
+SELECT url, name, coalesce(nullif(array_to_string(list_filter(regexp_split_to_array(spec, '[;,]'), lambda x: regexp_matches(x, '^\\d+$')), ','), ''), '400') AS weights FROM w WHERE lower(name) NOT IN ({', '.join(repr(f) for f in N.SYSTEM_FONTS)})""")
+def google_font_urls(spark, d):
+    rows = spark.createDataFrame([(u,) for u in X.GOOGLE_URLS], "url string")
+    return rows.select("url", F.explode(N.google_families("url")).alias("f")).select("url", "f.name", F.array_join("f.weights", ",").alias("weights"))
+
+
+@query()
+def social_profiles(spark, d):
+    links = spark.createDataFrame(X.LINKS, "site string, page_ord int, page_url string, pos int, context string, href string")
+    return contact.social_links(links)
+
+
+@query(f"""WITH {X.cte('a', ('site', 'ord', 'address'), X.ADDRESSES)}, k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(split_part(address, ',', 1)), '\\bstreet\\b', 'st'), '\\bdrive\\b', 'dr'), '[^a-z0-9 ]', '', 'g') AS key FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, key ORDER BY CAST(NOT regexp_matches(address, '\\d{{5}}') AS INT), -len(address), ord) AS n, min(ord) OVER (PARTITION BY site, key) AS first_ord FROM k)
+SELECT site, trim(key) AS key, address, first_ord AS "at" FROM r WHERE n = 1""")
+def distinct_addresses(spark, d):
+    rows = spark.createDataFrame(X.ADDRESSES, "site string, at int, address string")
+    return contact.dedupe_addresses(rows)
+
+
+@query(f"""WITH {X.cte('e', ('site', 'ord', 'platform', 'url', 'source', 'confidence'), X.OWN_LINKS)}, {X.cte('t', ('site', 'ord', 'platform', 'url', 'source', 'confidence'), X.THIRD_LINKS)},
+b AS (SELECT coalesce(e.site, t.site) AS site, coalesce(e.ord, t.ord + 1000000) AS place, coalesce(t.platform, e.platform) AS platform, coalesce(t.url, e.url) AS url, coalesce(t.source, e.source) AS source, coalesce(t.confidence, e.confidence) AS confidence
+      FROM e FULL JOIN t ON e.site = t.site AND e.platform = t.platform)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY CAST(source <> 'verified' AS INT), confidence DESC, place) AS ord, platform, url, source, confidence FROM b""")
+def merged_links(spark, d):
+    schema = "site string, ord int, platform string, url string, source string, confidence int"
+    return merge.merge_keyed(spark.createDataFrame(X.OWN_LINKS, schema), spark.createDataFrame(X.THIRD_LINKS, schema), "platform").withColumn("ord", F.col("ord").cast("long"))
+
+
+@query()
+def merged_colours(spark, d):
+    own = _palette(spark).filter("hex like '#______'").select("site", F.col("rank").alias("ord"), F.lower("hex").alias("hex"), "role", "confidence", "source", F.lit(0.1).alias("area_share"))
+    return merge.merge_colors(own, merge.record_colors(spark.createDataFrame(X.RECORDS, merge.RECORD)))
+
+
+@query(f"""WITH {_PALETTE}, {X.cte('edits', ('site', 'hex', 'new_hex', 'new_role', 'hidden'), X.COLOUR_EDITS)}
+SELECT p.site AS report, p.rank AS ord, coalesce(new_hex, p.hex) AS hex, coalesce(new_role, p.role) AS role, coalesce(new_hex, new_role) IS NOT NULL AS user_edited
+FROM palette p LEFT JOIN edits e ON p.site = e.site AND lower(p.hex) = lower(e.hex) WHERE NOT coalesce(hidden, false)""")
+def edited_colours(spark, d):
+    edits = spark.createDataFrame(X.COLOUR_EDITS, "report string, hex string, new_hex string, new_role string, hidden boolean")
+    own = _palette(spark).select(F.col("site").alias("report"), F.col("rank").alias("ord"), "hex", "role")
+    return merge.apply_color_edits(own, edits).drop("rgb")
+
+
+_DIMS = tuple(consistency.MAXIMA)
+
+
+@query(f"""WITH {X.cte('b', ('site', 'n_pages', *_DIMS), X.BREAKDOWNS)},
+t AS (SELECT *, {' + '.join(f'coalesce({x}, 0)' for x in _DIMS)} AS earned, {' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE {m} END' for x, m in consistency.MAXIMA.items())} AS possible, {' + '.join(f'CAST({x} IS NOT NULL AS INT)' for x in _DIMS)} AS n FROM b),
+s AS (SELECT *, CASE WHEN possible > 0 THEN CAST(floor(earned / possible * 100.0 + 0.5) AS INT) END AS score FROM t)
+SELECT site, score, CASE WHEN n_pages >= 3 AND n >= 3 THEN CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' WHEN score IS NOT NULL THEN 'F' END END AS grade FROM s""")
+def graded_sites(spark, d):
+    rows = spark.createDataFrame(X.BREAKDOWNS, "site string, n_pages int, " + ", ".join(f"{x} int" for x in _DIMS))
+    as_struct = lambda x, m: F.struct(F.col(x).alias("score"), F.lit(m).alias("max"), F.when(F.col(x).isNotNull(), "scored").otherwise("insufficient_data").alias("status"), F.lit(None).cast("string").alias("reason")).alias(x)
+    return consistency.summarise(rows.select("site", "n_pages", *[as_struct(x, m) for x, m in consistency.MAXIMA.items()])).select("site", "score", "grade")
+
+
+@query(f"""WITH {X.cte('s', ('site', 'evaluated', 'color_hit', 'font_hit', 'logo_hit'), X.HITS)}, t AS (SELECT count(*) AS n_evaluated, count(*) FILTER (color_hit) AS color_hits, count(*) FILTER (font_hit) AS font_hits, count(*) FILTER (logo_hit) AS logo_hits FROM s WHERE evaluated)
+SELECT *, (color_hits + font_hits + logo_hits) / (n_evaluated * 3.0::DOUBLE) AS total, (color_hits + font_hits + logo_hits) / (n_evaluated * 3.0::DOUBLE) >= 0.75 AS passed FROM t""")
+def evaluation_totals(spark, d):
+    return evaluation.totals(spark.createDataFrame(X.HITS, "site string, evaluated boolean, color_hit boolean, font_hit boolean, logo_hit boolean"))
+
+
+# State, over events ---------------------------------------------------------------------------------------------------
+
+_NOW = "TIMESTAMP '{}'"
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").cast("string").alias("key"))
+
+
+_ADMIT = """r AS (SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS key, CAST(ts AS DATE) AS day FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY day, key ORDER BY ts, id) AS rk FROM r),
+g AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, id) AS rd FROM k WHERE rk <= 3),
+a AS (SELECT k.id, k.key, k.day, g.id IS NOT NULL AS admitted FROM k LEFT JOIN g ON k.id = g.id AND g.rd <= 50)"""
+
+
+@query(f"WITH {_ADMIT} SELECT id, key, strftime(day, '%Y-%m-%d') AS day, admitted FROM a")
+def quota_admission(spark, d):
+    return state.admit(_requests(spark, d)).select("id", "key", F.col("day").cast("string").alias("day"), "admitted")
+
+
+@query(f"WITH {_ADMIT} SELECT key, strftime(day, '%Y-%m-%d') AS day, CAST(sum(CAST(admitted AS BIGINT)) AS BIGINT) AS used, CAST(greatest(0, 3 - sum(CAST(admitted AS BIGINT))) AS BIGINT) AS remaining, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS resets_on FROM a GROUP BY key, day")
+def quota_usage(spark, d):
+    return state.usage(state.admit(_requests(spark, d))).withColumns({c: F.col(c).cast("string") for c in ("day", "resets_on")})
+
+
+_SIGN = "CASE WHEN event_type = 'view' THEN -1 ELSE 1 END"
+
+
+@query(f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(ts AS DATE) AS day, event_id AS seq, {_SIGN} AS delta FROM events),
+r AS (SELECT *, sum(delta) OVER (PARTITION BY key, day ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT key, strftime(day, '%Y-%m-%d') AS day, CAST(sum(delta) - least(0, min(run)) AS BIGINT) AS used FROM r GROUP BY key, day""")
+def quota_refunds(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", -1).otherwise(1).alias("delta"))
+    return state.after_refunds(rows).withColumn("day", F.col("day").cast("string"))
+
+
+@query("WITH m AS (SELECT max(CAST(ts AS DATE)) AS today FROM events), c AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(ts AS DATE) AS day FROM events) SELECT key, strftime(day, '%Y-%m-%d') AS day FROM c, m WHERE day >= today - 7")
+def quota_counters(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.to_date("ts").alias("day")).distinct()
+    today = rows.agg(F.max("day")).first()[0]
+    return state.kept_counters(rows, F.lit(today)).withColumn("day", F.col("day").cast("string"))
+
+
+_JOBS = """j AS (SELECT user_id AS job, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS last_ts FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events)"""
+
+
+@query(f"WITH {_JOBS} SELECT job, status, last_ts FROM j")
+def job_states(spark, d):
+    return state.current_jobs(table(spark, d, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("status")))
+
+
+@query(f"WITH {_JOBS} SELECT job, CASE WHEN floor(epoch(now)) - floor(epoch(last_ts)) >= 90 AND status NOT IN ('completed', 'failed') THEN 'failed' ELSE status END AS status, floor(epoch(now)) - floor(epoch(last_ts)) >= 90 AND status NOT IN ('completed', 'failed') AS reaped FROM j, n")
+def stale_jobs(spark, d):
+    events = table(spark, d, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    return state.reap(job_states(spark, d), now).select("job", "status", "reaped")
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as reports: a customer's orders are reports of one site."""
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "crawling").otherwise("failed")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("site"), status.alias("status"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey")).alias("source_report"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.expr("INTERVAL 400 DAYS")).alias("expires_at"), F.col("o_orderdate").alias("heartbeat_at"), (F.col("o_orderkey") % 3 == 0).alias("is_public"), F.lit("{}").alias("data"))
+
+
+_REPORTS = """r AS (SELECT o_orderkey AS id, o_custkey AS site, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'crawling' ELSE 'failed' END AS status, o_orderkey % 7 = 0 AS cloned, o_orderdate AS created_at, o_orderkey % 3 = 0 AS is_public FROM orders), n AS (SELECT max(o_orderdate) AS now FROM orders)"""
+
+
+def _now(spark: SparkSession, d: str):
+    return F.lit(table(spark, d, "orders").agg(F.max("o_orderdate")).first()[0])
+
+
+@query(f"WITH {_REPORTS}, f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, id DESC) AS k FROM r, n WHERE status = 'completed' AND NOT cloned AND created_at + INTERVAL 400 DAY > now) SELECT site, id, created_at FROM f WHERE k = 1")
+def cached_reports(spark, d):
+    return state.cached_reports(_reports(spark, d), _now(spark, d)).select("site", "id", "created_at")
+
+
+@query(f"WITH {_REPORTS}, f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, id DESC) AS k FROM r, n WHERE status NOT IN ('completed', 'failed') AND epoch(now) - epoch(created_at) < 90) SELECT site, id FROM f WHERE k = 1")
+def live_jobs(spark, d):
+    return state.in_flight(_reports(spark, d), _now(spark, d)).select("site", "id")
+
+
+@query(f"WITH {_REPORTS} SELECT is_public, count(*) AS n_kept FROM r, n WHERE epoch(now) - epoch(created_at) <= CASE WHEN is_public THEN 180 ELSE 30 END * 86400 GROUP BY is_public")
+def retention(spark, d):
+    return state.retained(_reports(spark, d), _now(spark, d)).groupBy("is_public").agg(F.count("*").alias("n_kept"))
+
+
+@query("SELECT user_id AS report, count(*) AS n_views FROM events WHERE event_type <> 'click' GROUP BY user_id")
+def view_counts(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("report"), F.when(F.col("event_type") == "click", "Mozilla/5.0 (compatible; SomeBot/1.0)").otherwise("Mozilla/5.0").alias("user_agent"))
+    return state.view_counts(rows)
+
+
+@query("SELECT user_id AS report, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3 AS granted FROM events")
+def regeneration_claims(spark, d):
+    return state.regenerations(table(spark, d, "events").select(F.col("user_id").alias("report"), F.col("event_id").alias("seq")))
+
+
+@query("""WITH a AS (SELECT user_id AS site, event_id AS seq, CAST(epoch_us(ts) // 1000 AS BIGINT) AS arrive_ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT site, seq, arrive_ms, CAST(i * 250 + max(arrive_ms - i * 250) OVER (PARTITION BY site ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start_ms FROM a""")
+def request_slots(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("site"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("arrive_ms"))
+    return crawl.start_slots(rows)
+
+
+@query("WITH v AS (SELECT event_id, CAST(floor(value) AS INT) % 30 AS done, CAST(floor(value) AS INT) % 40 + 1 AS found FROM events) SELECT event_id, CAST(floor(5 + 40 * least(1, done / CAST(least(25, greatest(found, 1)) AS DOUBLE)) + 0.5) AS INT) AS percent FROM v")
+def crawl_progress(spark, d):
+    rows = table(spark, d, "events").select("event_id", (F.floor("value").cast("int") % 30).alias("done"), (F.floor("value").cast("int") % 40 + 1).alias("found"))
+    return rows.select("event_id", crawl.progress(F.col("done"), F.col("found")).alias("percent"))
