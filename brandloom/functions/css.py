@@ -244,7 +244,7 @@ def parse_colour(text: str) -> str | None:
             h, w, b = _angle(args[0]), float(args[1].rstrip("%")) / 100, float(args[2].rstrip("%")) / 100
             if w + b >= 1:
                 return _hex([w / (w + b)] * 3)
-            return _hex((1 - b) * (1 - (1 - b - w) / (1 - b) * part) for part in _hue_parts(h))
+            return _hex((1 - b) - (1 - b) * (1 - w / (1 - b)) * part for part in _hue_parts(h))
         if kind == "lab":
             return _hex(_fitted(_lab_rgb(_number(args[0], 100), _number(args[1], 125), _number(args[2], 125))))
         if kind == "lch":
