@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,11 @@ THETA = 1.0
 SEED = 11
 SPACE = "▁"
 #: Nodes of remembered words in a worker: 8 bytes each and 32 for each of some 2 edges.
-ARENA_NODES = 2_000_000
+ARENA_NODES = 1_500_000
 #: Words longer than this are forgotten after their batch.
 LONG_WORD = 64
 #: Characters of text that are searched together.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 150_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _HOLE = ""  # stands for a literal U+2581 while a text is split
 
@@ -169,25 +170,22 @@ class Lattices:
         distance = ends - np.arange(m)
         order = np.argsort(distance, kind="stable")
         levels = np.searchsorted(distance[order], np.arange(1, distance.max(initial=0) + 2))
-        share = np.empty_like(weight)
         for d in range(1, len(levels)):
             idx = order[levels[d - 1] : levels[d]]
             w = min(d, longest)
-            terms = weight[idx, :w] + beta[place[idx][:, None] + np.arange(1, w + 1)]
+            at = place[idx]
+            terms = weight[idx, :w]
+            for n in range(w):
+                terms[:, n] += beta[at + n + 1]
             top = terms.max(axis=1)
-            part = np.exp(terms - top[:, None])
-            total = part.sum(axis=1)
-            beta[place[idx]] = top + np.log(total)
-            share[idx, :w] = part / total[:, None]
-            share[idx, w:] = 0
-
-        # edges in the order of nodes, the likeliest of a node first
-        rows, lengths = np.nonzero(weight > -np.inf)
-        shares = share[rows, lengths]
-        by = np.lexsort((-shares, rows))
-        rows, lengths, shares = rows[by], lengths[by], shares[by]
-        with np.errstate(divide="ignore"):
-            logs = weight[rows, lengths] + beta[place[rows] + lengths + 1] - beta[place[rows]]
+            terms -= top[:, None]
+            beta[at] = top + np.log(np.exp(terms, out=terms).sum(axis=1))
+
+        # edges in the order of nodes, a node's longest piece, which is mostly its likeliest, first
+        rows, columns = np.nonzero(weight[:, ::-1] > -np.inf)
+        lengths = longest - 1 - columns
+        logs = weight[rows, lengths] + beta[place[rows] + lengths + 1] - beta[place[rows]]
+        shares = np.exp(logs)
         degree = np.bincount(rows, minlength=m)
         node_first = np.cumsum(degree) - degree
         run = np.cumsum(shares)
@@ -199,7 +197,7 @@ class Lattices:
         tail = base + m + len(words)  # inner nodes of byte passages stand behind all words
         late_targets, late_ids = [], []
         if len(bare):
-            edge_of = node_first[bare] + np.argmax((lengths[node_first[bare][:, None] + np.arange(degree[bare].max())[None, :].clip(max=(degree[bare] - 1)[:, None])]) == 0, axis=1)
+            edge_of = node_first[bare] + degree[bare] - 1  # the shortest of a node's edges comes last
             for b, c, e, k in zip(bare.tolist(), code.tolist(), edge_of.tolist(), inner.tolist()):
                 raw = chr(c).encode("utf-8", "surrogatepass")
                 ids[e] = self.pieces.byte_ids[raw[0]]
@@ -231,10 +229,13 @@ class Lattices:
         self.words.update(zip(words, (base + word_at).tolist()))
 
     def starts(self, words: list[str]) -> np.ndarray:
-        known = self.words
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            self.build(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = dict.fromkeys([words[i] for i in missing.tolist()])
+            self.build(list(new))
+            found[missing] = [self.words[words[i]] for i in missing.tolist()]
+        return found
 
     def forget(self) -> None:
         """Between batches: drop everything when the arena is full or holds a very long word."""
