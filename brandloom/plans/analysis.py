@@ -11,18 +11,18 @@ from ..session import cut
 def analyse(raw: DataFrame, fetched: DataFrame | None = None, records: DataFrame | None = None, areas: DataFrame | None = None) -> dict[str, DataFrame]:
     """raw(url, html, optional page_ord), fetched stylesheets(url, css), third-party records -> a table per report section.
 
-    Markup is parsed once, to the shared folder; every section reads the parsed table.
+    Markup is parsed once, to the shared folder; every section reads the parsed table, and scoring the written palette and fonts.
     """
     parsed = cut(P.parse_pages(raw))
     sheets = P.bounded_stylesheets(P.page_stylesheets(parsed, fetched))
-    palette = colors.extract_colors(parsed, sheets, areas)
-    fonts = typography.extract_typography(typography.from_css(parsed, sheets))
+    palette = cut(colors.extract_colors(parsed, sheets, areas))
+    fonts = cut(typography.extract_typography(typography.from_css(parsed, sheets)))
     social = contact.social_links(contact.page_social_links(parsed))
     names = identity.brand_names(parsed)
     if records is not None:
         own = palette.select("site", F.col("rank").alias("ord"), "hex", "role", "confidence", F.lit("extracted").alias("source"), "area_share")
         palette = merge.merge_colors(own, merge.record_colors(records)).withColumnRenamed("ord", "rank")
-    tones = identity.tones(identity.copy_for_analysis(parsed))
+    tones = cut(identity.tones(identity.copy_for_analysis(parsed)))
     return {
         "pages": parsed,
         "colors": palette,
