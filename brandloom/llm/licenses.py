@@ -20,9 +20,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
+
 THRESHOLD = 0.6
 LICENCE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice"
 
@@ -115,15 +118,21 @@ def _similarities(parts: DataFrame, keys: list[str], vectors: list[dict[str, flo
     return scored.groupBy(*keys).agg(best).select(*keys, F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
 
 
+def _has_one(text: Column, needed: list[str]) -> Column:
+    """Some needed token occurs in the text, as a word or within one; tokens that hold another needed one need no test."""
+    least = [t for t in needed if not any(o != t and o in t for o in needed)]
+    return reduce(lambda a, b: a | b, [F.lower(text).contains(t) for t in least])
+
+
 def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """files(doc_id, path, text) -> doc_id, path, license, similarity, line, inherited, licensed_by, effective; one row per row."""
     files = files.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     vocabulary = sorted({t for c in _template_counts() for t in c})
     idf, other = weigh(*document_frequencies(files, vocabulary))
     vectors = template_vectors(idf)
-    pattern = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(re.escape(t) for t in needed_tokens(vectors, threshold)) + r")(?:[^a-z0-9]|$)"
-    hopeful = files.filter(F.col("text").rlike(pattern)).select("doc_id", "path", "text")
-    lines = hopeful.select("doc_id", "path", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "part")).filter(F.col("part").rlike(pattern))
+    needed = needed_tokens(vectors, threshold)
+    hopeful = cut(files.filter(_has_one(F.col("text"), needed)).select("doc_id", "path", "text"))
+    lines = cut(hopeful.select("doc_id", "path", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "part")).filter(_has_one(F.col("part"), needed)))
     # equal lines are scored once
     distinct = lines.select("part").distinct().withColumn("digest", F.sha2(F.col("part").cast("binary"), 256))
     by_line = _similarities(distinct, ["digest"], vectors, idf, other, threshold)

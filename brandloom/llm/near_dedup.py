@@ -9,9 +9,11 @@
    of (1 - 0.75^4)^40, 3 in 10 million.
 4. In each bucket of a key, members are paired with a centre only (a linear number of pairs). The similarity is estimated
    from equal registers, less the share that collides by chance; pairs whose estimate is within five standard
-   deviations of 0.75 go on and are confirmed on full sets. Every bucket has two centres, drawn by two hashes. Confirmed links are contracted to components.
-5. Buckets that still hold several components are compared member by member, in blocks of bounded size, by estimate;
-   survivors in different components are confirmed on full sets and contracted. No bucket is capped, so no link is lost.
+   deviations of 0.75 go on and are confirmed on full sets. Every bucket has two centres: the member that shares most buckets, and one drawn by hash. Confirmed links are contracted to components.
+5. In buckets that still hold several components, members are compared by estimate, in blocks of bounded size; rows between which
+   candidate pairs run are tied into groups. Within a group, all candidate pairs across components are confirmed on full sets, block by
+   block, and only links that join components are written. No bucket or group is capped, so no link is lost, and no list of
+   pairs grows with the square of a group.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and stay; equal rows are
 one class; repeated doc_ids share a component; a null doc_id counts as -1; empty tables give empty results. Extra columns are ignored.
@@ -19,6 +21,8 @@ one class; repeated doc_ids share a component; a null doc_id counts as -1; empty
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,10 +38,17 @@ THRESHOLD = (75, 100)
 #: Estimates from this value on are confirmed on full sets: 0.75 less five standard deviations of 160 registers.
 CANDIDATE = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Members compared with each other in one task.
-BLOCK = 2000
+BLOCK = 1000
 _BUCKETS = np.arange(REGISTERS, dtype=np.uint64)
 
 
+@functools.cache
+def _drawn(attempt: int) -> np.ndarray:
+    """The bucket from which each empty bucket tries to borrow, by attempt; the same for every set."""
+    seed = np.full(1, attempt + 1, np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return (mix64(_BUCKETS * np.uint64(0x9E3779B97F4A7C15) + seed) % np.uint64(REGISTERS)).astype(np.int64)
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
     """160 registers of a non-empty set: leading zeros and mantissa of each bucket's minimum, empty buckets filled."""
     bucket = ((hashes >> np.uint64(32)) % np.uint64(REGISTERS)).astype(np.int64)
@@ -49,12 +60,11 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     shift = np.maximum(top - 1 - MANTISSA, 0).astype(np.uint64)
     mantissa = (least >> shift) & np.uint64(2**MANTISSA - 1)
     packed = (((63 - np.minimum(top, 63)).astype(np.uint64) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
-    attempt = np.zeros(1, np.uint64)
     source = np.arange(REGISTERS)
-    while not (done := filled[source]).all():
-        attempt += np.uint64(1)
-        drawn = (mix64(_BUCKETS * np.uint64(0x9E3779B97F4A7C15) + attempt * np.uint64(0xD1B54A32D192ED03)) % np.uint64(REGISTERS)).astype(np.int64)
-        source = np.where(done, source, drawn)
+    for attempt in range(1_000_000):
+        if (done := filled[source]).all():
+            break
+        source = np.where(done, source, _drawn(attempt))
     return packed[source]
 
 
@@ -168,44 +178,91 @@ def _labelled(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
 
-def _in_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a bucket: different components, feasible sizes, estimate high enough.
+class _Labels:
+    """Components of one task's rows; `links` holds one pair for each merger, so it is never longer than the rows."""
 
-    Rows carry `side`: 0 for the first block, 1 for the second (absent where a block meets itself).
-    """
-    p, q = THRESHOLD
-    ids, comp, n, side = (table.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles", "side"))
+    def __init__(self, ids: np.ndarray, labels: np.ndarray):
+        self.ids, self.links = ids, []
+        self.of = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        for label in np.unique(self.of[others]):
+            if label != self.of[i]:
+                j = others[np.flatnonzero(self.of[others] == label)[0]]
+                self.links.append((int(min(self.ids[i], self.ids[j])), int(max(self.ids[i], self.ids[j]))))
+                self.of[self.of == label] = self.of[i]
+
+    def table(self) -> pa.Table:
+        a, b = zip(*self.links) if self.links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _rows_of(table: pa.Table):
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    rows = np.flatnonzero(side == 0)
-    others = np.flatnonzero(side == 1)
-    if not len(others):
-        others = rows
-    out_a, out_b = [], []
+    return (*(table.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles", "side")), sig)
+
+
+def _candidates(i: int, j: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Those of rows j whose estimated similarity to row i can reach the threshold."""
+    p, q = THRESHOLD
+    j = j[np.minimum(n[j], n[i]) * q >= np.maximum(n[j], n[i]) * p]
+    if not len(j):
+        return j
+    share = (sig[j] == sig[i]).mean(axis=1)
+    return j[estimate(share, np.full(len(j), float(n[i])), n[j].astype(float)) >= CANDIDATE]
+
+
+def _others(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first block, and those they are compared with: the second block, or the first where a block meets itself."""
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return first, second if len(second) else first
+
+
+def _group_candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Pairs that tie together, in one bucket, all rows between which candidate pairs across components run."""
+    ids, comp, n, side, sig = _rows_of(table)
+    rows, others = _others(side)
+    groups = _Labels(ids, ids)
     for i in rows:
-        j = others[(comp[others] != comp[i]) & (ids[others] > ids[i] if others is rows else True)]
-        j = j[np.minimum(n[j], n[i]) * q >= np.maximum(n[j], n[i]) * p]
+        j = _candidates(i, others[(comp[others] != comp[i]) & (groups.of[others] != groups.of[i])], n, sig)
         if len(j):
-            share = np.zeros(len(j))
-            for s in range(0, len(j), 4096):
-                share[s : s + 4096] = (sig[j[s : s + 4096]] == sig[i]).mean(axis=1)
-            j = j[estimate(share, np.full(len(j), float(n[i])), n[j].astype(float)) >= CANDIDATE]
-            out_a += [ids[i]] * len(j)
-            out_b += ids[j].tolist()
-    return pa.table({"a": pa.array(np.minimum(out_a, out_b) if out_a else [], pa.int64()), "b": pa.array(np.maximum(out_a, out_b) if out_a else [], pa.int64())})
+            groups.join(i, j)
+    return groups.table()
 
 
-def remaining_pairs(open_rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """open_rows(key, doc_id, comp) of buckets with several components -> promising pairs across components.
-
-    Members are dealt to blocks of about BLOCK by a hash; each pair of blocks is a task of its own, so no task ever
-    holds more than two blocks.
+def _link_exactly(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links on full sets between rows of one group whose components differ; rows with most candidates first."""
+    p, q = THRESHOLD
+    ids, comp, n, side, sig = _rows_of(table)
+    sets = [shingle_set(t.as_py()) for t in table.column("text")]
+    rows, others = _others(side)
+    linked = _Labels(ids, comp)
+    promise = [(-len(_candidates(i, others[comp[others] != comp[i]], n, sig)), ids[i], i) for i in rows]
+    for _, _, i in sorted(promise):
+        j = _candidates(i, others[linked.of[others] != linked.of[i]], n, sig)
+        for s in range(0, len(j), 256):
+            part = j[s : s + 256]
+            part = part[linked.of[part] != linked.of[i]]
+            if not len(part):
+                continue
+            flat = np.concatenate([sets[k] for k in part])
+            at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            sizes = n[part]
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            linked.join(i, part[q * both >= p * (n[i] + sizes - both)])
+    return linked.table()
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows(group, doc_id, comp, ...) + x, y, side: each pair of blocks of a group is a task's work, blocks of about BLOCK rows by hash.
+
+    A task never holds more than two blocks, however large the group.
     """
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = open_rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    as_first = rows.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("key", F.col("block").alias("x"), F.col("other").alias("y"), "doc_id", "comp", F.lit(0).alias("side"))
-    as_second = rows.filter("block > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select("key", F.col("other").alias("x"), F.col("block").alias("y"), "doc_id", "comp", F.lit(1).alias("side"))
-    dealt = as_first.unionByName(as_second).join(classes.select("doc_id", "n_shingles", "sig"), "doc_id")
-    return dealt.groupBy("key", "x", "y").applyInArrow(_in_bucket, "a long, b long").distinct()
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    first = placed.withColumn("y", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumn("x", F.col("block")).withColumn("side", F.lit(0))
+    second = placed.filter("block > 0").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("y", F.col("block")).withColumn("side", F.lit(1))
+    return first.unionByName(second).drop("block", "blocks")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -222,9 +279,12 @@ def near_components(docs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         return cut(confirmed(pairs, cut(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))))
 
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    degree = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    weighed = members.join(degree, "doc_id")
     to_centres = None
-    for seed in (1, 2):
-        centres = members.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(seed))).alias("b"))
+    for order in (F.struct((-F.col("degree")).alias("d"), F.xxhash64("doc_id").alias("h")), F.xxhash64("doc_id", F.lit(2))):
+        centres = weighed.groupBy("key").agg(F.min_by("doc_id", order).alias("b"))
         pairs = members.join(centres, "key").filter("doc_id <> b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
         to_centres = pairs if to_centres is None else to_centres.unionByName(pairs)
     linked = links(_promising(to_centres.distinct(), classes))
@@ -232,9 +292,16 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     rows = _labelled(members, comp)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = cut(remaining_pairs(rows.join(mixed, "key"), classes).join(linked, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        comp = cut(components(linked.unionByName(links(rest))))
+    facts = classes.select("doc_id", "n_shingles", "sig")
+    ties = cut(_dealt(rows.join(mixed, "key").select("key", "doc_id", "comp"), "key").join(facts, "doc_id").groupBy("key", "x", "y").applyInArrow(_group_candidates, "a long, b long").distinct())
+    if not ties.isEmpty():
+        groups = components(ties)
+        tied = cut(ties.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        grouped = _labelled(tied, groups).withColumnRenamed("comp", "grp")
+        known = cut(texts.join(tied, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        blocks = _dealt(_labelled(grouped, comp), "grp").join(facts, "doc_id").join(known, "doc_id")
+        more = cut(blocks.groupBy("grp", "x", "y").applyInArrow(_link_exactly, "a long, b long"))
+        comp = cut(components(linked.unionByName(more)))
 
     # a component is named by its smallest doc_id, and a class by its own smallest
     named = _labelled(classes.select("doc_id", "set_id"), comp).select("set_id", F.col("comp").alias("class_comp"))

@@ -45,5 +45,5 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     n = len(h) - WIDTH + 1
     total = np.zeros(n, np.uint64)
     for k in range(WIDTH):
-        total += mix64(h[k : k + n] ^ _ODD[k]) * _ODD[k]
+        total += h[k : k + n] * _ODD[k]
     return np.unique(mix64(total))

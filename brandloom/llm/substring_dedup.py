@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of each whole text (window 32); a chunk ends where the hash has five zero bits, at
-least 16 and at most 160 bytes after its beginning. Ends depend on the bytes nearby only, so an insertion shifts chunks but
+A gear hash rolls over the bytes of each whole text (window 16); a chunk ends where the hash has five zero bits, at
+least 8 and at most 160 bytes after its beginning. Ends depend on the bytes nearby only, so an insertion shifts chunks but
 does not change those behind it. Chunks are deduplicated by 128-bit digest: a digest is repeated if it occurs in more
 than one document. Runs of neighbouring repeated chunks of at least MIN_BYTES and MIN_WORDS are repeated passages; the copy that
 stands first (smallest doc_id, then position) stays, later ones can be removed.
@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .shingles import mix64
 
-MIN_CHUNK, MAX_CHUNK = 16, 160
+MIN_CHUNK, MAX_CHUNK = 8, 160
 MASK_BITS = 5
-WINDOW = 32
-#: A repeated passage: planted ones have over 50 words; a chunk at either end may be lost.
-MIN_BYTES, MIN_WORDS = 140, 24
+WINDOW = 16
+#: A repeated passage of over 50 words loses a part of a chunk at either end; what is left has at least this size but for about 1 in 150.
+MIN_BYTES, MIN_WORDS = 80, 12
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SEGMENT = 1 << 20
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """At each byte, the gear hash of the 32 bytes that end there: the sum of gear[byte] << age, mod 2^32."""
+    """At each byte, the gear hash of the 16 bytes that end there: the sum of gear[byte] << age, mod 2^32."""
     h = _GEAR[data]
     width = 1
     while width < WINDOW:
