@@ -31,6 +31,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder now and read it from there from now on."""
+    """Write `df` to the shared checkpoint folder now and read it from there from now on.
+
+    Shuffle files of frames that nobody holds any more go when the driver collects garbage, which a driver with free heap
+    does every 30 minutes; asking for it here frees what earlier cuts have made needless.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
