@@ -3,8 +3,9 @@
 A gear hash rolls over the bytes of each whole text (window 16); a chunk ends where the hash has five zero bits, at
 least 8 and at most 160 bytes after its beginning. Ends depend on the bytes nearby only, so an insertion shifts chunks but
 does not change those behind it. Chunks are deduplicated by 128-bit digest: a digest is repeated if it occurs in more
-than one document. Runs of neighbouring repeated chunks of at least MIN_BYTES and MIN_WORDS are repeated passages; the copy that
-stands first (smallest doc_id, then position) stays, later ones can be removed.
+than one document. Runs of neighbouring repeated chunks of at least MIN_BYTES and MIN_WORDS are repeated passages. A run is split into
+spans where its chunks' first documents differ: what stands first here (smallest doc_id, then position) stays, what has its first
+copy elsewhere can be removed. Parts from elsewhere below the least length, between parts that stay, stay with them.
 
 Digests are counted with map-side combination, so a passage that a third of all documents share is a few rows by then; the
 join back is a plain equi-join, whose hot keys adaptive execution splits. Only repeated chunks travel by document.
@@ -101,9 +102,9 @@ def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
-    """docs -> doc_id, start_byte, end_byte, n_chunks, first_doc_id, is_first for every repeated passage.
+    """docs -> doc_id, start_byte, end_byte, n_chunks, first_doc_id, is_first for every span of the repeated passages.
 
-    `first_doc_id` is the smallest doc_id that holds a chunk of the passage; `is_first` says that this document's copy stays.
+    `first_doc_id` is the document with the first copy of the span; `is_first` says that this document's copy stays.
     """
     pieces = chunks(docs)
     home = F.struct("doc_id", "start")
@@ -111,19 +112,35 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int =
     repeated = counted.filter(F.lit(within) & (F.col("n") > 1) | (F.col("home.doc_id") != F.col("far"))).select(
         "digest", F.col("home.doc_id").alias("home_doc"), F.col("home.start").alias("home_start")
     )
-    found = pieces.join(repeated, "digest").select("doc_id", "ordinal", "start", "size", "words", "home_doc", (F.struct("home_doc", "home_start") == home).alias("stays"))
+    exact = F.struct("home_doc", "home_start") == home
+    mine = exact if within else F.col("home_doc") == F.col("doc_id")
+    found = pieces.join(repeated, "digest").select("doc_id", "ordinal", "start", "size", "words", "home_doc", exact.alias("stays"), mine.alias("mine"))
     by_place = Window.partitionBy("doc_id").orderBy("start")
-    islands = found.withColumn("run", F.col("ordinal") - F.row_number().over(by_place))
-    spans = islands.groupBy("doc_id", "run").agg(
+    changed = lambda c, over: F.coalesce(F.lag(c).over(over) != F.col(c), F.lit(False))
+    islands = found.withColumn("run", F.col("ordinal") - F.row_number().over(by_place)).withColumn("turned", (changed("mine", by_place) | changed("home_doc", by_place)).cast("int"))
+    parts = islands.withColumn("part", F.sum("turned").over(by_place)).groupBy("doc_id", "run", "part").agg(
         F.min("start").alias("start_byte"),
         F.max(F.col("start") + F.col("size")).alias("end_byte"),
         F.count("*").alias("n_chunks"),
         F.sum("words").alias("words"),
-        F.min("home_doc").alias("first_doc_id"),
-        F.max("stays").alias("is_first"),
+        F.first("home_doc").alias("home_doc"),
+        F.max("stays").alias("stays"),
+        F.first("mine").alias("mine"),
     )
-    long_enough = (F.col("end_byte") - F.col("start_byte") >= min_bytes) & (F.col("words") >= min_words)
-    return spans.filter(long_enough).select("doc_id", "start_byte", "end_byte", "n_chunks", "first_doc_id", "is_first")
+    run = Window.partitionBy("doc_id", "run")
+    in_run, in_turn = run.orderBy("part"), Window.partitionBy("doc_id", "run", "turn")
+    is_long = lambda over: (F.max("end_byte").over(over) - F.min("start_byte").over(over) >= min_bytes) & (F.sum("words").over(over) >= min_words)
+    parts = parts.withColumn("long_run", is_long(run)).filter("long_run").withColumn("turned", changed("mine", in_run).cast("int")).withColumn("turn", F.sum("turned").over(in_run))
+    parts = parts.withColumn("own", F.col("mine") | ~is_long(in_turn))  # a few shared words within this document's own passage are no passage
+    parts = parts.withColumn("turned", (~F.col("own") | changed("own", in_run)).cast("int")).withColumn("span", F.sum("turned").over(in_run))
+    spans = parts.groupBy("doc_id", "run", "span", "own").agg(
+        F.min("start_byte").alias("start_byte"),
+        F.max("end_byte").alias("end_byte"),
+        F.sum("n_chunks").alias("n_chunks"),
+        F.when(F.col("own"), F.col("doc_id")).otherwise(F.min("home_doc")).alias("first_doc_id"),
+        (F.col("own") & F.max("stays")).alias("is_first"),
+    )
+    return spans.select("doc_id", "start_byte", "end_byte", "n_chunks", "first_doc_id", "is_first")
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -130,3 +130,14 @@ def test_planted_passages(spark):
     for i, t in rows:
         assert left[i] == t if i % 2 == 0 or i < 100 or i >= 900 else len(left[i]) < len(t)
     assert S.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_copy_of_an_edited_copy(spark):
+    rng = random.Random(6)
+    head, old, new, tail = (" ".join(rng.choices(WORDS, k=k)) + " " for k in (90, 25, 25, 90))
+    rows = [(1, head + old + tail), (2, head + new + tail), (3, head + new + tail)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sorted(S.repeated_spans(docs).collect(), key=lambda r: (r.doc_id, r.start_byte))
+    assert [(r.doc_id, r.first_doc_id, r.is_first) for r in spans] == [(1, 1, True)] * 2 + [(2, 1, False), (2, 2, True), (2, 1, False), (3, 1, False), (3, 2, False), (3, 1, False)]
+    left = {r.doc_id: r.text for r in S.remove_repeats(docs).collect()}
+    assert left[1] == rows[0][1] and new[30:-30] in left[2] and len(left[2]) < len(new) + 160 and len(left[3]) < 160
