@@ -1,12 +1,18 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of each whole text (window 16); a chunk ends where the hash has five zero bits, at
-least 8 and at most 160 bytes after its beginning. Ends depend on the bytes nearby only, so an insertion shifts chunks but
-does not change those behind it. Chunks are deduplicated by 128-bit digest: a digest is repeated if it occurs in more
-than one document. Runs of neighbouring repeated chunks of at least MIN_BYTES and MIN_WORDS are repeated passages. A run is split into
+A chunk begins at a word (a run of bytes outside [\\x20\\x09-\\x0D]) whose hash with the GRAM - 1 words behind it is the least in some
+window of REACH neighbouring words. Ends depend on the words nearby only, so an insertion shifts chunks but does not change those
+behind it, and no two ends are more than REACH words apart. Chunks of over MAX_CHUNK bytes (long words, text without white space) are
+cut on by a gear hash over their bytes (window 16): where it has five zero bits, 8 to 160 bytes after the last end.
+
+Chunks are deduplicated by 128-bit digest of their bytes and of the GRAM words behind them: a digest is repeated if it occurs in more
+than one document. Runs of neighbouring repeated chunks of at least MIN_WORDS are repeated passages. A run is split into
 spans where its chunks' first documents differ: what stands first here (smallest doc_id, then position) stays, what has its first
 copy elsewhere can be removed. Parts from elsewhere below the least length, between parts that stay, stay with them.
 
+Every passage of over 50 words is found: of its whole words (49 at least), windows that lie in it choose the same ends in every copy; the first such
+end is among its words 7 to 14, the last at word 31 or later, so that at least 17 words are in chunks equal in all copies.
+
 Digests are counted with map-side combination, so a passage that a third of all documents share is a few rows by then; the
 join back is a plain equi-join, whose hot keys adaptive execution splits. Only repeated chunks travel by document.
 
@@ -22,13 +28,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shingles import mix64
+from .shingles import _ODD, _words, mix64
 
 MIN_CHUNK, MAX_CHUNK = 8, 160
 MASK_BITS = 5
 WINDOW = 16
-#: A repeated passage of over 50 words loses a part of a chunk at either end; what is left has at least this size but for about 1 in 150.
-MIN_BYTES, MIN_WORDS = 80, 12
+#: Words hashed together, and words in a window.
+GRAM, REACH = 4, 8
+#: Bytes do not bound a passage: 12 words may be short ones.
+MIN_BYTES, MIN_WORDS = 0, 12
+_SPACE = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
+_BLOCK = 1 << 17
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SEGMENT = 1 << 20
 
@@ -45,8 +55,8 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(data: bytes) -> list[int]:
-    """Past-last positions of the chunks of `data`."""
+def _byte_cuts(data: bytes) -> list[int]:
+    """Past-last positions of the pieces of `data`, by its bytes."""
     raw = np.frombuffer(data, np.uint8)
     shift = np.uint32(32 - MASK_BITS)
     found = []
@@ -70,6 +80,73 @@ def cut_points(data: bytes) -> list[int]:
     return ends
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words' first bytes, and past their last."""
+    raw, starts, ends = np.frombuffer(data, np.uint8), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s in range(0, len(raw), _SEGMENT):
+        space = np.concatenate(([True] if s == 0 else [], _SPACE[raw[max(s - 1, 0) : s + _SEGMENT]])).astype(bool)
+        starts.append(np.flatnonzero(space[:-1] & ~space[1:]) + s)
+        ends.append(np.flatnonzero(~space[:-1] & space[1:]) + s)
+    if len(raw) and not _SPACE[raw[-1]]:
+        ends.append(np.array([len(raw)]))
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _chosen(h: np.ndarray) -> np.ndarray:
+    """Which hashes are the least of some window of REACH neighbours; of fewer, the least of all."""
+    n = len(h)
+    reach = min(REACH, n)
+    if not n:
+        return np.empty(0, bool)
+    windows = n - reach + 1
+    least = h[:windows].copy()
+    for k in range(1, reach):
+        np.minimum(least, h[k : k + windows], out=least)
+    most = np.zeros(n, np.uint64)  # the greatest of the minima of the windows that hold the word
+    for k in range(reach):
+        np.maximum(most[k : k + windows], least, out=most[k : k + windows])
+    return most == h
+
+
+def _word_cuts(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """Indices of the words at which a chunk begins."""
+    out, grams = [], len(starts) - GRAM + 1
+    for s in range(0, grams, _BLOCK):  # bounded scratch memory here too
+        a, b = max(s - REACH + 1, 0), min(s + _BLOCK + REACH - 1, grams)
+        end = len(data) if b + GRAM - 1 >= len(starts) else int(starts[b + GRAM - 1])
+        words = data[int(starts[a]) : end].split()
+        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        total = np.zeros(b - a, np.uint64)
+        for k in range(GRAM):
+            total += h[k : k + b - a] * _ODD[k]
+        picked = np.flatnonzero(_chosen(mix64(total))) + a
+        out.append(picked[(picked >= s) & (picked < s + _BLOCK)])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def pieces(data: bytes) -> tuple[list[int], list[int], list[int]]:
+    """Of the chunks of `data`: past-last positions, past-last positions of what their digests cover, and numbers of words."""
+    starts, past = word_places(data)
+    at = _word_cuts(data, starts)
+    at = at[starts[at] > 0]
+    ends, cover, last = [], [], 0
+    for end, behind in zip([*starts[at].tolist(), len(data)], [*past[at + GRAM - 1].tolist(), len(data)]):
+        if end - last > MAX_CHUNK:
+            inner = [last + e for e in _byte_cuts(data[last:end])[:-1]]
+            ends += inner
+            cover += inner
+        if end > last:
+            ends.append(end)
+            cover.append(behind)
+        last = end
+    return ends, cover, np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
+
+
+def cut_points(data: bytes) -> list[int]:
+    """Past-last positions of the chunks of `data`."""
+    return pieces(data)[0]
+
+
 CHUNKS = "doc_id long, ordinal int, start long, size int, words int, digest binary"
 
 
@@ -82,10 +159,10 @@ def chunks(docs: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = text.as_py() or b""
-                start = 0
-                for k, end in enumerate(cut_points(data)):
-                    piece = data[start:end]
-                    for column, value in zip(out, (doc_id, k, start, end - start, piece.count(b" "), xxhash.xxh3_128_digest(piece))):
+                start, view = 0, memoryview(data)
+                for k, (end, behind, words) in enumerate(zip(*pieces(data))):
+                    digest = xxhash.xxh3_128_digest(view[start:behind], seed=end - start)
+                    for column, value in zip(out, (doc_id, k, start, end - start, words, digest)):
                         column.append(value)
                     start = end
                 if len(out[0]) > 200_000:
@@ -106,15 +183,15 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int =
 
     `first_doc_id` is the document with the first copy of the span; `is_first` says that this document's copy stays.
     """
-    pieces = chunks(docs)
+    parts = chunks(docs)
     home = F.struct("doc_id", "start")
-    counted = pieces.groupBy("digest").agg(F.min(home).alias("home"), F.max("doc_id").alias("far"), F.count("*").alias("n"))
+    counted = parts.groupBy("digest").agg(F.min(home).alias("home"), F.max("doc_id").alias("far"), F.count("*").alias("n"))
     repeated = counted.filter(F.lit(within) & (F.col("n") > 1) | (F.col("home.doc_id") != F.col("far"))).select(
         "digest", F.col("home.doc_id").alias("home_doc"), F.col("home.start").alias("home_start")
     )
     exact = F.struct("home_doc", "home_start") == home
     mine = exact if within else F.col("home_doc") == F.col("doc_id")
-    found = pieces.join(repeated, "digest").select("doc_id", "ordinal", "start", "size", "words", "home_doc", exact.alias("stays"), mine.alias("mine"))
+    found = parts.join(repeated, "digest").select("doc_id", "ordinal", "start", "size", "words", "home_doc", exact.alias("stays"), mine.alias("mine"))
     by_place = Window.partitionBy("doc_id").orderBy("start")
     changed = lambda c, over: F.coalesce(F.lag(c).over(over) != F.col(c), F.lit(False))
     islands = found.withColumn("run", F.col("ordinal") - F.row_number().over(by_place)).withColumn("turned", (changed("mine", by_place) | changed("home_doc", by_place)).cast("int"))

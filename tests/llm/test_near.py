@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from brandloom.llm import near_dedup as N, shingles, substring_dedup as S
 
@@ -141,3 +142,27 @@ def test_copy_of_an_edited_copy(spark):
     assert [(r.doc_id, r.first_doc_id, r.is_first) for r in spans] == [(1, 1, True)] * 2 + [(2, 1, False), (2, 2, True), (2, 1, False), (3, 1, False), (3, 2, False), (3, 1, False)]
     left = {r.doc_id: r.text for r in S.remove_repeats(docs).collect()}
     assert left[1] == rows[0][1] and new[30:-30] in left[2] and len(left[2]) < len(new) + 160 and len(left[3]) < 160
+
+
+def test_every_passage_of_over_fifty_words(spark):
+    rng = random.Random(7)
+    some = lambda k, sep, words: sep.join(rng.choices(words, k=k))
+    rows, letters = [], [chr(c) for c in range(97, 123)]
+    for k in range(300):
+        sep, words = [(" ", WORDS), ("\n", WORDS), ("\t", letters), ("\r\n", WORDS), (" ", letters)][k % 5]
+        passage = some(51, sep, words)
+        for copy in range(2):
+            rows.append((2 * k + copy, "".join((some(rng.randrange(30), sep, words), rng.choice(["x", " "]), passage, rng.choice(["y", " "]), some(rng.randrange(30), sep, words)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.repeated_spans(docs).filter(F.col("is_first") == (F.col("doc_id") % 2 == 0)).collect()} == {i for i, _ in rows}
+    assert S.word_places(b" a\tbc\n")[0].tolist() == [1, 3] and S.word_places(b"ab c")[1].tolist() == [2, 4]
+    monotone = " ".join(rng.choices(letters, k=5000)).encode()
+    assert sum(S.pieces(monotone)[2]) == 5000
+
+
+def test_blocks_do_not_move_cuts(monkeypatch):
+    text = " ".join(random.Random(8).choices(WORDS, k=2000)).encode()
+    whole = S.pieces(text)
+    monkeypatch.setattr(S, "_BLOCK", 100)
+    monkeypatch.setattr(S, "_SEGMENT", 777)
+    assert S.pieces(text) == whole
