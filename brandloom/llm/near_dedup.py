@@ -16,7 +16,7 @@
    pairs grows with the square of a group.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and stay; equal rows are
-one class; repeated doc_ids share a component; a null doc_id counts as -1; empty tables give empty results. Extra columns are ignored.
+one class; rows that share a doc_id are told apart by their texts (a null doc_id counts as -1, and components of different null rows share that name); empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,26 +90,32 @@ def estimate(equal_share: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.nd
     return (equal_share - c) / (1 - c)
 
 
-SKETCH = "doc_id long, n_shingles long, set_id binary, sig binary, keys array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, set_id binary, sig binary, keys array<long>"
 
 
 def _sketch(batches):
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             hashes = shingle_set(text.as_py())
             if len(hashes):
                 packed = registers(hashes)
-                rows.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes), packed.tobytes(), band_keys(packed)))
+                rows.append((doc_id, text_hash, len(hashes), xxhash.xxh3_128_digest(hashes), packed.tobytes(), band_keys(packed)))
             else:
-                rows.append((doc_id, 0, None, None, None))
-        columns = list(zip(*rows)) or [[]] * 5
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_shingles", "set_id", "sig", "keys"])
+                rows.append((doc_id, text_hash, 0, None, None, None))
+        columns = list(zip(*rows)) or [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "text_hash", "n_shingles", "set_id", "sig", "keys"])
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs -> doc_id, text_hash, text; the first two name a row's text."""
+    text = F.col("text").cast("binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_sketch, SKETCH)
+    return _hashed(docs).mapInArrow(_sketch, SKETCH)
 
 
 def _estimates(batches):
@@ -146,13 +152,13 @@ def _sized(pairs: DataFrame) -> DataFrame:
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """pairs(a, b) distinct -> those whose estimate can reach the threshold."""
-    side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     return _sized(pairs.join(side("a"), "a").join(side("b"), "b")).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_estimates, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs(a, b) -> those linked on the full shingle sets; only texts that occur in a pair are moved."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
@@ -175,7 +181,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _labelled(nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    return nodes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    return nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 class _Labels:
@@ -199,7 +205,7 @@ class _Labels:
 
 def _rows_of(table: pa.Table):
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    return (*(table.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles", "side")), sig)
+    return (*(table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "side")), sig)
 
 
 def _candidates(i: int, j: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -235,6 +241,7 @@ def _link_exactly(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     p, q = THRESHOLD
     ids, comp, n, side, sig = _rows_of(table)
     sets = [shingle_set(t.as_py()) for t in table.column("text")]
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     rows, others = _others(side)
     linked = _Labels(ids, comp)
     promise = [(-len(_candidates(i, others[comp[others] != comp[i]], n, sig)), ids[i], i) for i in rows]
@@ -247,19 +254,19 @@ def _link_exactly(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
                 continue
             flat = np.concatenate([sets[k] for k in part])
             at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
-            sizes = n[part]
+            sizes = lengths[part]
             both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-            linked.join(i, part[q * both >= p * (n[i] + sizes - both)])
+            linked.join(i, part[q * both >= p * (lengths[i] + sizes - both)])
     return linked.table()
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
-    """rows(group, doc_id, comp, ...) + x, y, side: each pair of blocks of a group is a task's work, blocks of about BLOCK rows by hash.
+    """rows(group, node, comp, ...) + x, y, side: each pair of blocks of a group is a task's work, blocks of about BLOCK rows by hash.
 
     A task never holds more than two blocks, however large the group.
     """
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     first = placed.withColumn("y", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumn("x", F.col("block")).withColumn("side", F.lit(0))
     second = placed.filter("block > 0").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("y", F.col("block")).withColumn("side", F.lit(1))
     return first.unionByName(second).drop("block", "blocks")
@@ -267,52 +274,67 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per row of docs."""
+    return _components_of(docs).drop("text_hash")
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    """near_components with text_hash."""
     sketched = cut(sketches(docs))
-    classes = cut(sketched.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    banded = classes.select("doc_id", F.explode("keys").alias("key"))
+    grouped = sketched.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    # classes are linked by a number of their own, for a doc_id may stand on several texts
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "least.*", "set_id", "n_shingles", "sig", "keys"))
+    banded = classes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = cut(banded.join(shared, "key"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = _hashed(docs)
+    named_text = classes.select("node", "doc_id", "text_hash")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """One text of each class, with the set that the class stands for."""
+        return cut(texts.join(named_text.join(nodes, "node", "left_semi"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return cut(confirmed(pairs, cut(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))))
+        return cut(confirmed(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
 
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    degree = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    weighed = members.join(degree, "doc_id")
+    degree = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("degree"))
+    weighed = members.join(degree, "node")
     to_centres = None
-    for order in (F.struct((-F.col("degree")).alias("d"), F.xxhash64("doc_id").alias("h")), F.xxhash64("doc_id", F.lit(2))):
-        centres = weighed.groupBy("key").agg(F.min_by("doc_id", order).alias("b"))
-        pairs = members.join(centres, "key").filter("doc_id <> b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+    for order in (F.struct((-F.col("degree")).alias("d"), F.xxhash64("node").alias("h")), F.xxhash64("node", F.lit(2))):
+        centres = weighed.groupBy("key").agg(F.min_by("node", order).alias("b"))
+        pairs = members.join(centres, "key").filter("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
         to_centres = pairs if to_centres is None else to_centres.unionByName(pairs)
     linked = links(_promising(to_centres.distinct(), classes))
     comp = cut(components(linked))
 
     rows = _labelled(members, comp)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    facts = classes.select("doc_id", "n_shingles", "sig")
-    ties = cut(_dealt(rows.join(mixed, "key").select("key", "doc_id", "comp"), "key").join(facts, "doc_id").groupBy("key", "x", "y").applyInArrow(_group_candidates, "a long, b long").distinct())
+    facts = classes.select("node", "n_shingles", "sig")
+    ties = cut(_dealt(rows.join(mixed, "key").select("key", "node", "comp"), "key").join(facts, "node").groupBy("key", "x", "y").applyInArrow(_group_candidates, "a long, b long").distinct())
     if not ties.isEmpty():
         groups = components(ties)
-        tied = cut(ties.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        tied = cut(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         grouped = _labelled(tied, groups).withColumnRenamed("comp", "grp")
-        known = cut(texts.join(tied, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        blocks = _dealt(_labelled(grouped, comp), "grp").join(facts, "doc_id").join(known, "doc_id")
+        known = texts_of(tied)
+        blocks = _dealt(_labelled(grouped, comp), "grp").join(facts, "node").join(known, "node")
         more = cut(blocks.groupBy("grp", "x", "y").applyInArrow(_link_exactly, "a long, b long"))
         comp = cut(components(linked.unionByName(more)))
 
-    # a component is named by its smallest doc_id, and a class by its own smallest
-    named = _labelled(classes.select("doc_id", "set_id"), comp).select("set_id", F.col("comp").alias("class_comp"))
-    out = sketched.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    out = out.withColumn("component_id", F.coalesce("class_comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    # a component is named by its smallest doc_id
+    labelled = _labelled(classes.select("node", "set_id", F.struct("doc_id", "text_hash").alias("least")), comp)
+    first = labelled.groupBy("comp").agg(F.min("least").alias("first"))
+    named = labelled.join(first, "comp").select("set_id", "first")
+    out = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
+    own = F.struct("doc_id", "text_hash")
+    out = out.withColumn("first", F.coalesce("first", own))
+    return out.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), (own == F.col("first")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate group, columns unchanged; of identical rows one stays."""
-    verdict = cut(near_components(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("same")))
-    gone = verdict.filter("not kept").select(F.col("doc_id").alias("_gone_id"))
-    left = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(-1)) == gone["_gone_id"], "left_anti")
+    verdict = cut(_components_of(docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("same")))
+    gone = verdict.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    same = (F.coalesce(docs["doc_id"], F.lit(-1)) == gone["_gone_id"]) & (F.xxhash64(docs["text"].cast("binary")) == gone["_gone_hash"])
+    left = docs.join(gone, same, "left_anti")
     return left.dropDuplicates(["doc_id", "text"]) if not verdict.filter("kept and same > 1").isEmpty() else left

@@ -16,8 +16,8 @@ end is among its words 7 to 14, the last at word 31 or later, so that at least 1
 Digests are counted with map-side combination, so a passage that a third of all documents share is a few rows by then; the
 join back is a plain equi-join, whose hot keys adaptive execution splits. Only repeated chunks travel by document.
 
-Defined cases: null and empty texts have no chunks; equal rows repeat each other (a null doc_id counts as -1); repeats within one
-document are no repeats unless `within` is set; empty tables give empty results. Extra columns are ignored.
+Defined cases: null and empty texts have no chunks; every row is a document of its own, so equal rows and rows that share a doc_id may
+repeat each other (a null doc_id counts as -1); repeats within one document are no repeats unless `within` is set; empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut
 from .shingles import _ODD, _words, mix64
 
 MIN_CHUNK, MAX_CHUNK = 8, 160
@@ -147,22 +148,22 @@ def cut_points(data: bytes) -> list[int]:
     return pieces(data)[0]
 
 
-CHUNKS = "doc_id long, ordinal int, start long, size int, words int, digest binary"
+CHUNKS = "row long, doc_id long, ordinal int, start long, size int, words int, digest binary"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> one row per chunk of the UTF-8 bytes of each text."""
+    """docs(_row, doc_id, text) -> one row per chunk of the UTF-8 bytes of each text."""
 
     def run(batches):
         names = [c.split()[0] for c in CHUNKS.split(", ")]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = text.as_py() or b""
                 start, view = 0, memoryview(data)
                 for k, (end, behind, words) in enumerate(zip(*pieces(data))):
                     digest = xxhash.xxh3_128_digest(view[start:behind], seed=end - start)
-                    for column, value in zip(out, (doc_id, k, start, end - start, words, digest)):
+                    for column, value in zip(out, (row, doc_id, k, start, end - start, words, digest)):
                         column.append(value)
                     start = end
                 if len(out[0]) > 200_000:
@@ -170,32 +171,42 @@ def chunks(docs: DataFrame) -> DataFrame:
                     out = [[] for _ in names]
             yield _batch(out, names)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, CHUNKS)
+    return docs.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, CHUNKS)
 
 
 def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written down so that it stays the same."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """docs -> doc_id, start_byte, end_byte, n_chunks, first_doc_id, is_first for every span of the repeated passages.
 
     `first_doc_id` is the document with the first copy of the span; `is_first` says that this document's copy stays.
     """
-    parts = chunks(docs)
-    home = F.struct("doc_id", "start")
-    counted = parts.groupBy("digest").agg(F.min(home).alias("home"), F.max("doc_id").alias("far"), F.count("*").alias("n"))
-    repeated = counted.filter(F.lit(within) & (F.col("n") > 1) | (F.col("home.doc_id") != F.col("far"))).select(
-        "digest", F.col("home.doc_id").alias("home_doc"), F.col("home.start").alias("home_start")
+    return _spans(_numbered(docs.select("doc_id", "text")), min_bytes, min_words, within).drop("row")
+
+
+def _spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """docs with _row -> row and the columns of repeated_spans."""
+    parts = chunks(numbered)
+    home = F.struct("doc_id", "row", "start")
+    counted = parts.groupBy("digest").agg(F.min(home).alias("home"), F.min("row").alias("near"), F.max("row").alias("far"), F.count("*").alias("n"))
+    repeated = counted.filter(F.lit(within) & (F.col("n") > 1) | (F.col("near") != F.col("far"))).select(
+        "digest", F.col("home.doc_id").alias("home_doc"), F.col("home.row").alias("home_row"), F.col("home.start").alias("home_start")
     )
-    exact = F.struct("home_doc", "home_start") == home
-    mine = exact if within else F.col("home_doc") == F.col("doc_id")
-    found = parts.join(repeated, "digest").select("doc_id", "ordinal", "start", "size", "words", "home_doc", exact.alias("stays"), mine.alias("mine"))
-    by_place = Window.partitionBy("doc_id").orderBy("start")
+    exact = (F.col("home_row") == F.col("row")) & (F.col("home_start") == F.col("start"))
+    mine = exact if within else F.col("home_row") == F.col("row")
+    found = parts.join(repeated, "digest").select("row", "doc_id", "ordinal", "start", "size", "words", "home_doc", "home_row", exact.alias("stays"), mine.alias("mine"))
+    by_place = Window.partitionBy("row").orderBy("start")
     changed = lambda c, over: F.coalesce(F.lag(c).over(over) != F.col(c), F.lit(False))
-    islands = found.withColumn("run", F.col("ordinal") - F.row_number().over(by_place)).withColumn("turned", (changed("mine", by_place) | changed("home_doc", by_place)).cast("int"))
-    parts = islands.withColumn("part", F.sum("turned").over(by_place)).groupBy("doc_id", "run", "part").agg(
+    islands = found.withColumn("run", F.col("ordinal") - F.row_number().over(by_place)).withColumn("turned", (changed("mine", by_place) | changed("home_row", by_place)).cast("int"))
+    parts = islands.withColumn("part", F.sum("turned").over(by_place)).groupBy("row", "doc_id", "run", "part").agg(
         F.min("start").alias("start_byte"),
         F.max(F.col("start") + F.col("size")).alias("end_byte"),
         F.count("*").alias("n_chunks"),
@@ -204,20 +215,20 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int =
         F.max("stays").alias("stays"),
         F.first("mine").alias("mine"),
     )
-    run = Window.partitionBy("doc_id", "run")
-    in_run, in_turn = run.orderBy("part"), Window.partitionBy("doc_id", "run", "turn")
+    run = Window.partitionBy("row", "run")
+    in_run, in_turn = run.orderBy("part"), Window.partitionBy("row", "run", "turn")
     is_long = lambda over: (F.max("end_byte").over(over) - F.min("start_byte").over(over) >= min_bytes) & (F.sum("words").over(over) >= min_words)
     parts = parts.withColumn("long_run", is_long(run)).filter("long_run").withColumn("turned", changed("mine", in_run).cast("int")).withColumn("turn", F.sum("turned").over(in_run))
     parts = parts.withColumn("own", F.col("mine") | ~is_long(in_turn))  # a few shared words within this document's own passage are no passage
     parts = parts.withColumn("turned", (~F.col("own") | changed("own", in_run)).cast("int")).withColumn("span", F.sum("turned").over(in_run))
-    spans = parts.groupBy("doc_id", "run", "span", "own").agg(
+    spans = parts.groupBy("row", "doc_id", "run", "span", "own").agg(
         F.min("start_byte").alias("start_byte"),
         F.max("end_byte").alias("end_byte"),
         F.sum("n_chunks").alias("n_chunks"),
         F.when(F.col("own"), F.col("doc_id")).otherwise(F.min("home_doc")).alias("first_doc_id"),
         (F.col("own") & F.max("stays")).alias("is_first"),
     )
-    return spans.select("doc_id", "start_byte", "end_byte", "n_chunks", "first_doc_id", "is_first")
+    return spans.select("row", "doc_id", "start_byte", "end_byte", "n_chunks", "first_doc_id", "is_first")
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -225,8 +236,9 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
 
     Bytes that stop being whole characters at a cut are dropped with it.
     """
-    spans = repeated_spans(docs, **options).filter(~F.col("is_first"))
-    gone = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans")).withColumnRenamed("doc_id", "_span_id")
+    numbered = _numbered(docs)
+    spans = _spans(numbered, **options).filter(~F.col("is_first"))
+    gone = spans.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -241,5 +253,5 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     removed = F.pandas_udf(cut, "string")
-    joined = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(-1)) == gone["_span_id"], "left")
+    joined = numbered.join(gone, "_row", "left")
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(removed("text", "_spans"))).select(*docs.columns)

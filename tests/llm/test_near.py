@@ -166,3 +166,22 @@ def test_blocks_do_not_move_cuts(monkeypatch):
     monkeypatch.setattr(S, "_BLOCK", 100)
     monkeypatch.setattr(S, "_SEGMENT", 777)
     assert S.pieces(text) == whole
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(9)
+    texts = [rng.choices(WORDS, k=k) for k in (60, 200, 90, 140)]
+    changed = [[*w[:-1], "other"] for w in texts]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, changed[0]), (8, changed[1]), (9, changed[2]), (3, changed[3])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_components(docs).collect())
+    assert got == sorted([(-1, 56, -1, True), (-1, 196, -1, True), (5, 86, 5, True), (5, 136, 3, False), (7, 56, -1, False), (8, 196, -1, False), (9, 86, 5, False), (3, 136, 3, True)])
+    left = [(r.doc_id, len(r.text.split())) for r in N.keep_one_of_each(docs).collect()]
+    assert sorted(left, key=str) == sorted([(None, 60), (None, 200), (5, 90), (3, 140)], key=str)
+
+    spans = S.repeated_spans(docs).collect()
+    assert sorted((r.doc_id, r.is_first) for r in spans) == sorted([(-1, True)] * 2 + [(5, True), (5, False), (9, False), (3, True), (7, False), (8, False)])
+    kept = [(r.doc_id, len(r.text.split())) for r in S.remove_repeats(docs).collect()]
+    assert len(kept) == 8 and {(None, 60), (None, 200), (5, 90), (3, 140)} <= set(kept) and all(n < 30 for i, n in kept if i in (7, 8, 9))
+    same = spark.createDataFrame([(1, " ".join(texts[0]))] * 2, "doc_id long, text string")
+    assert sorted(r.is_first for r in S.repeated_spans(same).collect()) == [False, True]
