@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from .url import canonical, normalised, sites_match
 
 # Bounds on what is kept of a page.
 MAX_TEXT, MAX_ATTRIBUTES, MAX_HREFS, MAX_HREF, MAX_FOOTER = 200_000, 50_000, 5_000, 2_048, 2_000
+#: Bounds of the search for logos only.
 MAX_NODES, MAX_DEPTH = 100_000, 256
 MAX_IMAGES, MAX_SVGS, MAX_LINKS, MAX_ANCESTORS = 300, 100, 200, 12
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -24,11 +26,12 @@ IMPLIED = {
 
 
 class Node:
-    __slots__ = ("attrs", "begin", "depth", "end", "parent", "tag")
+    __slots__ = ("attrs", "begin", "depth", "end", "in_nav", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None, begin: int):
         self.tag, self.attrs, self.parent, self.begin, self.end = tag, attrs, parent, begin, -1
         self.depth = parent.depth + 1 if parent else 0
+        self.in_nav = parent is not None and (parent.in_nav or parent.tag in ("nav", "header", "navigation") or parent.attrs.get("role") == "navigation")
 
 
 class Document(HTMLParser):
@@ -39,51 +42,49 @@ class Document(HTMLParser):
         self.nodes: list[Node] = []
         self.pieces: list[tuple[str, bool]] = []
         self._open: list[Node] = []
+        self._places: dict[str, list[int]] = {}  # of open elements, by tag, so that deep pages take linear time
         self._unseen = 0
         self.feed(html)
         self.close()
         for node in self._open:
             node.end = len(self.pieces)
+        self._dense = [0, *accumulate(sum(map(len, t.split())) for t, _ in self.pieces)]
+
+    def _last(self, tags) -> int:
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=-1)
 
     def _pop_to(self, k: int) -> None:
-        for node in self._open[k:]:
+        for node in reversed(self._open[k:]):
             node.end = len(self.pieces)
+            self._places[node.tag].pop()
             self._unseen -= node.tag in UNSEEN
         del self._open[k:]
 
     def handle_starttag(self, tag, attrs):
-        if len(self.nodes) >= MAX_NODES:
-            return
         if tag in IMPLIED:
             ends, stops = IMPLIED[tag]
-            for k in range(len(self._open) - 1, -1, -1):
-                if self._open[k].tag in ends:
-                    self._pop_to(k)
-                    break
-                if self._open[k].tag in stops:
-                    break
+            if (k := self._last(ends)) > self._last(stops - ends):
+                self._pop_to(k)
         kept: dict[str, str] = {}
         for name, value in attrs:
             kept.setdefault(name, value or "")
         node = Node(tag, kept, self._open[-1] if self._open else None, len(self.pieces))
-        if node.depth <= MAX_DEPTH:
-            self.nodes.append(node)
-        if tag in VOID or len(self._open) >= 2 * MAX_DEPTH:  # deeper markup is not nested further
+        self.nodes.append(node)
+        if tag in VOID:
             node.end = node.begin
         else:
+            self._places.setdefault(tag, []).append(len(self._open))
             self._open.append(node)
             self._unseen += tag in UNSEEN
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self._open and self._open[-1].tag == tag and any(n.tag == "svg" for n in self._open):
+        if tag not in VOID and self._open and self._open[-1].tag == tag and self._places.get("svg"):
             self._pop_to(len(self._open) - 1)
 
     def handle_endtag(self, tag):
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k].tag == tag:
-                self._pop_to(k)
-                return
+        if (k := self._last((tag,))) >= 0:
+            self._pop_to(k)
 
     def handle_data(self, data):
         self.pieces.append((data, self._unseen > 0))
@@ -91,6 +92,10 @@ class Document(HTMLParser):
     def text(self, node: Node) -> str:
         return "".join(t for t, _ in self.pieces[node.begin : node.end])
 
+    def dense(self, node: Node) -> int:
+        """How many characters of the element's text are no white space."""
+        return self._dense[node.end] - self._dense[node.begin]
+
     def seen(self, node: Node) -> str:
         return "".join(t for t, hidden in self.pieces[node.begin : node.end] if not hidden)
 
@@ -127,8 +132,6 @@ def parse_page(html: str | None, url: str | None) -> dict:
     nodes = doc.nodes
     meta = [n.attrs for n in nodes if n.tag == "meta"]
     named = lambda name: next((m["content"] for m in meta if m.get("name") == name and "content" in m), "")
-    inside = lambda n, tags: any(a.tag in tags or "navigation" in tags and a.attrs.get("role") == "navigation" for a in _ancestors(n.parent, MAX_DEPTH))
-
     hrefs = [(n.tag, n.attrs["href"]) for n in nodes if n.attrs.get("href") and len(n.attrs["href"]) <= MAX_HREF][:MAX_HREFS]
     links: dict[str, None] = {}
     for tag, href in hrefs:
@@ -141,7 +144,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
     for n in nodes:
         c = _classes(n)
         if n.tag == "button" or n.attrs.get("role") == "button" or "cta" in c or "btn" in c or n.tag == "a" and "button" in c or n.tag == "input" and n.attrs.get("type") == "submit":
-            words = doc.text(n).strip() or n.attrs.get("value", "")
+            words = "" if doc.dense(n) >= 100 else doc.text(n).strip() or n.attrs.get("value", "")
             if words and len(words) < 100:
                 ctas.append(words)
         if "placeholder" in n.attrs or "aria-label" in n.attrs or "title" in n.attrs or n.tag == "img" and "alt" in n.attrs or n.tag == "button" and "value" in n.attrs or n.tag == "input" and n.attrs.get("type") == "submit" and "value" in n.attrs:
@@ -154,7 +157,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
             structured += [x for x in (parsed if isinstance(parsed, list) else [parsed]) if x is not None]
         named_place = n.attrs.get("class", "")
         if "address" in named_place or "location" in named_place or "PostalAddress" in n.attrs.get("itemtype", "") or n.attrs.get("itemprop") == "address":
-            words = _squeezed(doc.text(n))
+            words = _squeezed(doc.text(n)) if doc.dense(n) < 200 else ""
             if 10 < len(words) < 200 and (_STREETISH.search(words) or _STATE_ZIP.search(words)):
                 blocks.append(words)
     for item in structured:
@@ -175,7 +178,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
         "images": [{"src": s, "alt": n.attrs.get("alt", "")} for n in nodes if n.tag == "img" and n.attrs.get("src") and (s := canonical(n.attrs["src"], url))],
         "css_urls": [s for n in nodes if n.tag == "link" and n.attrs.get("rel") == "stylesheet" and n.attrs.get("href") and (s := canonical(n.attrs["href"], url))],
         "inline_css": [t for n in nodes if n.tag == "style" and (t := doc.text(n).strip())],
-        "nav_labels": [t for n in nodes if n.tag == "a" and inside(n, ("nav", "header", "navigation")) and (t := doc.text(n).strip()) and len(t) < 50],
+        "nav_labels": [t for n in nodes if n.tag == "a" and n.in_nav and doc.dense(n) < 50 and (t := doc.text(n).strip()) and len(t) < 50],
         "cta_buttons": ctas,
         "footer": "".join(doc.text(n) for n in nodes if n.tag == "footer").strip()[:MAX_FOOTER],
         "schema_data": [json.dumps(x, ensure_ascii=False) for x in structured],
@@ -210,8 +213,9 @@ def _addresses_of(item, depth: int) -> list[str]:
 
 def _marks(doc: Document, url: str) -> list[dict]:
     """Features of each image and inline drawing that may be the site's logo."""
-    images = [n for n in doc.nodes if n.tag == "img" and n.attrs.get("src")][:MAX_IMAGES]
-    drawings = [n for n in doc.nodes if n.tag == "svg" and not any(a.tag == "svg" for a in _ancestors(n.parent, MAX_DEPTH))][:MAX_SVGS]
+    walked = [n for n in doc.nodes if n.depth <= MAX_DEPTH][:MAX_NODES]
+    images = [n for n in walked if n.tag == "img" and n.attrs.get("src")][:MAX_IMAGES]
+    drawings = [n for n in walked if n.tag == "svg" and not any(a.tag == "svg" for a in _ancestors(n.parent, MAX_DEPTH))][:MAX_SVGS]
     out = []
     for n in images + drawings:
         above = list(_ancestors(n))
@@ -244,10 +248,13 @@ def _drawing(doc: Document, svg: Node) -> str:
     """An inline drawing written again without scripts, styles, handlers and outside references."""
     parts, open_tags = [], []
     start = doc.nodes.index(svg)
+    within, left_out = {svg}, {svg} if any(a.tag in ("script", "style", "foreignobject") for a in _ancestors(svg, MAX_DEPTH)) else set()
     for n in doc.nodes[start:]:
-        if n is not svg and svg not in _ancestors(n, MAX_DEPTH):
+        if n is not svg and n.parent not in within:
             break
-        if any(a.tag in ("script", "style", "foreignobject") for a in _ancestors(n, MAX_DEPTH)):
+        within.add(n)
+        if n in left_out or n.parent in left_out or n.tag in ("script", "style", "foreignobject"):
+            left_out.add(n)
             continue
         while open_tags and open_tags[-1] is not n.parent:
             parts.append(f"</{open_tags.pop().tag}>")

@@ -122,3 +122,12 @@ def test_addresses(spark):
 def test_text_columns(spark):
     assert _one(spark, T.collapse(F.lit(" a   b\n")), T.client_ip(F.lit("1.1.1.1, 2.2.2.2"), F.lit(None).cast("string")), T.client_ip(F.lit(None).cast("string"), F.lit(" 3.3.3.3 "))) == ("a b", "2.2.2.2", "3.3.3.3")
     assert _one(spark, T.slug(F.lit("My Shop.co"), F.to_timestamp(F.lit("2024-03-05")), F.lit("ab")))[0] == "my-shop-2024-03-ab"
+
+
+def test_long_and_deep_pages_are_read_whole():
+    late = "<style>a{}</style><nav><a href='/x'>Late</a></nav><h2>End</h2><button>Buy</button><footer>Foot</footer><script>var hidden</script>"
+    for page in ("<i></i>" * 100_500 + late, "<div>" * 3000 + late, "<nav>" + "<div>" * 3000 + "<a href='/x'>Late</a></nav>" + late):
+        got = parse_page(f"<body>{page}</body>", "https://a.com/")
+        assert got["headings"] == [{"level": 2, "text": "End"}] and got["cta_buttons"] == ["Buy"] and got["footer"] == "Foot"
+        assert got["inline_css"] == ["a{}"] and got["links"] == ["https://a.com/x"] and set(got["nav_labels"]) == {"Late"} and "hidden" not in got["visible_text"]
+    assert parse_page("<header>" + "<i></i>" * 100_500 + "<img src='/logo.png'></header>", "https://a.com/")["marks"] == []
