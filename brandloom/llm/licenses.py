@@ -1,12 +1,12 @@
 """Licence scans in DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-1. Every line of a text is a possible header. Lines that cannot reach the similarity are skipped without loss: for each template its
+1. Every line of a text is a possible header, and for templates longer than COLUMNS so are up to WRAPPED lines joined, since notices are wrapped. Lines that cannot reach the similarity are skipped without loss: for each template its
    heaviest tokens are set apart until the rest has less than `threshold` of its norm; by Cauchy-Schwarz a line without any of those
-   tokens stays below the threshold. The union of these tokens is one pattern, tested on each whole text, then on each line.
+   tokens stays below the threshold. The union of these tokens is one pattern, tested on each whole text, then on each line. Texts and lines that hold too little of every template's norm go by the same inequality.
 2. Lines left become sparse vectors: log-scaled counts times inverse document frequency. Frequencies of the templates' tokens are
    counted over all documents; a token outside all templates weighs as one that occurs in a single document. Cosine by a join
    on tokens with the templates, a table of fixed size.
-3. A file's own licence is its best line's, at or above the threshold (ties: template name). A licence file is one whose name says so
+3. A file's own licence is that of its best line or joined lines (the first one's number is given), at or above the threshold (ties: template name). A licence file is one whose name says so
    (LICENSE, COPYING, ...) or whose whole text is at or above the threshold; it gives its licence to its directory.
 4. A file without a licence of its own inherits from its nearest ancestor directory that has one: distinct directories are
    expanded to their ancestors and joined with licensed directories by path; the deepest wins, and files look up their directory.
@@ -22,11 +22,13 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
 THRESHOLD = 0.6
+#: Templates longer than a line of so many columns are compared with up to so many lines joined, too.
+COLUMNS, WRAPPED = 72, 12
 LICENCE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice"
 
 #: Notices and headers of public licences, by SPDX identifier; several forms of one licence are templates of their own.
@@ -99,10 +101,19 @@ def needed_tokens(vectors: list[dict[str, float]], threshold: float) -> list[str
     return sorted(needed)
 
 
-def _similarities(parts: DataFrame, keys: list[str], vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float) -> DataFrame:
+def _can_reach(text: Column, vectors: list[dict[str, float]], chosen: list[int], threshold: float) -> Column:
+    """The template's tokens in the text have `threshold` of its norm; by Cauchy-Schwarz neither the text nor a part of it reaches the threshold otherwise."""
+    known = F.array(*[F.lit(t) for t in sorted({t for i in chosen for t in vectors[i]})])
+    present = F.array_intersect(tokens(text), known)
+    squares = F.array(*[F.create_map(*[F.lit(x) for t, v in sorted(vectors[i].items()) for x in (t, v * v)]) for i in chosen])
+    total = lambda m: F.aggregate(present, F.lit(0.0), lambda acc, t: acc + F.coalesce(m[t], F.lit(0.0)))
+    return F.exists(squares, lambda m: total(m) >= threshold * threshold - 1e-9)
+
+
+def _similarities(parts: DataFrame, keys: list[str], vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float, chosen: list[int] | None = None) -> DataFrame:
     """parts(keys, part text) -> keys, license, similarity: the best template of each part that reaches the threshold."""
     spark = parts.sparkSession
-    rows = [(i, TEMPLATES[i][0], t, v, idf[t]) for i, vector in enumerate(vectors) for t, v in sorted(vector.items())]
+    rows = [(i, TEMPLATES[i][0], t, v, idf[t]) for i, vector in enumerate(vectors) if chosen is None or i in chosen for t, v in sorted(vector.items())]
     table = spark.createDataFrame(rows, "template int, license string, token string, share double, idf double")
     # a few hundred rows, whatever the corpus
     terms = F.broadcast(table.groupBy("token").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "share")).alias("uses")))
@@ -131,17 +142,29 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf, other = weigh(*document_frequencies(files, vocabulary))
     vectors = template_vectors(idf)
     needed = needed_tokens(vectors, threshold)
-    hopeful = cut(files.filter(_has_one(F.col("text"), needed)).select("doc_id", "path", "text"))
-    lines = cut(hopeful.select("doc_id", "path", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "part")).filter(_has_one(F.col("part"), needed)))
-    # equal lines are scored once
-    distinct = lines.select("part").distinct().withColumn("digest", F.sha2(F.col("part").cast("binary"), 256))
-    by_line = _similarities(distinct, ["digest"], vectors, idf, other, threshold)
-    found = lines.withColumn("digest", F.sha2(F.col("part").cast("binary"), 256)).join(by_line, "digest")
+    every = list(range(len(vectors)))
+    # the number tells equal rows apart; it is written down, so that it stays the same
+    hopeful = cut(files.filter(_has_one(F.col("text"), needed)).filter(_can_reach(F.col("text"), vectors, every, threshold)).withColumn("file", F.monotonically_increasing_id()))
+    lines = hopeful.select("file", "doc_id", "path", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "part"))
+    # notices longer than a line are wrapped, so lines are also joined with those that follow
+    wrapped = [i for i in every if len(TEMPLATES[i][1]) > COLUMNS]
+    after = Window.partitionBy("file").orderBy("line")
+    ahead = lines.select("doc_id", "path", "line", F.array("part", *[F.lead("part", k).over(after) for k in range(1, WRAPPED)]).alias("next"))
+    joined = ahead.select("doc_id", "path", "line", "next", F.explode(F.sequence(F.lit(2), F.lit(WRAPPED))).alias("n")).filter(F.col("next")[F.col("n") - 1].isNotNull())
+    joined = joined.select("doc_id", "path", "line", F.array_join(F.slice("next", 1, F.col("n")), "\n").alias("part"))
+
+    def scored(parts: DataFrame, chosen: list[int]) -> DataFrame:
+        parts = cut(parts.filter(_has_one(F.col("part"), needed)).filter(_can_reach(F.col("part"), vectors, chosen, threshold)).withColumn("digest", F.sha2(F.col("part").cast("binary"), 256)))
+        # equal parts are scored once
+        by_part = _similarities(parts.select("digest", "part").distinct(), ["digest"], vectors, idf, other, threshold, chosen)
+        return parts.join(by_part, "digest").select("doc_id", "path", "line", "license", "similarity")
+
+    found = scored(lines.drop("file"), every).unionByName(scored(joined, wrapped))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b")
     own = found.groupBy("doc_id", "path").agg(best).select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), F.col("b.line").alias("line"))
 
     name = F.element_at(F.split("path", "/"), -1)
-    whole = _similarities(hopeful.filter(~name.rlike(LICENCE_NAME)).select("doc_id", "path", F.col("text").alias("part")), ["doc_id", "path"], vectors, idf, other, threshold)
+    whole = _similarities(hopeful.select("doc_id", "path", F.col("text").alias("part")), ["doc_id", "path"], vectors, idf, other, threshold)
     named = own.filter(name.rlike(LICENCE_NAME)).select("doc_id", "path", "license", "similarity")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     given = named.unionByName(whole.select("doc_id", "path", "license", "similarity")).filter(F.col("path").isNotNull()).groupBy(directory.alias("licensed_dir"))

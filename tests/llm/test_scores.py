@@ -104,3 +104,16 @@ def test_licences(spark):
 def test_repeated_files(spark):
     frame = spark.createDataFrame([(1, "p/q", "Licensed under CC BY-NC 4.0."), (1, "p/q", "Licensed under CC BY-NC 4.0.")], "doc_id long, path string, text string")
     assert [(r.license, r.line) for r in L.scan_licenses(frame).collect()] == [("CC-BY-NC-4.0", 0)] * 2
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    texts = {k: next(t for n, t in L.TEMPLATES if n == k and start in t) for k, start in (("MIT", "Permission"), ("BSD-3-Clause", "Redistribution"), ("GPL-3.0", "This program"))}
+    wrap = lambda t, mark: "\n".join(textwrap.wrap(t, 60, initial_indent=mark, subsequent_indent=mark))
+    files = [(k, f"s{k}/f.c", "int before;\n" + wrap(t, " * ") + "\nint after;") for k, t in enumerate(texts.values())]
+    files += [(10, "g/COPYING", wrap(texts["GPL-3.0"], "")), (11, "g/d/x.c", "code")]
+    files += [(100 + k, f"z/{k}.c", "other words") for k in range(50)]
+    got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert [(got[k].license, got[k].line) for k in range(3)] == [(name, 1) for name in texts] and got[11].effective == "GPL-3.0"
+    assert all(got[k].similarity > 0.99 for k in (0, 1, 2, 10))
