@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -23,20 +25,35 @@ def get_spark(app: str = "brandloom", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; a local one only where the setting is absent (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a machine-local one only where that is unset and Spark itself is local (tests)."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS) or LOCAL_CHECKPOINTS)
+    if named := context.getConf().get("spark.checkpoint.dir", ""):
+        return named.rstrip("/")
+    if not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return LOCAL_CHECKPOINTS
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder now and read it from there from now on.
 
-    Shuffle files of frames that nobody holds any more go when the driver collects garbage, which a driver with free heap
-    does every 30 minutes; asking for it here frees what earlier cuts have made needless.
+    Spark's cleaner frees the files of frames that nobody holds any more when the driver collects garbage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return kept
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def write_down(df: DataFrame) -> DataFrame:
+    """Like `cut`, but as compressed Parquet of which later reads take only the columns they need."""
+    folder = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

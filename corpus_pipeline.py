@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from brandloom.llm import exact_dedup, mixing, near_dedup, sampled_segmentation, toxicity
-from brandloom.session import LOCAL_CHECKPOINTS
+from brandloom.session import drop_folder, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage is written as Parquet to the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS) or LOCAL_CHECKPOINTS
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    """The last stage's rows; every stage is written as Parquet to the shared folder and read again, and removed once the next one stands."""
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs
