@@ -6,7 +6,9 @@
    the number of leading zeros (6 bits) and the 10 bits that follow the first one. Empty buckets borrow the register of a
    bucket drawn by a fixed sequence of hashes, the same for every set, so that small sets band as large ones do.
 3. Four registers make a band key, 40 keys a set. At a similarity of 0.75 a pair misses all keys with a probability
-   of (1 - 0.75^4)^40, 3 in 10 million.
+   of (1 - 0.75^4)^40, 3 in 10 million, if the set is large enough for its registers to be independent. Sets below SMALL shingles, and
+   sets that can be linked with one, also (below SMALL: only) take as keys those shingles, in the order of their hashes, of which two linked sets must share one, and their pairs
+   skip the estimate, so that small sets lose nothing.
 4. In each bucket of a key, members are paired with a centre only (a linear number of pairs). The similarity is estimated
    from equal registers, less the share that collides by chance; pairs whose estimate is within five standard
    deviations of 0.75 go on and are confirmed on full sets. Every bucket has two centres: the member that shares most buckets, and one drawn by hash. Confirmed links are contracted to components.
@@ -16,7 +18,8 @@
    pairs grows with the square of a group.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and stay; equal rows are
-one class; rows that share a doc_id are told apart by their texts (a null doc_id counts as -1, and components of different null rows share that name); empty tables give empty results. Extra columns are ignored.
+one class; rows that share a doc_id are told apart by their texts; a null doc_id stays null and sorts after all others, so a component has a null name only
+if no row of it has a doc_id; empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .shingles import mix64, shingle_set
+from .shingles import mix64, shingle_set, shingle_sets
 
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
@@ -37,8 +40,10 @@ MANTISSA = 10
 THRESHOLD = (75, 100)
 #: Estimates from this value on are confirmed on full sets: 0.75 less five standard deviations of 160 registers.
 CANDIDATE = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Members compared with each other in one task.
-BLOCK = 1000
+#: Sets with fewer shingles are not judged by registers.
+SMALL = 16
+#: Members compared with each other in one task, and the shingles that they have together, at most (in expectation).
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 _BUCKETS = np.arange(REGISTERS, dtype=np.uint64)
 
 
@@ -74,6 +79,19 @@ def band_keys(packed: np.ndarray) -> np.ndarray:
     return mix64(key ^ mix64(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
+def small_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys for a small set: its first shingles by hash. Sets linked at 75 % share one of their first n - ceil(0.75 n) + 1."""
+    p, q = THRESHOLD
+    n = len(hashes)
+    return mix64(hashes[: n - -(-n * p // q) + 1] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
+def keys_of(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    p, q = THRESHOLD
+    small = len(hashes) * p < SMALL * q  # it can be linked with a set below SMALL
+    return np.concatenate(([small_keys(hashes)] if small else []) + ([band_keys(packed)] if len(hashes) >= SMALL else []))
+
+
 def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Probability that two unequal minima share a register: equal leading zeros, then equal mantissas.
 
@@ -90,17 +108,21 @@ def estimate(equal_share: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.nd
     return (equal_share - c) / (1 - c)
 
 
+def can_link(equal_share: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether the estimate can reach the threshold; pairs with a small set always go on."""
+    return (estimate(equal_share, n_a, n_b) >= CANDIDATE) | (np.minimum(n_a, n_b) < SMALL)
+
+
 SKETCH = "doc_id long, text_hash long, n_shingles long, set_id binary, sig binary, keys array<long>"
 
 
 def _sketch(batches):
     for batch in batches:
         rows = []
-        for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            hashes = shingle_set(text.as_py())
+        for doc_id, text_hash, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2).to_pylist())):
             if len(hashes):
                 packed = registers(hashes)
-                rows.append((doc_id, text_hash, len(hashes), xxhash.xxh3_128_digest(hashes), packed.tobytes(), band_keys(packed)))
+                rows.append((doc_id, text_hash, len(hashes), xxhash.xxh3_128_digest(hashes), packed.tobytes(), keys_of(hashes, packed)))
             else:
                 rows.append((doc_id, text_hash, 0, None, None, None))
         columns = list(zip(*rows)) or [[]] * 6
@@ -111,7 +133,12 @@ def _sketch(batches):
 def _hashed(docs: DataFrame) -> DataFrame:
     """docs -> doc_id, text_hash, text; the first two name a row's text."""
     text = F.col("text").cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def _place() -> Column:
+    """A row's name and its order: rows without a doc_id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("text_hash").alias("text_hash"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -125,7 +152,7 @@ def _estimates(batches):
             continue
         sig = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5)]
         n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        keep = estimate((sig[0] == sig[1]).mean(axis=1), n_a, n_b) >= CANDIDATE
+        keep = can_link((sig[0] == sig[1]).mean(axis=1), n_a, n_b)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
 
@@ -215,7 +242,7 @@ def _candidates(i: int, j: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.nda
     if not len(j):
         return j
     share = (sig[j] == sig[i]).mean(axis=1)
-    return j[estimate(share, np.full(len(j), float(n[i])), n[j].astype(float)) >= CANDIDATE]
+    return j[can_link(share, np.full(len(j), float(n[i])), n[j].astype(float))]
 
 
 def _others(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +267,7 @@ def _link_exactly(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Links on full sets between rows of one group whose components differ; rows with most candidates first."""
     p, q = THRESHOLD
     ids, comp, n, side, sig = _rows_of(table)
-    sets = [shingle_set(t.as_py()) for t in table.column("text")]
+    sets = list(shingle_sets(table.column("text").to_pylist()))
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     rows, others = _others(side)
     linked = _Labels(ids, comp)
@@ -261,11 +288,11 @@ def _link_exactly(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
-    """rows(group, node, comp, ...) + x, y, side: each pair of blocks of a group is a task's work, blocks of about BLOCK rows by hash.
+    """rows(group, node, comp, n_shingles, ...) + x, y, side: each pair of blocks of a group is a task's work, blocks of about BLOCK rows by hash.
 
-    A task never holds more than two blocks, however large the group.
+    A task never holds more than two blocks, however large the group and its texts.
     """
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = rows.groupBy(group).agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     first = placed.withColumn("y", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumn("x", F.col("block")).withColumn("side", F.lit(0))
     second = placed.filter("block > 0").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("y", F.col("block")).withColumn("side", F.lit(1))
@@ -280,18 +307,18 @@ def near_components(docs: DataFrame) -> DataFrame:
 def _components_of(docs: DataFrame) -> DataFrame:
     """near_components with text_hash."""
     sketched = cut(sketches(docs))
-    grouped = sketched.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    grouped = sketched.filter("n_shingles > 0").groupBy("set_id").agg(F.min(_place()).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     # classes are linked by a number of their own, for a doc_id may stand on several texts
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "least.*", "set_id", "n_shingles", "sig", "keys"))
     banded = classes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = cut(banded.join(shared, "key"))
-    texts = _hashed(docs)
-    named_text = classes.select("node", "doc_id", "text_hash")
+    texts = _hashed(docs).select(_place().alias("place"), "text").select("place.*", "text")
+    named_text = classes.select("node", "nameless", "doc_id", "text_hash")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """One text of each class, with the set that the class stands for."""
-        return cut(texts.join(named_text.join(nodes, "node", "left_semi"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+        return cut(texts.join(named_text.join(nodes, "node", "left_semi"), ["nameless", "doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
@@ -311,30 +338,29 @@ def _components_of(docs: DataFrame) -> DataFrame:
     rows = _labelled(members, comp)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     facts = classes.select("node", "n_shingles", "sig")
-    ties = cut(_dealt(rows.join(mixed, "key").select("key", "node", "comp"), "key").join(facts, "node").groupBy("key", "x", "y").applyInArrow(_group_candidates, "a long, b long").distinct())
+    ties = cut(_dealt(rows.join(mixed, "key").select("key", "node", "comp").join(facts, "node"), "key").groupBy("key", "x", "y").applyInArrow(_group_candidates, "a long, b long").distinct())
     if not ties.isEmpty():
         groups = components(ties)
         tied = cut(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         grouped = _labelled(tied, groups).withColumnRenamed("comp", "grp")
         known = texts_of(tied)
-        blocks = _dealt(_labelled(grouped, comp), "grp").join(facts, "node").join(known, "node")
+        blocks = _dealt(_labelled(grouped, comp).join(facts, "node"), "grp").join(known, "node")
         more = cut(blocks.groupBy("grp", "x", "y").applyInArrow(_link_exactly, "a long, b long"))
         comp = cut(components(linked.unionByName(more)))
 
     # a component is named by its smallest doc_id
-    labelled = _labelled(classes.select("node", "set_id", F.struct("doc_id", "text_hash").alias("least")), comp)
+    labelled = _labelled(classes.select("node", "set_id", F.struct("nameless", "doc_id", "text_hash").alias("least")), comp)
     first = labelled.groupBy("comp").agg(F.min("least").alias("first"))
     named = labelled.join(first, "comp").select("set_id", "first")
     out = sketched.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
-    own = F.struct("doc_id", "text_hash")
-    out = out.withColumn("first", F.coalesce("first", own))
-    return out.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), (own == F.col("first")).alias("kept"))
+    out = out.withColumn("first", F.coalesce("first", _place()))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(~F.col("first.nameless"), F.col("first.doc_id")).alias("component_id"), (_place() == F.col("first")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate group, columns unchanged; of identical rows one stays."""
     verdict = cut(_components_of(docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("same")))
     gone = verdict.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
-    same = (F.coalesce(docs["doc_id"], F.lit(-1)) == gone["_gone_id"]) & (F.xxhash64(docs["text"].cast("binary")) == gone["_gone_hash"])
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"].cast("binary")) == gone["_gone_hash"])
     left = docs.join(gone, same, "left_anti")
     return left.dropDuplicates(["doc_id", "text"]) if not verdict.filter("kept and same > 1").isEmpty() else left

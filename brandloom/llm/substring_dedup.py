@@ -1,23 +1,27 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by content-defined chunks under a gear rolling hash.
 
-A chunk begins at a word (a run of bytes outside [\\x20\\x09-\\x0D]) whose hash with the GRAM - 1 words behind it is the least in some
-window of REACH neighbouring words. Ends depend on the words nearby only, so an insertion shifts chunks but does not change those
-behind it, and no two ends are more than REACH words apart. Chunks of over MAX_CHUNK bytes (long words, text without white space) are
-cut on by a gear hash over their bytes (window 16): where it has five zero bits, 8 to 160 bytes after the last end.
+At every byte the gear hash of the 16 bytes that end there is rolled on. A chunk begins at a word (a run of bytes outside
+[\\x20\\x09-\\x0D]) if the gear hash in front of it is the least in some window of REACH neighbouring words. Cuts depend on the bytes
+nearby only, so an insertion shifts chunks but does not change those behind it, and no two cuts are more than REACH words apart.
+Inside words of over LONG bytes (text without white space) every place where the hash has three zero bits counts as the beginning of a word.
+In stretches where the hash does not change (one word over and over), every REACH-th word is cut.
 
-Chunks are deduplicated by 128-bit digest of their bytes and of the GRAM words behind them: a digest is repeated if it occurs in more
-than one document. Runs of neighbouring repeated chunks of at least MIN_WORDS are repeated passages. A run is split into
-spans where its chunks' first documents differ: what stands first here (smallest doc_id, then position) stays, what has its first
-copy elsewhere can be removed. Parts from elsewhere below the least length, between parts that stay, stay with them.
+Chunks are deduplicated by 128-bit digest of their bytes: a digest is repeated if it occurs in more than one document. Runs of
+neighbouring repeated chunks of at least MIN_WORDS are repeated passages. A run is split into spans where its chunks' first
+documents differ: what stands first here (smallest doc_id, then position) stays, what has its first copy elsewhere can be
+removed. Parts from elsewhere below the least length, between parts that stay, stay with them.
 
-Every passage of over 50 words is found: of its whole words (49 at least), windows that lie in it choose the same ends in every copy; the first such
-end is among its words 7 to 14, the last at word 31 or later, so that at least 17 words are in chunks equal in all copies.
+Every passage of over 50 words is found. 16 bytes are at most 8 words, so from the ninth word on hashes depend on the passage alone;
+windows from there on choose the same cuts in every copy, the first at or before word 24, the last at or after word 36, so that at
+least 12 words lie in equal chunks.
 
-Digests are counted with map-side combination, so a passage that a third of all documents share is a few rows by then; the
-join back is a plain equi-join, whose hot keys adaptive execution splits. Only repeated chunks travel by document.
+Chunks are written once as a compressed table. Digests are counted with map-side combination, so a passage that a third of all
+documents share is a few rows by then; the join back is a plain equi-join, whose hot keys adaptive execution splits. Only
+repeated chunks travel by document.
 
 Defined cases: null and empty texts have no chunks; every row is a document of its own, so equal rows and rows that share a doc_id may
-repeat each other (a null doc_id counts as -1); repeats within one document are no repeats unless `within` is set; empty tables give empty results. Extra columns are ignored.
+repeat each other; a null doc_id stays null and sorts after all others; repeats within one document are no repeats unless `within` is
+set; empty tables give empty results. Extra columns are ignored. A text is held by one task, with about three times its bytes for its cuts.
 """
 
 from __future__ import annotations
@@ -26,22 +30,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
-
-from ..session import cut
-from .shingles import _ODD, _words, mix64
-
-MIN_CHUNK, MAX_CHUNK = 8, 160
-MASK_BITS = 5
-WINDOW = 16
-#: Words hashed together, and words in a window.
-GRAM, REACH = 4, 8
-#: Bytes do not bound a passage: 12 words may be short ones.
-MIN_BYTES, MIN_WORDS = 0, 12
-_SPACE = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
-_BLOCK = 1 << 17
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import write_down
+from .shingles import mix64, word_spans
+
+#: Bytes in the gear hash; words in a window; bytes from which a word is cut inside.
+WINDOW, REACH, LONG = 16, 16, 64
+#: Zero bits of the hash that begin a word within a long one.
+INNER_BITS = 3
+#: The least repeated passage, in words: see above for those of over 50 words.
+MIN_WORDS = 12
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+#: Bytes hashed together, and bytes of short texts that are cut together.
 _SEGMENT = 1 << 20
+#: Stands in front of every text, so that its first hashes do not depend on its neighbours.
+_LEAD = b"\n" * WINDOW
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -56,179 +60,164 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_cuts(data: bytes) -> list[int]:
-    """Past-last positions of the pieces of `data`, by its bytes."""
+def word_starts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, in the sense above, and the gear hash in front of each; scratch memory is bounded by _SEGMENT."""
     raw = np.frombuffer(data, np.uint8)
-    shift = np.uint32(32 - MASK_BITS)
-    found = []
-    for s in range(0, len(raw), _SEGMENT):  # bounded scratch memory for texts of any length
-        lead = min(s, WINDOW - 1)
-        h = gear_hashes(raw[s - lead : s + _SEGMENT])[lead:]
-        found.append(np.flatnonzero(h >> shift == 0) + (s + 1))
-    ends, last = [], 0
-    for p in np.concatenate(found).tolist() if found else ():
-        while p - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            ends.append(last)
-        if p - last >= MIN_CHUNK:
-            ends.append(p)
-            last = p
-    while len(data) - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        ends.append(last)
-    if last < len(data):
-        ends.append(len(data))
-    return ends
-
-
-def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words' first bytes, and past their last."""
-    raw, starts, ends = np.frombuffer(data, np.uint8), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    origin = 0  # first byte of the word that the segment's first byte belongs to
     for s in range(0, len(raw), _SEGMENT):
-        space = np.concatenate(([True] if s == 0 else [], _SPACE[raw[max(s - 1, 0) : s + _SEGMENT]])).astype(bool)
-        starts.append(np.flatnonzero(space[:-1] & ~space[1:]) + s)
-        ends.append(np.flatnonzero(~space[:-1] & space[1:]) + s)
-    if len(raw) and not _SPACE[raw[-1]]:
-        ends.append(np.array([len(raw)]))
-    return np.concatenate(starts), np.concatenate(ends)
+        lead = min(s, WINDOW)
+        e = min(s + _SEGMENT, len(raw))
+        h = gear_hashes(raw[s - lead : e])
+        starts, ends = (x + s for x in word_spans(raw[s:e]))
+        within = s > 0 and len(starts) and starts[0] == s and len(word_spans(raw[s - 1 : s])[0])  # the word began before
+        first = starts.copy()
+        if within:
+            first[0] = origin
+        found = [starts[1:] if within else starts]
+        for a, b in zip(first[ends - first > LONG].tolist(), ends[ends - first > LONG].tolist()):
+            a = max(a + LONG, s)
+            found.append(np.flatnonzero(h[a - 1 - s + lead : b - 1 - s + lead] >> np.uint32(32 - INNER_BITS) == 0) + a)
+        at = np.sort(np.concatenate(found)) if len(found) > 1 else found[0]
+        at = at[at > 0]
+        places.append(at)
+        hashes.append(h[at - 1 - s + lead])
+        if len(ends) and ends[-1] == e:
+            origin = int(first[-1])
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def _extreme(x: np.ndarray, pick) -> np.ndarray:
+    """pick (minimum or maximum) over each REACH neighbours."""
+    width = 1
+    while width < REACH:
+        x = pick(x[:-width], x[width:])
+        width *= 2
+    return x
 
 
 def _chosen(h: np.ndarray) -> np.ndarray:
-    """Which hashes are the least of some window of REACH neighbours; of fewer, the least of all."""
+    """Which hashes are the least of some window of REACH neighbours; of equal neighbours, every REACH-th."""
     n = len(h)
-    reach = min(REACH, n)
-    if not n:
-        return np.empty(0, bool)
-    windows = n - reach + 1
-    least = h[:windows].copy()
-    for k in range(1, reach):
-        np.minimum(least, h[k : k + windows], out=least)
-    most = np.zeros(n, np.uint64)  # the greatest of the minima of the windows that hold the word
-    for k in range(reach):
-        np.maximum(most[k : k + windows], least, out=most[k : k + windows])
-    return most == h
-
-
-def _word_cuts(data: bytes, starts: np.ndarray) -> np.ndarray:
-    """Indices of the words at which a chunk begins."""
-    out, grams = [], len(starts) - GRAM + 1
-    for s in range(0, grams, _BLOCK):  # bounded scratch memory here too
-        a, b = max(s - REACH + 1, 0), min(s + _BLOCK + REACH - 1, grams)
-        end = len(data) if b + GRAM - 1 >= len(starts) else int(starts[b + GRAM - 1])
-        words = data[int(starts[a]) : end].split()
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-        total = np.zeros(b - a, np.uint64)
-        for k in range(GRAM):
-            total += h[k : k + b - a] * _ODD[k]
-        picked = np.flatnonzero(_chosen(mix64(total))) + a
-        out.append(picked[(picked >= s) & (picked < s + _BLOCK)])
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def pieces(data: bytes) -> tuple[list[int], list[int], list[int]]:
-    """Of the chunks of `data`: past-last positions, past-last positions of what their digests cover, and numbers of words."""
-    starts, past = word_places(data)
-    at = _word_cuts(data, starts)
-    at = at[starts[at] > 0]
-    ends, cover, last = [], [], 0
-    for end, behind in zip([*starts[at].tolist(), len(data)], [*past[at + GRAM - 1].tolist(), len(data)]):
-        if end - last > MAX_CHUNK:
-            inner = [last + e for e in _byte_cuts(data[last:end])[:-1]]
-            ends += inner
-            cover += inner
-        if end > last:
-            ends.append(end)
-            cover.append(behind)
-        last = end
-    return ends, cover, np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
+    if n < REACH:
+        return np.zeros(n, bool)
+    least = _extreme(h, np.minimum)
+    room = np.zeros(REACH - 1, h.dtype)
+    picked = _extreme(np.concatenate([room, least, room]), np.maximum) == h  # the greatest minimum of the windows that hold the word
+    turn = np.append(True, h[1:] != h[:-1])
+    offset = np.arange(n) - np.maximum.accumulate(np.where(turn, np.arange(n), 0))
+    return picked & (offset % REACH == 0)
+
+
+def cut_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Chunks of all texts: number of the text, first and past-last byte in the returned joined bytes, words."""
+    data = b"".join(part for t in texts for part in (_LEAD, t))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    past = np.cumsum(sizes + WINDOW)
+    begin = past - sizes
+    places, hashes = word_starts(data)
+    hashes = hashes | np.uint32(1)
+    between = np.searchsorted(places, begin)
+    marked = np.insert(hashes, between, np.uint32(0))  # the least of all, so that no window over two texts chooses a word
+    chosen = np.delete(_chosen(marked), between + np.arange(len(between)))
+    cuts = places[chosen]
+    starts = np.union1d(begin[sizes > 0], cuts)
+    owner = np.searchsorted(begin, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], len(data)), past[owner])
+    words = np.searchsorted(places, ends) - np.searchsorted(places, starts)
+    return owner, starts, ends, words, data
 
 
 def cut_points(data: bytes) -> list[int]:
-    """Past-last positions of the chunks of `data`."""
-    return pieces(data)[0]
+    """Past-last positions of the chunks of one text."""
+    return (cut_texts([data])[2] - WINDOW).tolist()
+
+
+CHUNKS = "row long, doc_id long, start long, size int, words int, high long, low long"
+_FIELDS = [("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]
 
 
-CHUNKS = "row long, doc_id long, ordinal int, start long, size int, words int, digest binary"
+def _chunk_batch(rows: np.ndarray, doc_ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+    owner, starts, ends, words, data = cut_texts(texts)
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    digests = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), np.int64).reshape(-1, 2)
+    first = np.searchsorted(owner, owner)  # of the same text
+    columns = (rows[owner], doc_ids.take(pa.array(owner)), starts - starts[first], (ends - starts).astype(np.int32), words.astype(np.int32), digests[:, 0], digests[:, 1])
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [n for n, _ in _FIELDS])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs(_row, doc_id, text) -> one row per chunk of the UTF-8 bytes of each text."""
+    """docs(row, doc_id, text) -> one row per chunk of the UTF-8 bytes of each text."""
 
     def run(batches):
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = text.as_py() or b""
-                start, view = 0, memoryview(data)
-                for k, (end, behind, words) in enumerate(zip(*pieces(data))):
-                    digest = xxhash.xxh3_128_digest(view[start:behind], seed=end - start)
-                    for column, value in zip(out, (row, doc_id, k, start, end - start, words, digest)):
-                        column.append(value)
-                    start = end
-                if len(out[0]) > 200_000:
-                    yield _batch(out, names)
-                    out = [[] for _ in names]
-            yield _batch(out, names)
+            rows, texts, begin, size = batch.column(0).to_numpy(), [], 0, 0
+            for i, text in enumerate(batch.column(2)):
+                texts.append(text.as_py() or b"")
+                size += len(texts[-1])
+                if size >= _SEGMENT or i == batch.num_rows - 1:
+                    yield _chunk_batch(rows[begin : i + 1], batch.column(1).slice(begin, len(texts)), texts)
+                    texts, begin, size = [], i + 1, 0
 
-    return docs.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, CHUNKS)
+    return docs.select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, CHUNKS)
 
 
-def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs + row, and whether that is the doc_id: a number of each row's own, ascending by doc_id (null last).
 
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written down so that it stays the same."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    It is the doc_id where that names every row; else rows are sorted by doc_id. Only the latter moves texts.
+    """
+    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if keyed.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return keyed.withColumn("row", F.col("doc_id")), True
+    placed = keyed.withColumn("_place", F.monotonically_increasing_id())
+    return placed.orderBy(F.col("doc_id").asc_nulls_last(), "_place").drop("_place").withColumn("row", F.monotonically_increasing_id()), False
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """docs -> doc_id, start_byte, end_byte, n_chunks, first_doc_id, is_first for every span of the repeated passages.
 
     `first_doc_id` is the document with the first copy of the span; `is_first` says that this document's copy stays.
     """
-    return _spans(_numbered(docs.select("doc_id", "text")), min_bytes, min_words, within).drop("row")
+    return _spans(numbered(docs.select("doc_id", "text"))[0], min_words, within).drop("row")
 
 
-def _spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
-    """docs with _row -> row and the columns of repeated_spans."""
-    parts = chunks(numbered)
-    home = F.struct("doc_id", "row", "start")
-    counted = parts.groupBy("digest").agg(F.min(home).alias("home"), F.min("row").alias("near"), F.max("row").alias("far"), F.count("*").alias("n"))
-    repeated = counted.filter(F.lit(within) & (F.col("n") > 1) | (F.col("near") != F.col("far"))).select(
-        "digest", F.col("home.doc_id").alias("home_doc"), F.col("home.row").alias("home_row"), F.col("home.start").alias("home_start")
-    )
-    exact = (F.col("home_row") == F.col("row")) & (F.col("home_start") == F.col("start"))
-    mine = exact if within else F.col("home_row") == F.col("row")
-    found = parts.join(repeated, "digest").select("row", "doc_id", "ordinal", "start", "size", "words", "home_doc", "home_row", exact.alias("stays"), mine.alias("mine"))
+def _changed(column: str, over) -> Column:
+    return F.coalesce(F.lag(column).over(over) != F.col(column), F.lit(False))
+
+
+def _spans(rows: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """docs with row -> row and the columns of repeated_spans."""
+    every = write_down(chunks(rows))
+    counted = every.groupBy("high", "low").agg(F.min("row").alias("home"), F.max("row").alias("far"), F.count("*").alias("n"))
+    # written down, so that adaptive execution may split a hot digest of the join
+    repeated = write_down(counted.filter(F.lit(within) & (F.col("n") > 1) | (F.col("home") != F.col("far"))).select("high", "low", "home"))
+    found = every.select("row", "start", "size", "words", "high", "low").join(repeated, ["high", "low"])
+    found = found.select("row", "start", (F.col("start") + F.col("size")).alias("end"), "words", "home", (F.col("home") == F.col("row")).alias("mine"), *(["high", "low"] if within else []))
+    if within:  # of several copies at home only the first one stays
+        copies = Window.partitionBy("row", "high", "low").orderBy("start")
+        found = found.withColumn("mine", F.col("mine") & (F.row_number().over(copies) == 1)).drop("high", "low")
     by_place = Window.partitionBy("row").orderBy("start")
-    changed = lambda c, over: F.coalesce(F.lag(c).over(over) != F.col(c), F.lit(False))
-    islands = found.withColumn("run", F.col("ordinal") - F.row_number().over(by_place)).withColumn("turned", (changed("mine", by_place) | changed("home_row", by_place)).cast("int"))
-    parts = islands.withColumn("part", F.sum("turned").over(by_place)).groupBy("row", "doc_id", "run", "part").agg(
-        F.min("start").alias("start_byte"),
-        F.max(F.col("start") + F.col("size")).alias("end_byte"),
-        F.count("*").alias("n_chunks"),
-        F.sum("words").alias("words"),
-        F.first("home_doc").alias("home_doc"),
-        F.max("stays").alias("stays"),
-        F.first("mine").alias("mine"),
+    broke = F.coalesce(F.lag("end").over(by_place) != F.col("start"), F.lit(False))
+    turns = found.withColumn("broke", broke.cast("int")).withColumn("turned", (broke | _changed("mine", by_place) | _changed("home", by_place)).cast("int"))
+    parts = turns.withColumn("run", F.sum("broke").over(by_place)).withColumn("part", F.sum("turned").over(by_place)).groupBy("row", "run", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("words").alias("words"), F.first("home").alias("home"), F.first("mine").alias("mine")
     )
     run = Window.partitionBy("row", "run")
-    in_run, in_turn = run.orderBy("part"), Window.partitionBy("row", "run", "turn")
-    is_long = lambda over: (F.max("end_byte").over(over) - F.min("start_byte").over(over) >= min_bytes) & (F.sum("words").over(over) >= min_words)
-    parts = parts.withColumn("long_run", is_long(run)).filter("long_run").withColumn("turned", changed("mine", in_run).cast("int")).withColumn("turn", F.sum("turned").over(in_run))
-    parts = parts.withColumn("own", F.col("mine") | ~is_long(in_turn))  # a few shared words within this document's own passage are no passage
-    parts = parts.withColumn("turned", (~F.col("own") | changed("own", in_run)).cast("int")).withColumn("span", F.sum("turned").over(in_run))
-    spans = parts.groupBy("row", "doc_id", "run", "span", "own").agg(
-        F.min("start_byte").alias("start_byte"),
-        F.max("end_byte").alias("end_byte"),
-        F.sum("n_chunks").alias("n_chunks"),
-        F.when(F.col("own"), F.col("doc_id")).otherwise(F.min("home_doc")).alias("first_doc_id"),
-        (F.col("own") & F.max("stays")).alias("is_first"),
+    in_run = run.orderBy("part")
+    parts = parts.withColumn("length", F.sum("words").over(run)).filter(F.col("length") >= min_words)
+    parts = parts.withColumn("turned", _changed("mine", in_run).cast("int")).withColumn("turn", F.sum("turned").over(in_run))
+    # a few shared words within this document's own passage are no passage
+    parts = parts.withColumn("own", F.col("mine") | (F.sum("words").over(Window.partitionBy("row", "run", "turn")) < min_words))
+    parts = parts.withColumn("turned", (~F.col("own") | _changed("own", in_run)).cast("int")).withColumn("span", F.sum("turned").over(in_run))
+    spans = parts.groupBy("row", "run", "span", "own").agg(
+        F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.sum("n_chunks").alias("n_chunks"), F.min("home").alias("home"), F.max("mine").alias("mine")
     )
-    return spans.select("row", "doc_id", "start_byte", "end_byte", "n_chunks", "first_doc_id", "is_first")
+    first_row = F.when(F.col("own"), F.col("row")).otherwise(F.col("home"))
+    spans = spans.select("row", first_row.alias("first_row"), "start_byte", "end_byte", "n_chunks", (F.col("own") & F.col("mine")).alias("is_first"))
+    # every text with chunks has one that begins it, which tells the doc_id of a row
+    name = lambda r, d: every.filter("start = 0").select(F.col("row").alias(r), F.col("doc_id").alias(d))
+    return spans.join(name("row", "doc_id"), "row").join(name("first_row", "first_doc_id"), "first_row").select("row", "doc_id", "start_byte", "end_byte", "n_chunks", "first_doc_id", "is_first")
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -236,9 +225,10 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
 
     Bytes that stop being whole characters at a cut are dropped with it.
     """
-    numbered = _numbered(docs)
-    spans = _spans(numbered, **options).filter(~F.col("is_first"))
-    gone = spans.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
+    rows, by_id = numbered(docs.withColumnRenamed("row", "_own_row") if "row" in docs.columns else docs)
+    rows = rows if by_id else write_down(rows)
+    spans = _spans(rows, **options).filter(~F.col("is_first"))
+    gone = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -253,5 +243,6 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     removed = F.pandas_udf(cut, "string")
-    joined = numbered.join(gone, "_row", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(removed("text", "_spans"))).select(*docs.columns)
+    joined = rows.join(gone, "row", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(removed("text", "_spans")))
+    joined = joined.drop("row").withColumnRenamed("_own_row", "row") if "row" in docs.columns else joined
+    return joined.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)

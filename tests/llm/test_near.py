@@ -71,12 +71,22 @@ def test_equals_brute_force(spark, monkeypatch):
 
 def test_repeated_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e f", "x"), (None, "q r s t u v", None)], "doc_id long, text string, comp string")
-    assert [(r.doc_id, r.component_id) for r in N.near_components(docs).orderBy("doc_id").collect()] == [(-1, -1), (1, 1), (1, 1), (2, 1)]
+    assert [(r.doc_id, r.component_id) for r in N.near_components(docs).orderBy("doc_id").collect()] == [(None, None), (1, 1), (1, 1), (2, 1)]
     left = N.keep_one_of_each(docs)
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "None"]
     assert N.near_components(docs.limit(0)).count() == 0
 
 
+def test_small_sets_lose_nothing(spark):
+    rng, rows = random.Random(3), []
+    for n in range(3, 22):
+        for _ in range(25):
+            w = rng.choices(WORDS, k=n + 4)
+            cut = min(-(-n * 3 // 4), n)  # keeps ceil(0.75 n) shingles of n: exactly at, or just above, the threshold
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: cut + 4]))]
+    assert {i: (r.n_shingles, r.component_id) for i, r in _got(spark, rows).items()} == _brute(rows)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     off = []
@@ -106,7 +116,7 @@ def test_chunks_cover_and_resist_insertions():
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     whole = pieces(text)
-    assert b"".join(whole) == text and max(map(len, whole)) <= S.MAX_CHUNK
+    assert b"".join(whole) == text and max(len(p.split()) for p in whole) <= 2 * S.REACH
     moved = set(pieces(b"inserted words " + text[:5000] + b" and more " + text[5000:]))
     assert sum(p in moved for p in whole) > 0.97 * len(whole)
     assert S.cut_points(b"") == []
@@ -155,17 +165,30 @@ def test_every_passage_of_over_fifty_words(spark):
             rows.append((2 * k + copy, "".join((some(rng.randrange(30), sep, words), rng.choice(["x", " "]), passage, rng.choice(["y", " "]), some(rng.randrange(30), sep, words)))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in S.repeated_spans(docs).filter(F.col("is_first") == (F.col("doc_id") % 2 == 0)).collect()} == {i for i, _ in rows}
-    assert S.word_places(b" a\tbc\n")[0].tolist() == [1, 3] and S.word_places(b"ab c")[1].tolist() == [2, 4]
     monotone = " ".join(rng.choices(letters, k=5000)).encode()
-    assert sum(S.pieces(monotone)[2]) == 5000
+    assert S.cut_texts([monotone])[3].sum() == 5000
 
 
-def test_blocks_do_not_move_cuts(monkeypatch):
-    text = " ".join(random.Random(8).choices(WORDS, k=2000)).encode()
-    whole = S.pieces(text)
-    monkeypatch.setattr(S, "_BLOCK", 100)
+def test_segments_and_neighbours_do_not_move_cuts(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=2000)).encode(), b"", b"x" * 3000, bytes(rng.choices(range(97, 123), k=5000)), "語彙".encode() * 300, b"one two", "".join(rng.choices("甲乙丙丁戊己庚辛", k=3000)).encode()]
+    whole = [S.cut_points(t) for t in texts]
+    owner, starts, ends, words, data = S.cut_texts(texts)
+    first = {k: int(starts[owner == k].min()) for k in set(owner.tolist())}
+    assert [[int(e) - first[k] for e in ends[owner == k]] for k in range(len(texts)) if k in first] == [w for w in whole if w]
+    assert len(whole[3]) > 5 and len(whole[6]) > 10
     monkeypatch.setattr(S, "_SEGMENT", 777)
-    assert S.pieces(text) == whole
+    assert [S.cut_points(t) for t in texts] == whole
+    many = S.cut_texts([b"ab " * 4000])
+    assert len(many[0]) < 4000 / S.REACH + 20
+
+
+def test_text_without_blanks(spark):
+    rng = random.Random(10)
+    some = lambda k: "".join(rng.choices([chr(c) for c in range(0x4E00, 0x4E00 + 800)], k=k))
+    passage = some(400)
+    docs = spark.createDataFrame([(1, some(300) + passage + some(300)), (2, some(200) + passage), (3, some(600))], "doc_id long, text string")
+    assert {(r.doc_id, r.first_doc_id, r.is_first) for r in S.repeated_spans(docs).collect()} == {(1, 1, True), (2, 1, False)}
 
 
 def test_rows_that_share_an_id_or_have_none(spark):
@@ -174,14 +197,18 @@ def test_rows_that_share_an_id_or_have_none(spark):
     changed = [[*w[:-1], "other"] for w in texts]
     rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, changed[0]), (8, changed[1]), (9, changed[2]), (3, changed[3])]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_components(docs).collect())
-    assert got == sorted([(-1, 56, -1, True), (-1, 196, -1, True), (5, 86, 5, True), (5, 136, 3, False), (7, 56, -1, False), (8, 196, -1, False), (9, 86, 5, False), (3, 136, 3, True)])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_components(docs).collect()), key=str)
+    assert got == sorted([(None, 56, 7, False), (None, 196, 8, False), (5, 86, 5, True), (5, 136, 3, False), (7, 56, 7, True), (8, 196, 8, True), (9, 86, 5, False), (3, 136, 3, True)], key=str)
     left = [(r.doc_id, len(r.text.split())) for r in N.keep_one_of_each(docs).collect()]
-    assert sorted(left, key=str) == sorted([(None, 60), (None, 200), (5, 90), (3, 140)], key=str)
+    assert sorted(left, key=str) == sorted([(7, 60), (8, 200), (5, 90), (3, 140)], key=str)
+    nameless = docs.filter("doc_id is null")
+    assert [(r.component_id, r.kept) for r in N.near_components(nameless).collect()] == [(None, True)] * 2
+    real = spark.createDataFrame([(None, "one text"), (-1, "another text")], "doc_id long, text string")
+    assert N.keep_one_of_each(real).count() == 2
 
     spans = S.repeated_spans(docs).collect()
-    assert sorted((r.doc_id, r.is_first) for r in spans) == sorted([(-1, True)] * 2 + [(5, True), (5, False), (9, False), (3, True), (7, False), (8, False)])
+    assert sorted(((r.doc_id, r.is_first) for r in spans), key=str) == [(3, True), (5, False), (5, True), (7, True), (8, True), (9, False), (None, False), (None, False)]
     kept = [(r.doc_id, len(r.text.split())) for r in S.remove_repeats(docs).collect()]
-    assert len(kept) == 8 and {(None, 60), (None, 200), (5, 90), (3, 140)} <= set(kept) and all(n < 30 for i, n in kept if i in (7, 8, 9))
+    assert len(kept) == 8 and {(7, 60), (8, 200), (5, 90), (3, 140)} <= set(kept) and all(n < 30 for i, n in kept if i in (None, 9))
     same = spark.createDataFrame([(1, " ".join(texts[0]))] * 2, "doc_id long, text string")
     assert sorted(r.is_first for r in S.repeated_spans(same).collect()) == [False, True]
