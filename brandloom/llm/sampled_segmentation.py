@@ -38,8 +38,8 @@ SAMPLES = 2
 THETA = 1.0
 SEED = 11
 SPACE = "▁"
-#: Nodes of remembered words in a worker: 8 bytes each and 32 for each of some 2 edges.
-ARENA_NODES = 1_500_000
+#: Nodes of remembered words in a worker: 8 bytes each and 24 for each of some 3 edges.
+ARENA_NODES = 800_000
 #: Words longer than this are forgotten after their batch.
 LONG_WORD = 64
 #: Characters of text that are searched together.
@@ -78,12 +78,21 @@ class Pieces:
         total = math.log(sum((r + 2) ** -theta for _, _, r in ranks))
         self.weight = {p: (i, -theta * math.log(r + 2) - total) for p, i, r in ranks}
         self.longest = max(map(len, self.weight))
+        self.sizes = np.array([len(b) for b in self.raw])
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.byte_weight = min(w for _, w in self.weight.values()) - 1.0
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.raw.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all rows' ids, one row behind the other, and the rows' offsets in them."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.bytes[_ranges(self.at[ids], self.at[ids] + sizes)], ends[offsets]
+
 
 @functools.cache
 def load(path: str, theta: float) -> Lattices:
@@ -106,7 +115,8 @@ class Lattices:
     """
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
-    EDGE_ARRAYS = ("cum", "log", "rest", "target", "piece")
+    EDGE_ARRAYS = ("cum", "log", "target", "piece")
+    BUCKET_BITS = 20
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -120,17 +130,31 @@ class Lattices:
             if known.get(h, (-1,))[0] >= 0:
                 raise ValueError("two pieces with one hash")
             known[h] = (i, w)
-        self.hashes = np.array(sorted(known), np.uint64)
-        self.ids = np.array([known[int(h)][0] for h in self.hashes], np.int64)
-        self.weights = np.array([known[int(h)][1] for h in self.hashes])
+        listed = np.fromiter(known, np.uint64, len(known))
+        order = np.argsort(mix64(listed))
+        self.hashes = mix64(listed)[order]
+        self.ids = np.array([i for i, _ in known.values()], np.int64)[order]
+        self.weights = np.array([w for _, w in known.values()])[order]
+        # scrambled hashes are uniform, so few share a bucket
+        top = self.hashes >> np.uint64(64 - self.BUCKET_BITS)
+        self.buckets = np.searchsorted(top, np.arange(2**self.BUCKET_BITS, dtype=np.uint64))
+        self.bucket_size = int(np.unique(top, return_counts=True)[1].max())
         self.clear()
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of each scrambled hash among the known ones, or of some other one where it is unknown."""
+        last = len(self.hashes) - 1
+        at = np.minimum(self.buckets[h >> np.uint64(64 - self.BUCKET_BITS)], last)
+        for _ in range(self.bucket_size - 1):
+            at = np.minimum(at + (self.hashes[at] < h), last)
+        return at
+
     def clear(self) -> None:
         self.words: dict[str, int] = {}
         self.long_word = False
         self.nodes = self.edges = 0
         self.first = np.zeros(1024, np.int64)
-        self.cum, self.log, self.rest = np.empty(1024), np.empty(1024), np.empty(1024)
+        self.cum, self.log = np.empty(1024), np.empty(1024)
         self.target, self.piece = np.empty(1024, np.int32), np.empty(1024, np.int32)
 
     def build(self, words: list[str]) -> None:
@@ -141,59 +165,61 @@ class Lattices:
         chars = codes.astype(np.uint64) + np.uint64(1)
         m, longest = len(codes), self.pieces.longest
         ends = np.repeat(np.cumsum(sizes), sizes)  # past-last character of each position's word
-        weight, ident = np.full((m, longest), -np.inf), np.full((m, longest), -1, np.int32)
         live = np.flatnonzero(~literal)
         h = np.zeros(len(live), np.uint64)
+        single = np.zeros(m, bool)
+        found = []  # (place, length - 1, log weight, piece), shorter pieces first
         for n in range(longest):
             h = h * self.BASE + chars[live + n]
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
+            mixed = mix64(h)
+            at = self.find(mixed)
+            hit = self.hashes[at] == mixed
             live, h, at = live[hit], h[hit], at[hit]
-            weight[live, n], ident[live, n] = self.weights[at], self.ids[at]
+            whole = np.flatnonzero(self.ids[at] >= 0)
+            found.append((live[whole], np.full(len(whole), n), self.weights[at[whole]], self.ids[at[whole]]))
+            if n == 0:
+                single[live[whole]] = True
             more = live + n + 1 < ends[live]
             more[more] = ~literal[live[more] + n + 1]
             live, h = live[more], h[more]
             if not len(live):
-                longest = n + 1
-                weight, ident = weight[:, :longest].copy(), ident[:, :longest].copy()
                 break
-        bare = np.flatnonzero(ident[:, 0] < 0)  # characters without a piece pass as bytes
+        bare = np.flatnonzero(~single)  # characters without a piece pass as bytes
         code = codes[bare].astype(np.int64)
         code[literal[bare]] = ord(SPACE)
         n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        weight[bare, 0] = n_bytes * self.pieces.byte_weight
+        found.insert(0, (bare, np.zeros(len(bare), np.int64), n_bytes * self.pieces.byte_weight, np.full(len(bare), -1)))
+        # edges in the order of nodes, a node's longest piece, which is mostly its likeliest, first
+        rows, lengths, weight, ident = (np.concatenate(x) for x in zip(*found[::-1]))
+        order = np.argsort(rows, kind="stable")
+        rows, lengths, weight, ident = rows[order], lengths[order], weight[order], ident[order]
+        degree = np.bincount(rows, minlength=m)
+        node_first = np.cumsum(degree) - degree
 
         # backward sums, by the distance from the word's end
         word_no = np.repeat(np.arange(len(words)), sizes)
         place = np.arange(m) + word_no  # with one more node a word, for its end
-        beta = np.zeros(m + len(words) + longest + 1)
+        goal_of = place[rows] + lengths + 1
+        beta = np.zeros(m + len(words) + 1)
         distance = ends - np.arange(m)
         order = np.argsort(distance, kind="stable")
         levels = np.searchsorted(distance[order], np.arange(1, distance.max(initial=0) + 2))
         for d in range(1, len(levels)):
             idx = order[levels[d - 1] : levels[d]]
-            w = min(d, longest)
-            at = place[idx]
-            terms = weight[idx, :w]
-            for n in range(w):
-                terms[:, n] += beta[at + n + 1]
-            top = terms.max(axis=1)
-            terms -= top[:, None]
-            beta[at] = top + np.log(np.exp(terms, out=terms).sum(axis=1))
+            edges = _ranges(node_first[idx], node_first[idx] + degree[idx])
+            terms = weight[edges] + beta[goal_of[edges]]
+            heads = np.cumsum(degree[idx]) - degree[idx]
+            top = np.maximum.reduceat(terms, heads)
+            beta[place[idx]] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, degree[idx])), heads))
 
-        # edges in the order of nodes, a node's longest piece, which is mostly its likeliest, first
-        rows, columns = np.nonzero(weight[:, ::-1] > -np.inf)
-        lengths = longest - 1 - columns
-        logs = weight[rows, lengths] + beta[place[rows] + lengths + 1] - beta[place[rows]]
+        logs = np.where(degree[rows] > 1, weight + beta[goal_of] - beta[place[rows]], 0.0)
         shares = np.exp(logs)
-        degree = np.bincount(rows, minlength=m)
-        node_first = np.cumsum(degree) - degree
         run = np.cumsum(shares)
         cum = run - (run - shares)[node_first[rows]]
         cum[node_first + degree - 1] = 1.0
         inner = np.concatenate([[0], np.cumsum(n_bytes - 1)])
         base, edge = self.nodes, self.edges
-        target, ids = base + place[rows] + lengths + 1, ident[rows, lengths]
+        target, ids = base + goal_of, ident
         tail = base + m + len(words)  # inner nodes of byte passages stand behind all words
         late_targets, late_ids = [], []
         if len(bare):
@@ -213,14 +239,12 @@ class Lattices:
         ends_at = word_at + sizes
         starts[ends_at] = np.where(np.cumsum(sizes) < m, edge + node_first[np.minimum(np.cumsum(sizes), m - 1)], edge + len(rows))
         firsts = np.concatenate([starts, edge + len(rows) + np.arange(n_late)])
-        with np.errstate(divide="ignore"):
-            rest = np.where(degree[rows] > 1, np.log1p(-np.minimum(shares, 1.0)), -np.inf)
         end_n, end_e = base + len(firsts), edge + len(rows) + n_late
         self.first = _grown(self.first, end_n + 1)
         self.first[base:end_n] = firsts
         self.first[end_n] = end_e
         none = np.zeros(n_late)
-        for name, values in zip(self.EDGE_ARRAYS, (np.r_[cum, none + 1], np.r_[logs, none], np.r_[rest, none - np.inf], np.r_[target, late_targets], np.r_[ids, late_ids])):
+        for name, values in zip(self.EDGE_ARRAYS, (np.r_[cum, none + 1], np.r_[logs, none], np.r_[target, late_targets], np.r_[ids, late_ids])):
             array = _grown(getattr(self, name), end_e)
             array[edge:end_e] = values
             setattr(self, name, array)
@@ -283,6 +307,12 @@ def _walk(lat: Lattices, nodes, words, steps, keys, in_row):
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4
 
 
+def _ranges(first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """All numbers of each range first .. past, one range behind the other."""
+    sizes = past - first
+    return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _truncated(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbels of the locations, given that they are at most `top`."""
     with np.errstate(over="ignore", divide="ignore"):
@@ -331,7 +361,8 @@ def sample_batch(lat: Lattices, texts: list[str | None], keys: list[int], k: int
         """Bounds of the regions that leave sample s at each of its own nodes."""
         f = found[s]
         g = np.full(len(f.rows), -np.inf)
-        location = f.before + lat.rest[f.edges]
+        with np.errstate(divide="ignore"):
+            location = f.before + np.log1p(-np.exp(np.minimum(lat.log[f.edges], 0.0)))
         own = np.flatnonzero((np.arange(len(g)) >= new_from[f.rows]) & (location > -np.inf))
         u = _uniform(stream(2, s)[f.rows[own]], in_row[f.words[own]], f.steps[own])
         g[own] = _truncated(location[own], values[s][f.rows[own]], u)
@@ -358,16 +389,18 @@ def sample_batch(lat: Lattices, texts: list[str | None], keys: list[int], k: int
         rows = np.flatnonzero(value > -np.inf)
         if not len(rows):
             break
-        pieces: list[tuple] = []
-        starts, s_words, s_steps, new_from = [], [], [], np.zeros(n, np.int64)
-        at_step, at_word = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        parts: list[list] = []
+        new_from, at_step, at_word = (np.zeros(n, np.int64) for _ in range(3))
         for o, f in enumerate(found):
             mine = rows[owner[rows] == o]
             at_step[mine], at_word[mine] = f.steps[place[mine]], f.words[place[mine]]
+            new_from[mine] = place[mine] - f.offsets[mine]
+            kept = _ranges(f.offsets[mine], place[mine])
+            parts.append([f.words[kept], f.steps[kept], f.nodes[kept], f.edges[kept]])
         pick_u = _uniform(stream(3, s), in_row[at_word], at_step).tolist()
         rest_u = _uniform(stream(4, s), in_row[at_word], at_step)
-        for r in rows.tolist():
-            o, b, w, step = int(owner[r]), int(place[r]), int(at_word[r]), int(at_step[r])
+        picks, nodes, left_over, before = [], [], [], []
+        for r, o, b in zip(rows.tolist(), owner[rows].tolist(), place[rows].tolist()):
             f = found[o]
             node = int(f.nodes[b])
             taken = used.setdefault((o, b), [int(f.edges[b])])
@@ -381,22 +414,23 @@ def sample_batch(lat: Lattices, texts: list[str | None], keys: list[int], k: int
                     break
                 u -= p
             taken.append(pick)
-            left = sum(p for e, p in zip(rest, shares) if e != pick)
-            location = f.before[b] + math.log(left) if left > 0 else -math.inf
-            bounds[o][b] = _truncated(np.array(location), value[r], rest_u[r])
-            begin = int(f.offsets[r])
-            kept = slice(begin, b)
-            pieces.append((f.words[kept], f.steps[kept], f.nodes[kept], f.edges[kept]))
-            pieces.append(tuple(np.array([x]) for x in (w, step, node, pick)))
-            last = int(word_first[r] + counts[r])
-            starts += (lat.target[pick : pick + 1].astype(np.int64), base[w + 1 : last])
-            s_words.append(every[w:last])
-            after = np.zeros(last - w, np.int64)
-            after[0] = step + 1
-            s_steps.append(after)
-            new_from[r] = b - begin
-        pieces.append(tuple(_walk(lat, np.concatenate(starts), np.concatenate(s_words), np.concatenate(s_steps), stream(1, s)[word_rows], in_row)))
-        found.append(_Found(lat, [np.concatenate(x) for x in zip(*pieces)], word_rows, n))
+            picks.append(pick)
+            nodes.append(node)
+            left_over.append(sum(p for e, p in zip(rest, shares) if e != pick))
+            before.append(f.before[b])
+        with np.errstate(divide="ignore"):
+            rests = _truncated(np.array(before) + np.log(np.array(left_over)), value[rows], rest_u[rows])
+        for o, g in enumerate(bounds):
+            mine = owner[rows] == o
+            g[place[rows[mine]]] = rests[mine]
+        w, step, edges = at_word[rows], at_step[rows], np.array(picks)
+        parts.append([w, step, np.array(nodes), edges])
+        last = word_first[rows] + counts[rows]
+        s_words = _ranges(w, last)
+        starts, s_steps, heads = base[s_words], np.zeros(len(s_words), np.int64), np.cumsum(last - w) - (last - w)
+        starts[heads], s_steps[heads] = lat.target[edges], step + 1
+        parts.append(_walk(lat, starts, s_words, s_steps, stream(1, s)[word_rows], in_row))
+        found.append(_Found(lat, [np.concatenate(x) for x in zip(*parts)], word_rows, n))
         values.append(np.where(value > -np.inf, value, np.nan))
         # the node that branched is shared with its owner, whose region goes on holding the rest
         bounds.append(open_regions(s, found[s].offsets[:-1] + new_from + 1))
@@ -413,15 +447,23 @@ def sample_batch(lat: Lattices, texts: list[str | None], keys: list[int], k: int
 SAMPLED = "doc_id long, sample int, n_pieces int, ids array<int>, log_prob double, gumbel double, inclusion double, round_trip boolean"
 
 
-def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, path: str | None = None) -> DataFrame:
-    """docs(doc_id, text) -> up to k rows of SAMPLED per document; round_trip says that decoding the ids gives the text."""
+def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, path: str | None = None, tell_copies: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> up to k rows of SAMPLED per document; round_trip says that decoding the ids gives the text.
+
+    With `tell_copies`, rows that follow a row of the same doc_id in their partition draw as further copies: their key takes their number.
+    """
     path = path or tokenizer_path()
     names = [c.split()[0] for c in SAMPLED.split(", ")]
 
     def run(batches):
         lat = load(path, theta)
+        last, copy = object(), 0
         for batch in batches:
             keys = [-1 if x is None else x for x in batch.column(0).to_pylist()]
+            if tell_copies:
+                for i, key in enumerate(keys):
+                    last, copy = key, copy + 1 if key == last else 0
+                    keys[i] = int(mix64(np.array([key ^ ((copy & 0x7FFF) << 48)], np.int64).view(np.uint64)).view(np.int64)[0]) if copy else key
             texts, begin, chars = [], 0, 0
             for i, text in enumerate(batch.column(1)):
                 texts.append(text.as_py() or "")
@@ -433,14 +475,25 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, th
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SAMPLED)
 
 
+def _round_trips(lat: Lattices, texts: list[str], ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row's ids decode to its text (white space in front, as the library puts it)."""
+    data, at = lat.pieces.decoded(ids, offsets)
+    wanted = [b" " + t.encode() if t else b"" for t in texts]
+    ends = np.cumsum([0, *map(len, wanted)])
+    if not np.array_equal(at, ends):
+        return np.array([data[at[i] : at[i + 1]].tobytes() == w for i, w in enumerate(wanted)])
+    bad = np.flatnonzero(data != np.frombuffer(b"".join(wanted), np.uint8))
+    good = np.ones(len(texts), bool)
+    good[np.searchsorted(ends, bad, side="right") - 1] = False
+    return good
+
+
 def _sampled_rows(lat: Lattices, texts, doc_ids, keys, k, seed, names):
-    raw = lat.pieces.decode
     for s in sample_batch(lat, texts, keys, k, seed):
         rows, offsets = s["rows"], s["offsets"]
         lengths = (offsets[1:] - offsets[:-1])[rows]
         ids = s["ids"]
-        listed = ids.tolist()
-        good = [raw(listed[offsets[r] : offsets[r + 1]]) == texts[r] for r in rows.tolist()]
+        good = _round_trips(lat, texts, ids, offsets)[rows]
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         columns = [
             doc_ids.take(pa.array(rows)),

@@ -158,3 +158,19 @@ def test_encoding_rows(spark):
     back = G.decode(G.sample_segmentations(docs, k=1).select("doc_id", "ids")).collect()
     assert all(r.text == (texts[r.doc_id] or "") for r in back)
     assert G.sample_segmentations(docs.limit(0)).count() == 0
+
+
+def test_copies_draw_apart(spark):
+    docs = spark.createDataFrame([(7, "some rather longer words of a text that has many segmentations " * 5)] * 3 + [(8, "other words")], "doc_id long, text string").coalesce(1)
+    rows = G.sample_segmentations(docs, k=2, tell_copies=True).collect()
+    assert len({tuple(r.ids) for r in rows if r.doc_id == 7}) > 2 and all(r.round_trip for r in rows)
+    plain = G.sample_segmentations(docs, k=2).collect()
+    assert len({tuple(r.ids) for r in plain if r.doc_id == 7}) == 2
+    assert {tuple(r.ids) for r in plain} <= {tuple(r.ids) for r in rows}
+
+
+def test_round_trips_are_checked():
+    lat = G.load(G.tokenizer_path(), 1.0)
+    ids, offsets = lat.piece[np.concatenate([[0], [0]])], np.array([0, 1, 2])
+    text = lat.pieces.decode([int(ids[0])])
+    assert G._round_trips(lat, [text, "x" * len(text)], ids, offsets).tolist()[1] is False
