@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sampled_segmentation.sample_segmentations(docs)
+    return sampled_segmentation.sample_segmentations(docs, tell_copies=True)
 
 
 STAGES = [
