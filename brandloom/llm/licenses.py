@@ -1,18 +1,23 @@
 """Licence scans in DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-1. Every line of a text is a possible header, and for templates longer than COLUMNS so are up to WRAPPED lines joined, since notices are wrapped. Lines that cannot reach the similarity are skipped without loss: for each template its
-   heaviest tokens are set apart until the rest has less than `threshold` of its norm; by Cauchy-Schwarz a line without any of those
-   tokens stays below the threshold. The union of these tokens is one pattern, tested on each whole text, then on each line. Texts and lines that hold too little of every template's norm go by the same inequality.
-2. Lines left become sparse vectors: log-scaled counts times inverse document frequency. Frequencies of the templates' tokens are
-   counted over all documents; a token outside all templates weighs as one that occurs in a single document. Cosine by a join
-   on tokens with the templates, a table of fixed size.
-3. A file's own licence is that of its best line or joined lines (the first one's number is given), at or above the threshold (ties: template name). A licence file is one whose name says so
-   (LICENSE, COPYING, ...) or whose whole text is at or above the threshold; it gives its licence to its directory.
-4. A file without a licence of its own inherits from its nearest ancestor directory that has one: distinct directories are
+1. Frequencies of the templates' tokens are counted over all documents; a token outside all templates weighs as one that
+   occurs in a single document. Weights are log-scaled counts times inverse document frequency.
+2. Texts that cannot reach the similarity are left out without loss: by Cauchy-Schwarz, no part of a text without `threshold` of
+   some template's norm among its tokens can. This is decided within the row, from the tokens that the text shares with the templates.
+3. In the texts left, headers are up to WRAPPED neighbouring lines, since notices are wrapped: all runs that begin and end at a line with
+   a needed token. (For each template its heaviest tokens are needed, until the rest has less than `threshold` of its norm.) Licence files
+   are whole texts; those that have too many other tokens for any cosine above the threshold are left out without loss, too.
+   Headers and files become sparse vectors, equal ones once; their cosine to the templates is a join on tokens with a table of fixed size.
+4. A file's own licence is that of its best header (its first line's number is given), at or above the threshold (ties: template name).
+   A licence file is one whose name says so (LICENSE, COPYING, ...) or whose whole text is at or above the threshold; it gives its licence to its directory.
+5. A file without a licence of its own inherits from its nearest ancestor directory that has one: distinct directories are
    expanded to their ancestors and joined with licensed directories by path; the deepest wins, and files look up their directory.
 
+No text is moved or written but headers and short whole texts that pass the bounds.
+
 Defined cases: null and empty texts have no licence of their own but may inherit; a null path has no directory; several licence files in one directory:
-highest similarity, then template name; equal rows get equal results; empty tables give empty results. Extra columns are ignored.
+highest similarity, then template name; equal rows get equal results; rows that share doc_id and path count as one file, with its best header; empty tables
+give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,37 +25,52 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
+from ..functions.text import let
+from ..session import cut, write_down
 
 THRESHOLD = 0.6
-#: Templates longer than a line of so many columns are compared with up to so many lines joined, too.
-COLUMNS, WRAPPED = 72, 12
+#: Lines in a header, at most.
+WRAPPED = 12
 LICENCE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice"
 
 #: Notices and headers of public licences, by SPDX identifier; several forms of one licence are templates of their own.
 TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT license. See LICENSE in the project root for license information."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT license. See LICENSE in the project root for license information."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 )
 
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -89,7 +109,7 @@ def template_vectors(idf: dict[str, float]) -> list[dict[str, float]]:
 
 
 def needed_tokens(vectors: list[dict[str, float]], threshold: float) -> list[str]:
-    """Tokens of which a line must have one to reach the threshold with any template."""
+    """Tokens of which a header must have one to reach the threshold with any template."""
     needed: set[str] = set()
     for vector in vectors:
         rest = 1.0
@@ -101,19 +121,64 @@ def needed_tokens(vectors: list[dict[str, float]], threshold: float) -> list[str
     return sorted(needed)
 
 
-def _can_reach(text: Column, vectors: list[dict[str, float]], chosen: list[int], threshold: float) -> Column:
-    """The template's tokens in the text have `threshold` of its norm; by Cauchy-Schwarz neither the text nor a part of it reaches the threshold otherwise."""
-    known = F.array(*[F.lit(t) for t in sorted({t for i in chosen for t in vectors[i]})])
-    present = F.array_intersect(tokens(text), known)
-    squares = F.array(*[F.create_map(*[F.lit(x) for t, v in sorted(vectors[i].items()) for x in (t, v * v)]) for i in chosen])
-    total = lambda m: F.aggregate(present, F.lit(0.0), lambda acc, t: acc + F.coalesce(m[t], F.lit(0.0)))
-    return F.exists(squares, lambda m: total(m) >= threshold * threshold - 1e-9)
+def _words(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
-def _similarities(parts: DataFrame, keys: list[str], vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float, chosen: list[int] | None = None) -> DataFrame:
+def _shares(vectors: list[dict[str, float]]) -> tuple[Column, Column]:
+    """Maps token -> squared weight: the greatest one in any template, and one map for each template."""
+    most: dict[str, float] = {}
+    for vector in vectors:
+        for t, v in vector.items():
+            most[t] = max(most.get(t, 0.0), v * v)
+    listed = lambda shares: F.create_map(*[F.lit(x) for item in sorted(shares.items()) for x in item])
+    return listed(most), F.array(*[listed({t: v * v for t, v in vector.items()}) for vector in vectors])
+
+
+def _can_reach(present: Column, vectors: list[dict[str, float]], threshold: float) -> Column:
+    """Some template has `threshold` of its norm among the tokens; the sum of greatest shares rules most texts out at once."""
+    most, each = _shares(vectors)
+    total = lambda tokens, shares: F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + F.coalesce(shares[t], F.lit(0.0)))
+    least = threshold * threshold - 1e-9
+    return let(present, lambda p: (total(p, most) >= least) & F.exists(each, lambda m: total(p, m) >= least))
+
+
+def _can_be_licence(text: Column, vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float) -> Column:
+    """The known tokens' weight, at most, against the others', at least: the cosine of the whole text is no greater than the known part of its norm."""
+    known = _words(sorted({t for v in vectors for t in v}))
+    squares = F.create_map(*[F.lit(x) for t, w in sorted(idf.items()) for x in (t, w * w)])
+
+    def bound(found: Column) -> Column:
+        scale = F.pow(1 + F.log(F.size(found).cast("double")), F.lit(2.0))
+        inside = F.aggregate(F.array_intersect(found, known), F.lit(0.0), lambda acc, t: acc + squares[t]) * scale
+        outside = F.size(F.array_except(found, known)) * F.lit(other * other)
+        return (F.size(found) > 0) & (inside >= F.lit(threshold * threshold) * (inside + outside))
+
+    return let(tokens(text), bound)
+
+
+def _parts(text: Column, needed: list[str], whole: Column) -> Column:
+    """The headers of a text as (line, part), and with line -1 the whole text where it may be a licence file."""
+    wanted = _words(needed)
+
+    def runs(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda line, i: F.when(F.arrays_overlap(tokens(line), wanted), i)), lambda i: i.isNotNull())
+
+        def headers(at: Column) -> Column:
+            ends = lambda a, k: F.filter(F.slice(at, k + 1, WRAPPED), lambda b: b < a + WRAPPED)
+            part = lambda a, b: F.struct(a.alias("line"), F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("part"))
+            return F.flatten(F.transform(at, lambda a, k: F.transform(ends(a, k), lambda b: part(a, b))))
+
+        return let(places, headers)
+
+    found = let(F.split(text, r"[\r\n]+"), runs)
+    return F.concat(found, F.when(whole, F.array(F.struct(F.lit(-1).alias("line"), text.alias("part")))).otherwise(F.slice(found, 1, 0)))
+
+
+def _similarities(parts: DataFrame, keys: list[str], vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float) -> DataFrame:
     """parts(keys, part text) -> keys, license, similarity: the best template of each part that reaches the threshold."""
     spark = parts.sparkSession
-    rows = [(i, TEMPLATES[i][0], t, v, idf[t]) for i, vector in enumerate(vectors) if chosen is None or i in chosen for t, v in sorted(vector.items())]
+    rows = [(i, TEMPLATES[i][0], t, v, idf[t]) for i, vector in enumerate(vectors) for t, v in sorted(vector.items())]
     table = spark.createDataFrame(rows, "template int, license string, token string, share double, idf double")
     # a few hundred rows, whatever the corpus
     terms = F.broadcast(table.groupBy("token").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "share")).alias("uses")))
@@ -129,52 +194,36 @@ def _similarities(parts: DataFrame, keys: list[str], vectors: list[dict[str, flo
     return scored.groupBy(*keys).agg(best).select(*keys, F.col("best.license").alias("license"), (-F.col("best.s")).alias("similarity"))
 
 
-def _has_one(text: Column, needed: list[str]) -> Column:
-    """Some needed token occurs in the text, as a word or within one; tokens that hold another needed one need no test."""
-    least = [t for t in needed if not any(o != t and o in t for o in needed)]
-    return reduce(lambda a, b: a | b, [F.lower(text).contains(t) for t in least])
-
-
 def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """files(doc_id, path, text) -> doc_id, path, license, similarity, line, inherited, licensed_by, effective; one row per row."""
     files = files.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     vocabulary = sorted({t for c in _template_counts() for t in c})
     idf, other = weigh(*document_frequencies(files, vocabulary))
     vectors = template_vectors(idf)
-    needed = needed_tokens(vectors, threshold)
-    every = list(range(len(vectors)))
-    # the number tells equal rows apart; it is written down, so that it stays the same
-    hopeful = cut(files.filter(_has_one(F.col("text"), needed)).filter(_can_reach(F.col("text"), vectors, every, threshold)).withColumn("file", F.monotonically_increasing_id()))
-    lines = hopeful.select("file", "doc_id", "path", F.posexplode(F.split("text", r"[\r\n]+")).alias("line", "part"))
-    # notices longer than a line are wrapped, so lines are also joined with those that follow
-    wrapped = [i for i in every if len(TEMPLATES[i][1]) > COLUMNS]
-    after = Window.partitionBy("file").orderBy("line")
-    ahead = lines.select("doc_id", "path", "line", F.array("part", *[F.lead("part", k).over(after) for k in range(1, WRAPPED)]).alias("next"))
-    joined = ahead.select("doc_id", "path", "line", "next", F.explode(F.sequence(F.lit(2), F.lit(WRAPPED))).alias("n")).filter(F.col("next")[F.col("n") - 1].isNotNull())
-    joined = joined.select("doc_id", "path", "line", F.array_join(F.slice("next", 1, F.col("n")), "\n").alias("part"))
-
-    def scored(parts: DataFrame, chosen: list[int]) -> DataFrame:
-        parts = cut(parts.filter(_has_one(F.col("part"), needed)).filter(_can_reach(F.col("part"), vectors, chosen, threshold)).withColumn("digest", F.sha2(F.col("part").cast("binary"), 256)))
-        # equal parts are scored once
-        by_part = _similarities(parts.select("digest", "part").distinct(), ["digest"], vectors, idf, other, threshold, chosen)
-        return parts.join(by_part, "digest").select("doc_id", "path", "line", "license", "similarity")
-
-    found = scored(lines.drop("file"), every).unionByName(scored(joined, wrapped))
+    known = _words(vocabulary)
+    reaching = lambda text: _can_reach(F.array_intersect(tokens(text), known), vectors, threshold)
+    whole = _can_be_licence(F.col("text"), vectors, idf, other, threshold)
+    hopeful = files.filter(reaching(F.col("text"))).select("doc_id", "path", F.explode(_parts(F.col("text"), needed_tokens(vectors, threshold), whole)).alias("p"))
+    parts = hopeful.select("doc_id", "path", "p.line", "p.part").filter(reaching(F.col("part"))).withColumn("digest", F.sha2(F.col("part").cast("binary"), 256))
+    parts = write_down(parts)
+    # equal parts are scored once; written down, so that adaptive execution may split a frequent one
+    by_part = cut(_similarities(parts.select("digest", "part").distinct(), ["digest"], vectors, idf, other, threshold))
+    found = parts.select("doc_id", "path", "line", "digest").join(by_part, "digest")
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b")
-    own = found.groupBy("doc_id", "path").agg(best).select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), F.col("b.line").alias("line"))
+    own = cut(found.filter("line >= 0").groupBy("doc_id", "path").agg(best).select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), F.col("b.line").alias("line")))
 
     name = F.element_at(F.split("path", "/"), -1)
-    whole = _similarities(hopeful.select("doc_id", "path", F.col("text").alias("part")), ["doc_id", "path"], vectors, idf, other, threshold)
-    named = own.filter(name.rlike(LICENCE_NAME)).select("doc_id", "path", "license", "similarity")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
-    given = named.unionByName(whole.select("doc_id", "path", "license", "similarity")).filter(F.col("path").isNotNull()).groupBy(directory.alias("licensed_dir"))
+    given = own.filter(name.rlike(LICENCE_NAME)).select("path", "license", "similarity").unionByName(found.filter("line < 0").select("path", "license", "similarity"))
+    given = given.filter(F.col("path").isNotNull()).groupBy(directory.alias("licensed_dir"))
     licensed = given.agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"))).alias("b")).select("licensed_dir", F.col("b.license").alias("dir_license"))
 
     directories = files.select(directory.alias("dir")).filter("dir is not null").distinct()
-    steps = F.split("dir", "/")
-    ancestors = directories.select("dir", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(steps)))).alias("depth")).withColumn("licensed_dir", F.array_join(F.slice(F.split("dir", "/"), 1, F.col("depth")), "/"))
+    depths = F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))))
+    ancestors = directories.select("dir", F.explode(depths).alias("depth")).withColumn("licensed_dir", F.array_join(F.slice(F.split("dir", "/"), 1, F.col("depth")), "/"))
     nearest = ancestors.join(licensed, "licensed_dir").groupBy("dir").agg(F.max_by(F.struct("licensed_dir", "dir_license"), "depth").alias("n"))
-    nearest = nearest.select("dir", F.col("n.licensed_dir").alias("licensed_by"), F.col("n.dir_license").alias("dir_license"))
+    # written down, so that adaptive execution may split a directory with many files
+    nearest = cut(nearest.select("dir", F.col("n.licensed_dir").alias("licensed_by"), F.col("n.dir_license").alias("dir_license")))
 
     keyed = files.select("doc_id", "path", directory.alias("dir"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("path").alias("_path"), "license", "similarity", "line")

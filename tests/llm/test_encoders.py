@@ -171,6 +171,8 @@ def test_copies_draw_apart(spark):
 
 def test_round_trips_are_checked():
     lat = G.load(G.tokenizer_path(), 1.0)
-    ids, offsets = lat.piece[np.concatenate([[0], [0]])], np.array([0, 1, 2])
-    text = lat.pieces.decode([int(ids[0])])
-    assert G._round_trips(lat, [text, "x" * len(text)], ids, offsets).tolist()[1] is False
+    texts = ["some words", "other", "", "end"]
+    for s in G.sample_batch(lat, texts, [1, 2, 3, 4], 2, 5):
+        assert G._round_trips(lat, texts, s["ids"], s["offsets"])[s["rows"]].all()
+        for wrong in (["some wordz", *texts[1:]], ["some word", *texts[1:]]):
+            assert G._round_trips(lat, wrong, s["ids"], s["offsets"])[:2].tolist() == [False, 1 in s["rows"]]

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -61,7 +62,7 @@ def test_label_model_weighs_copies_of_a_voter_down():
 
 
 def _brute(files, threshold=L.THRESHOLD):
-    """Best template of each line by dense cosine."""
+    """Best template of each run of lines between lines with a needed token, by dense cosine."""
     tok = lambda s: re.findall(L._TOKEN, s.lower())
     templates = [(n, Counter(tok(t))) for n, t in L.TEMPLATES]
     vocabulary = {t for _, c in templates for t in c}
@@ -72,10 +73,13 @@ def _brute(files, threshold=L.THRESHOLD):
     vector = lambda c: {t: (1 + math.log(k)) * idf.get(t, other) for t, k in c.items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
     out = {}
+    unit = lambda v: {t: x / size(v) for t, x in v.items()}
+    needed = set(L.needed_tokens([unit(vector(c)) for _, c in templates], threshold))
     for i, _, text in files:
-        best = []
-        for k, line in enumerate(re.split(r"[\r\n]+", text or "")):
-            v = vector(Counter(tok(line)))
+        best, lines = [], re.split(r"[\r\n]+", text or "")
+        ends = [k for k, line in enumerate(lines) if needed & set(tok(line))]
+        for k, last in ((a, b) for a in ends for b in ends if a <= b < a + L.WRAPPED):
+            v = vector(Counter(tok("\n".join(lines[k : last + 1]))))
             for name, c in templates:
                 w = vector(c)
                 s = round(sum(v[t] * w[t] for t in v if t in w) / (size(v) * size(w)), 6) if v else 0
@@ -106,14 +110,36 @@ def test_repeated_files(spark):
     assert [(r.license, r.line) for r in L.scan_licenses(frame).collect()] == [("CC-BY-NC-4.0", 0)] * 2
 
 
-def test_wrapped_notices(spark):
-    import textwrap
+def _wrapped(text, mark="", width=60):
+    return "\n".join(textwrap.wrap(text, width, initial_indent=mark, subsequent_indent=mark))
+
 
-    texts = {k: next(t for n, t in L.TEMPLATES if n == k and start in t) for k, start in (("MIT", "Permission"), ("BSD-3-Clause", "Redistribution"), ("GPL-3.0", "This program"))}
-    wrap = lambda t, mark: "\n".join(textwrap.wrap(t, 60, initial_indent=mark, subsequent_indent=mark))
-    files = [(k, f"s{k}/f.c", "int before;\n" + wrap(t, " * ") + "\nint after;") for k, t in enumerate(texts.values())]
-    files += [(10, "g/COPYING", wrap(texts["GPL-3.0"], "")), (11, "g/d/x.c", "code")]
-    files += [(100 + k, f"z/{k}.c", "other words") for k in range(50)]
+def test_wrapped_notices(spark):
+    """Every template, wrapped in a comment between code, is found as itself, on its first line."""
+    files = [(k, f"s{k}/f.c", "int before;\n" + _wrapped(text, " * ", 90) + "\nint after;") for k, (_, text) in enumerate(L.TEMPLATES)]
+    gpl = next(text for name, text in L.TEMPLATES if name == "GPL-3.0" and text.startswith("This program"))
+    files += [(1000, "g/COPYING", _wrapped(gpl)), (1001, "g/d/x.c", "code"), (1002, "m/notes.txt", _wrapped(gpl, "# ")), (1003, "m/x.c", "code"), (1004, "w/long.txt", "words " * 3000 + gpl), (1005, "w/x.c", "code")]
+    files += [(2000 + k, f"z/{k}.c", "other words") for k in range(200)]
     got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
-    assert [(got[k].license, got[k].line) for k in range(3)] == [(name, 1) for name in texts] and got[11].effective == "GPL-3.0"
-    assert all(got[k].similarity > 0.99 for k in (0, 1, 2, 10))
+    assert [(got[k].license, got[k].line) for k in range(len(L.TEMPLATES))] == [(name, 1) for name, _ in L.TEMPLATES]
+    assert all(got[k].similarity > 0.99 for k in (*range(len(L.TEMPLATES)), 1000, 1002))
+    assert [(got[k].effective, got[k].licensed_by) for k in (1001, 1003, 1005)] == [("GPL-3.0", "g"), ("GPL-3.0", "m"), (None, None)]
+
+
+def test_whole_files_within_the_bound(spark):
+    """Texts of licence files mixed with other words: those with a cosine above the threshold give their licence to their directory."""
+    rng, mit = random.Random(4), next(text for name, text in L.TEMPLATES if name == "MIT" and "sublicense" in text)
+    files = [(k, f"d{k}/readme", mit + "\n" + " ".join(f"x{rng.randrange(10**6)}" for _ in range(4 * k))) for k in range(30)] + [(100 + k, f"d{k}/code.c", "code") for k in range(30)]
+    files += [(200 + k, "z.c", "other words") for k in range(100)]
+    got = {r.doc_id: r.effective for r in L.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    tok = lambda s: Counter(re.findall(L._TOKEN, s.lower()))
+    df, n = Counter(t for _, _, text in files for t in tok(text)), len(files)
+    vocabulary = {t for _, text in L.TEMPLATES for t in tok(text)}
+    weight = lambda t: math.log((1 + n) / (1 + (df[t] if t in vocabulary else 1))) + 1
+    vector = lambda c: {t: (1 + math.log(k)) * weight(t) for t, k in c.items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for k, _, text in files[:30]:
+        v = vector(tok(text))
+        want[100 + k] = any(sum(v.get(t, 0) * x for t, x in w.items()) / size(v) / size(w) >= L.THRESHOLD for w in (vector(tok(t)) for _, t in L.TEMPLATES))
+    assert {k: got[k] is not None for k in want} == want and 0 < sum(want.values()) < 30
