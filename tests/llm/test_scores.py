@@ -48,17 +48,45 @@ def test_scores_of_odd_rows(spark):
     assert T.score(odd.limit(0), T.train(odd.limit(0), none)).count() == 0
 
 
-def test_label_model_weighs_copies_of_a_voter_down():
+def test_wrong_labels_are_overruled(spark):
+    """Labels choose the voters only: posteriors follow the votes where a label is wrong."""
+    docs, labels = _labelled(3000, seed=4)
+    rng, truth = random.Random(5), dict(labels)
+    given = [(i, 1 - y if rng.random() < 0.04 else y) for i, y in labels]
+    wrong = {(i, y) for i, y in given if y != truth[i] and zlib.crc32(str(i).encode()) % 5}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = T.train(d, spark.createDataFrame(given, "doc_id long, toxic int"))
+    assert model["overruled"]["to_clean"] >= 0.9 * sum(y for _, y in wrong) and model["overruled"]["to_toxic"] >= 0.8 * sum(1 - y for _, y in wrong)
+    assert model["overruled"]["to_clean"] + model["overruled"]["to_toxic"] < 1.5 * len(wrong)
+    got = {r.doc_id: r.predicted for r in T.score(d, model).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == truth[i] for i in held]) > 0.97
+    caught = [got[i] for i in held if truth[i]]
+    assert np.mean(caught) > 0.9
+
+
+def test_label_model_sees_votes_only():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    alone = lambda hit, false: np.where(y, rng.random(4000) < hit, rng.random(4000) < false)
-    twice = alone(0.5, 0.05)
-    votes = np.stack([alone(0.6, 0.02), alone(0.4, 0.01), twice, twice, twice], axis=1)
-    noisy = y ^ (rng.random(4000) < 0.05)
-    post, rates, weight = T.label_model(votes, noisy)
-    assert weight[0] > 0.7 and weight[2] < 0.5
-    assert abs(rates[0, 0] - 0.6) < 0.15 and abs(rates[1, 0] - 0.02) < 0.03
-    assert ((post > 0.5) == y).mean() > 0.93
+    y = rng.random(6000) < 0.15
+    alone = lambda hit, false: np.where(y, rng.random(6000) < hit, rng.random(6000) < false)
+    first = alone(0.5, 0.01)
+    copies = [first & (rng.random(6000) < 0.9) for _ in range(3)]
+    votes = np.stack([alone(0.6, 0.02), alone(0.55, 0.01), alone(0.5, 0.02), first, *copies], axis=1)
+    post, rates, parent, vocabulary = T.label_model(votes)
+    assert len(set(vocabulary.tolist())) == 1 and all(k in parent[4:] or parent[k] >= 3 for k in (3, 4, 5, 6) if parent[k] >= 0)
+    assert abs(rates[0, 0] - 0.6) < 0.15 and rates[1, 0] < 0.05
+    assert ((post > 0.5) == y).mean() > 0.95
+
+
+def test_vocabularies_have_classes_of_their_own():
+    """Words of two languages never go together; each language's toxic texts are found all the same."""
+    rng = np.random.default_rng(1)
+    y, second = rng.random(6000) < 0.15, rng.random(6000) < 0.3
+    votes = np.stack([np.where(y & (second == (k > 2)), rng.random(6000) < 0.7, rng.random(6000) < 0.003) for k in range(6)], axis=1)
+    post, rates, _, vocabulary = T.label_model(votes)
+    assert vocabulary.tolist() == [0, 0, 0, 1, 1, 1]
+    assert all(((post > 0.5) == y)[second == side].mean() > 0.97 for side in (False, True))
+    assert T.label_model(np.zeros((5, 0), bool))[0].tolist() == [0.0] * 5
 
 
 def _brute(files, threshold=L.THRESHOLD):
