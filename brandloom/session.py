@@ -53,6 +53,13 @@ def write_down(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let tasks trade texts with Python in batches of 4 MB instead of 64, which every task holds several times; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, "4194304b")
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder in whatever store it lies."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
