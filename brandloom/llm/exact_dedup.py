@@ -4,17 +4,18 @@ History (digests seen before, with the row that won each) is cut into shards of
 Each shard gets a minimal perfect hash: keys fall into small buckets, and every bucket stores the first pilot number
 that sends its keys to free slots, so n keys fill exactly n slots. A slot holds the full 32-byte digest and the
 locator of the winner. A lookup computes the slot and compares all 32 bytes: equal means a repeat of a known text,
-anything else is a new text. New texts are then grouped among themselves. Only distinct digests travel to the shards,
-so a text with a million copies is one lookup; shards are uniform because digests are.
+anything else is a new text. Members count for their slot's winner; nonmembers are groups of their own. Only distinct digests travel to the shards,
+so a text with a million copies is one lookup; shards are uniform because digests are. Rows find their group by a join of written tables, whose hot
+digests adaptive execution splits.
 
 Defined cases: null text counts as empty; rows with equal text and equal doc_id count separately, and one of them is
-kept; a null doc_id sorts after all others; an empty table gives an empty result. Extra columns are ignored.
+kept; a null doc_id sorts after all others; an index of repeated digests is refused; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
@@ -54,6 +55,8 @@ def build_mph(digests: bytes, locators: bytes) -> tuple[int, bytes, bytes, bytes
     n = len(keys)
     if n == 0:
         return 0, b"", b"", b""
+    if len(np.unique(np.ascontiguousarray(keys).view(f"V{DIGEST}"))) < n:
+        raise ValueError("a digest occurs twice: no perfect hash has two slots for it")
     high, low = _halves(np.ascontiguousarray(keys))
     buckets = n // BUCKET_KEYS + 1
     bucket = (high % np.uint64(buckets)).astype(np.int64)
@@ -110,29 +113,32 @@ def winners(rows: DataFrame) -> DataFrame:
 def build_index(history: DataFrame, shards: int) -> DataFrame:
     """history(digest binary, doc_id, row; distinct digests) -> one row per shard, INDEX_SCHEMA."""
 
-    def one(key, pdf):
-        places = pdf[["doc_id", "row"]].to_numpy(np.int64).tobytes()
-        n, pilots, digests, locators = build_mph(b"".join(pdf["digest"]), places)
-        return pd.DataFrame([(key[0], n, pilots, digests, locators)], columns=["shard", "n", "pilots", "digests", "locators"])
+    def one(key, table):
+        places = np.stack([table.column(c).to_numpy() for c in ("doc_id", "row")], axis=1)
+        n, pilots, digests, locators = build_mph(b"".join(table.column("digest").to_pylist()), places.tobytes())
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        names = ("shard", "n", "pilots", "digests", "locators")
+        return pa.table({name: pa.array([value], kind) for name, kind, value in zip(names, kinds, (key[0].as_py(), n, pilots, digests, locators))})
 
-    return history.select(_shard(shards).alias("shard"), "digest", "doc_id", "row").groupBy("shard").applyInPandas(one, INDEX_SCHEMA)
+    return history.select(_shard(shards).alias("shard"), "digest", "doc_id", "row").groupBy("shard").applyInArrow(one, INDEX_SCHEMA)
 
 
 def lookup(index: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """asked(digest, doc_id, row, n; distinct) -> the same with the historical winner where the digest is a member."""
-
-    def one(key, found, pdf):
-        out = pdf[["digest", "doc_id", "row", "n"]].reset_index(drop=True)
-        if len(found) and len(out):
-            ix = found.iloc[0]
-            slot = lookup_mph(int(ix["n"]), ix["pilots"], ix["digests"], b"".join(out["digest"]))
-            places = np.frombuffer(ix["locators"], np.int64).reshape(-1, 2)
-            hit = slot >= 0
-            out.loc[hit, ["doc_id", "row"]] = places[slot[hit]]
-        return out
+    """asked(digest, doc_id, row, n; distinct) -> the same and `member`; a member's doc_id and row are the historical winner's."""
+
+    def one(key, found, table):
+        digests = table.column("digest").to_pylist()
+        places = np.stack([table.column(c).to_numpy() for c in ("doc_id", "row")], axis=1)
+        member = np.zeros(len(digests), bool)
+        if found.num_rows:
+            ix = found.to_pylist()[0]
+            slot = lookup_mph(ix["n"], ix["pilots"], ix["digests"], b"".join(digests))
+            member = slot >= 0
+            places[member] = np.frombuffer(ix["locators"], np.int64).reshape(-1, 2)[slot[member]]
+        return pa.table({"digest": pa.array(digests, pa.binary()), "doc_id": places[:, 0], "row": places[:, 1], "n": table.column("n"), "member": pa.array(member)})
 
     asked = asked.select(_shard(shards).alias("shard"), "digest", "doc_id", "row", "n")
-    return index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(one, "digest binary, doc_id long, row long, n long")
+    return index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(one, "digest binary, doc_id long, row long, n long, member boolean")
 
 
 def digests_of(docs: DataFrame) -> DataFrame:
@@ -149,11 +155,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = digests_of(docs)
     middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
     old = F.coalesce(F.col("doc_id") <= F.lit(middle if middle is not None else 0), F.lit(False))
-    history, arriving = cut(winners(rows.filter(old))), winners(rows.filter(~old))
-    shards = max(64, -(-history.count() // SHARD_KEYS))
-    looked = lookup(build_index(history, shards), arriving, shards)
-    groups = winners_of_groups(history.select("digest", "doc_id", "row", "n").unionByName(looked))
-    joined = rows.join(groups, "digest")
+    history, arriving = cut(winners(rows.filter(old))), cut(winners(rows.filter(~old)))
+    shards = max(64, -(-max(history.count(), arriving.count()) // SHARD_KEYS))
+    looked = cut(lookup(build_index(history, shards), arriving, shards))
+    # written down, so that adaptive execution may split a hot digest of the join
+    joined = rows.join(cut(groups_of(history, looked)), "digest")
     return joined.select(
         "doc_id",
         F.when(F.col("keep_doc") != F.lit(int(_MAX)), F.col("keep_doc")).alias("keep_id"),
@@ -163,8 +169,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def winners_of_groups(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("w"), F.sum("n").alias("group_size")).select("digest", F.col("w.doc_id").alias("keep_doc"), F.col("w.row").alias("keep_row"), "group_size")
+def groups_of(history: DataFrame, looked: DataFrame) -> DataFrame:
+    """digest, keep_doc, keep_row, group_size: the lookup decides. Members add to the winner that their locator names; each other digest is a group."""
+    named = lambda size: [F.col("digest"), F.col("doc_id").alias("keep_doc"), F.col("row").alias("keep_row"), size.alias("group_size")]
+    hits = looked.filter("member").select("row", F.col("n").alias("more"))
+    known = history.join(hits, "row", "left").select(*named(F.col("n") + F.coalesce("more", F.lit(0))))
+    return known.unionByName(looked.filter("not member").select(*named(F.col("n"))))
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:

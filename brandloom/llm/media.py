@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import small_batches
+
 SAMPLE = 576
 RATE = 48_000
 #: Every so many samples one is marked as a keyframe.
@@ -211,6 +213,7 @@ def _stored_row(doc_id, text: bytes | None) -> tuple:
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> what is read back from each stored file; columns of STORED."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _RANGES)

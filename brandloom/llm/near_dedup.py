@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, small_batches
 from .shingles import mix64, shingle_set, shingle_sets
 
 BANDS, ROWS = 40, 4
@@ -306,6 +306,7 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def _components_of(docs: DataFrame) -> DataFrame:
     """near_components with text_hash."""
+    small_batches(docs.sparkSession)
     sketched = cut(sketches(docs))
     grouped = sketched.filter("n_shingles > 0").groupBy("set_id").agg(F.min(_place()).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     # classes are linked by a number of their own, for a doc_id may stand on several texts

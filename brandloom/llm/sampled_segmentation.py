@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import small_batches
 from .shingles import mix64
 
 MODEL = "piece_bpe_32k.model"
@@ -452,6 +453,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, th
 
     With `tell_copies`, rows that follow a row of the same doc_id in their partition draw as further copies: their key takes their number.
     """
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path()
     names = [c.split()[0] for c in SAMPLED.split(", ")]
 

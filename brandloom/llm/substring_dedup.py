@@ -27,12 +27,11 @@ set; empty tables give empty results. Extra columns are ignored. A text is held
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import write_down
+from ..session import small_batches, write_down
 from .shingles import mix64, word_spans
 
 #: Bytes in the gear hash; words in a window; bytes from which a word is cut inside.
@@ -188,6 +187,7 @@ def _changed(column: str, over) -> Column:
 
 def _spans(rows: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """docs with row -> row and the columns of repeated_spans."""
+    small_batches(rows.sparkSession)
     every = write_down(chunks(rows))
     counted = every.groupBy("high", "low").agg(F.min("row").alias("home"), F.max("row").alias("far"), F.count("*").alias("n"))
     # written down, so that adaptive execution may split a hot digest of the join
@@ -230,9 +230,9 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     spans = _spans(rows, **options).filter(~F.col("is_first"))
     gone = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
 
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, ranges in zip(texts, spans):
+        for text, ranges in zip(texts.to_pylist(), spans.to_pylist()):
             if text is not None and ranges is not None:
                 data, kept, last = text.encode(), [], 0
                 for a, b in ((r["start_byte"], r["end_byte"]) for r in ranges):
@@ -240,9 +240,9 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                     last = b
                 text = b"".join((*kept, data[last:])).decode("utf-8", "ignore")
             out.append(text)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    removed = F.pandas_udf(cut, "string")
+    removed = F.arrow_udf(without, "string")
     joined = rows.join(gone, "row", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(removed("text", "_spans")))
     joined = joined.drop("row").withColumnRenamed("_own_row", "row") if "row" in docs.columns else joined
     return joined.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)

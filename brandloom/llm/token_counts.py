@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import small_batches
+
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 CHUNK = 100_000
@@ -98,6 +100,7 @@ def encode_spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVER
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit."""
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path()
 
     def run(batches):

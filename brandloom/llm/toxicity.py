@@ -29,10 +29,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import small_batches
+
 #: Labelled rows to learn from, at most (in expectation; drawn by hash).
 MAX_TRAIN = 12_000
 #: Features of the classifier and voters of the label model.
@@ -255,6 +256,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> dict:
     """The fitted scorer: {"weights": {feature: weight}, "bias": b}, plus the label model's estimates and how many labels it overruled."""
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, bound).persist()
     try:
         sizes = dict(rows.groupBy((F.col("toxic") > 0).alias("t")).count().collect())
@@ -324,6 +326,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             scores = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     return wanted.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -334,9 +337,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = sorted(model["weights"])
     weights, bias = np.array([model["weights"][f] for f in names]), model["bias"]
 
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         carried = _WordWeights({f: i for i, f in enumerate(names)})
         for texts in batches:
-            yield pd.Series([_logit(text, carried, weights, bias) >= 0 for text in texts], dtype=bool)
+            yield pa.array([_logit(text.as_py(), carried, weights, bias) >= 0 for text in texts], pa.bool_())
 
-    return docs.filter(~F.pandas_udf(toxic, "boolean")(F.col("text")))
+    small_batches(docs.sparkSession)
+    return docs.filter(~F.arrow_udf(toxic, "boolean")(F.col("text")))

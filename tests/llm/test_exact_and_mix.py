@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brandloom.llm import exact_dedup as E, mixing as M
 
@@ -30,6 +31,20 @@ def test_perfect_hash(n):
         assert (E.lookup_mph(size, pilots, digests, hashlib.sha256(b"other").digest() * 3) == -1).all()
 
 
+def test_repeated_digests_are_refused():
+    with pytest.raises(ValueError, match="twice"):
+        E.build_mph(hashlib.sha256(b"a").digest() * 2, bytes(2 * E.LOCATOR))
+
+
+def test_the_lookup_decides(spark):
+    rows = [(i, f"text {i % 5}", "s") for i in range(20)]
+    assert {r.group_size for r in E.exact_dedup(_frame(spark, rows)).collect()} == {4}
+    history = spark.createDataFrame([(b"d" * 32, 1, 1, 2)], "digest binary, doc_id long, row long, n long")
+    asked = spark.createDataFrame([(b"d" * 32, 9, 9, 3)], "digest binary, doc_id long, row long, n long")
+    groups = lambda member: sorted((r.keep_row, r.group_size) for r in E.groups_of(history, asked.withColumn("member", F.lit(member)).withColumn("row", F.lit(1 if member else 9))).collect())
+    assert groups(True) == [(1, 5)] and groups(False) == [(1, 2), (9, 3)]
+
+
 def test_exact_dedup(spark):
     got = E.exact_dedup(_frame(spark, DOCS)).collect()
     assert len(got) == len(DOCS)
