@@ -56,7 +56,7 @@ def write_down(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Let tasks trade texts with Python in batches of 4 MB instead of 64, which every task holds several times; a setting of the user's own stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "64m", "64MB"):
+    if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, "4194304b")
 
 
