@@ -40,7 +40,7 @@ THETA = 1.0
 SEED = 11
 SPACE = "▁"
 #: Nodes of remembered words in a worker: 8 bytes each and 24 for each of some 3 edges.
-ARENA_NODES = 800_000
+ARENA_NODES = 300_000
 #: Words longer than this are forgotten after their batch.
 LONG_WORD = 64
 #: Characters of text that are searched together.

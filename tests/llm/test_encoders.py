@@ -51,7 +51,7 @@ def test_tables_of_other_files(spark):
 
 def test_token_counts(spark):
     rng = random.Random(1)
-    texts = [*TEXTS[:-1], "<|endoftext|> x", "  a b  ", "é Σας", "w " * 3000, *(" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(400)) for _ in range(3))]
+    texts = [*TEXTS[:-1], "long " * 20_000, "x" * 20_000, "<|endoftext|> x", "  a b  ", "é Σας", "w " * 3000, *(" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(400)) for _ in range(3))]
     t = K.load(K.tokenizer_path())
     got = {r.doc_id: r for r in K.count_tokens(_docs(spark, texts), chunk=300, overlap=20).collect()}
     for i, text in enumerate(texts):
@@ -64,7 +64,32 @@ def test_token_counts(spark):
 @given(st.text(alphabet="ab'sé 1\n!日́", max_size=400), st.integers(5, 60), st.integers(1, 5))
 def test_splicing_equals_whole_encoding(text, chunk, overlap):
     t = K.load(K.tokenizer_path())
-    assert K.encode_spliced(t, text, chunk, min(overlap, chunk)).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert K.encode_spliced(t, text, chunk, min(overlap, chunk))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_splices_and_their_work(monkeypatch):
+    """Plain text is spliced at every chunk; text without boundaries, or whose encodings never agree, takes linear work."""
+    t, rng = K.load(K.tokenizer_path()), random.Random(2)
+    sizes = []
+    real = K._ids
+
+    def counted(tokenizer, text):
+        sizes.append(len(text))
+        return real(tokenizer, text)
+
+    monkeypatch.setattr(K, "_ids", counted)
+    plain = " ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(20_000))
+    blank = "".join(rng.choices("abcdé", k=60_000))
+    mixed = " ".join(blank[k : k + 5000] for k in range(0, 60_000, 5000))
+    for text, splices in ((plain, len(plain) // 2000 - 1), (blank, 0), (mixed, 3)):
+        sizes.clear()
+        ids, n = K.encode_spliced(t, text, 2000, 100)
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+        assert n >= splices * 0.9 and sum(sizes) < 2.5 * len(text)
+    monkeypatch.setattr(K, "_splice_at", lambda *a: None)
+    sizes.clear()
+    ids, n = K.encode_spliced(t, plain, 2000, 100)
+    assert n == 0 and ids.tolist() == t.encode(plain, add_special_tokens=False).ids and sum(sizes) < 40 * len(plain)
 
 
 @settings(max_examples=200, deadline=None)
