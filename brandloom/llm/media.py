@@ -1,17 +1,18 @@
 """Media columns: ISO base media files (nested boxes, sample tables) without decoding what they carry.
 
-`probe` walks the boxes of a file, decodes the sample tables of its first media track and yields codec, time scale,
-duration, samples and the byte ranges of keyframes (each key sample up to the next one). `wrap_samples` writes the
+`probe` walks the boxes of a file, decodes the sample tables of each track and yields codec, time scale, duration, samples and the
+byte ranges of its key samples, a row for each track. Samples in movie fragments (moof) are not read. `wrap_samples` writes the
 smallest such file that carries a payload losslessly as 8-bit mono samples of 576 bytes, and `read_samples` returns a
 track's bytes by its tables. The payload is never interpreted.
 
 Defined cases: null and empty payloads are one sample of padding; bytes that are no ISO file give a null codec, zero samples and no
-ranges; unknown boxes are skipped; equal rows give equal rows; empty tables give empty results. A file is held by one task at a time.
+ranges, as do files whose tables contradict each other or point beyond the file; unknown boxes are skipped; equal rows give equal rows; empty tables give empty results. A file is held by one task at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 
@@ -93,6 +94,10 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple = ())
         start += size
 
 
+class Malformed(ValueError):
+    """Tables that cannot describe the file they stand in."""
+
+
 def _table(data: bytes, at: int, end: int, kind: str, columns: int = 1) -> np.ndarray:
     count = min(struct.unpack_from(">I", data, at)[0], (end - at - 4) // (np.dtype(kind).itemsize * columns))
     return np.frombuffer(data, kind, count * columns, at + 4).astype(np.int64).reshape(-1, columns)
@@ -118,29 +123,43 @@ def tracks(data: bytes) -> list[dict]:
             t["stsc"] = _table(data, body, end, ">u4", 3)
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, body)
+            if size * n > len(data):
+                raise Malformed("samples beyond the file")
             t["sizes"] = np.full(n, size, np.int64) if size else _table(data, body + 4, end, ">u4")[:, 0]
         elif kind in (b"stco", b"co64"):
             t["chunks"] = _table(data, body, end, ">u4" if kind == b"stco" else ">u8")[:, 0]
         elif kind == b"stss":
             t["keys"] = _table(data, body, end, ">u4")[:, 0] - 1
     for t in found:
-        sizes, chunks, runs = t.get("sizes", np.empty(0, np.int64)), t.get("chunks", np.empty(0, np.int64)), t.get("stsc", np.empty((0, 3), np.int64))
-        if len(runs) and len(chunks):
-            per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-            chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
-            sizes = sizes[: len(chunk)]
-            before = np.cumsum(sizes) - sizes
-            starts = np.concatenate([[0], np.cumsum(per_chunk)[:-1]])
-            t["offsets"] = chunks[chunk] + before - before[np.minimum(starts, max(len(sizes) - 1, 0))][chunk] if len(sizes) else sizes
-        else:
-            sizes = sizes[:0]
-            t["offsets"] = sizes
-        t["sizes"] = sizes
-        t["keys"] = t.get("keys", np.arange(len(sizes)))
-        t["keys"] = t["keys"][(t["keys"] >= 0) & (t["keys"] < len(sizes))]
+        _place(t, len(data))
     return found
 
 
+def _place(t: dict, length: int) -> None:
+    """Offsets of the track's samples from its tables; never more memory than the tables themselves take."""
+    sizes, chunks, runs = t.get("sizes", np.empty(0, np.int64)), t.get("chunks", np.empty(0, np.int64)), t.get("stsc", np.empty((0, 3), np.int64))
+    if not len(runs) or not len(chunks):
+        sizes = sizes[:0]
+    if len(sizes):
+        firsts = runs[:, 0]
+        if firsts[0] != 1 or firsts[-1] > len(chunks) or (np.diff(firsts) <= 0).any():
+            raise Malformed("chunk runs out of order")
+        held = np.minimum(np.repeat(runs[:, 1], np.diff(np.append(firsts, len(chunks) + 1))), len(sizes))
+        past = np.cumsum(held)  # samples up to each chunk
+        if past[-1] < len(sizes):
+            raise Malformed("samples without a chunk")
+        chunk = np.searchsorted(past, np.arange(len(sizes)), side="right")
+        before = np.cumsum(sizes) - sizes
+        t["offsets"] = chunks[chunk] + before - before[np.minimum((past - held)[chunk], len(sizes) - 1)]
+        if t["offsets"].min() < 0 or (t["offsets"] + sizes).max() > length:
+            raise Malformed("samples beyond the file")
+    else:
+        t["offsets"] = sizes
+    t["sizes"] = sizes
+    keys = t.get("keys", np.arange(len(sizes)))
+    t["keys"] = keys[(keys >= 0) & (keys < len(sizes))]
+
+
 def read_samples(data: bytes, track: dict) -> bytes:
     """The track's sample bytes in order; neighbouring samples are read as one range."""
     offsets, sizes = track["offsets"], track["sizes"]
@@ -157,31 +176,33 @@ def key_ranges(track: dict) -> list[tuple[int, int]]:
     return [(int(track["offsets"][k]), int(track["offsets"][k] + track["sizes"][k])) for k in track["keys"]]
 
 
-PROBE = "codec string, timescale long, duration long, samples long, keyframes array<struct<start:bigint,end:bigint>>"
+TRACK = "codec string, timescale long, duration long, samples long, keyframes array<struct<start:bigint,end:bigint>>"
+PROBE = f"track int, {TRACK}"
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _probe_one(data: bytes | None) -> tuple:
+def _probe_one(data: bytes | None) -> list[tuple]:
+    """A row of PROBE for each track with a codec; one without a codec where there is none."""
     try:
-        track = next(iter(tracks(data or b"")), {})
-    except struct.error:
-        track = {}
-    if "codec" not in track:
-        return None, None, None, 0, []
-    ranges = [{"start": a, "end": b} for a, b in key_ranges(track)]
-    return track["codec"], track.get("timescale"), track.get("duration"), len(track["sizes"]), ranges
+        known = [t for t in tracks(data or b"") if "codec" in t]
+    except (struct.error, Malformed):
+        known = []
+    ranges = lambda t: [{"start": a, "end": b} for a, b in key_ranges(t)]
+    return [(k, t["codec"], t.get("timescale"), t.get("duration"), len(t["sizes"]), ranges(t)) for k, t in enumerate(known)] or [(None, None, None, None, 0, [])]
 
 
 def probe(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """key and the decoded tables of each file in the binary column `media`."""
+    """key and the decoded tables of each track of each file in the binary column `media`."""
 
     def run(batches):
+        types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _RANGES)
         for batch in batches:
-            rows = [(k, *_probe_one(m.as_py())) for k, m in zip(batch.column(0).to_pylist(), batch.column(1))]
-            columns = list(zip(*rows)) or [[]] * 6
-            types = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), _RANGES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "codec", "timescale", "duration", "samples", "keyframes"])
+            found = [_probe_one(m.as_py()) for m in batch.column(1)]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+            columns = list(zip(*itertools.chain.from_iterable(found))) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(columns, types))], ["key", "track", "codec", "timescale", "duration", "samples", "keyframes"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, {PROBE}").withColumnRenamed("key", key)
 
 
@@ -196,7 +217,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 
-STORED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, {PROBE}"
+STORED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, {TRACK}"
 
 
 def _stored_row(doc_id, text: bytes | None) -> tuple:

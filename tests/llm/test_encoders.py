@@ -49,6 +49,37 @@ def test_tables_of_other_files(spark):
     assert got[1].codec == "mp4v" and got[1].samples == 4 and [got[k].codec for k in (2, 3)] == [None, None] and got[2].samples == 0
 
 
+def test_damaged_and_many_tracked_files(spark):
+    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
+    full = lambda kind, body: box(kind, b"\0\0\0\0" + body)
+
+    def track(codec, runs, sizes, chunks):
+        stsc = full(b"stsc", struct.pack(f">{1 + 3 * len(runs)}I", len(runs), *itertools.chain(*runs)))
+        table = full(b"stsd", struct.pack(">I", 1) + box(codec, b"\0" * 8)) + stsc + full(b"stsz", sizes) + full(b"stco", struct.pack(f">{1 + len(chunks)}I", len(chunks), *chunks))
+        return box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", table))))
+
+    def file(*all_tracks):
+        return box(b"mdat", b"x" * 100) + box(b"moov", b"".join(all_tracks))
+
+    two = struct.pack(">IIII", 0, 2, 3, 4)
+    good = [track(b"twos", [(1, 2, 1)], two, [8]), track(b"mp4v", [(1, 1, 1), (2, 1, 1)], two, [20, 40])]
+    bad = [
+        track(b"down", [(1, 1, 1), (3, 1, 1), (2, 1, 1)], two, [8, 9, 10]), track(b"late", [(7, 1, 1)], two, [8]), track(b"huge", [(1, 1, 1)], struct.pack(">II", 1000, 2**31), [8]),
+        track(b"many", [(1, 2**32 - 1, 1)], two, [2**31]), track(b"less", [(1, 1, 1)], two, [8]), track(b"none", [(0, 1, 1)], two, [8]),
+    ]
+    rows = [(0, file(*good)), (1, file(track(b"wide", [(1, 2**32 - 1, 1)], two, [8]))), *((k + 2, file(b)) for k, b in enumerate(bad)), (20, file(good[0])[: -30])]
+    got = sorted((r.doc_id, r.track, r.codec, r.samples) for r in M.probe(spark.createDataFrame(rows, "doc_id long, media binary")).collect() if r.doc_id < 20)
+    assert got[:3] == [(0, 0, "twos", 2), (0, 1, "mp4v", 2), (1, 0, "wide", 2)] and all(r[1:] == (None, None, 0) for r in got[3:]) and len(got) == 3 + len(bad)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 700), st.integers(0, 255), st.integers(0, 3000))
+def test_probe_survives_any_byte(at, value, length):
+    data = bytearray(M.wrap_samples(M.pad(b"some text")))
+    data[-1 - at % 700] = value
+    assert len(M._probe_one(bytes(data[: len(data) - length % 40]))) >= 1
+
+
 def test_token_counts(spark):
     rng = random.Random(1)
     texts = [*TEXTS[:-1], "long " * 20_000, "x" * 20_000, "<|endoftext|> x", "  a b  ", "é Σας", "w " * 3000, *(" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(400)) for _ in range(3))]
