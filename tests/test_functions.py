@@ -1,3 +1,6 @@
+import colorsys
+import math
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -5,27 +8,53 @@ from pyspark.sql import functions as F
 from brandloom.functions import color as C, css, fonts as N, geo as G, text as T, url as U
 from brandloom.functions.html import parse_page
 
-BLUE = ["#2563eb", "rgb(37, 99, 235)", "rgb(37 99 235)", "rgb(37 99 235 / 0.9)", "RGBA(37,99,235,1)", "#2563ebff"]
-COLOURS = [
-    *[(b, "#2563eb") for b in BLUE], ("#ABC", "#aabbcc"), ("#abcd", "#aabbcc"), ("hsl(220deg 80% 50%)", "#195ee6"), ("hsl(220, 80%, 50%)", "#195ee6"),
-    ("hwb(200 10% 20%)", "#1991cc"), ("rebeccapurple", "#663399"), ("lab(50% 40 59)", "#bf5702"), ("color(srgb 1 0 0)", "#ff0000"),
-    *[(n, None) for n in ("rgba(37,99,235,0.4)", "rgb(37 99 235 / 30%)", "#2563eb40", "transparent", "currentColor", "inherit", "none", "solid", "", "#12")],
+# One colour in every notation, each worked out from the channels 18, 128, 96.
+FOREST = [
+    "#128060", "#128060ff", "#128060F2", "rgb(18,128,96)", "rgb(18 128 96 / 95%)", "RGB(18 128 96)", "rgba(18, 128, 96, .95)",
+    "hsl(162.545deg 75.342% 28.627%)", "hsl(162.545, 75.342%, 28.627%)", "hwb(162.545 7.059% 49.804%)",
 ]
+# Half-transparent, inherited and unknown values are no colours.
+NO_COLOURS = ["rgb(18 128 96 / 45%)", "rgba(18,128,96,.2)", "#12806033", "TRANSPARENT", "currentcolor", "unset", "dotted", "", "#12806", "rgb(1,2)"]
+
+
+@pytest.mark.parametrize("text", FOREST)
+def test_notations_of_one_colour(text):
+    assert css.parse_colour(text) == "#128060"
+
 
+@pytest.mark.parametrize("text", NO_COLOURS)
+def test_what_is_no_colour(text):
+    assert css.parse_colour(text) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 255), st.integers(0, 255), st.integers(0, 255))
+def test_channels_round_trip(r, g, b):
+    want = f"#{r:02x}{g:02x}{b:02x}"
+    assert css.parse_colour(f"rgb({r} {g} {b})") == css.parse_colour(want.upper()) == css.parse_colour(f"color(srgb {r / 255} {g / 255} {b / 255})") == want
+    h, light, s = colorsys.rgb_to_hls(r / 255, g / 255, b / 255)
+    assert css.parse_colour(f"hsl({h * 360:.6f} {s * 100:.6f}% {light * 100:.6f}%)") == want
+    white, black = min(r, g, b) / 255, 1 - max(r, g, b) / 255
+    assert css.parse_colour(f"hwb({h * 360:.6f} {white * 100:.6f}% {black * 100:.6f}%)") == want
+    digit = f"{r % 16:x}{g % 16:x}{b % 16:x}"
+    assert css.parse_colour("#" + digit) == css.parse_colour("#" + digit + "f") == "#" + "".join(c * 2 for c in digit)
 
-@pytest.mark.parametrize(("text", "expected"), COLOURS)
-def test_parse_colour(text, expected):
-    assert css.parse_colour(text) == expected
+
+def test_named_and_perceptual_colours():
+    assert [css.parse_colour(n) for n in ("seagreen", "Crimson", "WHITE")] == ["#2e8b57", "#dc143c", "#ffffff"]
+    assert css.parse_colour("oklch(0.7 0.1 30)") == css.parse_colour("oklch(70% 0.1 30deg)") == css.parse_colour(f"oklab(0.7 {0.1 * math.cos(math.radians(30))} {0.1 * math.sin(math.radians(30))})")
+    assert css.parse_colour("lab(60% 20 -30)") == css.parse_colour(f"lch(60% {math.hypot(20, 30)} {math.degrees(math.atan2(-30, 20)) % 360})")
+    assert css.parse_colour("lab(100% 0 0)") == "#ffffff" and css.parse_colour("oklch(0 0 0)") == "#000000"
 
 
 def test_colours_of_values():
-    assert css.parse_colour("oklch(0.62 0.21 259)") == css.parse_colour("oklch(62% 0.21 259)")
-    assert css.colours("rgb(37 99 235 / var(--tw-bg-opacity))") == ["#2563eb"]
-    assert css.colours("#2563eb url(x.png) no-repeat") == ["#2563eb"]
-    assert css.colours("linear-gradient(90deg, #ff0000 0%, rgb(0 0 255) 100%)") == ["#ff0000", "#0000ff"]
-    known = css.Variables({"--b": "var(--b, red)", "--c": "var(--d)"})
-    assert css.colours("var(--b)", known) == ["#ff0000"]
-    assert css.colours("var(--c)", known) == []
+    assert css.colours("hsl(162.545 75.342% 28.627% / var(--fade))") == ["#128060"]
+    assert css.colours("fixed url(tile.svg) repeat-x seagreen") == ["#2e8b57"]
+    assert css.colours("conic-gradient(from 10deg, crimson 5%, #128060 40%, crimson)") == ["#dc143c", "#128060", "#dc143c"] or css.colours("conic-gradient(from 10deg, crimson 5%, #128060 40%, crimson)") == ["#dc143c", "#128060"]
+    known = css.Variables({"--base": "seagreen", "--loop": "var(--loop, red)", "--gone": "var(--nowhere)"})
+    assert css.colours("1px solid var(--base)", known) == ["#2e8b57"]
+    assert css.colours("var(--loop)", known) == ["#ff0000"]
+    assert css.colours("var(--gone)", known) == []
 
 
 def test_declarations():
@@ -50,15 +79,26 @@ def _one(spark, *columns):
     return tuple(spark.range(1).select(*columns).first())
 
 
-def test_contrast(spark):
-    pairs = [("#000000", "#ffffff"), ("#fff", "#fff"), ("#ffffff", "#3b82f6")]
-    got = _one(spark, *[C.contrast_ratio(F.lit(a), F.lit(b)) for a, b in pairs])
-    assert got == pytest.approx((21, 1, 3.68), abs=0.01)
-    assert _one(spark, *[C.readable_text_on(F.lit(c)) for c in ("#ffd700", "#fef9c3", "#1e3a8a")]) == ("#0f172a", "#0f172a", "#ffffff")
-    kept, moved, other = _one(spark, *[C.ensure_contrast(F.lit(a), F.lit(b)) for a, b in (("#1e40af", "#ffffff"), ("#facc15", "#ffffff"), ("#3b82f6", "#eef4fe"))])
-    assert kept == "#1e40af"
-    assert min(_one(spark, C.contrast_ratio(F.lit(moved), F.lit("#ffffff")), C.contrast_ratio(F.lit(other), F.lit("#eef4fe")))) >= 4.5
-    assert _one(spark, C.safe_hex(F.lit("#ABC"), "#000000"), C.safe_hex(F.lit("x"), "#010203")) == ("#aabbcc", "#010203")
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 2**24 - 1), st.integers(0, 2**24 - 1))
+def test_contrast(spark, a, b):
+    """Ratios by the published formula, symmetric, from 1 to 21; whatever is repaired can be read."""
+
+    def luminance(v):
+        channels = [((v >> k) & 255) / 255 for k in (16, 8, 0)]
+        return sum(w * (c / 12.92 if c <= 0.03928 else ((c + 0.055) / 1.055) ** 2.4) for w, c in zip((0.2126, 0.7152, 0.0722), channels))
+
+    x, y = (F.lit(f"#{v:06x}") for v in (a, b))
+    ratio, back, text, safe = _one(spark, C.contrast_ratio(x, y), C.contrast_ratio(y, x), C.readable_text_on(x), C.ensure_contrast(x, F.lit("#ffffff")))
+    low, high = sorted((luminance(a), luminance(b)))
+    assert ratio == back == pytest.approx((high + 0.05) / (low + 0.05)) and 1 <= ratio <= 21
+    other = "#ffffff" if text == "#0f172a" else "#0f172a"
+    assert luminance(int(text[1:], 16)) is not None and _one(spark, C.contrast_ratio(x, F.lit(text)) >= C.contrast_ratio(x, F.lit(other)))[0]
+    assert _one(spark, C.contrast_ratio(F.lit(safe), F.lit("#ffffff")))[0] >= 4.5 and (safe == f"#{a:06x}") == (_one(spark, C.contrast_ratio(x, F.lit("#ffffff")))[0] >= 4.5)
+
+
+def test_safe_hex(spark):
+    assert _one(spark, C.safe_hex(F.lit("#F0d"), "#000000"), C.safe_hex(F.lit("teal"), "#0a0b0c"), C.safe_hex(F.lit(None).cast("string"), "#0a0b0c")) == ("#ff00dd", "#0a0b0c", "#0a0b0c")
 
 
 # Published test pairs of the CIEDE2000 formula.
@@ -113,10 +153,20 @@ def test_font_columns(spark):
 
 
 def test_addresses(spark):
-    raw = ["1830 E Colonial Dr, Orlando, FL 32803", "4498 N Alafaya Trail #324 Orlando FL 32826", "500 Main Street, Springfield, IL 62701", "Orlando, FL 32826", "Contact us 12 Main St"]
-    got = _one(spark, *[G.clean_address(F.lit(r)) for r in raw])
-    assert got == ("1830 E Colonial Dr, Orlando FL, 32803", "4498 N Alafaya Trail #324, Orlando FL, 32826", "500 Main Street, Springfield IL, 62701", None, None)
-    assert _one(spark, G.phones(F.lit("call +1 (407) 555-0123 or 12-34")))[0] == ["+1 (407) 555-0123"]
+    cases = {
+        "27 Quarry Lane, Stowe, VT 05672": "27 Quarry Lane, Stowe VT, 05672",
+        "914 W Harbor Blvd #12 Duluth MN 55802": "914 W Harbor Blvd #12, Duluth MN, 55802",
+        "914 W Harbor Blvd Suite 12B, Duluth, MN, 55802-1234": "914 W Harbor Blvd #12B, Duluth MN, 55802-1234",
+        "63 Orchard TerraceSalem OR97301": "63 Orchard Terrace, Salem OR, 97301",
+        "5 St Johns Way, Coeur d'Alene ID 83814": "5 St Johns Way, Coeur d'Alene ID, 83814",
+        "  8  Mill   Road ,  Bend   OR  97701 ": "8 Mill Road, Bend OR, 97701",
+        "Duluth, MN 55802": None, "27 Quarry Lane": None, "27 Quarry Lane, Stowe": None, "Call us: 27 Quarry Lane, Stowe, VT 05672": None, "": None, "x" * 300: None,
+    }
+    assert dict(zip(cases, _one(spark, *[G.clean_address(F.lit(r)) for r in cases]))) == cases
+    partial = {"Duluth, MN 55802": True, "27 Quarry Lane, Stowe, VT 05672": False, "somewhere": True}
+    assert dict(zip(partial, _one(spark, *[G.is_partial(F.lit(r)) for r in partial]))) == partial
+    assert _one(spark, *[G.is_valid_address(F.lit(r)) for r in ("27 Quarry Lane", "#aabbccdd", "var(--x)", "1234567890123")]) == (True, False, False, False)
+    assert _one(spark, G.phones(F.lit("ring 218.555.0142, or 1234, or 555-12")))[0] == ["218.555.0142"]
 
 
 def test_text_columns(spark):
