@@ -61,6 +61,15 @@ def base_domain(url: Column | str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)), u)
 
 
+def without_dots(url: Column) -> Column:
+    """The URL with the segments `.` and `..` of its path resolved."""
+    part = lambda k: F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)([^?#]*)(.*)$", k)
+    start = F.array().cast("array<string>")
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    path = F.array_join(F.aggregate(F.split(part(2), "/"), start, step), "/")
+    return F.when(url.rlike(r"^[^?#]*/\.{1,2}(?:[/?#]|$)"), F.concat(part(1), path, part(3))).otherwise(url)
+
+
 def normalise_url(raw: Column | str) -> Column:
     """https, lower-case host, no default port, no trailing slash, no fragment. Dot segments are left to `canonical`."""
     u = F.trim(_col(raw))

@@ -39,7 +39,7 @@ def resolve_logo_url(raw: Column, page_url: Column) -> Column:
         fine = (t != "") & (F.length(t) <= 2048) & ~w.rlike("^[a-zA-Z]+://[^/?#]*@")
         return F.when(fine & F.lower(w).startswith("https://"), w).when(fine & related, F.regexp_replace(w, "(?i)^http://", "https://"))
 
-    return T.let(whole, safe)
+    return T.let(U.without_dots(whole), safe)
 
 
 def _sum(*rules: tuple[Column, int]) -> Column:
