@@ -52,21 +52,28 @@ def _resolve(value: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([U.canonical(v, b) for v, b in zip(value, base)], dtype=object)
 
 
-def matches_pattern(pattern: Column, path: Column) -> Column:
-    """Robots path pattern: '*' for anything, a final '$' for the end, else a prefix."""
+def pattern_regex(pattern: Column) -> Column:
+    """Robots path pattern as a regular expression: '*' for anything, a final '$' for the end, else a prefix."""
     anchored = F.endswith(pattern, F.lit("$"))
     body = F.regexp_replace(pattern, r"\$$", "")
     escaped = F.regexp_replace(F.regexp_replace(body, r"([\\.^$|?+(){}\[\]])", r"\\$1"), r"\*+", ".*")
-    return F.regexp_like(path, F.concat(F.lit("^"), escaped, F.when(anchored, F.lit("$")).otherwise(F.lit(""))))
+    return F.concat(F.lit("^"), escaped, F.when(anchored, F.lit("$")).otherwise(F.lit("")))
+
+
+def matches_pattern(pattern: Column, path: Column) -> Column:
+    return F.regexp_like(path, pattern_regex(pattern))
 
 
 def allowed_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls(site, path, ...) + allowed: the longest matching rule decides, allow on ties; no rule allows. One row per site and path."""
-    paths = urls.select("site", "path").distinct()
+    """urls(site, path, ...) + allowed: the longest matching rule decides, allow on ties; no rule allows.
+
+    A site's rules (robots files are bounded) are one array, the deciding ones first, tried within the row of each path.
+    """
+    rule = F.struct((-F.length("path")).alias("order"), (~F.col("allow")).alias("denies"), pattern_regex(F.col("path")).alias("rx"))
+    per_site = rules.filter("path is not null").groupBy("site").agg(F.sort_array(F.collect_list(rule)).alias("_rules"))
     slashed = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit("/"), "path"))
-    hits = paths.join(rules.filter("path is not null").select("site", F.col("path").alias("pattern"), "allow"), "site").filter(matches_pattern(F.col("pattern"), slashed))
-    best = hits.groupBy("site", "path").agg(F.max_by("allow", F.struct(F.length("pattern").alias("l"), "allow")).alias("allowed"))
-    return urls.join(best, ["site", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    fits = F.filter("_rules", lambda r: F.regexp_like(slashed, r["rx"]))
+    return urls.join(per_site, "site", "left").withColumn("allowed", F.coalesce(~F.get(fits, F.lit(0))["denies"], F.lit(True))).drop("_rules")
 
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:

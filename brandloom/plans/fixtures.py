@@ -38,8 +38,6 @@ FONTS = [
     ("bolt.io", 1, "Sohne", "primary", None, ["300"], "verified", 100),
 ]
 
-NAMES = [("acme.com", "Acme"), ("bolt.io", " ")]
-
 PROPERTIES = [
     "color", "background", "Background-Color", "background-image", "border", "border-top", "border-top-color", "border-inline-start-color", "border-radius",
     "outline", "outline-color", "caret-color", "accent-color", "fill", "stroke", "text-decoration", "column-rule", "box-shadow", "text-shadow", "--brand", "margin", " color ",
@@ -52,8 +50,6 @@ SHEETS = [
     ("teal.app", 1, "https://teal.app/", 0, ".k{color:#0d9489} .l{background:#0d9488} .m{background:#0d9488} .n{stroke:#0d9488}"),
 ]
 
-FONT_NAMES = ["bebas-neue", "Bebas Neue", "BebasNeue", "Avenir LT Std", "Arial", "'Helvetica'", "FontAwesome", "Material Icons", "Georgia", "Source Sans 3", "Courier New", "Playfair Display", "star font"]
-
 ENTRIES = [
     ("a.com", 1, "Inter", "primary", 90), ("a.com", 2, "Bebas Neue", "secondary", 70), ("a.com", 3, "BebasNeue", "heading", 85), ("a.com", 4, "Fira Mono", "heading", 95),
     ("a.com", 5, "Lora", "button", 60), ("b.com", 1, "Sohne Mono", "primary", 80), ("b.com", 2, "Sohne", "primary", 80), ("b.com", 3, "Lato", "accent", 80),
@@ -88,8 +84,6 @@ RECORDS = [
     ("Bolt", "bolt.io", True, None, "Long", [], [], [("#e11d48", "brand", 60), ("#ABC", "light", 90)], [], [], 0.9),
 ]
 
-COLOUR_EDITS = [("acme.com", "#635bff", "#111111", None, False), ("acme.com", "#00d4ff", None, "text", False), ("acme.com", "#ff5996", None, None, True), ("bolt.io", "#111111", None, None, False)]
-
 BREAKDOWNS = [("full.com", 5, 25, 18, 25, 15, 12), ("one.com", 1, None, None, None, None, None), ("bare.com", 3, None, None, None, 12, 0), ("mid.com", 4, 15, 12, None, 9, 10), ("low.com", 9, 5, 2, 4, 3, 1)]
 
 HITS = [("a.com", True, True, True, False), ("b.com", True, True, False, True), ("c.com", True, False, True, True), ("d.com", False, False, False, False), ("e.com", True, True, True, True)]

@@ -103,6 +103,17 @@ def footer_phones(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(G.phones(footer)).alias("phone"))
 
 
+@query(r"""WITH t AS (SELECT c_custkey, c_name || ' (' || c_mktsegment || ') tel. ' || CASE WHEN c_custkey % 3 = 0 THEN '+1 ' ELSE '' END || CAST(200 + c_custkey % 700 AS VARCHAR) || CASE WHEN c_custkey % 2 = 0 THEN '-555-' ELSE '.555.' END || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS text FROM customer),
+p AS (SELECT c_custkey, unnest(list_concat(regexp_extract_all(text, '\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}'), regexp_extract_all(text, '\+?[0-9]{1,4}[-.\s]?[0-9]{2,4}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{3,4}'))) AS raw FROM t)
+SELECT DISTINCT c_custkey, trim(raw) AS phone FROM p WHERE len(regexp_replace(raw, '\D', '', 'g')) BETWEEN 10 AND 15""")
+def contact_phones(spark, d):
+    """Phones in a line of text for every customer."""
+    key = F.col("c_custkey")
+    number = F.concat(F.when(key % 3 == 0, "+1 ").otherwise(""), (200 + key % 700).cast("string"), F.when(key % 2 == 0, "-555-").otherwise(".555."), F.lpad((key % 10000).cast("string"), 4, "0"))
+    text = F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(") tel. "), number)
+    return table(spark, d, "customer").select("c_custkey", F.explode(G.phones(text)).alias("phone"))
+
+
 @query(f"""WITH p AS (SELECT page_id, {_SITE} AS site, {_PATH} AS path FROM pages),
 r(pattern, allow) AS (VALUES {X.values(X.ROBOTS)}),
 e AS (SELECT pattern, allow, '^' || regexp_replace(regexp_replace(regexp_replace(pattern, '\\$$', ''), '([\\\\.^$|?+(){{}}\\[\\]])', '\\\\\\1', 'g'), '\\*+', '.*', 'g') || CASE WHEN pattern LIKE '%$' THEN '$' ELSE '' END AS rx FROM r),
@@ -126,38 +137,132 @@ def crawl_frontier(spark, d):
     return crawl.next_level(rows, seen, seen.groupBy("site").agg(F.count("*").alias("n_taken")))
 
 
-@query()
+def _decoded(text: str) -> str:
+    """SQL that resolves the character references that the pages have."""
+    return f"regexp_replace(replace(replace(replace({text}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+
+
+_UNSEEN = "regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_VISIBLE = f"trim(regexp_replace({_decoded(f"regexp_replace({_UNSEEN}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+_INSIDE = lambda tag: f"trim({_decoded(f"regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1)")})"
+#: pg: pages in order, with their parsed texts; hm: each site's home page, or its first page.
+_PAGES = f"""pg AS (SELECT {_SITE} AS site, row_number() OVER (PARTITION BY {_SITE} ORDER BY page_id) AS page_ord, page_id, url, html, {_PATH} AS path, {_INSIDE('title')} AS title, {_INSIDE('footer')} AS footer, {_INSIDE('h1')} AS h1,
+  CAST(len(regexp_extract_all(html, '<h[123][ >]')) AS INT) AS n_headings, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, {_VISIBLE} AS visible FROM pages),
+hm AS (SELECT site, arg_min({{'url': url, 'title': title, 'h1': h1}}, CASE WHEN path = '/' THEN 0 ELSE 1000000 END + page_ord) AS home FROM pg GROUP BY site)"""
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return P.parse_pages(table(spark, d, "pages"), "page_id")
+
+
+@query(f"""WITH {_PAGES}, l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pg), n AS (SELECT page_id, count(DISTINCT href) AS n FROM l GROUP BY page_id)
+SELECT site, CAST(page_ord AS INT) AS page_ord, url, title, n_headings, CAST(coalesce(n, 0) AS INT) AS n_links, CAST(len(regexp_extract_all(html, '<a href="[^"]*">[^<]')) AS INT) AS n_nav, CAST(len(visible) AS INT) AS n_text, footer FROM pg LEFT JOIN n USING (page_id)""")
 def parsed_pages(spark, d):
-    p = P.parse_pages(table(spark, d, "pages"), "page_id")
+    p = _parsed(spark, d)
     return p.select("site", "page_ord", "url", "title", F.size("headings").alias("n_headings"), F.size("links").alias("n_links"), F.size("nav_labels").alias("n_nav"), F.length("visible_text").alias("n_text"), "footer")
 
 
-@query()
+@query(f"WITH {_PAGES} SELECT site, CAST(page_ord AS INT) AS page_ord, visible AS text FROM pg")
+def page_texts(spark, d):
+    return _parsed(spark, d).select("site", "page_ord", F.col("visible_text").alias("text"))
+
+
+_TITLE_VOTES = ", ".join(f"count(*) FILTER (title <> '' AND contains(title, '{x}'))" for x in seo.SEPARATORS)
+
+@query(f"""WITH {_PAGES}, t AS (SELECT site, count(*) AS n, count(*) FILTER (title <> '') AS n_titles, [{_TITLE_VOTES}] AS votes, CAST(floor(avg(len(title)) FILTER (title <> '') + 0.5) AS INT) AS avg_length, arg_min(title, page_ord) FILTER (title <> '') AS first_title,
+  count(*) FILTER (n_h1 = 0) AS missing, count(*) FILTER (n_h1 > 1) AS multiple, bool_or(contains(html, 'rel="canonical"')) AS canonical, bool_or(regexp_matches(visible, '{G.SEO_ADDRESS}') OR regexp_matches(visible, '{G.SEO_PHONE}')) AS local FROM pg GROUP BY site),
+u AS (SELECT *, list_max(votes) AS most, ['|', '-', '–', ':', '•', '—'][list_position(votes, list_max(votes))] AS mark FROM t),
+v AS (SELECT *, coalesce(n_titles > 0 AND most >= n_titles * 0.6, false) AS consistent, string_split(first_title, mark) AS parts FROM u),
+w AS (SELECT *, CASE WHEN consistent AND most > 0 AND len(parts) >= 2 THEN trim(parts[-1]) END AS last FROM v),
+b AS (SELECT w.site, count(*) FILTER (contains(title, last)) AS n_last FROM w JOIN pg ON w.site = pg.site AND title <> '' GROUP BY w.site),
+x AS (SELECT *, list_filter([CASE WHEN consistent THEN 'Page titles are consistent' END, CASE WHEN avg_length BETWEEN 50 AND 60 THEN 'Good title length' END, CASE WHEN missing = 0 AND multiple = 0 THEN 'All pages have exactly one H1' END, CASE WHEN canonical THEN 'Canonical tags are in place' END], lambda e: e IS NOT NULL) AS wins,
+  list_filter([CASE WHEN NOT consistent AND n > 1 THEN 'Page titles are inconsistent' END, CASE WHEN avg_length > 70 THEN 'Titles may be too long' END, n || CASE WHEN n > 1 THEN ' pages' ELSE ' page' END || ' missing meta descriptions',
+  CASE WHEN missing > 0 THEN missing || CASE WHEN missing > 1 THEN ' pages' ELSE ' page' END || ' missing H1 headline' END, CASE WHEN multiple > 0 THEN multiple || CASE WHEN multiple > 1 THEN ' pages have' ELSE ' page has' END || ' multiple H1s' END,
+  CASE WHEN local THEN 'Missing LocalBusiness schema' END, 'No social sharing image'], lambda e: e IS NOT NULL) AS found FROM w LEFT JOIN b USING (site)),
+y AS (SELECT *, list_concat(found, list_slice([{', '.join(repr(x) for x in seo.DEFAULTS)}], 1, greatest(0, 3 - len(wins) - len(found)))) AS issues FROM x)
+SELECT site, CAST(greatest(0, least(10, 10 - len(found) - 1 - CAST(missing > 0 AS INT))) AS INT) AS score, CAST(greatest(30, least(95, 60 + 5 * len(wins) - 3 * len(issues))) AS INT) AS confidence, array_to_string(wins, '; ') AS wins, array_to_string(issues, '; ') AS issues,
+  CASE WHEN n_last >= n_titles * 0.5 AND last <> '' THEN '[Page Name] ' || mark || ' ' || last ELSE 'Varies' END AS title_pattern, canonical AS has_canonical, coalesce(nullif(home.title, ''), 'No title found') AS search_title, home.url AS search_url FROM y JOIN hm USING (site)""")
 def seo_report(spark, d):
-    return seo.seo_report(P.parse_pages(table(spark, d, "pages"), "page_id"))
+    headlines = lambda c: F.array_join(F.transform(c, lambda x: x["headline"]), "; ").alias(c)
+    return seo.seo_report(_parsed(spark, d)).select("site", "score", "confidence", headlines("wins"), headlines("issues"), "title_pattern", "has_canonical", F.col("search_preview.title").alias("search_title"), F.col("search_preview.url").alias("search_url"))
 
 
 @query()
 def geo_report(spark, d):
-    return contact.geo_report(P.parse_pages(table(spark, d, "pages"), "page_id"))
+    return contact.geo_report(_parsed(spark, d))
 
 
-@query()
+@query(f"""WITH {_PAGES}, c AS (SELECT *, regexp_matches(url, '{G.LOCATION_URL}') AS place, CASE WHEN regexp_matches(url, '{G.LOCATION_PAGE}') THEN visible ELSE footer END AS text FROM pg),
+r AS (SELECT site, unnest(list_concat({', '.join(f"regexp_extract_all(text, '{x}')" for x in G.PHONES)})) AS raw FROM c),
+q AS (SELECT site, count(DISTINCT trim(raw)) AS n FROM r WHERE len(regexp_replace(raw, '\\D', '', 'g')) BETWEEN 10 AND 15 GROUP BY site)
+SELECT site, CAST(coalesce(any_value(n), 0) AS INT) AS n_phones, bool_or(regexp_matches(html, '{G.MAPS}')) AS has_maps, coalesce(string_agg(url, ' ' ORDER BY page_ord) FILTER (place), '') AS location_pages,
+  bool_or(regexp_matches(lower(html), '{'|'.join(G.MANY_LOCATIONS)}')) OR bool_or(regexp_matches(url, '(?i)/locations?/?$|/store-locator|/stores/?$|/find-us|/find-a-location')) AS is_multi_location FROM c LEFT JOIN q USING (site) GROUP BY site""")
+def location_signals(spark, d):
+    return contact.geo_report(_parsed(spark, d)).select("site", F.size("phones").alias("n_phones"), "has_maps", F.array_join("location_pages", " ").alias("location_pages"), "is_multi_location")
+
+
+def _first_matches(name: str, section: int, kind: str, patterns: tuple, confidence: int, fold: str) -> str:
+    """SQL for the first match of each pattern on each page, then the first of each text of a site."""
+    rules = ", ".join(f"({k}, '(?i){x}')" for k, x in enumerate(patterns))
+    return f"""{name} AS (SELECT site, {section} AS section, page_ord, pos, '{kind}' AS type, content, url, {confidence} AS confidence, 'extracted' AS source FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, {fold} ORDER BY page_ord, pos) AS k FROM (SELECT site, page_ord, url, pos, regexp_extract(visible, rx, 0) AS content FROM pg, (VALUES {rules}) AS r(pos, rx)) WHERE content <> '') WHERE k = 1)"""
+
+
+_KINDS = ", ".join((_first_matches("nl", 2, "email_capture", marketing.NEWSLETTER, 85, "content"), _first_matches("mg", 3, "lead_magnet", marketing.MAGNET, 80, "lower(content)"), _first_matches("tr", 5, "trust_badge", marketing.TRUST, 80, "lower(content)")))
+_SPOKEN = " OR ".join(f"regexp_matches(html, '{x}')" for x in marketing.TESTIMONIAL)
+
+
+@query(f"""WITH {_PAGES}, {_KINDS},
+tm AS (SELECT site, 4 AS section, page_ord, 0 AS pos, 'testimonial' AS type, 'Testimonials section detected' AS content, url, 75 AS confidence, 'inferred' AS source FROM pg WHERE {_SPOKEN}),
+cp AS (SELECT site, 7 AS section, page_ord, 0 AS pos, 'campaign_page' AS type, CASE WHEN title <> '' THEN title ELSE url END AS content, url, 85 AS confidence, 'extracted' AS source FROM pg WHERE regexp_matches(url, '(?i)/lp/|/landing|/campaign|/promo|/offer|/special|/free-|utm_')),
+al AS (SELECT * FROM nl UNION ALL SELECT * FROM mg UNION ALL SELECT * FROM tm UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM cp)
+SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY section, page_ord, pos) AS INT) AS ord, type, content, url, CAST(confidence AS INT) AS confidence, source FROM al""")
 def marketing_elements(spark, d):
-    return marketing.marketing_elements(P.parse_pages(table(spark, d, "pages"), "page_id"))
+    return marketing.marketing_elements(_parsed(spark, d))
 
 
-@query()
+@query(f"""WITH {_PAGES}, n AS (SELECT site, split_part(regexp_replace(site, '^www\\.', ''), '.', 1) AS label, list_filter(list_transform(regexp_split_to_array(home.title, '\\s+[|–—·•:-]\\s+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM hm),
+m AS (SELECT *, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS flat FROM n),
+f AS (SELECT *, list_filter(parts, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g') <> '' AND (regexp_replace(lower(x), '[^a-z0-9]', '', 'g') = flat OR contains(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), flat) AND len(x) <= 30))[1] AS named FROM m)
+SELECT site, coalesce(CASE WHEN len(named) <= 60 THEN regexp_replace(named, '\\s+', ' ', 'g') END, nullif(array_to_string(list_transform(list_filter(regexp_split_to_array(label, '[-_]'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' '), ''), site) AS brand_name FROM f""")
 def brand_names(spark, d):
-    return identity.brand_names(P.parse_pages(table(spark, d, "pages"), "page_id"))
+    return identity.brand_names(_parsed(spark, d))
 
 
-@query()
+_MESSAGE = """w AS (SELECT site, home, list_filter(regexp_split_to_array(lower(home.h1), '\\s+'), lambda x: len(x) > 4) AS words FROM hm),
+o AS (SELECT pg.site, count(*) AS n_checked, count(*) FILTER (len(list_filter(words, lambda x: contains(lower(h1) || ' ' || lower(title), x))) > 0 AND len(list_filter(words, lambda x: contains(lower(h1) || ' ' || lower(title), x))) >= len(words) * 0.3) AS n_hit FROM pg JOIN w ON pg.site = w.site AND pg.url <> home.url GROUP BY pg.site)"""
+
+
+@query(f"""WITH {_PAGES}, {_MESSAGE},
+t AS (SELECT site, CASE WHEN contains(title, ' | ') THEN '|' WHEN contains(title, ' - ') THEN '-' WHEN contains(title, ' — ') THEN '—' END AS mark, * EXCLUDE (site) FROM pg),
+g AS (SELECT site, count(*) AS n, count(*) FILTER (title <> '') AS n_titles, count(DISTINCT mark) AS marks, avg(CAST(h1 <> '' AS INT)) AS h1_share, count(*) FILTER (h1 <> '') AS n_h1, count(DISTINCT h1) FILTER (h1 <> '') AS n_own FROM t GROUP BY site),
+r AS (SELECT g.*, 15 - CASE WHEN n_titles > 1 AND marks > 1 THEN 3 ELSE 0 END - CASE WHEN h1_share < 0.8 THEN 3 ELSE 0 END - CASE WHEN n_h1 > n_own + 1 THEN 2 ELSE 0 END AS seo,
+  CASE WHEN len(home.h1) > 10 AND len(words) > 0 AND coalesce(n_checked, 0) > 0 THEN floor(15 * n_hit / n_checked + 0.5) END AS message FROM g JOIN w USING (site) LEFT JOIN o USING (site))
+SELECT site, CAST(n AS INT) AS n_pages, CASE WHEN n >= 2 THEN CAST(seo AS INT) END AS seo, CASE WHEN n >= 2 THEN CAST(message AS INT) END AS message,
+  CASE WHEN n >= 2 THEN CAST(floor((seo + coalesce(message, 0)) / (15 + CASE WHEN message IS NULL THEN 0 ELSE 15 END) * 100.0 + 0.5) AS INT) END AS score FROM r""")
 def consistency_scores(spark, d):
+    """Scores of the two dimensions that pages without colours, fonts and tone have."""
+    parts = analyse(table(spark, d, "pages").withColumnRenamed("page_id", "page_ord"))
+    return parts["consistency"].select("site", "n_pages", F.col("seo.score").alias("seo"), F.col("message.score").alias("message"), "score")
+
+
+@query()
+def consistency_reports(spark, d):
     parts = analyse(table(spark, d, "pages").withColumnRenamed("page_id", "page_ord"))
     return parts["consistency"].select("site", "n_pages", "score", "grade", "issues", "insufficient")
 
 
+@query(f"WITH {_PAGES} SELECT DISTINCT site, CAST(NULL AS VARCHAR) AS logo_url, CAST(NULL AS VARCHAR) AS favicon_url, 0 AS confidence, 'inferred' AS source FROM pg WHERE NOT regexp_matches(html, '(?i)<(img|svg|link)[ >]')")
+def missing_logos(spark, d):
+    """Sites without any image, drawing or icon: no logo may be made up for them."""
+    return identity.logos(_parsed(spark, d)).filter("confidence = 0")
+
+
+@query()
+def logos(spark, d):
+    return identity.logos(_parsed(spark, d))
+
+
 # Colours -----------------------------------------------------------------------------------------------------------
 
 _HEX = "'#' || substr(md5(p_brand || p_name), 1, 6)"
@@ -303,26 +408,53 @@ def clustered_palette(spark, d):
     return colors.rank_palette(colors.cluster(plain)).select("site", "rank", "hex", "role", "confidence")
 
 
-_PALETTE = f"{X.cte('palette', ('site', 'rank', 'hex', 'role', 'source', 'confidence'), X.PALETTE)}"
+_ROLE = ("primary", "secondary", "accent", "background", "text", "other", "accent")
+#: Every part as a colour of its brand's palette; every eleventh size gives a name that is no hex colour.
+_PALETTE = f"""palette AS (SELECT p_brand AS site, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS rank, CASE WHEN p_size % 11 = 0 THEN p_name WHEN p_size % 2 = 0 THEN upper({_HEX}) ELSE {_HEX} END AS hex,
+  [{', '.join(repr(r) for r in _ROLE)}][p_size % 7 + 1] AS role, CASE WHEN p_size % 5 = 0 THEN 'verified' ELSE 'extracted' END AS source, p_size + 40 AS confidence FROM part)"""
+
 
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").withColumns({"site": F.col("p_brand"), "rank": F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))})
 
-def _palette(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(X.PALETTE, "site string, rank int, hex string, role string, source string, confidence int")
 
+def _nth(values: tuple, k) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), k.cast("int") + 1)
 
-def _fonts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(X.FONTS, "site string, rank int, name string, role string, google_url string, variants array<string>, source string, confidence int")
+
+def _palette(spark: SparkSession, d: str) -> DataFrame:
+    hex_ = F.concat(F.lit("#"), F.substring(F.md5(F.concat("p_brand", "p_name").cast("binary")), 1, 6))
+    size = F.col("p_size")
+    shown = F.when(size % 11 == 0, F.col("p_name")).when(size % 2 == 0, F.upper(hex_)).otherwise(hex_)
+    return _ranked(spark, d).select("site", "rank", shown.alias("hex"), _nth(_ROLE, size % 7).alias("role"), F.when(size % 5 == 0, "verified").otherwise("extracted").alias("source"), (size + 40).alias("confidence"))
+
+
+_FONT_ROLE = ("primary", "heading", "button", "accent", "secondary")
+#: Every part as a font of its brand; some names need quoting, some have no name, some are served by Google.
+_FONTS = f"""fonts AS (SELECT p_brand AS site, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS rank,
+  CASE WHEN p_size % 13 = 0 THEN ' ' WHEN p_size % 6 = 0 THEN p_name || ' O''Sans' WHEN p_size % 6 = 1 THEN p_name || chr(92) || ' Mono' WHEN p_size % 3 = 0 THEN p_name || ' Serif' ELSE p_name END AS name,
+  [{', '.join(repr(r) for r in _FONT_ROLE)}][p_size % 5 + 1] AS role, CASE WHEN p_size % 4 = 0 THEN 'https://fonts.googleapis.com/css2' END AS google_url, p_size FROM part)"""
+
+
+def _fonts(spark: SparkSession, d: str) -> DataFrame:
+    size, name = F.col("p_size"), F.col("p_name")
+    named = F.when(size % 13 == 0, " ").when(size % 6 == 0, F.concat(name, F.lit(" O'Sans"))).when(size % 6 == 1, F.concat(name, F.lit("\\ Mono"))).when(size % 3 == 0, F.concat(name, F.lit(" Serif"))).otherwise(name)
+    weights = F.when(size % 8 == 0, F.array(*[F.lit(w) for w in ("700", "400", "400", "bold")])).when(size % 8 == 4, F.array().cast("array<string>"))
+    return _ranked(spark, d).select(
+        "site", "rank", named.alias("name"), _nth(_FONT_ROLE, size % 5).alias("role"), F.when(size % 4 == 0, "https://fonts.googleapis.com/css2").alias("google_url"),
+        weights.alias("variants"), F.lit("extracted").alias("source"), (size + 40).alias("confidence"),
+    )
 
 
 @query(f"""WITH {_PALETTE} SELECT site, rank, hex, role || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY site, role ORDER BY rank) AS n FROM palette WHERE regexp_matches(hex, '(?i)^#[0-9a-f]{{6}}$'))""")
 def role_keys(spark, d):
-    return exports.role_keys(exports.valid_colors(_palette(spark))).select("site", "rank", "hex", "key")
+    return exports.role_keys(exports.valid_colors(_palette(spark, d))).select("site", "rank", "hex", "key")
 
 
 @query(f"""WITH {_PALETTE}, v AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY rank) AS n FROM palette WHERE regexp_matches(hex, '(?i)^#[0-9a-f]{{6}}$'))
 SELECT site, 'https://coolors.co/' || string_agg(lower(hex[2:]), '-' ORDER BY rank) AS url FROM v WHERE n <= 5 GROUP BY site""")
 def coolors_links(spark, d):
-    return exports.coolors_url(_palette(spark))
+    return exports.coolors_url(_palette(spark, d))
 
 
 @query(f"""WITH {_PALETTE}, v AS (SELECT *, row_number() OVER (PARTITION BY site, role ORDER BY rank) AS n FROM palette WHERE regexp_matches(hex, '(?i)^#[0-9a-f]{{6}}$'))
@@ -337,23 +469,33 @@ module.exports = {{
   }},
 }}' AS config FROM v GROUP BY site""")
 def tailwind_configs(spark, d):
-    return exports.tailwind_config(_palette(spark))
+    return exports.tailwind_config(_palette(spark, d))
 
 
-@query()
+_GENERIC = "CASE WHEN regexp_matches(lower(nm), 'mono|code|courier|consol') THEN 'monospace' WHEN contains(lower(nm), 'sans') THEN 'sans-serif' WHEN regexp_matches(lower(nm), 'serif|georgia|times|garamond|playfair|merriweather|baskerville|caslon|didot|bodoni') THEN 'serif' ELSE 'sans-serif' END"
+
+
+@query(f"""WITH {_PALETTE}, {_FONTS}, v AS (SELECT *, row_number() OVER (PARTITION BY site, role ORDER BY rank) AS n FROM palette WHERE regexp_matches(hex, '(?i)^#[0-9a-f]{{6}}$')),
+c AS (SELECT site, string_agg('  --color-' || role || CASE WHEN n > 1 THEN '-' || n ELSE '' END || ': ' || lower(hex) || ';', chr(10) ORDER BY rank) AS c FROM v GROUP BY site),
+w AS (SELECT *, trim(name) AS nm, row_number() OVER (PARTITION BY site, role ORDER BY rank) AS n FROM fonts WHERE trim(name) <> ''),
+f AS (SELECT site, string_agg('  --font-' || role || CASE WHEN n > 1 THEN '-' || n ELSE '' END || ': ' || chr(39) || replace(replace(nm, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39) || ', ' || {_GENERIC} || ';', chr(10) ORDER BY rank) AS f FROM w GROUP BY site)
+SELECT coalesce(c.site, f.site) AS site, concat_ws(chr(10), ':root {{', c, '', f, '}}') AS css FROM c FULL JOIN f ON c.site = f.site""")
 def css_exports(spark, d):
-    return exports.css_variables_export(_palette(spark), _fonts(spark))
+    return exports.css_variables_export(_palette(spark, d), _fonts(spark, d))
 
 
 @query()
 def design_tokens(spark, d):
-    names = spark.createDataFrame(X.NAMES, "site string, brand_name string")
-    return exports.design_tokens(_palette(spark), _fonts(spark), names)
+    names = _ranked(spark, d).select("site", F.col("site").alias("brand_name")).distinct()
+    return exports.design_tokens(_palette(spark, d), _fonts(spark, d), names)
 
 
-@query()
+@query(f"""WITH {_FONTS}, o AS (SELECT *, trim(name) AS nm, row_number() OVER (PARTITION BY site, lower(trim(name)) ORDER BY rank) AS k FROM fonts WHERE google_url IS NOT NULL AND trim(name) <> ''),
+f AS (SELECT site, rank, replace(replace(replace(nm, ' ', '+'), chr(39), '%27'), chr(92), '%5C') || ':wght@' || CASE WHEN p_size % 8 = 0 THEN '400;700' ELSE '400;600;700' END AS f FROM o WHERE k = 1),
+g AS (SELECT site, string_agg(f, '|' ORDER BY rank) AS a, string_agg('family=' || f, '&' ORDER BY rank) AS b FROM f GROUP BY site)
+SELECT DISTINCT site, coalesce('https://fonts.google.com/share?selection.family=' || a, '') AS share_url, coalesce('@import url(' || chr(39) || 'https://fonts.googleapis.com/css2?' || b || '&display=swap' || chr(39) || ');', '/* No Google Fonts detected */') AS css_import FROM fonts LEFT JOIN g USING (site)""")
 def google_font_links(spark, d):
-    return exports.google_fonts(_fonts(spark))
+    return exports.google_fonts(_fonts(spark, d))
 
 
 @query(f"""WITH {_PALETTE}, v AS (SELECT * FROM palette), p AS (SELECT site, coalesce(arg_min(hex, rank) FILTER (role = 'primary'), arg_min(hex, rank)) AS h FROM v GROUP BY site),
@@ -361,7 +503,7 @@ q AS (SELECT site, CASE WHEN regexp_matches(h, '(?i)^#[0-9a-f]{{6}}$') THEN lowe
 s AS (SELECT v.site, q.main, coalesce(arg_min(hex, rank) FILTER (role = 'secondary'), arg_min(hex, rank) FILTER (lower(hex) <> q.main AND role NOT IN ('background', 'text'))) AS h FROM v JOIN q ON v.site = q.site GROUP BY v.site, q.main)
 SELECT site, main AS "primary", CASE WHEN regexp_matches(h, '(?i)^#[0-9a-f]{{6}}$') THEN lower(h) ELSE '#1e293b' END AS secondary FROM s""")
 def brand_pairs(spark, d):
-    return colors.brand_pair(_palette(spark))
+    return colors.brand_pair(_palette(spark, d))
 
 
 @query(f"""WITH {X.cte('props', ('property',), [(p,) for p in X.PROPERTIES])}
@@ -384,13 +526,17 @@ def site_palettes(spark, d):
 # Fonts, social, addresses, merges, scores on fixed tables -----------------------------------------------------------
 
 
-@query(f"""WITH {X.cte('names', ('name',), [(n,) for n in X.FONT_NAMES])}
+_NAMED = ("{} LT Std", "{}-mono", "'{}'", "{} Icons", "{}", "Open {} Sans", "{}_serif", "Arial", "Georgia", '"Courier New"')
+_NAMES_SQL = "names AS (SELECT DISTINCT CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN replace('{n.replace(chr(39), chr(39) * 2)}', '{{}}', p_name)" for k, n in enumerate(_NAMED)) + " END AS name FROM part)"
+
+
+@query(f"""WITH {_NAMES_SQL}
 SELECT name, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[-_\\s]+', '', 'g'), '[''"]', '', 'g'), 'ltstd|std', '', 'g')) AS key,
        lower(trim(replace(replace(name, '"', ''), '''', ''))) IN ({', '.join(repr(f) for f in N.SYSTEM_FONTS)}) AS system, regexp_matches(lower(name), '{'|'.join(N.ICON_FONTS)}') AS icon,
        CASE WHEN regexp_matches(lower(name), 'mono|code|courier|consol') THEN 'monospace' WHEN contains(lower(name), 'sans') THEN 'sans-serif' WHEN regexp_matches(lower(name), 'serif|georgia|times|garamond|playfair|merriweather|baskerville|caslon|didot|bodoni') THEN 'serif' ELSE 'sans-serif' END AS generic
 FROM names""")
 def font_names(spark, d):
-    rows = spark.createDataFrame([(n,) for n in X.FONT_NAMES], "name string")
+    rows = table(spark, d, "part").select(F.replace(_nth(_NAMED, F.col("p_partkey") % 10), F.lit("{}"), F.col("p_name")).alias("name")).distinct()
     return rows.select("name", N.normalise_key("name").alias("key"), N.is_system_font("name").alias("system"), N.is_icon_font("name").alias("icon"), N.generic_family("name").alias("generic"))
 
 
@@ -437,16 +583,18 @@ def merged_links(spark, d):
 
 @query()
 def merged_colours(spark, d):
-    own = _palette(spark).filter("hex like '#______'").select("site", F.col("rank").alias("ord"), F.lower("hex").alias("hex"), "role", "confidence", "source", F.lit(0.1).alias("area_share"))
-    return merge.merge_colors(own, merge.record_colors(spark.createDataFrame(X.RECORDS, merge.RECORD)))
+    own = _palette(spark, d).filter("hex like '#______'").select("site", F.col("rank").alias("ord"), F.lower("hex").alias("hex"), "role", "confidence", "source", F.lit(0.1).alias("area_share"))
+    records = spark.createDataFrame(X.RECORDS, merge.RECORD).withColumn("domain", F.when(F.col("domain") == "acme.com", "Brand#2").otherwise("Brand#17"))
+    return merge.merge_colors(own, merge.record_colors(records))
 
 
-@query(f"""WITH {_PALETTE}, {X.cte('edits', ('site', 'hex', 'new_hex', 'new_role', 'hidden'), X.COLOUR_EDITS)}
-SELECT p.site AS report, p.rank AS ord, coalesce(new_hex, p.hex) AS hex, coalesce(new_role, p.role) AS role, coalesce(new_hex, new_role) IS NOT NULL AS user_edited
-FROM palette p LEFT JOIN edits e ON p.site = e.site AND lower(p.hex) = lower(e.hex) WHERE NOT coalesce(hidden, false)""")
+@query(f"""WITH {_PALETTE}, e AS (SELECT DISTINCT site, lower(hex) AS h, ascii(substr(lower(hex), 3, 1)) % 4 AS k FROM palette)
+SELECT p.site AS report, p.rank AS ord, CASE WHEN k = 0 THEN '#101010' ELSE p.hex END AS hex, CASE WHEN k = 1 THEN 'text' ELSE p.role END AS role, coalesce(k IN (0, 1), false) AS user_edited FROM palette p JOIN e ON p.site = e.site AND lower(p.hex) = e.h WHERE k <> 2""")
 def edited_colours(spark, d):
-    edits = spark.createDataFrame(X.COLOUR_EDITS, "report string, hex string, new_hex string, new_role string, hidden boolean")
-    own = _palette(spark).select(F.col("site").alias("report"), F.col("rank").alias("ord"), "hex", "role")
+    """A brand's colours edited by their second digit: recoloured, given another role, hidden, left as they are."""
+    own = _palette(spark, d).select(F.col("site").alias("report"), F.col("rank").alias("ord"), "hex", "role")
+    k = F.ascii(F.substring(F.lower("hex"), 3, 1)) % 4
+    edits = own.select("report", F.lower("hex").alias("hex"), F.when(k == 0, "#101010").alias("new_hex"), F.when(k == 1, "text").alias("new_role"), (k == 2).alias("hidden")).distinct()
     return merge.apply_color_edits(own, edits).drop("rgb")
 
 
@@ -546,9 +694,12 @@ def cached_reports(spark, d):
     return state.cached_reports(_reports(spark, d), _now(spark, d)).select("site", "id", "created_at")
 
 
-@query(f"WITH {_REPORTS}, f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, id DESC) AS k FROM r, n WHERE status NOT IN ('completed', 'failed') AND epoch(now) - epoch(created_at) < 90) SELECT site, id FROM f WHERE k = 1")
+@query(f"WITH {_REPORTS}, f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY created_at DESC, id DESC) AS k FROM r, n WHERE status NOT IN ('completed', 'failed') AND id % 200 < 90) SELECT site, id FROM f WHERE k = 1")
 def live_jobs(spark, d):
-    return state.in_flight(_reports(spark, d), _now(spark, d)).select("site", "id")
+    """Jobs last heard of up to 199 seconds ago."""
+    now = _now(spark, d)
+    beats = _reports(spark, d).withColumn("heartbeat_at", F.timestamp_micros(F.unix_micros(now.cast("timestamp")) - F.col("id") % 200 * 1_000_000))
+    return state.in_flight(beats, now).select("site", "id")
 
 
 @query(f"WITH {_REPORTS} SELECT is_public, count(*) AS n_kept FROM r, n WHERE epoch(now) - epoch(created_at) <= CASE WHEN is_public THEN 180 ELSE 30 END * 86400 GROUP BY is_public")
