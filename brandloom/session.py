@@ -18,6 +18,7 @@ def get_spark(app: str = "brandloom", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     } | conf
     for key, value in settings.items():
@@ -35,15 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write `df` to the shared checkpoint folder now and read it from there from now on.
 
-    Spark's cleaner frees the files of frames that nobody holds any more when the driver collects garbage.
+    Spark's cleaner frees the shuffle files of frames that nobody holds any more when the driver collects garbage, which a driver with
+    a free heap does every 30 minutes only. Operators with many passes ask for it with `free`, lest the files of all passes pile up.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if free:
+        context._jvm.System.gc()
+    return kept
 
 
 def write_down(df: DataFrame) -> DataFrame:
