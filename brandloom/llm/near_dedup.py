@@ -31,9 +31,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut, small_batches
+from ..session import cut as _cut, small_batches
 from .shingles import mix64, shingle_set, shingle_sets
 
+#: Many passes follow each other here: the shuffle files of each are freed at the next cut.
+cut = functools.partial(_cut, free=True)
+
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
