@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, exact_dedup, filter_audit, licenses, media, mixing, near_dedup, sampled_segmentation, sharding, substring_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, filter_audit, licenses, media, mixing, near_dedup, prefix_trie, sampled_segmentation, sharding, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +63,17 @@ def op12_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_sampled_segmentation, op3_substring_dedup, op4_exact_dedup, op5_media_columns,
         op6_token_counts, op7_chat_format, op8_near_dedup, op9_license_scan, op10_source_mix,
-        op11_filter_audit, op12_sharding,
+        op11_filter_audit, op12_sharding, op13_prefix_trie,
     )
 }
 
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op10_source_mix": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_sharding": sharding.ORACLE}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op10_source_mix": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_sharding": sharding.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
