@@ -11,6 +11,8 @@ from .url import canonical, normalised, sites_match
 
 # Bounds on what is kept of a page.
 MAX_TEXT, MAX_ATTRIBUTES, MAX_HREFS, MAX_HREF, MAX_FOOTER = 200_000, 50_000, 5_000, 2_048, 2_000
+#: Levels of a page's tree.
+MAX_TREE = 512
 #: Bounds of the search for logos only.
 MAX_NODES, MAX_DEPTH = 100_000, 256
 MAX_IMAGES, MAX_SVGS, MAX_LINKS, MAX_ANCESTORS = 300, 100, 200, 12
@@ -211,6 +213,30 @@ def _addresses_of(item, depth: int) -> list[str]:
     return found
 
 
+def tree_of(html: str) -> list[dict]:
+    """Every element with its place among the others; below MAX_TREE levels elements stand beside each other, as in browsers."""
+    doc = Document(html)
+    number, above = {}, {}
+    out, count, typed, last = [], {}, {}, {}
+    for n in doc.nodes:
+        up = n.parent
+        while up is not None and len(above[up]) >= MAX_TREE - 1:
+            up = up.parent
+        i = number[n] = len(out)
+        above[n] = [number[up], *above[up]] if up is not None else []
+        at = number[up] if up is not None else None
+        count[at] = count.get(at, 0) + 1
+        typed[at, n.tag] = typed.get((at, n.tag), 0) + 1
+        out.append({
+            "el": i, "parent": at, "prev": last.get(at) if up is not None else None, "above": above[n], "tag": n.tag, "id": n.attrs.get("id") or None, "classes": list(dict.fromkeys(_classes(n))),
+            "attrs": n.attrs, "nth": count[at], "nth_typed": typed[at, n.tag], "has_text": doc.dense(n) > 0,
+        })
+        last[at] = i
+    for e in out:
+        e["n_nth"], e["n_typed"] = count[e["parent"]], typed[e["parent"], e["tag"]]
+    return out
+
+
 def _marks(doc: Document, url: str) -> list[dict]:
     """Features of each image and inline drawing that may be the site's logo."""
     walked = [n for n in doc.nodes if n.depth <= MAX_DEPTH][:MAX_NODES]

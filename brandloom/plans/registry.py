@@ -14,22 +14,7 @@ from ..sources.tables import table
 from ..streaming import state
 from . import fixtures as X
 from .analysis import analyse
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL where there is one."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
+from .catalog import ORACLES, QUERIES, query  # noqa: F401
 
 # Pages -------------------------------------------------------------------------------------------------------------
 
@@ -729,3 +714,6 @@ def request_slots(spark, d):
 def crawl_progress(spark, d):
     rows = table(spark, d, "events").select("event_id", (F.floor("value").cast("int") % 30).alias("done"), (F.floor("value").cast("int") % 40 + 1).alias("found"))
     return rows.select("event_id", crawl.progress(F.col("done"), F.col("found")).alias("percent"))
+
+
+from . import rendered  # noqa: E402, F401  (registers its queries)
