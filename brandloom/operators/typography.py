@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fonts as N, text as T
+from ..session import cut
+from . import cascade
 
 MAX_FONTS = 10
 ENTRY = ("site", "ord", "name", "role", "variants", "confidence", "google_url", "context")
@@ -15,11 +17,71 @@ def _squeezed(c: Column) -> Column:
 
 
 def count_elements(elements: DataFrame) -> DataFrame:
-    """elements(site, page_ord, font, weight, is_heading) -> site, font, headings, body, weights: the scan's counts, of the first page that has any."""
+    """elements(site, page_ord, el, font, weight, is_heading) -> site, page_ord, font, ord, headings, body, weights: the scan's counts, of the first page that has any.
+
+    Fonts come in the order of their first heading, then of their first other element; weights in the order of their first element.
+    """
     first = elements.withColumn("_p", F.min("page_ord").over(Window.partitionBy("site"))).filter("page_ord = _p")
-    return first.groupBy("site", "font").agg(
-        F.sum(F.col("is_heading").cast("int")).alias("headings"), F.sum((~F.col("is_heading")).cast("int")).alias("body"), F.sort_array(F.collect_set("weight")).alias("weights")
+    each = first.groupBy("site", "page_ord", "font", "weight").agg(
+        F.sum(F.col("is_heading").cast("int")).alias("headings"), F.sum((~F.col("is_heading")).cast("int")).alias("body"), F.min("el").alias("el"), F.min(F.when(F.col("is_heading"), F.col("el"))).alias("h")
+    )
+    fonts = each.groupBy("site", "page_ord", "font").agg(
+        F.sum("headings").cast("int").alias("headings"), F.sum("body").cast("int").alias("body"), F.transform(F.array_sort(F.collect_list(F.struct("el", "weight"))), lambda x: x["weight"]).alias("weights"),
+        F.min("el").alias("el"), F.min("h").alias("h"),
+    )
+    place = F.row_number().over(Window.partitionBy("site").orderBy(F.col("h").asc_nulls_last(), "el"))
+    return fonts.select("site", "page_ord", "font", (place - 1).alias("ord"), "headings", "body", "weights", "el", "h")
+
+
+def available_fonts(elements: DataFrame, rules: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Fonts that a page loads: site, page_ord, ord, name, source, url, weights; Google links, imports, @font-face rules and Adobe kits, each name of a source once."""
+    at = ("site", "page_ord")
+    hrefs = elements.select(*at, "el", "tag", F.col("attrs")["href"].alias("href"), F.col("attrs")["src"].alias("src"))
+    linked = hrefs.filter((F.col("tag") == "link") & F.col("href").contains("fonts.googleapis.com")).select(*at, "el", "href", F.posexplode(N.google_families("href")).alias("i", "f"))
+    links = linked.select(*at, F.struct(F.lit(0).alias("kind"), F.col("el").alias("a"), F.col("i").alias("b")).alias("place"), F.col("f.name").alias("name"), F.lit("google").alias("source"), F.col("href").alias("url"), F.col("f.weights").alias("weights"))
+    calls = sheets.select(*at, "css_ord", F.posexplode(F.regexp_extract_all("css", F.lit(r"@import[^;]*fonts\.googleapis\.com[^;]*"), F.lit(0))).alias("i", "call"))
+    named = F.trim(F.regexp_replace(F.try_url_decode(F.regexp_extract("call", r"family=([^&:'\")]+)", 1)), r"\+", " "))
+    imported = calls.select(*at, F.struct(F.lit(1).alias("kind"), F.col("css_ord").alias("a"), F.col("i").alias("b")).alias("place"), named.alias("name"), F.lit("google").alias("source"), F.lit(None).cast("string").alias("url"), F.array(F.lit("400")).alias("weights")).filter("name <> ''")
+    said = lambda p: F.try_element_at(F.filter("declared", lambda d: d["property"] == p), F.lit(-1))["value"]
+    family = F.trim(F.regexp_replace(F.coalesce(said("font-family"), F.lit("")), "['\"]", ""))
+    from_file = N.name_from_path(F.regexp_extract(said("src"), r"""url\(['"]*([^'")]+)['"]*\)""", 1))
+    face = F.when((family == "") | N.is_system_font(family), F.coalesce(from_file, family)).otherwise(family)
+    faces = rules.filter("faces").select(*at, F.struct(F.lit(2).alias("kind"), F.col("css_ord").alias("a"), F.col("pos").alias("b")).alias("place"), face.alias("name"), F.lit("fontface").alias("source"), F.lit(None).cast("string").alias("url"), F.array(F.coalesce(said("font-weight"), F.lit("400"))).alias("weights")).filter("name <> ''")
+    kit_url = F.coalesce(F.when(F.col("tag") == "link", F.col("href")), F.when(F.col("tag") == "script", F.col("src")))
+    kits = hrefs.withColumn("kit", kit_url).filter(F.col("kit").contains("use.typekit.net")).groupBy(*at).agg(F.min_by("kit", F.struct((F.col("tag") == "script").alias("late"), F.col("el"))).alias("url"))
+    kit_id = F.regexp_extract("url", r"(?i)use\.typekit\.net/([a-z0-9]+)", 1)
+    kit_name = F.when(kit_id != "", F.concat(F.lit("Adobe Fonts (Kit: "), kit_id, F.lit(")"))).otherwise("Adobe Fonts (Typekit)")
+    adobe = kits.select(*at, F.struct(F.lit(3).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("place"), kit_name.alias("name"), F.lit("adobe").alias("source"), "url", F.lit(None).cast("array<string>").alias("weights"))
+    every = links.unionByName(imported).unionByName(faces).unionByName(adobe).filter(~N.is_icon_font("name"))
+    once = every.groupBy(*at, "source", F.lower("name").alias("_key")).agg(
+        F.min("place").alias("place"), F.min_by("name", "place").alias("name"), F.min_by("url", "place").alias("url"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "weights"))), lambda x: x["weights"]))).alias("weights")
+    )
+    ranked = F.row_number().over(Window.partitionBy(*at).orderBy("place"))
+    return once.select(*at, (ranked - 1).alias("ord"), "name", "source", "url", F.when(F.size("weights") > 0, F.col("weights")).alias("weights"))
+
+
+def scan_elements(elements: DataFrame, rules: DataFrame, sheets: DataFrame, max_scan: int = cascade.MAX_SCAN) -> DataFrame:
+    """Font entries of each site from the computed styles of its first page with text; the cascade stands in for a browser.
+
+    elements and rules as cascade.page_elements and cascade.page_rules give them, sheets(site, page_ord, css_ord, css). Confidence is the share of the page's text elements that are seen and say something.
+    """
+    variables = cascade.root_variables(rules)
+    styles = cut(cascade.text_styles(elements, rules, variables, max_scan))
+    counted = styles.filter((F.col("font") != "") & ~N.has_unresolved_var("font") & ~N.is_icon_font("font"))
+    counts = cut(count_elements(counted))
+    chosen = counts.select("site", "page_ord").distinct()
+    most = lambda n, place: F.max_by("font", F.when(F.col(n) > 0, F.struct(F.col(n).alias("n"), (-F.col(place)).alias("place"))))
+    # first seen among headings, or among the others
+    bodies = counted.filter(~F.col("is_heading")).groupBy("site", "page_ord", "font").agg(F.min("el").alias("b"))
+    leads = counts.join(bodies, ["site", "page_ord", "font"], "left").groupBy("site", "page_ord").agg(most("body", "b").alias("primary_body"), most("headings", "h").alias("primary_heading"))
+    asked = elements.filter(F.col("tag").isin(*cascade.TEXT_TAGS)).groupBy("site", "page_ord").agg(F.least(F.count("*"), F.lit(max_scan)).alias("n_asked"))
+    seen = styles.groupBy("site", "page_ord").agg(F.count("*").alias("n_seen"))
+    share = F.least(F.lit(100), F.floor(F.col("n_seen") / F.col("n_asked") * 100 + 0.5)).cast("int")
+    stats = leads.join(asked, ["site", "page_ord"]).join(seen, ["site", "page_ord"]).join(variables, ["site", "page_ord"], "left").select(
+        "site", share.alias("confidence"), "primary_body", "primary_heading", F.coalesce("variables", F.create_map().cast("map<string,string>")).alias("variables")
     )
+    available = available_fonts(elements, rules, sheets).join(chosen, ["site", "page_ord"], "left_semi")
+    return from_scan(counts.select("site", "font", "ord", "headings", "body", "weights"), available.select("site", "ord", "name", "source", "url", "weights"), stats)
 
 
 def from_scan(counts: DataFrame, available: DataFrame, stats: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import url as U
-from ..operators import cascade
+from ..operators import cascade, typography
 from ..session import cut
 from ..sources.tables import table
 from .catalog import query
@@ -55,3 +55,20 @@ def text_styles(spark, d):
     rules = cut(cascade.page_rules(_sheets(pages)))
     styles = cascade.text_styles(cut(cascade.page_elements(pages)), rules, cascade.root_variables(rules))
     return styles.groupBy(F.col("page_ord").cast("long").alias("page_id"), "site", "tag", "font", "weight", "is_heading").agg(F.count("*").alias("n_elements"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_SITE} AS site, html, p_name, p_brand, (p_size % 8 + 1) * 100 AS base FROM pages JOIN part ON page_id % 100 = p_partkey),
+f AS (SELECT * FROM p QUALIFY page_id = min(page_id) OVER (PARTITION BY site)),
+c AS (SELECT *, {_COUNT('li')} AS li, {_COUNT('a')} AS a, {_COUNT('div')} AS d, {_COUNT('p')} AS n_p, {_COUNT('b')} AS b FROM f),
+e AS (SELECT site, 1 AS place, p_name AS name, li AS n, 0 AS h, [CAST(base AS VARCHAR)] AS weights FROM c UNION ALL SELECT site, 2, p_brand || ' Sans', a, 0, ['200'] FROM c
+  UNION ALL SELECT site, 3, 'Advert', d, 0, [CAST(CASE WHEN base < 350 THEN 400 WHEN base < 550 THEN 700 ELSE 900 END AS VARCHAR)] FROM c UNION ALL SELECT site, 4, p_brand, n_p, 0, CASE WHEN base = 300 OR n_p = 1 THEN ['300'] ELSE ['300', CAST(base AS VARCHAR)] END FROM c
+  UNION ALL SELECT site, 5, 'Bold Face', b, 0, ['700'] FROM c UNION ALL SELECT site, 0, 'Display', 0, 1, ['700'] FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, place) AS k FROM e WHERE n + h > 0),
+l AS (SELECT site, name, weights, place, CASE WHEN k = 1 THEN 'primary' WHEN h > 0 THEN 'heading' WHEN n > 10 THEN 'primary' ELSE 'secondary' END AS role, CASE WHEN k = 1 OR h > 0 THEN 98 ELSE least(90, 50 + n) END AS confidence, CASE WHEN k = 1 THEN -2 WHEN h > 0 THEN -1 ELSE place END AS ord FROM r)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY list_position(['primary', 'heading', 'button', 'accent', 'secondary'], role), confidence DESC, ord) AS rank, name, role, array_to_string(weights, ',') AS variants, CAST(confidence AS INT) AS confidence FROM l""")
+def scanned_fonts(spark, d):
+    """Each site's ranked fonts from the computed styles of its first page."""
+    pages = cut(_pages(spark, d))
+    sheets = _sheets(pages)
+    entries = typography.scan_elements(cut(cascade.page_elements(pages)), cut(cascade.page_rules(sheets)), sheets)
+    return typography.final_fonts(cut(entries)).select("site", F.col("rank").cast("long").alias("rank"), "name", "role", F.array_join("variants", ",").alias("variants"), "confidence")
