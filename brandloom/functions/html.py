@@ -142,7 +142,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
             if sites_match(tidy, url):
                 links[tidy] = None
 
-    ctas, attribute_text, structured, blocks = [], [], [], []
+    ctas, attribute_text, structured, written, blocks = [], [], [], [], []
     for n in nodes:
         c = _classes(n)
         if n.tag == "button" or n.attrs.get("role") == "button" or "cta" in c or "btn" in c or n.tag == "a" and "button" in c or n.tag == "input" and n.attrs.get("type") == "submit":
@@ -152,6 +152,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
         if "placeholder" in n.attrs or "aria-label" in n.attrs or "title" in n.attrs or n.tag == "img" and "alt" in n.attrs or n.tag == "button" and "value" in n.attrs or n.tag == "input" and n.attrs.get("type") == "submit" and "value" in n.attrs:
             attribute_text += [n.attrs[k] for k in ("placeholder", "aria-label", "title", "alt", "value") if n.attrs.get(k)]
         if n.tag == "script" and n.attrs.get("type") == "application/ld+json":
+            written.append(doc.text(n))
             try:
                 parsed = json.loads(doc.text(n))
             except ValueError:
@@ -184,6 +185,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
         "cta_buttons": ctas,
         "footer": "".join(doc.text(n) for n in nodes if n.tag == "footer").strip()[:MAX_FOOTER],
         "schema_data": [json.dumps(x, ensure_ascii=False) for x in structured],
+        "schema_blocks": written,
         "address_blocks": blocks,
         "visible_text": _squeezed(visible)[:MAX_TEXT],
         "attribute_text": _squeezed(" ".join(attribute_text))[:MAX_ATTRIBUTES],

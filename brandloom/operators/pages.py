@@ -14,7 +14,7 @@ _PAIR = "struct<src:string,alt:string>"
 PARSED = (
     "title string, description string, keywords array<string>, og map<string,string>, twitter map<string,string>, app_name string, logo_meta string, "
     f"headings array<struct<level:int,text:string>>, links array<string>, images array<{_PAIR}>, css_urls array<string>, inline_css array<string>, "
-    "nav_labels array<string>, cta_buttons array<string>, footer string, schema_data array<string>, address_blocks array<string>, visible_text string, "
+    "nav_labels array<string>, cta_buttons array<string>, footer string, schema_data array<string>, schema_blocks array<string>, address_blocks array<string>, visible_text string, "
     "attribute_text string, anchor_hrefs array<string>, all_hrefs array<string>, icons array<struct<rel:string,href:string,sizes:string>>, "
     "marks array<struct<kind:string,src:string,context:string,name:string,own:string,home_link:boolean,in_chrome:boolean,hidden:boolean>>"
 )

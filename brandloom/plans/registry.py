@@ -716,4 +716,4 @@ def crawl_progress(spark, d):
     return rows.select("event_id", crawl.progress(F.col("done"), F.col("found")).alias("percent"))
 
 
-from . import rendered  # noqa: E402, F401  (registers its queries)
+from . import rendered, structured_data  # noqa: E402, F401  (they register their queries)
