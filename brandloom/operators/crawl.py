@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import url as U
@@ -99,29 +102,109 @@ def next_level(links: DataFrame, seen: DataFrame, taken: DataFrame, limit: int =
     return ranked.join(taken, "site", "left").filter(F.col("_n") <= left).select("site", "url", F.col("_n").alias("ord"))
 
 
-def crawl(starts: DataFrame, corpus: DataFrame, rules: DataFrame | None = None, seeds: DataFrame | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PAGES) -> DataFrame:
-    """starts(site, url) over corpus(url, links array) -> site, depth, ord, url of the pages visited, level by level.
-
-    The start page comes first, then `seeds` and its links at depth 1, and so on; robots rules and the page limit hold per site.
+VISIT = "site string, ord int, depth int, url string, outcome string"
+
+
+def _facts(wanted: DataFrame, corpus: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """wanted(site, url) + links, final_url (null: no such page), allowed, class (0: worth a visit first)."""
+    found = wanted.join(corpus, "url", "left").withColumn("path", U.path("url"))
+    found = found.withColumn("allowed", F.lit(True)) if rules is None else allowed_urls(found, rules)
+    return found.withColumn("class", F.when(U.is_priority_path(F.col("path")), 0).otherwise(1)).drop("path")
+
+
+def _pushes(pages: DataFrame, origins: DataFrame) -> DataFrame:
+    """The links that a page would push: site, src, k, url; those of the site, the first of each url."""
+    read = pages.filter("allowed and final_url is not null").join(origins, "site").filter(U.same_site("final_url", "origin"))
+    rows = read.select("site", "origin", F.col("url").alias("src"), F.posexplode("links").alias("k", "link")).withColumn("url", U.normalise_url("link")).filter(U.same_site("url", "origin"))
+    return rows.groupBy("site", "src", "url").agg(F.min("k").alias("k"))
+
+
+def _replay(limit: int, depth: int):
+    """One site's crawl: a queue that is sorted again, priority paths first, after every page's links are pushed; robots rules and the page itself are looked at on pop."""
+
+    def run(key, nodes, edges):
+        facts = {u: (f, a, c, same) for u, f, a, c, same in zip(*(nodes.column(x).to_pylist() for x in ("url", "final_url", "allowed", "class", "same")))}
+        start = next((u for u, first in zip(nodes.column("url").to_pylist(), nodes.column("first").to_pylist()) if first), None)
+        pushed: dict = {}
+        for src, _, url in sorted(zip(*(edges.column(x).to_pylist() for x in ("src", "k", "url"))), key=lambda e: (e[0] or "", e[1])):
+            pushed.setdefault(src or "", []).append(url)
+        queue, known, done, kept, out = [], set(), set(), 0, []
+
+        def push(urls, level):
+            for url in urls:
+                if url not in known and url not in done:
+                    known.add(url)
+                    heapq.heappush(queue, (facts[url][2], len(known), url, level))
+
+        def visit(url, level):
+            final, allowed, _, same = facts[url]
+            done.add(url)
+            if not allowed or final is None:
+                return "blocked" if not allowed else "failed"
+            if not same:
+                return "off site"
+            if final != url and final in done:
+                return "known"
+            done.add(final)
+            if level < depth:
+                push(pushed.get(url, ()), level + 1)
+            return "visited"
+
+        turns = [(start, 0)] if start is not None else []
+        while turns or queue:
+            if kept >= limit:
+                break
+            url, level = turns.pop() if turns else heapq.heappop(queue)[2:]
+            if level and url in done:
+                continue
+            known.add(url)
+            outcome = visit(url, level)
+            kept += outcome == "visited"
+            out.append((key[0].as_py(), len(out) + 1, level, url, outcome))
+            if not level:
+                push(pushed.get("", ()), 1)
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.table({f.split()[0]: pa.array(c, t) for f, c, t in zip(VISIT.split(", "), columns, kinds)})
+
+    return run
+
+
+def visits(starts: DataFrame, corpus: DataFrame, rules: DataFrame | None = None, seeds: DataFrame | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PAGES) -> DataFrame:
+    """starts(site, url) over corpus(url, links array, optional final_url) -> VISIT: every url that a crawler with one worker takes from its queue, in order.
+
+    The start page comes first, its links and then `seeds(site, ord, url)` are pushed at depth 1, and so on until `limit` pages are kept. An outcome is visited, blocked (robots), failed (no such page),
+    known (a redirect to a page that is there) or off site. A site's replay gets the facts of urls within reach, not the site: pages of depth 1 open in the order of their push, priority paths among themselves and the others among themselves, and at
+    most `limit` are kept besides as many that were known, so of each kind the links of the first 2 * limit + 1 pages can matter, and no others are read.
     """
-    def visited(level: DataFrame, d: int) -> DataFrame:
-        rows = level.withColumn("path", U.path("url"))
-        rows = rows if rules is None else allowed_urls(rows, rules).filter("allowed")
-        return rows.join(corpus, "url").select("site", F.lit(d).alias("depth"), "ord", "url", "links")
-
-    got = cut(visited(starts.select("site", "url", F.lit(1).alias("ord")), 0))
-    seen = starts.select("site", "url")
-    level = got
+    pages = corpus.select(U.normalise_url("url").alias("url"), F.coalesce(U.normalise_url("final_url"), U.normalise_url("url")).alias("final_url") if "final_url" in corpus.columns else U.normalise_url("url").alias("final_url"), "links")
+    first = cut(_facts(starts.select("site", U.normalise_url("url").alias("url")), pages, rules))
+    origins = first.select("site", F.coalesce(F.when(F.col("allowed"), F.col("final_url")), F.col("url")).alias("origin"))
+    edges = _pushes(first, origins)
+    if seeds is not None:
+        edges = edges.unionByName(seeds.select("site", F.lit(None).cast("string").alias("src"), U.normalise_url("url").alias("url"), F.col("ord").cast("int").alias("k")))
+    edges = level = cut(edges)
+    known = first.withColumn("first", F.lit(True))
     for d in range(1, depth + 1):
-        links = level.select("site", F.col("ord"), F.posexplode("links").alias("k", "link")).select("site", (F.col("ord") * 10_000 + F.col("k")).cast("long").alias("seq"), U.normalise_url("link").alias("url"))
-        if d == 1 and seeds is not None:
-            links = links.unionByName(seeds.select("site", (F.col("ord") - 1_000_000).cast("long").alias("seq"), U.normalise_url("url").alias("url")))
-        links = links.filter(U.strip_www(U.host("url")) == F.col("site"))
-        chosen = next_level(links, seen, got.groupBy("site").agg(F.count("*").alias("n_taken")), limit)
-        level = cut(visited(chosen, d))
-        seen = cut(seen.unionByName(chosen.select("site", "url")).distinct())
-        got = cut(got.unionByName(level))
-    return got.drop("links")
+        new = level.groupBy("site", "url").agg(F.min(F.struct(F.col("src").isNull().alias("late"), F.col("k"))).alias("at")).join(known.select("site", "url"), ["site", "url"], "left_anti")
+        facts = _facts(new, pages if d < depth else pages.drop("links"), rules)
+        if d < depth:
+            facts = cut(facts)
+            kind = ["site", "class"]
+            opens = facts.filter("allowed and final_url is not null").join(origins, "site").filter(U.same_site("final_url", "origin")).drop("origin")
+            opens = opens.withColumn("_new", (F.row_number().over(Window.partitionBy(*kind, "final_url").orderBy("at", "url")) == 1).cast("int"))
+            before = Window.partitionBy(*kind).orderBy("at", "url").rowsBetween(Window.unboundedPreceding, -1)
+            opens = opens.withColumn("_before", F.coalesce(F.sum("_new").over(before), F.lit(0)))
+            level = cut(_pushes(opens.filter(F.col("_before") <= 2 * limit) if d == 1 else opens, origins))
+            edges = edges.unionByName(level)
+        known = known.select("site", "url", "final_url", "allowed", "class", "first").unionByName(facts.select("site", "url", "final_url", "allowed", "class", F.lit(False).alias("first")))
+    nodes = known.join(origins, "site").withColumn("same", U.same_site("final_url", "origin")).select("site", "url", "final_url", "allowed", "class", "same", "first")
+    return nodes.groupBy("site").cogroup(edges.select(F.col("site").alias("edge_site"), "src", "k", "url").groupBy("edge_site")).applyInArrow(_replay(limit, depth), VISIT)
+
+
+def crawl(starts: DataFrame, corpus: DataFrame, rules: DataFrame | None = None, seeds: DataFrame | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PAGES) -> DataFrame:
+    """The pages that `visits` keeps: site, depth, ord, url."""
+    return visits(starts, corpus, rules, seeds, depth, limit).filter("outcome = 'visited'").select("site", "depth", "ord", "url")
 
 
 def start_slots(requests: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
