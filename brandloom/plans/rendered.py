@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import url as U
-from ..operators import cascade, typography
+from ..operators import areas, cascade, colors, typography
 from ..session import cut
 from ..sources.tables import table
 from .catalog import query
@@ -72,3 +72,53 @@ def scanned_fonts(spark, d):
     sheets = _sheets(pages)
     entries = typography.scan_elements(cut(cascade.page_elements(pages)), cut(cascade.page_rules(sheets)), sheets)
     return typography.final_fonts(cut(entries)).select("site", F.col("rank").cast("long").alias("rank"), "name", "role", F.array_join("variants", ",").alias("variants"), "confidence")
+
+
+#: Line items as boxes of a page: an order's items lie on page l_orderkey % 40 of their supplier's site.
+_TAGS = ("button", "div", "a", "path", "p", "span", "input", "section", "circle", "body", "html")
+_STYLES = ("solid", "none", "dashed", "hidden")
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(*[F.col(f"l_{c}").alias(c) for c in ("orderkey", "partkey", "suppkey", "linenumber", "quantity")])
+    o, p, s, n, q = (F.col(c) for c in ("orderkey", "partkey", "suppkey", "linenumber", "quantity"))
+    nth = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    rgb = lambda r, g, b: F.concat(F.lit("rgb("), r.cast("string"), F.lit(", "), g.cast("string"), F.lit(", "), b.cast("string"), F.lit(")"))
+    shade = lambda k: rgb(k % 4 * 60, k % 3 * 100, k % 2 * 200)
+    background = F.when(p % 7 == 0, "rgba(0, 0, 0, 0)").when(p % 7 == 1, "#ABC").when(p % 7 == 2, "rgba(9, 9, 9, 0.4)").when(p % 7 == 3, "hsl(220deg 80% 50%)").otherwise(shade(p))
+    side = lambda name, k: F.struct(F.lit(name).alias("side"), (k % 3).cast("double").alias("width"), nth(_STYLES, k).alias("style"), shade(s + k).alias("color"))
+    return li.select(
+        F.concat(F.lit("s"), (s % 5).cast("string"), F.lit(".org")).alias("site"), (o % 40).cast("int").alias("page_ord"), F.lit("u").alias("page_url"), (o * 8 + n).cast("int").alias("el"),
+        ((p * 37 % 110 - 10) * 20).cast("double").alias("left"), (s * 91 % 3000 - 500).cast("double").alias("top"), (q * 20 - 20).cast("double").alias("width"), (n * 64).cast("double").alias("height"),
+        nth(_TAGS, p).alias("tag"), F.when(s % 9 == 0, "button").alias("role"), F.when(s % 2 == 0, "SUBMIT").otherwise("text").alias("input_type"), (o % 13 == 0).alias("hidden"), (o % 3 == 0).alias("brand_slot"),
+        background.alias("background"), shade(n).alias("color"), shade(o).alias("fill"), F.when(s % 4 > 0, (s % 4 * 8).cast("double")).alias("font_size"), (p % 6 * 16).cast("int").alias("text_len"),
+        F.array(side("top", p), side("right", o), side("bottom", n), side("left", s)).alias("borders"),
+    )
+
+
+_SHADE = lambda k: f"'#' || lower(lpad(to_hex({k} % 4 * 60), 2, '0') || lpad(to_hex({k} % 3 * 100), 2, '0') || lpad(to_hex({k} % 2 * 200), 2, '0'))"
+_BOXES = f"""b AS (SELECT 's' || (s % 5) || '.org' AS site, CAST(o % 40 AS INT) AS page_ord, o * 8 + n AS el, (p * 37 % 110 - 10) * 20.0::DOUBLE AS x, (s * 91 % 3000 - 500)::DOUBLE AS y, q * 20 - 20 AS w, n * 64.0::DOUBLE AS h,
+  [{', '.join(repr(t) for t in _TAGS)}][p % {len(_TAGS)} + 1] AS tag, s, o, n, p, CASE p % 7 WHEN 0 THEN NULL WHEN 1 THEN '#aabbcc' WHEN 2 THEN NULL WHEN 3 THEN '#195ee6' ELSE {_SHADE('p')} END AS bg FROM (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber::BIGINT AS n, l_quantity AS q FROM lineitem)),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, page_ord ORDER BY el) AS nth FROM b WHERE tag NOT IN ('html', 'body')),
+c AS (SELECT *, least(1920, x + w) - greatest(0, x) AS cw, least(2160, y + h) - greatest(0, y) AS ch FROM r WHERE nth <= 4000 AND w > 0 AND o % 13 <> 0),
+k AS (SELECT *, cw * ch AS clipped, cw * ch / (w * h) AS shown, CASE WHEN s % 4 > 0 THEN s % 4 * 8 ELSE 16 END AS fs FROM c WHERE cw > 0 AND ch > 0),
+a AS (SELECT site, page_ord, {_SHADE('o')} AS hex, clipped * CASE WHEN o % 3 = 0 THEN 2 ELSE 0.15::DOUBLE END AS px FROM k WHERE tag IN ('path', 'circle')
+  UNION ALL SELECT site, page_ord, bg, clipped * CASE WHEN tag = 'button' OR s % 9 = 0 OR tag = 'input' AND s % 2 = 0 OR tag = 'a' AND p % 7 <> 0 THEN 4 ELSE 1 END FROM k WHERE tag NOT IN ('path', 'circle')
+  UNION ALL SELECT site, page_ord, {_SHADE('n')}, least(p % 6 * 16 * fs * fs * 0.5::DOUBLE * shown, clipped) FROM k WHERE tag NOT IN ('path', 'circle')
+  {' '.join(f"UNION ALL SELECT site, page_ord, {_SHADE(f'(s + {c})')}, {edge} * ({c} % 3) FROM k WHERE tag NOT IN ('path', 'circle') AND {c} % 4 IN (0, 2)" for c, edge in (('p', 'cw'), ('o', 'ch'), ('n', 'cw'), ('s', 'ch')))}
+  UNION ALL SELECT site, page_ord, coalesce(arg_min(bg, el) FILTER (tag = 'body' AND el = eb), arg_min(bg, el) FILTER (tag = 'html' AND el = eh)), 1920.0::DOUBLE * 2160
+    FROM (SELECT *, min(el) FILTER (tag = 'body') OVER w AS eb, min(el) FILTER (tag = 'html') OVER w AS eh FROM b WINDOW w AS (PARTITION BY site, page_ord)) WHERE tag IN ('body', 'html') GROUP BY site, page_ord),
+area AS (SELECT site, page_ord, hex, CAST(floor(sum(px) + 0.5) AS BIGINT) AS px FROM a WHERE hex IS NOT NULL AND px > 0 GROUP BY site, page_ord, hex)"""
+
+
+@query(f"WITH {_BOXES} SELECT site, page_ord, hex, px FROM area WHERE px > 0")
+def painted_areas(spark, d):
+    """Pixels of each colour on the first two screens of each page."""
+    return areas.painted_areas(_boxes(spark, d)).select("site", "page_ord", "hex", "px")
+
+
+@query(f"WITH {_BOXES}, t AS (SELECT site, hex, CAST(sum(px) AS DOUBLE) AS area FROM area WHERE hex NOT IN ('#0000ee', '#551a8b', '#ee0000') GROUP BY site, hex) SELECT site, hex, area, area > 0 AS has_areas FROM t")
+def area_signals(spark, d):
+    """Colour signals of sites by painted area alone: areas joined to no declarations."""
+    none = colors.colour_uses(spark.createDataFrame([], "site string, page_ord int, page_url string, css_ord int, pos int, selector string, property string, value string"), spark.createDataFrame([], "site string, variables map<string,string>"))
+    return colors.signals(none, areas.painted_areas(_boxes(spark, d))).select("site", "hex", "area", "has_areas")
