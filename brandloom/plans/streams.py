@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut, drop_folder, shared_dir
 from ..sources.tables import table
-from ..streaming import ordered
+from ..streaming import ordered, progress
 from .catalog import query
 
 
@@ -40,3 +43,51 @@ SELECT k.id, key, strftime(day, '%Y-%m-%d') AS day, coalesce(rd <= 50, false) AS
 def quota_admission_stream(spark, d):
     """Daily quotas by key and for everyone over the requests as a stream, as far as the watermark has come."""
     return ordered.run_to_end(_requests(spark, d), ordered.admit_all_stream)
+
+
+def _updates(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a job's writes: each tells how a section of a report's version went; weeks are versions."""
+    events = table(spark, d, "events")
+    section = F.element_at(F.array(*[F.lit(s) for s in progress.SECTIONS]), (F.col("event_id") * 7 % 12 + 1).cast("int"))
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running").otherwise("done")
+    return events.select(
+        F.concat(F.lit("r"), (F.col("user_id") % 20).cast("string")).alias("report"), section.alias("section"), F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 7).cast("long").alias("version"), status.alias("status"),
+        F.col("props").alias("data"), F.col("event_id").alias("seq"),
+    )
+
+
+_UPDATES = f"""u AS (SELECT 'r' || (user_id % 20) AS report, event_id * 7 % 12 AS place, [{', '.join(repr(s) for s in progress.SECTIONS)}][event_id * 7 % 12 + 1] AS section, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS version, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'done' END AS status, props AS data, event_id AS seq FROM events),
+l AS (SELECT report, place, section, version, arg_max(status, seq) AS status, arg_max(data, seq) AS data FROM u GROUP BY report, place, section, version),
+v AS (SELECT report, version, count(*) FILTER (status = 'done') AS n, coalesce(string_agg(section, ',' ORDER BY place) FILTER (status = 'done'), '') AS done, coalesce(string_agg(section, ',' ORDER BY place) FILTER (status = 'failed'), '') AS failed FROM l GROUP BY report, version),
+s AS (SELECT report, max(version) FILTER (n = 12) AS whole_version, max(version) AS newest_version, arg_max(done, version) AS done, arg_max(failed, version) AS failed, CAST(floor(arg_max(n, version) / 12.0 * 100 + 0.5) AS INT) AS percent FROM v GROUP BY report)"""
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The updates as a stream through the store, in several batches of which the first is replayed."""
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    store = progress.SectionStore(spark, f"{folder}/store")
+    updates = _updates(spark, d)
+    updates.repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(batch, batch_id)
+        store.upsert(batch.withColumn("status", F.lit("never")), batch_id)
+
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = cut(store.rows())
+    drop_folder(spark, folder)
+    return rows
+
+
+@query(f"WITH {_UPDATES} SELECT report, CAST(whole_version AS BIGINT) AS whole_version, CAST(newest_version AS BIGINT) AS newest_version, done, failed, percent FROM s")
+def section_states(spark, d):
+    """How far each report is: its last whole version, and the sections of its newest."""
+    return progress.section_states(_stored(spark, d)).select("report", "whole_version", "newest_version", F.array_join("done", ",").alias("done"), F.array_join("failed", ",").alias("failed"), "percent")
+
+
+@query(f"""WITH {_UPDATES} SELECT l.report, section, CAST(version AS BIGINT) AS version, data FROM l JOIN s ON l.report = s.report WHERE status = 'done' AND (whole_version IS NULL OR version = whole_version)
+QUALIFY row_number() OVER (PARTITION BY l.report, section ORDER BY version DESC) = 1""")
+def visible_sections(spark, d):
+    """What readers are shown of each report."""
+    return progress.visible_sections(_stored(spark, d))
