@@ -6,6 +6,8 @@ import math
 import re
 from collections.abc import Iterator
 
+from .spaces import MIXED, SPACES, mix, to_srgb
+
 _PROPERTY = re.compile(r"(--)?[a-z-][\w-]*$")
 _COLOUR_CALL = re.compile(r"(rgba?|hsla?|hwb|lab|lch|oklab|oklch|color)\(", re.I)
 _CALL = re.compile(r"([\w-]+)\((.*)\)$", re.S)
@@ -222,6 +224,29 @@ def parse_colour(text: str) -> str | None:
         return f"#{d[:6]}"
     if v in NAMED:
         return NAMED[v]
+    found = _read(v)
+    return _hex(found[2](found[0])) if found and found[1] >= 0.5 else None
+
+
+def _clipped(rgb) -> tuple:
+    return tuple(rgb)
+
+
+def _read(v: str) -> tuple | None:
+    """(sRGB values that may lie outside 0 to 1, alpha, how they are brought inside) of a colour in lower case, or None."""
+    if v.startswith("#") or v in NAMED:
+        d = (NAMED[v] if v in NAMED else v)[1:]
+        d = "".join(c * 2 for c in d) if len(d) in (3, 4) else d
+        if len(d) not in (6, 8) or any(c not in "0123456789abcdef" for c in d):
+            return None
+        return tuple(int(d[k : k + 2], 16) / 255 for k in (0, 2, 4)), int(d[6:] or "ff", 16) / 255, _clipped
+    if v == "transparent":
+        return (0.0, 0.0, 0.0), 0.0, _clipped
+    if v.startswith("color-mix(") and v.endswith(")"):
+        try:
+            return _mixed(v[10:-1])
+        except (ValueError, ZeroDivisionError):
+            return None
     m = re.match(r"([a-z]+)\(([^()]*)\)$", v)
     if not m:
         return None
@@ -232,38 +257,83 @@ def parse_colour(text: str) -> str | None:
     if not alpha and len(args) == 4:
         alpha = args.pop()
     try:
-        if len(args) != 3 or alpha and _number(alpha.strip()) < 0.5:
+        if len(args) != 3:
             return None
+        opaque = min(1.0, max(0.0, _number(alpha.strip()))) if alpha else 1.0
         if kind in ("rgb", "rgba"):
-            return _hex(_number(a, 255) / 255 for a in args)
+            return tuple(_number(a, 255) / 255 for a in args), opaque, _clipped
         if kind in ("hsl", "hsla"):
-            h, s, l = _angle(args[0]), min(1, max(0, float(args[1].rstrip("%")) / 100)), float(args[2].rstrip("%")) / 100  # noqa: E741
-            high = l + s * min(l, 1 - l)
-            return _hex(high - (high - l) * 2 * part for part in _hue_parts(h))
+            return _hsl_rgb(_angle(args[0]), min(1, max(0, float(args[1].rstrip("%")) / 100)), float(args[2].rstrip("%")) / 100), opaque, _clipped
         if kind == "hwb":
-            h, w, b = _angle(args[0]), float(args[1].rstrip("%")) / 100, float(args[2].rstrip("%")) / 100
-            if w + b >= 1:
-                return _hex([w / (w + b)] * 3)
-            return _hex((1 - b) - (1 - b) * (1 - w / (1 - b)) * part for part in _hue_parts(h))
+            return _hwb_rgb(_angle(args[0]), float(args[1].rstrip("%")) / 100, float(args[2].rstrip("%")) / 100), opaque, _clipped
         if kind == "lab":
-            return _hex(_fitted(_lab_rgb(_number(args[0], 100), _number(args[1], 125), _number(args[2], 125))))
+            return _lab_rgb(_number(args[0], 100), _number(args[1], 125), _number(args[2], 125)), opaque, _fitted
         if kind == "lch":
             c, h = _number(args[1], 150), math.radians(_angle(args[2]))
-            return _hex(_fitted(_lab_rgb(_number(args[0], 100), c * math.cos(h), c * math.sin(h))))
-        if kind == "oklab":
-            a, b = _number(args[1], 0.4), _number(args[2], 0.4)
-            return _hex(_oklch_in_gamut(_number(args[0]), math.hypot(a, b), math.degrees(math.atan2(b, a))))
-        if kind == "oklch":
-            return _hex(_oklch_in_gamut(_number(args[0]), _number(args[1], 0.4), _angle(args[2])))
-        if kind == "color" and space == "srgb":
-            return _hex(_fitted([_number(a) for a in args]))
-        if kind == "color" and space == "srgb-linear":
-            return _hex(_fitted([_gamma(_number(a)) for a in args]))
+            return _lab_rgb(_number(args[0], 100), c * math.cos(h), c * math.sin(h)), opaque, _fitted
+        if kind in ("oklab", "oklch"):
+            a, b = _number(args[1], 0.4), _number(args[2], 0.4) if kind == "oklab" else _angle(args[2])
+            polar = (_number(args[0]), math.hypot(a, b), math.degrees(math.atan2(b, a))) if kind == "oklab" else (_number(args[0]), a, b)
+            angle = math.radians(polar[2])
+            return _oklab_rgb(polar[0], polar[1] * math.cos(angle), polar[1] * math.sin(angle)), opaque, lambda _: _oklch_in_gamut(*polar)
+        if kind == "color" and space in SPACES:
+            return to_srgb(space, [_number(a) for a in args]), opaque, _fitted
     except ValueError:
         return None
     return None
 
 
+def _hsl_rgb(h: float, s: float, l: float) -> tuple:  # noqa: E741
+    high = l + s * min(l, 1 - l)
+    return tuple(high - (high - l) * 2 * part for part in _hue_parts(h))
+
+
+def _hwb_rgb(h: float, w: float, b: float) -> tuple:
+    if w + b >= 1:
+        return (w / (w + b),) * 3
+    return tuple((1 - b) - (1 - b) * (1 - w / (1 - b)) * part for part in _hue_parts(h))
+
+
+#: From a space for mixing back to sRGB, and whether values outside are clipped.
+_BACK = {
+    "hsl": (_hsl_rgb, _clipped), "hwb": (_hwb_rgb, _clipped), "oklab": (_oklab_rgb, _fitted), "lab": (_lab_rgb, _fitted),
+    "oklch": (lambda l, c, h: _oklab_rgb(l, c * math.cos(math.radians(h)), c * math.sin(math.radians(h))), _fitted),
+    "lch": (lambda l, c, h: _lab_rgb(l, c * math.cos(math.radians(h)), c * math.sin(math.radians(h))), _fitted),
+}
+
+
+def _mixed(body: str) -> tuple | None:
+    """The inside of color-mix(): `in <space> [<way> hue], <colour> [<share>], <colour> [<share>]`."""
+    parts, depth, piece = [], 0, ""
+    for ch in body:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            parts.append(piece)
+            piece = ""
+        else:
+            piece += ch
+    method, *others = [p.strip() for p in [*parts, piece]]
+    words = method.split()
+    if len(others) != 2 or len(words) not in (2, 4) or words[0] != "in" or words[1] not in MIXED or len(words) == 4 and (words[3] != "hue" or words[2] not in ("shorter", "longer", "increasing", "decreasing")):
+        return None
+    colours_, shares = [], []
+    for other in others:
+        tokens = split_value(other)
+        share = [t for t in tokens if t.endswith("%") and "(" not in t]
+        rest = [t for t in tokens if t not in share]
+        if len(share) > 1 or len(rest) != 1 or (found := _read(rest[0])) is None:
+            return None
+        colours_.append(found)
+        shares.append(float(share[0][:-1]) if share else None)
+    if any(s is not None and not 0 <= s <= 100 for s in shares):
+        return None
+    first = 100 - shares[1] if shares[0] is None and shares[1] is not None else 50.0 if shares[0] is None else shares[0]
+    second = 100 - first if shares[1] is None else shares[1]
+    values, alpha = mix(words[1], words[2] if len(words) == 4 else "shorter", colours_[0][:2], colours_[1][:2], second / (first + second))
+    back, fit = _BACK.get(words[1], (lambda *v: to_srgb(words[1], v), _fitted))
+    return back(*values), alpha * min(1.0, (first + second) / 100), fit
+
+
 # CSS named colours.
 NAMED = {
     name: f"#{value}"

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.css import parse_colour
-from ..functions.udf import arrow
+from .colors import written_colour
 
 PAGE = ("site", "page_ord", "page_url")
 BORDER = "struct<side:string,width:double,style:string,color:string>"
@@ -21,11 +19,6 @@ SCREENS, ACTION, BRAND_MARK, DRAWING, LETTER, FONT_SIZE = 2, 4.0, 2.0, 0.15, 0.5
 CLEAR = ("rgba(0, 0, 0, 0)", "transparent")
 
 
-@arrow("string")
-def _hex(value: pd.Series) -> pd.Series:
-    return pd.Series([parse_colour(v) if v else None for v in value], dtype=object)
-
-
 def brand_slots(elements: DataFrame) -> DataFrame:
     """site, page_ord, el of elements (as cascade.page_elements gives them) in or below a header, a navigation, a banner, a link home or something called a logo."""
     attrs = F.col("attrs")
@@ -68,9 +61,9 @@ def painted_areas(boxes: DataFrame, screen: tuple[int, int] = SCREEN, max_elemen
     The canvas is the background of body, else of html, over the whole of the two screens.
     """
     by_text = painted(boxes, screen, max_elements).groupBy(*PAGE, "color").agg(F.sum("px").alias("px"))
-    inside = by_text.select(*PAGE, _hex("color").alias("hex"), "px")
+    inside = by_text.select(*PAGE, written_colour("color").alias("hex"), "px")
     ground = lambda tag: F.max_by(F.when(F.lower("tag") == tag, F.col("background")), F.when(F.lower("tag") == tag, -F.col("el")))
     canvas = boxes.filter(F.lower("tag").isin("html", "body")).groupBy(*PAGE).agg(ground("body").alias("body"), ground("html").alias("html"))
-    canvas = canvas.select(*PAGE, F.coalesce(_hex("body"), _hex("html")).alias("hex"), F.lit(float(screen[0] * screen[1] * SCREENS)).alias("px"))
+    canvas = canvas.select(*PAGE, F.coalesce(written_colour("body"), written_colour("html")).alias("hex"), F.lit(float(screen[0] * screen[1] * SCREENS)).alias("px"))
     every = inside.unionByName(canvas).filter("hex is not null")
     return every.groupBy(*PAGE, "hex").agg(F.floor(F.sum("px") + 0.5).cast("long").alias("px")).filter("px > 0")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import color as C
-from ..functions.css import Variables, colours
+from ..functions.css import Variables, colours, parse_colour
 from ..functions.udf import arrow
 from .pages import css_declarations, css_variables, distinct_stylesheets, inline_style_declarations
 
@@ -14,6 +14,12 @@ MERGE_DELTA, MAX_SIGNALS, MAX_COLOURS, MAX_CHROMATIC, MAX_NEUTRALS, NOISE, MAX_E
 _VAR_NAME = r"var\(\s*(--[\w-]+)"
 
 
+@arrow("string")
+def written_colour(value: pd.Series) -> pd.Series:
+    """'#rrggbb' of a colour as style sheets write it, in any space or as a mix; null for what is none or less than half opaque."""
+    return pd.Series([parse_colour(v) if v else None for v in value], dtype=object)
+
+
 @arrow("array<string>")
 def _value_colours(value: pd.Series, variables: pd.Series) -> pd.Series:
     resolvers: dict[int, Variables] = {}
