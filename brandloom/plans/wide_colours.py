@@ -10,7 +10,7 @@ from ..sources.tables import table
 from .catalog import query
 
 _SPACES = ("display-p3", "rec2020", "a98-rgb", "prophoto-rgb", "xyz-d65", "srgb-linear")
-#: Stored values of a part's colour, hundredths of 0 to 1.
+#: Stored values of a part's colour, in steps that no byte falls halfway between.
 _VALUES = ("p_partkey * 7 % 101", "p_size * 2 % 101", "p_partkey * 13 % 101")
 
 # The published matrices of the web's colour spaces, linear values to XYZ and XYZ to linear sRGB.
@@ -40,13 +40,13 @@ _DECODED = lambda k: "CASE " + " ".join(f"WHEN space = '{s}' THEN {_CURVE[s].for
 _BYTE = lambda c: f"lpad(to_hex(CAST(floor(CASE WHEN {c} <= 0.0031308 THEN 12.92 * greatest(0, {c}) ELSE 1.055 * pow(least(1, {c}), 1 / 2.4) - 0.055 END * 255 + 0.5) AS INT)), 2, '0')"
 
 
-@query(f"""WITH p AS (SELECT p_partkey, [{', '.join(repr(s) for s in _SPACES)}][p_partkey % 6 + 1] AS space, {', '.join(f'({v}) / 100.0::DOUBLE AS v{k}' for k, v in enumerate(_VALUES))} FROM part),
+@query(f"""WITH p AS (SELECT p_partkey, [{', '.join(repr(s) for s in _SPACES)}][p_partkey % 6 + 1] AS space, {', '.join(f'({v} + 0.3::DOUBLE) / 101.7::DOUBLE AS v{k}' for k, v in enumerate(_VALUES))} FROM part),
 d AS (SELECT *, {', '.join(f'{_DECODED(k)} AS l{k}' for k in range(3))} FROM p), m AS (SELECT p_partkey, space, {', '.join(f'{_ROW(i)} AS {c}' for i, c in enumerate('rgb'))} FROM d),
 i AS (SELECT *, least(r, g, b) >= 0.001 AND greatest(r, g, b) <= 0.999 AS inside FROM m)
 SELECT p_partkey, space, round(r, 3) + 0.0 AS r, round(g, 3) + 0.0 AS g, round(b, 3) + 0.0 AS b, inside, CASE WHEN inside THEN lower('#' || {_BYTE('r')} || {_BYTE('g')} || {_BYTE('b')}) END AS hex FROM i""")
 def wide_colours(spark, d):
     """Each part's colour as linear sRGB, and as written in a style sheet where sRGB holds it."""
-    values = [F.expr(v) / 100.0 for v in _VALUES]
+    values = [(F.expr(v) + 0.3) / 101.7 for v in _VALUES]
     space = F.element_at(F.array(*[F.lit(s) for s in _SPACES]), (F.col("p_partkey") % 6 + 1).cast("int"))
     rows = table(spark, d, "part").select("p_partkey", space.alias("space"), *[v.alias(f"v{k}") for k, v in enumerate(values)])
     linear = None
