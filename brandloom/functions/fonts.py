@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .text import trim
+from .unicode import without_marks
 
 # Fixed values.
 GENERIC_FALLBACKS = ("serif", "sans-serif", "monospace", "cursive", "fantasy", "inherit", "initial", "unset", "none", "normal", "auto")
@@ -130,9 +131,8 @@ def name_from_path(path: Column | str) -> Column:
 
 
 def eval_key(name: Column | str) -> Column:
-    """Letters and digits only, accents dropped (the Latin ones)."""
-    plain = F.translate(F.lower(_col(name)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(plain, "[^a-z0-9]", "")
+    """Letters and digits only, decomposed and without accents."""
+    return F.regexp_replace(F.lower(without_marks(_col(name))), "[^a-z0-9]", "")
 
 
 def names_match(a: Column, b: Column) -> Column:

@@ -6,9 +6,11 @@ parts and line items; both sides derive them alike.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import color as C, fonts as N, geo as G, social as S, text as T, url as U
+from ..functions import color as C, fonts as N, geo as G, social as S, text as T, unicode as UN, url as U
 from ..operators import colors, consistency, contact, crawl, evaluation, exports, identity, marketing, merge, pages as P, seo, typography
 from ..sources.tables import table
 from ..streaming import state
@@ -525,6 +527,22 @@ def font_names(spark, d):
     return rows.select("name", N.normalise_key("name").alias("key"), N.is_system_font("name").alias("system"), N.is_icon_font("name").alias("icon"), N.generic_family("name").alias("generic"))
 
 
+#: Letters of a part's name that are written otherwise, and what they fall apart into.
+_WRITTEN = (("e", "\u00e9", "e\u0301"), ("fi", "\ufb01", "fi"), ("o", "\u1ed9", "o\u0323\u0302"), ("t", "\uff34", "T"), ("2", "\u00bd", "1\u20442"), ("u", "\u0308", "\u0308"))
+_APART = functools.reduce(lambda x, w: f"replace({x}, '{w[0]}', '{w[2]}')", _WRITTEN, "p_name || ' fi 2 ' || p_type")
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_APART} AS apart FROM part), s AS (SELECT p_partkey, apart, regexp_replace(regexp_replace(apart, '[^a-zA-Z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS bare FROM n)
+SELECT p_partkey, coalesce(nullif(lower(bare)[:60], ''), 'brand') AS slug, coalesce(nullif(bare[:60], ''), 'brand') AS file_name, regexp_replace(lower(regexp_replace(apart, '[\u0300-\u036f]', '', 'g')), '[^a-z0-9]', '', 'g') AS key FROM s""")
+def file_slugs(spark, d):
+    """File names and comparison keys of names with accents, ligatures and signs."""
+    name = F.concat("p_name", F.lit(" fi 2 "), "p_type")
+    for plain, written, _ in _WRITTEN:
+        name = F.replace(name, F.lit(plain), F.lit(written))
+    rows = table(spark, d, "part").select("p_partkey", name.alias("name"))
+    return rows.select("p_partkey", UN.file_slug(F.col("name")).alias("slug"), UN.file_slug(F.col("name"), lower=False).alias("file_name"), N.eval_key("name").alias("key"))
+
+
 @query(f"""WITH {X.cte('e', ('site', 'ord', 'name', 'role', 'confidence'), X.ENTRIES)}, k AS (SELECT *, regexp_replace(lower(name), '[-_\\s]+', '', 'g') AS key FROM e),
 m AS (SELECT site, key, arg_min(name, -confidence * 1000 + ord) AS name, arg_min(role, -confidence * 1000 + ord) AS role, max(confidence) AS confidence, min(ord) AS ord FROM k GROUP BY site, key),
 r AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)(^|[\\s-])(mono|monospace|code|consolas|courier|menlo|monaco)([\\s-]|$)|mono$') AND role IN ('primary', 'heading') THEN 'accent' ELSE role END AS final_role FROM m)
