@@ -1,4 +1,4 @@
-"""Small fixed tables for operators whose inputs the driver's tables do not hold, and their SQL form."""
+"""Small fixed lists that queries deal out over the rows of the given tables, inputs of tests, and their SQL form."""
 
 from __future__ import annotations
 
@@ -17,11 +17,6 @@ def values(rows: list[tuple]) -> str:
     return ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
 
 
-def cte(name: str, columns: tuple, rows: list[tuple]) -> str:
-    """A common table expression with these rows."""
-    return f"{name}({', '.join(columns)}) AS (VALUES {values(rows)})"
-
-
 ROBOTS = [("/fr/", False), ("/fr/8", True), ("/*1$", False), ("/en/2*", False), ("/en/25", True), ("/de/*?x", False)]
 
 PALETTE = [
@@ -43,24 +38,6 @@ PROPERTIES = [
     "outline", "outline-color", "caret-color", "accent-color", "fill", "stroke", "text-decoration", "column-rule", "box-shadow", "text-shadow", "--brand", "margin", " color ",
 ]
 
-SHEETS = [
-    ("moss.io", 1, "https://moss.io/", 0, ":root{--accent:oklch(0.55 0.15 150)} a.cta{background-color:var(--accent)} a.cta:focus{background-color:var(--accent)}"),
-    ("rust.shop", 1, "https://rust.shop/", 0, ".frame{border-bottom-color:#b7410e} textarea{caret-color:#b7410e} dd{color:#2f3e46}"),
-    ("slate.org", 1, "https://slate.org/", 0, "html{color:#1c1c1e;background:#fcfcfd} .meta{color:#8e8e93} hr{border-color:#d1d1d6}"),
-    ("teal.app", 1, "https://teal.app/", 0, ".k{color:#0d9489} .l{background:#0d9488} .m{background:#0d9488} .n{stroke:#0d9488}"),
-]
-
-ENTRIES = [
-    ("a.com", 1, "Inter", "primary", 90), ("a.com", 2, "Bebas Neue", "secondary", 70), ("a.com", 3, "BebasNeue", "heading", 85), ("a.com", 4, "Fira Mono", "heading", 95),
-    ("a.com", 5, "Lora", "button", 60), ("b.com", 1, "Sohne Mono", "primary", 80), ("b.com", 2, "Sohne", "primary", 80), ("b.com", 3, "Lato", "accent", 80),
-]
-
-GOOGLE_URLS = [
-    "https://fonts.googleapis.com/css2?family=Inter:wght@400;600&family=Playfair+Display:wght@700&display=swap",
-    "https://fonts.googleapis.com/css?family=Open+Sans:300,400|Lato",
-    "https://fonts.googleapis.com/css?family=Arial|Roboto+Slab:bold,700",
-]
-
 LINKS = [
     *[("kiln.studio", p, f"https://kiln.studio/{p}", 0, "anchor", "https://www.instagram.com/kilnstudio/") for p in (1, 2)],
     *[("kiln.studio", p, f"https://kiln.studio/{p}", 1, "anchor", "https://instagram.com/glazefriends") for p in (1, 2, 3)],
@@ -70,20 +47,3 @@ LINKS = [
     ("lone.dev", 1, "https://lone.dev/", 0, "anchor", "https://www.linkedin.com/in/lonedev"), ("lone.dev", 1, "https://lone.dev/", 1, "anchor", "https://notlinkedin.org/company/lone"),
     ("quay.shop", 1, "https://quay.shop/", 0, "anchor", "https://www.tiktok.com/@quay.shop?lang=de"), ("quay.shop", 1, "https://quay.shop/", 1, "anchor", "https://www.linkedin.com/school/quay/about"),
 ]
-
-ADDRESSES = [
-    ("a.com", 1, "12 Main Street, Orlando FL"), ("a.com", 2, "12 Main St, Orlando FL, 32803"), ("a.com", 3, "9 Lake Drive, Tampa FL, 33601"), ("a.com", 4, "9 Lake Dr, Tampa FL, 33601"),
-    ("b.com", 1, "1 Elm Street, Reno NV, 89501"), ("b.com", 2, "1 Elm St, Reno NV, 89501"),
-]
-
-OWN_LINKS = [("acme.com", 1, "linkedin", "https://linkedin.com/company/acme", "extracted", 85), ("acme.com", 2, "twitter", "https://x.com/acme", "extracted", 90), ("bolt.io", 1, "tiktok", "https://tiktok.com/@bolt", "extracted", 85)]
-THIRD_LINKS = [("acme.com", 1, "twitter", "https://twitter.com/acme", "third_party", 70), ("acme.com", 2, "youtube", "https://youtube.com/@acme", "third_party", 70), ("bolt.io", 1, "facebook", "https://facebook.com/bolt", "verified", 100)]
-
-RECORDS = [
-    ("Acme", "acme.com", False, "Things", None, [("twitter", "https://twitter.com/acme")], [], [("#e11d48", "brand", 60), ("00d4ff", "accent", 70), ("#12345", "dark", 1)], [("Inter", "body", "google", None, [400])], [], 0.5),
-    ("Bolt", "bolt.io", True, None, "Long", [], [], [("#e11d48", "brand", 60), ("#ABC", "light", 90)], [], [], 0.9),
-]
-
-BREAKDOWNS = [("full.com", 5, 25, 18, 25, 15, 12), ("one.com", 1, None, None, None, None, None), ("bare.com", 3, None, None, None, 12, 0), ("mid.com", 4, 15, 12, None, 9, 10), ("low.com", 9, 5, 2, 4, 3, 1)]
-
-HITS = [("a.com", True, True, True, False), ("b.com", True, True, False, True), ("c.com", True, False, True, True), ("d.com", False, False, False, False), ("e.com", True, True, True, True)]

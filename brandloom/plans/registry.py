@@ -1,7 +1,6 @@
 """Queries by name, and the SQL that gives the same rows.
 
-Inputs that the driver's tables lack (stylesheets, palettes, rules) are fixed small tables, or columns derived from
-parts and line items; both sides derive them alike.
+Inputs that the driver's tables lack (palettes, rules, logs) are derived from their rows; both sides derive them alike.
 """
 
 from __future__ import annotations
@@ -10,8 +9,8 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import color as C, fonts as N, geo as G, social as S, text as T, unicode as UN, url as U
-from ..operators import colors, consistency, contact, crawl, evaluation, exports, identity, marketing, merge, pages as P, seo, typography
+from ..functions import color as C, fonts as N, geo as G, text as T, unicode as UN, url as U
+from ..operators import colors, consistency, contact, crawl, exports, identity, marketing, merge, pages as P, seo
 from ..sources.tables import table
 from ..streaming import state
 from . import fixtures as X
@@ -57,9 +56,9 @@ def crawl_order(spark, d):
 n AS (SELECT page_id, site, 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), ':(80|443)$', '') AS origin, regexp_extract(href, '^([^?#]*)', 1) AS p, regexp_extract(href, '(\\?[^#]*)', 1) AS q FROM l)
 SELECT DISTINCT page_id, site, origin || CASE WHEN len(p) > 1 AND p LIKE '%/' THEN p[:-2] ELSE p END || q AS link FROM n""")
 def page_links(spark, d):
-    href = F.regexp_extract_all("html", F.lit('<a href="(/[^"#]*)"'), F.lit(1))
-    rows = table(spark, d, "pages").select("page_id", U.site("url").alias("site"), "url", F.explode(href).alias("href"))
-    return rows.select("page_id", "site", U.normalise_url(F.concat(U.base_domain("url"), "href")).alias("link")).distinct()
+    """Links of the parsed pages that stay on their site."""
+    parsed = P.parse_pages(table(spark, d, "pages").select("url", "html", F.col("page_id").cast("int").alias("page_ord")))
+    return parsed.select(F.col("page_ord").cast("long").alias("page_id"), "site", F.explode("links").alias("link")).distinct()
 
 
 _NORMAL = """'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), ':(80|443)$', '') ||
@@ -82,14 +81,6 @@ def brand_tokens(spark, d):
     return table(spark, d, "pages").select(U.site("url").alias("site"), U.brand_token("url").alias("token")).distinct()
 
 
-@query(r"""WITH f AS (SELECT page_id, regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1) AS t FROM pages),
-p AS (SELECT page_id, unnest(list_concat(regexp_extract_all(t, '\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}'), regexp_extract_all(t, '\+?[0-9]{1,4}[-.\s]?[0-9]{2,4}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{3,4}'))) AS raw FROM f)
-SELECT DISTINCT page_id, trim(raw) AS phone FROM p WHERE len(regexp_replace(raw, '\D', '', 'g')) BETWEEN 10 AND 15""")
-def footer_phones(spark, d):
-    footer = F.regexp_extract("html", "(?is)<footer[^>]*>(.*?)</footer>", 1)
-    return table(spark, d, "pages").select("page_id", F.explode(G.phones(footer)).alias("phone"))
-
-
 @query(r"""WITH t AS (SELECT c_custkey, c_name || ' (' || c_mktsegment || ') tel. ' || CASE WHEN c_custkey % 3 = 0 THEN '+1 ' ELSE '' END || CAST(200 + c_custkey % 700 AS VARCHAR) || CASE WHEN c_custkey % 2 = 0 THEN '-555-' ELSE '.555.' END || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS text FROM customer),
 p AS (SELECT c_custkey, unnest(list_concat(regexp_extract_all(text, '\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}'), regexp_extract_all(text, '\+?[0-9]{1,4}[-.\s]?[0-9]{2,4}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{3,4}'))) AS raw FROM t)
 SELECT DISTINCT c_custkey, trim(raw) AS phone FROM p WHERE len(regexp_replace(raw, '\D', '', 'g')) BETWEEN 10 AND 15""")
@@ -493,24 +484,7 @@ def brand_pairs(spark, d):
     return colors.brand_pair(_palette(spark, d))
 
 
-@query(f"""WITH {X.cte('props', ('property',), [(p,) for p in X.PROPERTIES])}
-SELECT property, CASE WHEN starts_with(p, '--') THEN 'definition' WHEN p = 'color' THEN 'text' WHEN p IN ('background', 'background-color', 'background-image') THEN 'background'
-WHEN regexp_matches(p, '^border(-color|-(top|right|bottom|left|block|inline)(-(start|end))?(-color)?)?$') THEN 'border' WHEN p IN ('outline', 'outline-color') THEN 'outline' WHEN p = 'caret-color' THEN 'caret'
-WHEN p = 'accent-color' THEN 'accent-control' WHEN p IN ('fill', 'stroke') THEN p WHEN p IN ('text-decoration', 'text-decoration-color', 'column-rule-color', 'column-rule') THEN 'decoration'
-WHEN p IN ('box-shadow', 'text-shadow') THEN 'shadow' END AS kind FROM (SELECT property, lower(trim(property)) AS p FROM props)""")
-def property_kinds(spark, d):
-    rows = spark.createDataFrame([(p,) for p in X.PROPERTIES], "property string")
-    return rows.select("property", C.classify_property("property").alias("kind"))
-
-
-@query()
-def site_palettes(spark, d):
-    sheets = spark.createDataFrame(X.SHEETS, "site string, page_ord int, page_url string, css_ord int, css string")
-    pages = sheets.select("site", "page_ord", F.col("page_url").alias("url"), F.lit("").alias("html")).distinct()
-    return colors.extract_colors(pages, sheets).select("site", "rank", "hex", "role", "confidence", "css_variable")
-
-
-# Fonts, social, addresses, merges, scores on fixed tables -----------------------------------------------------------
+# Fonts and edits ------------------------------------------------------------------------------------------------------
 
 
 _NAMED = ("{} LT Std", "{}-mono", "'{}'", "{} Icons", "{}", "Open {} Sans", "{}_serif", "Arial", "Georgia", '"Courier New"')
@@ -543,54 +517,6 @@ def file_slugs(spark, d):
     return rows.select("p_partkey", UN.file_slug(F.col("name")).alias("slug"), UN.file_slug(F.col("name"), lower=False).alias("file_name"), N.eval_key("name").alias("key"))
 
 
-@query(f"""WITH {X.cte('e', ('site', 'ord', 'name', 'role', 'confidence'), X.ENTRIES)}, k AS (SELECT *, regexp_replace(lower(name), '[-_\\s]+', '', 'g') AS key FROM e),
-m AS (SELECT site, key, arg_min(name, -confidence * 1000 + ord) AS name, arg_min(role, -confidence * 1000 + ord) AS role, max(confidence) AS confidence, min(ord) AS ord FROM k GROUP BY site, key),
-r AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)(^|[\\s-])(mono|monospace|code|consolas|courier|menlo|monaco)([\\s-]|$)|mono$') AND role IN ('primary', 'heading') THEN 'accent' ELSE role END AS final_role FROM m)
-SELECT site, row_number() OVER (PARTITION BY site ORDER BY list_position(['primary', 'heading', 'button', 'accent', 'secondary'], final_role), confidence DESC, ord) AS rank, name, final_role AS role, confidence FROM r""")
-def ranked_fonts(spark, d):
-    rows = spark.createDataFrame(X.ENTRIES, "site string, ord int, name string, role string, confidence int")
-    rows = rows.withColumns({"variants": F.array(F.lit("400")), "google_url": F.lit(None).cast("string"), "context": F.lit("")})
-    return typography.final_fonts(rows).select("site", F.col("rank").cast("long").alias("rank"), "name", "role", "confidence")
-
-
-@query(f"""WITH {X.cte('u', ('url',), [(u,) for u in X.GOOGLE_URLS])}, f AS (SELECT url, unnest(regexp_extract_all(url, 'family=([^&]+)', 1)) AS p FROM u), s AS (SELECT url, unnest(string_split(p, '|')) AS f FROM f),
-w AS (SELECT url, trim(replace(split_part(f, ':', 1), '+', ' ')) AS name, CASE WHEN regexp_extract(split_part(f, ':', 2), 'wght@([\\d;,]+)', 1) <> '' THEN regexp_extract(split_part(f, ':', 2), 'wght@([\\d;,]+)', 1) ELSE split_part(f, ':', 2) END AS spec FROM s)
-SELECT url, name, coalesce(nullif(array_to_string(list_filter(regexp_split_to_array(spec, '[;,]'), lambda x: regexp_matches(x, '^\\d+$')), ','), ''), '400') AS weights FROM w WHERE lower(name) NOT IN ({', '.join(repr(f) for f in N.SYSTEM_FONTS)})""")
-def google_font_urls(spark, d):
-    rows = spark.createDataFrame([(u,) for u in X.GOOGLE_URLS], "url string")
-    return rows.select("url", F.explode(N.google_families("url")).alias("f")).select("url", "f.name", F.array_join("f.weights", ",").alias("weights"))
-
-
-@query()
-def social_profiles(spark, d):
-    links = spark.createDataFrame(X.LINKS, "site string, page_ord int, page_url string, pos int, context string, href string")
-    return contact.social_links(links)
-
-
-@query(f"""WITH {X.cte('a', ('site', 'ord', 'address'), X.ADDRESSES)}, k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(split_part(address, ',', 1)), '\\bstreet\\b', 'st'), '\\bdrive\\b', 'dr'), '[^a-z0-9 ]', '', 'g') AS key FROM a),
-r AS (SELECT *, row_number() OVER (PARTITION BY site, key ORDER BY CAST(NOT regexp_matches(address, '\\d{{5}}') AS INT), -len(address), ord) AS n, min(ord) OVER (PARTITION BY site, key) AS first_ord FROM k)
-SELECT site, trim(key) AS key, address, first_ord AS "at" FROM r WHERE n = 1""")
-def distinct_addresses(spark, d):
-    rows = spark.createDataFrame(X.ADDRESSES, "site string, at int, address string")
-    return contact.dedupe_addresses(rows)
-
-
-@query(f"""WITH {X.cte('e', ('site', 'ord', 'platform', 'url', 'source', 'confidence'), X.OWN_LINKS)}, {X.cte('t', ('site', 'ord', 'platform', 'url', 'source', 'confidence'), X.THIRD_LINKS)},
-b AS (SELECT coalesce(e.site, t.site) AS site, coalesce(e.ord, t.ord + 1000000) AS place, coalesce(t.platform, e.platform) AS platform, coalesce(t.url, e.url) AS url, coalesce(t.source, e.source) AS source, coalesce(t.confidence, e.confidence) AS confidence
-      FROM e FULL JOIN t ON e.site = t.site AND e.platform = t.platform)
-SELECT site, row_number() OVER (PARTITION BY site ORDER BY CAST(source <> 'verified' AS INT), confidence DESC, place) AS ord, platform, url, source, confidence FROM b""")
-def merged_links(spark, d):
-    schema = "site string, ord int, platform string, url string, source string, confidence int"
-    return merge.merge_keyed(spark.createDataFrame(X.OWN_LINKS, schema), spark.createDataFrame(X.THIRD_LINKS, schema), "platform").withColumn("ord", F.col("ord").cast("long"))
-
-
-@query()
-def merged_colours(spark, d):
-    own = _palette(spark, d).filter("hex like '#______'").select("site", F.col("rank").alias("ord"), F.lower("hex").alias("hex"), "role", "confidence", "source", F.lit(0.1).alias("area_share"))
-    records = spark.createDataFrame(X.RECORDS, merge.RECORD).withColumn("domain", F.when(F.col("domain") == "acme.com", "Brand#2").otherwise("Brand#17"))
-    return merge.merge_colors(own, merge.record_colors(records))
-
-
 @query(f"""WITH {_PALETTE}, e AS (SELECT DISTINCT site, lower(hex) AS h, ascii(substr(lower(hex), 3, 1)) % 4 AS k FROM palette)
 SELECT p.site AS report, p.rank AS ord, CASE WHEN k = 0 THEN '#101010' ELSE p.hex END AS hex, CASE WHEN k = 1 THEN 'text' ELSE p.role END AS role, coalesce(k IN (0, 1), false) AS user_edited FROM palette p JOIN e ON p.site = e.site AND lower(p.hex) = e.h WHERE k <> 2""")
 def edited_colours(spark, d):
@@ -601,23 +527,6 @@ def edited_colours(spark, d):
     return merge.apply_color_edits(own, edits).drop("rgb")
 
 
-_DIMS = tuple(consistency.MAXIMA)
-
-
-@query(f"""WITH {X.cte('b', ('site', 'n_pages', *_DIMS), X.BREAKDOWNS)},
-t AS (SELECT *, {' + '.join(f'coalesce({x}, 0)' for x in _DIMS)} AS earned, {' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE {m} END' for x, m in consistency.MAXIMA.items())} AS possible, {' + '.join(f'CAST({x} IS NOT NULL AS INT)' for x in _DIMS)} AS n FROM b),
-s AS (SELECT *, CASE WHEN possible > 0 THEN CAST(floor(earned / possible * 100.0 + 0.5) AS INT) END AS score FROM t)
-SELECT site, score, CASE WHEN n_pages >= 3 AND n >= 3 THEN CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' WHEN score IS NOT NULL THEN 'F' END END AS grade FROM s""")
-def graded_sites(spark, d):
-    rows = spark.createDataFrame(X.BREAKDOWNS, "site string, n_pages int, " + ", ".join(f"{x} int" for x in _DIMS))
-    as_struct = lambda x, m: F.struct(F.col(x).alias("score"), F.lit(m).alias("max"), F.when(F.col(x).isNotNull(), "scored").otherwise("insufficient_data").alias("status"), F.lit(None).cast("string").alias("reason")).alias(x)
-    return consistency.summarise(rows.select("site", "n_pages", *[as_struct(x, m) for x, m in consistency.MAXIMA.items()])).select("site", "score", "grade")
-
-
-@query(f"""WITH {X.cte('s', ('site', 'evaluated', 'color_hit', 'font_hit', 'logo_hit'), X.HITS)}, t AS (SELECT count(*) AS n_evaluated, count(*) FILTER (color_hit) AS color_hits, count(*) FILTER (font_hit) AS font_hits, count(*) FILTER (logo_hit) AS logo_hits FROM s WHERE evaluated)
-SELECT *, (color_hits + font_hits + logo_hits) / (n_evaluated * 3.0::DOUBLE) AS total, (color_hits + font_hits + logo_hits) / (n_evaluated * 3.0::DOUBLE) >= 0.75 AS passed FROM t""")
-def evaluation_totals(spark, d):
-    return evaluation.totals(spark.createDataFrame(X.HITS, "site string, evaluated boolean, color_hit boolean, font_hit boolean, logo_hit boolean"))
 
 
 # State, over events ---------------------------------------------------------------------------------------------------
@@ -734,4 +643,4 @@ def crawl_progress(spark, d):
     return rows.select("event_id", crawl.progress(F.col("done"), F.col("found")).alias("percent"))
 
 
-from . import rendered, streams, structured_data, visits, wide_colours  # noqa: E402, F401  (they register their queries)
+from . import derived, rendered, streams, structured_data, visits, wide_colours  # noqa: E402, F401  (they register their queries)

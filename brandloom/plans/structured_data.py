@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import url as U
 from ..operators import pages as P, structured
 from ..session import cut
 from ..sources.tables import table
