@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
