@@ -88,6 +88,14 @@ class Document(HTMLParser):
         if (k := self._last((tag,))) >= 0:
             self._pop_to(k)
 
+    def parse_marked_section(self, i, report=1):
+        """`<![` and what is none of its known words: a comment up to the next bracket, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         self.pieces.append((data, self._unseen > 0))
 
@@ -155,7 +163,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
             written.append(doc.text(n))
             try:
                 parsed = json.loads(doc.text(n))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             structured += [x for x in (parsed if isinstance(parsed, list) else [parsed]) if x is not None]
         named_place = n.attrs.get("class", "")

@@ -16,17 +16,25 @@ PARSED = (
     f"headings array<struct<level:int,text:string>>, links array<string>, images array<{_PAIR}>, css_urls array<string>, inline_css array<string>, "
     "nav_labels array<string>, cta_buttons array<string>, footer string, schema_data array<string>, schema_blocks array<string>, address_blocks array<string>, visible_text string, "
     "attribute_text string, anchor_hrefs array<string>, all_hrefs array<string>, icons array<struct<rel:string,href:string,sizes:string>>, "
-    "marks array<struct<kind:string,src:string,context:string,name:string,own:string,home_link:boolean,in_chrome:boolean,hidden:boolean>>"
+    "marks array<struct<kind:string,src:string,context:string,name:string,own:string,home_link:boolean,in_chrome:boolean,hidden:boolean>>, parse_error string"
 )
 
 
 @arrow(PARSED)
 def _parse(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     names = [c.strip().split(" ")[0] for c in _top_level(PARSED)]
-    rows = [parse_page(h, u) for h, u in zip(html, url)]
+    rows = [_page(h, u) for h, u in zip(html, url)]
     return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
 
 
+def _page(html: str | None, url: str | None) -> dict:
+    """A page's columns; markup that cannot be read gives an empty page that says why, not the end of the job."""
+    try:
+        return parse_page(html, url) | {"parse_error": None}
+    except Exception as failure:  # noqa: BLE001
+        return parse_page("", url) | {"parse_error": f"{type(failure).__name__}: {failure}"[:500]}
+
+
 def _top_level(schema: str) -> list[str]:
     out, depth, current = [], 0, ""
     for ch in schema:

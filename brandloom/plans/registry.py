@@ -6,15 +6,18 @@ Inputs that the driver's tables lack (palettes, rules, logs) are derived from th
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import color as C, fonts as N, geo as G, text as T, unicode as UN, url as U
 from ..operators import colors, consistency, contact, crawl, exports, identity, marketing, merge, pages as P, seo
+from ..session import cut, drop_folder, shared_dir
 from ..sources.tables import table
 from ..streaming import state
+from ..streaming.progress import SECTIONS
 from . import fixtures as X
-from .analysis import analyse
+from .analysis import analyse, section_status
 from .catalog import ORACLES, QUERIES, query  # noqa: F401
 
 # Pages -------------------------------------------------------------------------------------------------------------
@@ -224,6 +227,20 @@ def consistency_scores(spark, d):
     return parts["consistency"].select("site", "n_pages", F.col("seo.score").alias("seo"), F.col("message.score").alias("message"), "score")
 
 
+_ALWAYS = ("pages", "logo", "seo", "geo", "brand_name", "summary", "consistency", "tone")
+
+
+@query(f"""WITH m AS ({ORACLES['marketing_elements']}), n AS (SELECT site, count(*) AS n FROM m GROUP BY site), s AS (SELECT DISTINCT {_SITE} AS site FROM pages), c AS (SELECT {_SITE} AS site, count(*) AS n FROM pages GROUP BY 1)
+SELECT s.site, section, CASE WHEN kept OR section = 'marketing' AND n.n > 0 THEN 'done' ELSE 'empty' END AS status, CASE WHEN section = 'pages' THEN c.n WHEN section = 'marketing' THEN coalesce(n.n, 0) ELSE CAST(kept AS BIGINT) END AS n_rows
+FROM s JOIN c ON s.site = c.site LEFT JOIN n ON s.site = n.site, (VALUES {', '.join(f"('{x}', {str(x in _ALWAYS).lower()})" for x in SECTIONS)}) AS t(section, kept)""")
+def analysis_status(spark, d):
+    """What became of each section of each site's report; every section is written by itself."""
+    folder = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    rows = cut(section_status(analyse(table(spark, d, "pages").withColumnRenamed("page_id", "page_ord")), folder))
+    drop_folder(spark, folder)
+    return rows.select("site", "section", "status", "n_rows")
+
+
 @query()
 def consistency_reports(spark, d):
     parts = analyse(table(spark, d, "pages").withColumnRenamed("page_id", "page_ord"))
