@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import color as C, fonts as N, geo as G, url as U
 from ..operators import colors, consistency, contact, evaluation, merge, pages as P, typography
+from ..session import cut, drop_folder, shared_dir
+from ..sources.points import ReportTable
 from ..sources.tables import table
 from .catalog import query
 from .fixtures import PROPERTIES
@@ -207,3 +211,15 @@ def evaluation_totals(spark, d):
     """Totals over every order as an evaluated brand."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     return evaluation.totals(table(spark, d, "orders").select(o.cast("string").alias("site"), (o % 5 > 0).alias("evaluated"), (c % 4 > 0).alias("color_hit"), (o % 7 > 0).alias("font_hit"), (c % 9 > 0).alias("logo_hit")))
+
+
+@query("""SELECT o_orderkey AS id, 'order-' || strftime(o_orderdate, '%Y-%m') || '-' || o_orderkey AS slug, o_totalprice AS price FROM orders JOIN customer ON o_orderkey = c_custkey""")
+def report_reads(spark, d):
+    """Orders as reports in a table for point reads, from which those with customers' numbers are read by id."""
+    folder = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    store = ReportTable(spark, folder)
+    slug = F.concat_ws("-", F.lit("order"), F.date_format("o_orderdate", "yyyy-MM"), F.col("o_orderkey").cast("string"))
+    store.write(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), slug.alias("slug"), F.col("o_totalprice").alias("price")))
+    found = cut(store.of_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("id"))))
+    drop_folder(spark, folder)
+    return found.select("id", "slug", "price")
