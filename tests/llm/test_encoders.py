@@ -232,3 +232,65 @@ def test_round_trips_are_checked():
         assert G._round_trips(lat, texts, s["ids"], s["offsets"])[s["rows"]].all()
         for wrong in (["some wordz", *texts[1:]], ["some word", *texts[1:]]):
             assert G._round_trips(lat, wrong, s["ids"], s["offsets"])[:2].tolist() == [False, 1 in s["rows"]]
+
+
+def _fragmented(payload=b"abcdefghij" * 3):
+    """A movie without samples of its own and two fragments: sizes and flags by sample, by header and by default; a compact track beside it."""
+    full, box = M._full, M._box
+    head = full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0))
+    media = full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 2**32 - 1))
+    table = full(b"stsd", struct.pack(">I", 1) + box(b"avc1", b"\0" * 8)) + full(b"stts", struct.pack(">I", 0)) + full(b"stsz", struct.pack(">II", 0, 0))
+    first = box(b"trak", head + box(b"mdia", media + box(b"minf", box(b"stbl", table))))
+    compact = full(b"stsd", struct.pack(">I", 1) + box(b"twos", b"\0" * 8)) + full(b"stts", struct.pack(">IIIII", 2, 2, 10, 1, 5)) + full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)) + full(b"stz2", struct.pack(">II", 4, 3) + bytes([0x12, 0x30])) + full(b"stco", struct.pack(">II", 1, 8))
+    second = box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 8, 0, 0)) + box(b"mdia", media + box(b"minf", box(b"stbl", compact))))
+    mvex = box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 4, 0x10000)))
+    start = box(b"mdat", payload) + box(b"moov", first + second + mvex)
+
+    def moof(at, runs, header=b"", flags=0):
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 7) + header, flags=flags), full(b"tfdt", struct.pack(">Q", at), version=1), *runs))
+
+    base = struct.pack(">Q", 8)
+    one = moof(100, [full(b"trun", struct.pack(">IiI", 2, 0, 0), flags=5), full(b"trun", struct.pack(">I", 1) + struct.pack(">III", 30, 5, 0), flags=0x700)], base, 1)
+    two = moof(900, [full(b"trun", struct.pack(">Ii", 3, 2), flags=1)], base + struct.pack(">II", 7, 3), 1 | 8 | 16)
+    return start + one + two
+
+
+def test_fragments_and_compact_sizes(spark):
+    file = _fragmented()
+    got = sorted(M.probe(spark.createDataFrame([(1, file)], "doc_id long, media binary")).collect(), key=lambda r: r.track)
+    frame, compact = got
+    assert (frame.codec, frame.timescale, frame.duration, frame.samples) == ("avc1", 1000, None, 6)
+    # the first by its own flag, the third by the run's flags; times from tfdt
+    assert [tuple(k) for k in frame.keyframes] == [(8, 12, 100), (16, 21, 180)]
+    assert (compact.codec, compact.samples) == ("twos", 3) and [tuple(k) for k in compact.keyframes] == [(8, 9, 0), (9, 11, 10), (11, 14, 20)]
+    track = M.tracks(file)[0]
+    assert track["times"].tolist() == [100, 140, 180, 900, 907, 914] and M.read_samples(file, track) == file[8:21] + file[10:19]
+
+
+def test_contradicting_tables_give_no_codec():
+    file = M.wrap_samples(M.pad(b"x" * 2000))
+    at = lambda name: file.index(name) + 8
+    for name, change in ((b"stts", struct.pack(">I", 3)), (b"stts", struct.pack(">II", 1, 7)), (b"stsz", struct.pack(">II", 576, 5)), (b"stss", struct.pack(">I", 2**31)), (b"co64", struct.pack(">I", 2)), (b"stsc", struct.pack(">I", 0))):
+        bad = bytearray(file)
+        bad[at(name) : at(name) + len(change)] = change
+        assert M._probe_one(bytes(bad)) == [(None, None, None, None, 0, [])], name
+    huge = bytearray(file)
+    spot = file.index(b"mdhd") + 4 + 24
+    huge[spot : spot + 8] = b"\x80" + b"\0" * 7
+    assert M._probe_one(bytes(huge))[0][1] is None
+    huge[spot : spot + 8] = b"\xff" * 8
+    assert M._probe_one(bytes(huge))[0][1:4] == ("raw ", M.RATE, None)
+
+
+def test_probe_survives_damage_in_many_places():
+    """Several bytes at once, in files with tables and with fragments; what comes out fits its columns."""
+    import pyarrow as pa
+
+    rng, types = random.Random(7), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), M._RANGES)
+    whole = [M.wrap_samples(M.pad(b"some text")), _fragmented()]
+    for _ in range(12_000):
+        data = bytearray(rng.choice(whole))
+        for _ in range(rng.randrange(1, 5)):
+            data[rng.randrange(len(data))] = rng.choice([0, 1, 255, 128, rng.randrange(256)])
+        for column, kind in zip(zip(*M._probe_one(bytes(data[: len(data) - rng.choice([0, 0, rng.randrange(60)])]))), types):
+            pa.array(column, kind)
