@@ -451,7 +451,8 @@ SAMPLED = "doc_id long, sample int, n_pieces int, ids array<int>, log_prob doubl
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, path: str | None = None, tell_copies: bool = False) -> DataFrame:
     """docs(doc_id, text) -> up to k rows of SAMPLED per document; round_trip says that decoding the ids gives the text.
 
-    With `tell_copies`, rows that follow a row of the same doc_id in their partition draw as further copies: their key takes their number.
+    With `tell_copies`, equal rows (of doc_id and text) draw as further copies: their key takes their number. They are brought together by a hash of both first, and stand next to each
+    other there, so how the rows lay before makes no difference.
     """
     small_batches(docs.sparkSession)
     path = path or tokenizer_path()
@@ -459,12 +460,12 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, th
 
     def run(batches):
         lat = load(path, theta)
-        last, copy = object(), 0
+        last, copy = None, 0
         for batch in batches:
             keys = [-1 if x is None else x for x in batch.column(0).to_pylist()]
             if tell_copies:
-                for i, key in enumerate(keys):
-                    last, copy = key, copy + 1 if key == last else 0
+                for i, (key, marks) in enumerate(zip(keys, zip(*(c.to_pylist() for c in batch.columns[2:])))):
+                    last, copy = (key, marks), copy + 1 if (key, marks) == last else 0
                     keys[i] = int(mix64(np.array([key ^ ((copy & 0x7FFF) << 48)], np.int64).view(np.uint64)).view(np.int64)[0]) if copy else key
             texts, begin, chars = [], 0, 0
             for i, text in enumerate(batch.column(1)):
@@ -474,7 +475,12 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, th
                     yield from _sampled_rows(lat, texts, batch.column(0).slice(begin, len(texts)), keys[begin : i + 1], k, seed, names)
                     texts, begin, chars = [], i + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SAMPLED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if tell_copies:
+        # 128 bits tell texts apart, null from empty among them
+        marks = [F.xxhash64(F.col("text").isNull(), "text").alias("mark1"), F.xxhash64("text", F.length("text")).alias("mark2")]
+        rows = rows.select("doc_id", "text", *marks).repartition("doc_id", "mark1", "mark2").sortWithinPartitions("doc_id", "mark1", "mark2")
+    return rows.mapInArrow(run, SAMPLED)
 
 
 def _round_trips(lat: Lattices, texts: list[str], ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from brandloom.llm import chat_format as H, media as M, sampled_segmentation as G, token_counts as K
 
 TEXTS = [None, "", "a", "x" * 575, "x" * 576, "x" * 577, "naïve 日本 😀", "long " * 200_000]
@@ -225,6 +227,20 @@ def test_copies_draw_apart(spark):
     assert {tuple(r.ids) for r in plain} <= {tuple(r.ids) for r in rows}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_copies_do_not_depend_on_partitions(spark, tmp_path, parts):
+    """Copies in one file, at the edge of two and far apart draw the same set of samples, each of its own; other texts of an id are no copies."""
+    text = "some rather longer words of a text that has many segmentations " * 5
+    rows = [(7, text), (8, "other words of it"), (7, text), (9, ""), (7, "another text with the same id"), (7, text), (None, text), (None, "x"), (None, text), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, F.rand(3))
+    docs.write.parquet(str(tmp_path / "d"))
+    drawn = lambda d: sorted((-1 if r.doc_id is None else r.doc_id, r.sample, tuple(r.ids), round(r.gumbel, 9)) for r in G.sample_segmentations(d, k=2, tell_copies=True).collect())
+    got = drawn(spark.read.parquet(str(tmp_path / "d")))
+    assert got == drawn(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    own = [ids for i, _, ids, _ in got if i == 7 and len(ids) > 40]
+    assert len(own) == 6 and len(set(own)) == 6
+
+
 def test_round_trips_are_checked():
     lat = G.load(G.tokenizer_path(), 1.0)
     texts = ["some words", "other", "", "end"]
