@@ -13,7 +13,8 @@
 5. A file without a licence of its own inherits from its nearest ancestor directory that has one: distinct directories are
    expanded to their ancestors and joined with licensed directories by path; the deepest wins, and files look up their directory.
 
-No text is moved or written but headers and short whole texts that pass the bounds.
+No text is moved or written but the words of lines near a needed token, in texts that can reach a template, and of whole texts that pass the bounds. Runs of lines are formed in a window
+over a file's lines, a row for each, and those that cannot reach a template go before they become rows, so a text of any number of such lines is never held several times in a row.
 
 Defined cases: null and empty texts have no licence of their own but may inherit; a null path has no directory; several licence files in one directory:
 highest similarity, then template name; equal rows get equal results; rows that share doc_id and path count as one file, with its best header; empty tables
@@ -26,10 +27,10 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import let
-from ..session import cut, write_down
+from ..session import cut
 
 THRESHOLD = 0.6
 #: Lines in a header, at most.
@@ -143,46 +144,71 @@ def _can_reach(present: Column, vectors: list[dict[str, float]], threshold: floa
     return let(present, lambda p: (total(p, most) >= least) & F.exists(each, lambda m: total(p, m) >= least))
 
 
-def _can_be_licence(text: Column, vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float) -> Column:
-    """The known tokens' weight, at most, against the others', at least: the cosine of the whole text is no greater than the known part of its norm."""
+def _may_match(words: Column, vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float) -> Column:
+    """Whether a text's cosine to some template can reach the threshold, by bounds that lose none.
+
+    The cosine is at most the norm of what the text has of the template, times the known tokens' part of the text's own norm. Known tokens weigh at most as if each came as often as any can,
+    others at least as if each came once.
+    """
     known = _words(sorted({t for v in vectors for t in v}))
     squares = F.create_map(*[F.lit(x) for t, w in sorted(idf.items()) for x in (t, w * w)])
+    most, each = _shares(vectors)
+    total = lambda tokens, shares: F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + F.coalesce(shares[t], F.lit(0.0)))
+    least = F.lit(threshold * threshold - 1e-9)
+
+    def bound(all_words: Column) -> Column:
+        def of(found: Column) -> Column:
+            often = F.pow(1 + F.log((F.size(all_words) - F.size(found) + 1).cast("double")), F.lit(2.0))
 
-    def bound(found: Column) -> Column:
-        scale = F.pow(1 + F.log(F.size(found).cast("double")), F.lit(2.0))
-        inside = F.aggregate(F.array_intersect(found, known), F.lit(0.0), lambda acc, t: acc + squares[t]) * scale
-        outside = F.size(F.array_except(found, known)) * F.lit(other * other)
-        return (F.size(found) > 0) & (inside >= F.lit(threshold * threshold) * (inside + outside))
+            def of_known(own: Column) -> Column:
+                inside = total(own, squares) * often
+                outside = (F.size(found) - F.size(own)) * F.lit(other * other)
+                share = inside / (inside + outside)
+                return (F.size(own) > 0) & (share * F.least(total(own, most), F.lit(1.0)) >= least) & F.exists(each, lambda m: share * total(own, m) >= least)
 
-    return let(tokens(text), bound)
+            return let(F.array_intersect(found, known), of_known)
 
+        return let(F.array_distinct(all_words), of)
 
-def _parts(text: Column, needed: list[str], whole: Column) -> Column:
-    """The headers of a text as (line, part), and with line -1 the whole text where it may be a licence file."""
+    return let(words, bound)
+
+
+def _near_lines(text: Column, needed: list[str]) -> Column:
+    """The lines that a header may hold, as (line, words, needed): those with a needed token at most WRAPPED - 1 lines before or on them, and one after or on them."""
     wanted = _words(needed)
 
-    def runs(lines: Column) -> Column:
-        places = F.filter(F.transform(lines, lambda line, i: F.when(F.arrays_overlap(tokens(line), wanted), i)), lambda i: i.isNotNull())
+    def kept(words: Column) -> Column:
+        def picked(flags: Column) -> Column:
+            some = lambda start, n: F.exists(F.slice(flags, start, n), lambda f: f)
+            each = F.transform(words, lambda w, i: F.struct(i.alias("line"), w.alias("words"), F.get(flags, i).alias("needed")))
+            return F.filter(each, lambda x: some(F.greatest(x["line"] - WRAPPED + 2, F.lit(1)), F.least(x["line"] + 1, F.lit(WRAPPED))) & some(x["line"] + 1, F.lit(WRAPPED)))
+
+        return let(F.transform(words, lambda w: F.arrays_overlap(w, wanted)), picked)
+
+    return let(F.transform(F.split(text, r"[\r\n]+"), lambda line: tokens(line)), kept)
 
-        def headers(at: Column) -> Column:
-            ends = lambda a, k: F.filter(F.slice(at, k + 1, WRAPPED), lambda b: b < a + WRAPPED)
-            part = lambda a, b: F.struct(a.alias("line"), F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("part"))
-            return F.flatten(F.transform(at, lambda a, k: F.transform(ends(a, k), lambda b: part(a, b))))
 
-        return let(places, headers)
+def _headers(lines: DataFrame, reaching, matching) -> DataFrame:
+    """lines(file, doc_id, path, line, words, needed) -> doc_id, path, line, words: runs from a needed line to one less than WRAPPED lines on that may match a template.
 
-    found = let(F.split(text, r"[\r\n]+"), runs)
-    return F.concat(found, F.when(whole, F.array(F.struct(F.lit(-1).alias("line"), text.alias("part")))).otherwise(F.slice(found, 1, 0)))
+    A window of WRAPPED rows slides over each file's lines, so no row holds more than one window, whatever the file.
+    """
+    ahead = Window.partitionBy("file").orderBy("line").rowsBetween(Window.currentRow, WRAPPED - 1)
+    rows = lines.withColumn("near", F.collect_list(F.struct("line", "words", "needed")).over(ahead)).filter("needed")
+    rows = rows.withColumn("near", F.filter("near", lambda x: x["line"] < F.col("line") + WRAPPED)).filter(reaching(F.flatten(F.transform("near", lambda x: x["words"]))))
+    ends = F.transform(F.filter("near", lambda x: x["needed"]), lambda x: x["line"])
+    runs = F.transform(ends, lambda b: F.flatten(F.transform(F.filter("near", lambda x: x["line"] <= b), lambda x: x["words"])))
+    return rows.select("doc_id", "path", "line", F.explode(F.filter(runs, matching)).alias("words"))
 
 
 def _similarities(parts: DataFrame, keys: list[str], vectors: list[dict[str, float]], idf: dict[str, float], other: float, threshold: float) -> DataFrame:
-    """parts(keys, part text) -> keys, license, similarity: the best template of each part that reaches the threshold."""
+    """parts(keys, words) -> keys, license, similarity: the best template of each part that reaches the threshold."""
     spark = parts.sparkSession
     rows = [(i, TEMPLATES[i][0], t, v, idf[t]) for i, vector in enumerate(vectors) for t, v in sorted(vector.items())]
     table = spark.createDataFrame(rows, "template int, license string, token string, share double, idf double")
     # a few hundred rows, whatever the corpus
     terms = F.broadcast(table.groupBy("token").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "share")).alias("uses")))
-    counted = parts.select(*keys, F.explode(tokens(F.col("part"))).alias("token")).groupBy(*keys, "token").count()
+    counted = parts.select(*keys, F.explode("words").alias("token")).groupBy(*keys, "token").count()
     weighed = counted.join(terms, "token", "left").withColumn("w", (1 + F.log("count")) * F.coalesce("idf", F.lit(other)))
     norms = weighed.groupBy(*keys).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
@@ -201,13 +227,17 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf, other = weigh(*document_frequencies(files, vocabulary))
     vectors = template_vectors(idf)
     known = _words(vocabulary)
-    reaching = lambda text: _can_reach(F.array_intersect(tokens(text), known), vectors, threshold)
-    whole = _can_be_licence(F.col("text"), vectors, idf, other, threshold)
-    hopeful = files.filter(reaching(F.col("text"))).select("doc_id", "path", F.explode(_parts(F.col("text"), needed_tokens(vectors, threshold), whole)).alias("p"))
-    parts = hopeful.select("doc_id", "path", "p.line", "p.part").filter(reaching(F.col("part"))).withColumn("digest", F.sha2(F.col("part").cast("binary"), 256))
-    parts = write_down(parts)
+    reaching = lambda words: _can_reach(F.array_intersect(words, known), vectors, threshold)
+    matching = lambda words: _may_match(words, vectors, idf, other, threshold)
+    whole = matching(tokens(F.col("text")))
+    hopeful = files.filter(reaching(tokens(F.col("text")))).withColumn("file", F.monotonically_increasing_id())
+    file = F.array(F.struct(F.lit(-1).alias("line"), tokens(F.col("text")).alias("words"), F.lit(False).alias("needed")))
+    pieces = F.concat(F.when(whole, file).otherwise(F.slice(file, 1, 0)), _near_lines(F.col("text"), needed_tokens(vectors, threshold)))
+    lines = cut(hopeful.select("file", "doc_id", "path", F.explode(pieces).alias("p")).select("file", "doc_id", "path", "p.*"))
+    parts = _headers(lines.filter("line >= 0"), reaching, matching).unionByName(lines.filter("line < 0").select("doc_id", "path", "line", "words"))
+    parts = cut(parts.withColumn("digest", F.sha2(F.array_join("words", " ").cast("binary"), 256)))
     # equal parts are scored once; written down, so that adaptive execution may split a frequent one
-    by_part = cut(_similarities(parts.select("digest", "part").distinct(), ["digest"], vectors, idf, other, threshold))
+    by_part = cut(_similarities(parts.groupBy("digest").agg(F.first("words").alias("words")), ["digest"], vectors, idf, other, threshold))
     found = parts.select("doc_id", "path", "line", "digest").join(by_part, "digest")
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b")
     own = cut(found.filter("line >= 0").groupBy("doc_id", "path").agg(best).select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), F.col("b.line").alias("line")))

@@ -171,3 +171,14 @@ def test_whole_files_within_the_bound(spark):
         v = vector(tok(text))
         want[100 + k] = any(sum(v.get(t, 0) * x for t, x in w.items()) / size(v) / size(w) >= L.THRESHOLD for w in (vector(tok(t)) for _, t in L.TEMPLATES))
     assert {k: got[k] is not None for k in want} == want and 0 < sum(want.values()) < 30
+
+
+def test_a_long_file_of_lines_that_matter(spark):
+    """Three thousand lines that each hold a token of some header: the same best header as by brute force on the part that holds it, and no row with all of them several times."""
+    rng = random.Random(8)
+    words = "released under the mit license licensed apache version 2.0 gnu general public work this is code".split()
+    noise = [" ".join(rng.choice(words) for _ in range(3)) + f" word{k} some other text that goes on" for k in range(3000)]
+    text = "\n".join([*noise[:1500], "This work is licensed under the", "GNU General Public License, version 3.", *noise[1500:]])
+    files = [(1, "a/b.txt", text), (2, "a/c.txt", "Released under the MIT License.")]
+    got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert (got[1].license, got[1].line) == ("GPL-3.0", 1500) and got[1].similarity > 0.99 and got[2].license == "MIT"
