@@ -9,6 +9,10 @@ TABLES = ("pages", "part", "lineitem", "orders", "events", "customer")
 CHECKED = (
     "parsed_pages", "page_texts", "seo_report", "location_signals", "marketing_elements", "brand_names", "consistency_scores", "contact_phones",
     "css_exports", "google_font_links", "edited_colours", "font_names", "live_jobs", "robots_allowed",
+    "text_styles", "scanned_fonts", "schema_nodes", "page_schemas", "site_schema_types", "crawl_visits", "painted_areas", "area_signals", "robots_cache", "robots_cache_stream", "quota_admission_stream",
+    "section_states", "visible_sections", "wide_colours", "file_slugs", "report_reads", "analysis_status", "site_palettes", "ranked_fonts", "social_profiles", "footer_phones", "distinct_addresses",
+    "merged_links", "graded_sites", "evaluation_totals", "property_kinds", "google_font_urls", "page_meta", "marketing_buttons", "cta_patterns", "header_logos", "site_summaries", "font_labels", "hex_forms",
+    "report_slugs", "priority_pages", "robots_rules", "robots_sitemaps", "sitemap_pages", "inline_styles", "stylesheet_sets", "url_checks",
 )
 
 
