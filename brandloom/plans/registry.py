@@ -660,4 +660,4 @@ def crawl_progress(spark, d):
     return rows.select("event_id", crawl.progress(F.col("done"), F.col("found")).alias("percent"))
 
 
-from . import derived, details, marked, rendered, streams, structured_data, visits, wide_colours  # noqa: E402, F401  (they register their queries)
+from . import derived, details, marked, records, rendered, streams, structured_data, visits, wide_colours  # noqa: E402, F401  (they register their queries)
