@@ -223,3 +223,51 @@ def report_reads(spark, d):
     found = cut(store.of_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("id"))))
     drop_folder(spark, folder)
     return found.select("id", "slug", "price")
+
+
+_PATH = "CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) END"
+_BRANDED = f"""p AS (SELECT page_id, {_SITE} AS site, url, {_PATH} AS path, p_size FROM pages JOIN part ON page_id % 100 = p_partkey),
+f AS (SELECT site, arg_min({_listed(_CHROMATIC)}[p_size % 6 + 1], page_id) AS brand FROM p GROUP BY site)"""
+
+
+@query(f"""WITH {_BRANDED}, c AS (SELECT p.site, url, CASE page_id % 3 WHEN 0 THEN brand WHEN 1 THEN {_listed(_CHROMATIC)}[p_size // 2 % 6 + 1] END AS hex, brand, CASE page_id % 4 WHEN 0 THEN 'sora' WHEN 1 THEN 'karla' WHEN 2 THEN 'bitter' END AS font, path FROM p JOIN f ON p.site = f.site),
+g AS (SELECT site, count(DISTINCT url) FILTER (hex IS NOT NULL) AS n, count(DISTINCT url) FILTER (hex = brand) AS w, count(DISTINCT url) FILTER (font IS NOT NULL) AS m, count(DISTINCT url) FILTER (font = 'sora') AS v,
+  list_sort(list(DISTINCT 'Page ' || path || ' uses non-brand font: bitter') FILTER (font = 'bitter')) AS stray FROM c GROUP BY site)
+SELECT site, CASE WHEN n > 0 THEN CAST(floor(25 * w / n + 0.5) AS INT) END AS color, CASE WHEN n = 0 THEN 'no color usage was found on the crawled pages' END AS color_reason, CASE WHEN n > 0 AND w / n < 0.8::DOUBLE THEN 'Only ' || CAST(floor(100 * w / n + 0.5) AS INT) || '% of pages use brand colors' ELSE '' END AS color_issues,
+  CASE WHEN m > 0 THEN CAST(floor(20 * v / m + 0.5) AS INT) END AS typography, CASE WHEN m = 0 THEN 'no font declarations were found on the crawled pages' END AS typography_reason,
+  CASE WHEN m > 0 THEN concat_ws('; ', nullif(array_to_string(coalesce(stray, [])[:10], '; '), ''), CASE WHEN v / m < 0.9::DOUBLE THEN 'Font consistency at ' || CAST(floor(100 * v / m + 0.5) AS INT) || '%' END) ELSE '' END AS typography_issues FROM g""")
+def consistency_dimensions(spark, d):
+    """How consistent each site's colours and fonts are with its brand's."""
+    pages = _styled_pages(spark, d)
+    page, size = F.col("page_id"), F.col("p_size")
+    brand = pages.groupBy("site").agg(F.min_by(_nth(_CHROMATIC, size), "page_id").alias("hex")).withColumn("rank", F.lit(1)).withColumn("role", F.lit("primary"))
+    rows = pages.join(brand.select("site", "hex"), "site")
+    colour = F.when(page % 3 == 0, F.col("hex")).when(page % 3 == 1, _nth(_CHROMATIC, F.floor(size / 2)))
+    font = F.when(page % 4 == 0, "Sora").when(page % 4 == 1, "'Karla', serif").when(page % 4 == 2, "Bitter !important")
+    css = F.concat(F.lit("p{margin:0}"), F.coalesce(F.concat(F.lit(".x{border-color:"), colour, F.lit("}")), F.lit("")), F.coalesce(F.concat(F.lit("p{font-family:"), font, F.lit("}")), F.lit("")))
+    own = rows.select("site", page.cast("int").alias("page_ord"), "url", "html", css.alias("css"))
+    sheets = own.select("site", "page_ord", F.col("url").alias("page_url"), F.lit(0).alias("css_ord"), "css")
+    sites = own.groupBy("site").agg(F.count("*").alias("n_pages"))
+    fonts = brand.select("site", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.lit("primary").alias("role"), F.lit("Sora").alias("name")), F.struct(F.lit(2).alias("rank"), F.lit("secondary").alias("role"), F.lit("Karla").alias("name")))).alias("f")).select("site", "f.*")
+    c = consistency.color_score(sites, consistency.page_colours(own, sheets), brand)
+    t = consistency.typography_score(sites, consistency.page_fonts(sheets), fonts)
+    joined = c.join(t, "site")
+    return joined.select("site", F.col("color.score").alias("color"), F.col("color.reason").alias("color_reason"), F.array_join("color_issues", "; ").alias("color_issues"), F.col("typography.score").alias("typography"), F.col("typography.reason").alias("typography_reason"), F.array_join("typography_issues", "; ").alias("typography_issues"))
+
+
+@query("""WITH p AS (SELECT p_brand AS site, p_partkey AS ord, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_size FROM part), r AS (SELECT * FROM p WHERE k <= 3),
+g AS (SELECT site, count(*) AS n, count(DISTINCT ord) FILTER (k < 4) AS checked, arg_min(p_size, k) AS size, list(p_size % 2 = 0 ORDER BY k) AS casual, arg_max(k, k) AS last FROM r GROUP BY site),
+s AS (SELECT *, len(list_filter(casual, lambda c: c = (size % 3 = 0))) / n AS share FROM g)
+SELECT site, CASE WHEN size % 5 <> 0 AND n >= 2 THEN CAST(floor(25 * share + 0.5) AS INT) END AS tone, CASE WHEN size % 5 = 0 THEN 'no tone of voice could be determined' WHEN n < 2 THEN 'needs at least two of the home, about and blog pages to compare tone' END AS reason,
+  CASE WHEN size % 5 <> 0 AND n >= 2 AND share < 0.8 AND last = 3 THEN 'Blog/news section may have different tone than main site' ELSE '' END AS issues FROM s""")
+def tone_dimensions(spark, d):
+    """How each brand's home, about and blog pages keep to its tone; its first three parts are these pages."""
+    rank = F.expr("row_number() over (partition by p_brand order by p_partkey)")
+    p = table(spark, d, "part").withColumn("k", rank)
+    where = F.when(F.col("k") == 1, "/").when(F.col("k") == 2, "/company").when(F.col("k") == 3, "/News/1").otherwise("/x")
+    casual = F.when(F.col("p_size") % 2 == 0, "Go!").otherwise("Go")
+    pages = p.select(F.col("p_brand").alias("site"), F.col("p_partkey").cast("int").alias("page_ord"), F.concat(F.lit("https://b.org"), where).alias("url"), F.array(F.lit("Read"), casual).alias("cta_buttons"))
+    first = p.filter("k = 1")
+    voice = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 0, F.array(F.lit("Playful"))).otherwise(F.array(F.lit("Simple")))
+    rows = consistency.tone_score(pages, first.select(F.col("p_brand").alias("site"), voice.alias("traits")))
+    return rows.select("site", F.col("tone.score").alias("tone"), F.col("tone.reason").alias("reason"), F.array_join("tone_issues", "; ").alias("issues"))

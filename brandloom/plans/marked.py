@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import url as U
-from ..operators import identity, marketing, pages as P
+from ..operators import contact, identity, marketing, pages as P
 from ..sources.tables import table
 from .catalog import query
 
@@ -96,3 +96,25 @@ def analysis_copy(spark, d):
     """How much copy of each site an analysis of its tone would read."""
     rows = identity.copy_for_analysis(_dressed(spark, d))
     return rows.select("site", F.size("hero").alias("n_hero"), F.size("ctas").alias("n_ctas"), F.size("urls").alias("n_urls"))
+
+
+_STREET_OF = "(100 + page_id % 7) || ' ' || CASE page_id % 3 WHEN 0 THEN 'Main' WHEN 1 THEN 'Lake' ELSE 'Elm' END || CASE WHEN page_id % 2 = 0 THEN ' Street' ELSE ' St' END"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_SITE} AS site FROM pages), c AS (SELECT site, regexp_replace(lower({_STREET_OF}), ' street$', ' st') AS key, {_STREET_OF} || CASE WHEN page_id % 4 = 1 THEN ' #' || (page_id % 9 + 1) ELSE '' END || ', Orlando FL, ' || (32800 + page_id % 7) AS address, 1 AS pass, page_id FROM p
+  UNION ALL SELECT site, '9 lake dr', '9 Lake Drive, Tampa FL, 33601', 0, page_id FROM p WHERE page_id % 5 = 0),
+k AS (SELECT site, CASE WHEN contains(address, '#') THEN key || ' ' || regexp_extract(address, '#(\\d+)', 1) ELSE key END AS key, address, pass, page_id FROM c),
+b AS (SELECT site, key, arg_min(address, (-len(address), pass, page_id)) AS address, min((pass, page_id)) AS place FROM k GROUP BY site, key),
+l AS (SELECT site, bool_or(page_id % 5 = 0) AS local FROM p GROUP BY site)
+SELECT b.site, string_agg(address, '; ' ORDER BY place) AS addresses, any_value(local) AS has_local_schema, CAST(55 + 15 * CAST(any_value(local) AS INT) AS INT) AS confidence, 'extracted' AS source FROM b JOIN l ON b.site = l.site GROUP BY b.site""")
+def site_addresses(spark, d):
+    """Addresses in footers and structured data of each site, in one form, each street once."""
+    rows = table(spark, d, "pages")
+    page = F.col("page_id")
+    unit = F.when(page % 4 == 1, F.concat(F.lit(" Suite "), (page % 9 + 1).cast("string"))).otherwise("")
+    line = F.concat(F.lit(" Visit us at "), F.expr(_STREET_OF), unit, F.lit(", Orlando, FL "), (32800 + page % 7).cast("string"), F.lit(" any day"))
+    schema = '<script type="application/ld+json">{"@type": "Store", "address": {"streetAddress": "9 Lake Drive", "addressLocality": "Tampa", "addressRegion": "FL", "postalCode": "33601"}}</script></head>'
+    html = F.regexp_replace("html", "(?s)(<footer[^>]*>).*?(</footer>)", "$1\x00$2")
+    html = F.replace(F.replace(html, F.lit("\x00"), line), F.lit("</head>"), F.when(page % 5 == 0, schema).otherwise("</head>"))
+    report = contact.geo_report(P.parse_pages(rows.select("url", html.alias("html"), page.cast("int").alias("page_ord"))))
+    return report.select("site", F.array_join("addresses", "; ").alias("addresses"), "has_local_schema", "confidence", "source")
