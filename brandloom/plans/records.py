@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, url as U
-from ..operators import exports, identity, merge
+from ..operators import exports, identity, merge, typography
 from ..sources.tables import table
 from ..streaming import state
 from .catalog import query
@@ -144,3 +144,31 @@ CASE WHEN s_suppkey % 3 = 0 THEN 'https://c/' || s_suppkey || '.png' ELSE 'https
 def record_facts(spark, d):
     """Names, descriptions and logos of third-party records."""
     return merge.record_facts(_records(spark, d))
+
+
+@query("""WITH p AS (SELECT p_brand AS site, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_brand IN ('Brand#1', 'Brand#2'))
+SELECT string_agg('#' || substr(md5(p_name || p_size), 1, 6), ' ' ORDER BY k) FILTER (site = 'Brand#1' AND k <= 5) AS left_colors, string_agg(p_name, '|' ORDER BY k) FILTER (site = 'Brand#1' AND k <= 3) AS left_fonts,
+  string_agg('#' || substr(md5(p_name || p_size), 1, 6), ' ' ORDER BY k) FILTER (site = 'Brand#2' AND k <= 5) AS right_colors, string_agg(p_name, '|' ORDER BY k) FILTER (site = 'Brand#2' AND k <= 3) AS right_fonts FROM p""")
+def compared_reports(spark, d):
+    """Two brands side by side."""
+    p = table(spark, d, "part").withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    colours = p.select(F.col("p_brand").alias("site"), "rank", F.concat(F.lit("#"), F.substring(F.md5(F.concat("p_name", F.col("p_size").cast("string")).cast("binary")), 1, 6)).alias("hex"))
+    both = merge.compare_reports(colours, p.select(F.col("p_brand").alias("site"), "rank", F.col("p_name").alias("name")), "Brand#1", "Brand#2")
+    side = lambda site, field, mark: F.array_join(F.col(f"`{site}`.{field}"), mark)
+    return both.select(side("Brand#1", "hexs", " ").alias("left_colors"), side("Brand#1", "names", "|").alias("left_fonts"), side("Brand#2", "hexs", " ").alias("right_colors"), side("Brand#2", "names", "|").alias("right_fonts"))
+
+
+@query("""WITH e AS (SELECT p_brand AS site, 'Q ' || p_name AS name, 'heading' AS role, CASE WHEN bool_or(p_size % 2 = 0) THEN 98 ELSE 85 END AS confidence, min(p_partkey) * 10 AS ord FROM part GROUP BY p_brand, p_name
+  UNION ALL SELECT p_brand, 'Work', 'primary', 85, min(p_partkey) * 10 + 1 FROM part GROUP BY p_brand UNION ALL SELECT p_brand, 'Tiempos', 'button', 80, min(p_partkey) * 10 + 2 FROM part GROUP BY p_brand)
+SELECT * FROM (SELECT site, row_number() OVER (PARTITION BY site ORDER BY list_position(['primary', 'heading', 'button', 'accent', 'secondary'], role), confidence DESC, ord) AS rank, name, role, CAST(confidence AS INT) AS confidence FROM e) WHERE rank <= 10""")
+def computed_fonts(spark, d):
+    """Each brand's fonts from computed styles of a few elements of its pages; a part is a page."""
+    style = lambda family, weight: F.struct(family.alias("family"), F.lit(weight).alias("weight"))
+    name, none = F.concat(F.lit("Q "), "p_name"), F.array().cast("array<string>")
+    computed = F.create_map(F.lit("h1"), style(F.concat(F.lit("'"), name, F.lit("', serif")), "700"), F.lit("body"), style(F.lit("var(--text, x)"), "400"), F.lit("button"), style(F.lit("Arial"), "600"))
+    named = F.transform_values(computed, lambda k, v: F.when(k == "h1", F.struct(name.alias("family"), v["weight"].alias("weight"))).otherwise(v))
+    pages = table(spark, d, "part").select(
+        F.col("p_brand").alias("site"), F.col("p_partkey").cast("int").alias("page_ord"), F.lit("u").alias("url"), named.alias("computed"), F.array(F.lit("Tiempos")).alias("loaded"), F.when(F.col("p_size") % 2 == 0, F.array(name)).otherwise(none).alias("google"),
+        F.create_map(F.lit("--text"), F.lit("Work, sans-serif")).alias("variables"), F.array().cast("array<struct<type:string,url:string,fonts:array<string>>>").alias("sources"),
+    )
+    return typography.final_fonts(typography.from_computed(pages)).select("site", F.col("rank").cast("long").alias("rank"), "name", "role", "confidence")
