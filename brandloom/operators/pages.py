@@ -48,11 +48,20 @@ def _top_level(schema: str) -> list[str]:
 
 
 def with_order(pages: DataFrame, by: Column | str | None = None) -> DataFrame:
-    """pages + site, page_ord (by `by`, else url)."""
+    """pages + site, page_ord (by `by`, else url).
+
+    A site's pages are counted and ranked by their keys alone; markup only meets rows of its own key, so no task holds a site's markup.
+    """
     named = pages.withColumn("site", U.site("url"))
     if "page_ord" in pages.columns:
         return named
-    return named.withColumn("page_ord", F.row_number().over(Window.partitionBy("site").orderBy(by if by is not None else F.col("url"))))
+    keyed = named.withColumn("_key", F.col(by) if isinstance(by, str) else by if by is not None else F.col("url"))
+    counts = keyed.groupBy(F.col("site").alias("_site"), F.col("_key").alias("_of")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_site").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_site", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = keyed.join(starts, F.col("site").eqNullSafe(F.col("_site")) & F.col("_key").eqNullSafe(F.col("_of")))
+    repeated = F.row_number().over(Window.partitionBy("site", "_key").orderBy("_start"))
+    return joined.withColumn("page_ord", (F.col("_start") + repeated).cast("int")).drop("_key", "_site", "_of", "_start")
 
 
 def parse_pages(pages: DataFrame, by: Column | str | None = None) -> DataFrame:

@@ -254,3 +254,13 @@ def test_empty_tables(spark):
     nulls = P.parse_pages(spark.createDataFrame([(None, None), ("https://a.com/", None)], "url string, html string"))
     assert empty.count() == 0 and seo.seo_report(empty).count() == 0
     assert contact.geo_report(nulls.filter("site is not null")).count() == 1
+
+
+def test_order_of_pages(spark):
+    """Pages by url within their sites, repeated ones each with a number of their own, null urls as a site of theirs."""
+    urls = ["https://a.org/b", "https://a.org/a", "https://www.a.org/a", "https://b.org/", "https://a.org/b", None, None]
+    frame = spark.createDataFrame([(u, f"<title>{k}</title>", k) for k, u in enumerate(urls)], "url string, html string, n int")
+    got = sorted(((r.site or "", r.page_ord, r.url or "") for r in P.with_order(frame).collect()))
+    assert got == [("", 1, ""), ("", 2, ""), ("a.org", 1, "https://a.org/a"), ("a.org", 2, "https://a.org/b"), ("a.org", 3, "https://a.org/b"), ("a.org", 4, "https://www.a.org/a"), ("b.org", 1, "https://b.org/")]
+    assert {r.n: r.page_ord for r in P.with_order(frame.filter("url is not null"), F.col("n") * -1).collect()} == {4: 1, 2: 2, 1: 3, 0: 4, 3: 1}
+    assert P.with_order(frame, "n").filter("site = 'a.org'").agg(F.max("page_ord")).first()[0] == 4
