@@ -44,7 +44,7 @@ ARENA_NODES = 2_000_000
 #: Words longer than this are forgotten after their batch.
 LONG_WORD = 64
 #: Characters of text that are searched together.
-BATCH_CHARS = 150_000
+BATCH_CHARS = 300_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _HOLE = ""  # stands for a literal U+2581 while a text is split
 
