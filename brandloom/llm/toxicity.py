@@ -241,7 +241,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, steps: int =
     w, b = np.zeros(d, np.float32), float(np.log((target.mean() + 1e-6) / (1 - target.mean() + 1e-6)))
     ahead, t = w.copy(), 1.0
     y = target.astype(np.float32)
-    row_norm = float((x.astype(np.float32) ** 2).sum(axis=1).mean())
+    row_norm = float(np.einsum("ij,ij->", x, x, dtype=np.float64)) / n
     rate = 4.0 / (row_norm + 1)
     bias_rate = 1.0
     for _ in range(steps):
@@ -272,16 +272,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> dict:
     hits = table.column("hits").combine_chunks()
     hits = hits if isinstance(hits, pa.Array) else hits.chunk(0)
     lengths = hits.value_lengths().to_numpy()
-    x = np.zeros((len(lengths), width), np.float32)
+    x = np.zeros((len(lengths), width), np.uint8)  # as numbers it is four times as large
     x[np.repeat(np.arange(len(lengths)), lengths), hits.flatten().to_numpy()] = 1
-    order = np.lexsort(np.packbits(x > 0, axis=1).T)  # the order of arrival does not matter
+    order = np.lexsort(np.packbits(x, axis=1).T)  # the order of arrival does not matter
     x, toxic = x[order], (table.column("toxic").to_numpy() > 0)[order]
     # voters: features and patterns that tell for toxicity, each rare in clean rows
     tells = lambda t, c: t >= max(3, SUPPORT * n_toxic) and t >= TRUST * (t + c)
     able = [i for i, (_, t, c) in enumerate(mined) if tells(t, c)] + [i for i in range(len(names), width) if tells(x[toxic, i].sum(), x[~toxic, i].sum())]
     voters = independent(x, able)
     post, rates, parent, vocabulary = label_model(x[:, voters] > 0)
-    w, b = fit_linear(x[:, : len(names)], post)
+    w, b = fit_linear(x[:, : len(names)].astype(np.float32), post)
     every = [*names, *PATTERNS]
     led_by = [every[voters[p]] if p >= 0 else None for p in parent]
     estimates = {every[i]: (float(rates[0, k]), float(rates[1, k]), led_by[k], int(vocabulary[k])) for k, i in enumerate(voters)}
