@@ -85,3 +85,17 @@ def test_null_keys_and_empty(spark):
     got = {r.id: r.outcome for r in ordered.cache_lookups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "miss", 2: "hit", 3: "miss", 4: "refetch"}
     assert ordered.cache_lookups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keys_share_lanes(spark, tmp_path):
+    """The state that is read and written grows with lanes, not with keys."""
+    own = ordered.session_for_state(spark)
+    rows = [(i, None if i == 7 else f"k{i}", START + dt.timedelta(seconds=i)) for i in range(1500)]
+    own.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = own.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    for name, build in (("quota", lambda: ordered.admit_all_stream(stream, buckets=2)), ("cache", lambda: ordered.cache_lookups_stream(stream, late="1 second", lanes=2))):
+        query = build().writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held = [operator.numRowsTotal for progress in query.recentProgress for operator in progress.stateOperators]
+        assert held and max(held) <= 50
+    assert own.read.parquet(str(tmp_path / "cache")).filter("key is null and outcome = 'miss'").count() == 1
