@@ -71,3 +71,11 @@ def test_brand_slots(spark):
     marked = {r.el for r in areas.brand_slots(elements).collect()}
     tags = [(r.tag, r.el in marked) for r in elements.orderBy("el").collect()]
     assert tags == [("body", False), ("header", True), ("b", True), ("a", True), ("i", True), ("a", False), ("div", True), ("svg", True), ("path", True), ("div", True), ("p", True), ("p", False)]
+
+
+def test_boxes_of_one_number(spark):
+    """Where numbers tie at the bound or at the root, the result does not depend on how rows lie."""
+    boxes = [("a.org", 1, "u", 1, 0.0, 0.0, 10.0 + k, 10.0, "div", None, None, None, None, f"#0000{k:02x}", None, None, None, 0, None) for k in range(40)]
+    boxes += [("a.org", 1, "u", 0, 0.0, 0.0, 1.0, 1.0, "body", None, None, None, None, back, None, None, None, 0, None) for back in ("transparent", "#123456", "nonsense")]
+    results = [{(r.hex, r.px) for r in areas.painted_areas(spark.createDataFrame(own, areas.BOX).coalesce(1), (100, 100), 5).collect()} for own in (boxes, boxes[::-1], boxes[20:] + boxes[:20])]
+    assert results[0] == results[1] == results[2] and len(results[0]) == 6 and ("#123456", 20_000) in results[0]
