@@ -15,7 +15,7 @@ from ..functions import selectors as S
 from ..functions.css import Variables
 from ..functions.html import tree_of
 from ..functions.udf import arrow
-from ..session import cut
+from ..session import cut, small_batches
 
 # The browser's own style sheet, as far as fonts and visibility go.
 BOLD_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "b", "strong", "th")
@@ -56,6 +56,7 @@ def _said(declaration: tuple) -> dict:
 
 def page_elements(pages: DataFrame) -> DataFrame:
     """pages(site, page_ord, html) -> site, page_ord and ELEMENT, a row for each element in document order."""
+    small_batches(pages.sparkSession)
     return pages.select(*PAGE, F.explode(_tree("html")).alias("e")).select(*PAGE, "e.*")
 
 
@@ -66,6 +67,7 @@ def page_rules(sheets: DataFrame, width: int = WIDTH) -> DataFrame:
     def parse(css: pd.Series) -> pd.Series:
         return css.map(lambda text: [{"pos": k, "faces": s.startswith("@"), "declared": [_said(d) for d in declared], "selectors": [] if s.startswith("@") else S.selectors(s)} for k, (s, declared) in enumerate(S.rules(text or "", width))])
 
+    small_batches(sheets.sparkSession)
     return sheets.select(*PAGE, "css_ord", F.explode(parse("css")).alias("r")).select(*PAGE, "css_ord", "r.*")
 
 

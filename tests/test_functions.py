@@ -181,3 +181,21 @@ def test_long_and_deep_pages_are_read_whole():
         assert got["headings"] == [{"level": 2, "text": "End"}] and got["cta_buttons"] == ["Buy"] and got["footer"] == "Foot"
         assert got["inline_css"] == ["a{}"] and got["links"] == ["https://a.com/x"] and set(got["nav_labels"]) == {"Late"} and "hidden" not in got["visible_text"]
     assert parse_page("<header>" + "<i></i>" * 100_500 + "<img src='/logo.png'></header>", "https://a.com/")["marks"] == []
+
+
+def test_batches_are_taken_in_parts(spark):
+    """Arrow functions see a bounded part of a batch at a time, and rows keep their order."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from brandloom.functions import udf
+
+    @udf.arrow("struct<rows:int,text:string>")
+    def seen(text: pd.Series, other: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"rows": [len(text)] * len(text), "text": [f"{t}{o}" for t, o in zip(text, other)]})
+
+    rows = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), 10)).alias("t"), "id")
+    got = rows.select("t", "id", seen("t", "id").alias("s")).collect()
+    assert len(got) == 3000 and max(r.s.rows for r in got) <= udf.PART_ROWS and all(r.s.text == f"{r.t}{r.id}" for r in got)
+    long = pd.Series(["x" * udf.PART_SIZE, "y", None, "z" * udf.PART_SIZE, "w"])
+    assert [len(p) for p, in udf.parts([long])] == [1, 2, 1, 1] and [len(p) for p, in udf.parts([long[:0]])] == [0]
