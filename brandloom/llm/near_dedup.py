@@ -47,6 +47,8 @@ CANDIDATE = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 SMALL = 16
 #: Members compared with each other in one task, and the shingles that they have together, at most (in expectation).
 BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+#: Links that one task looks through for circles at a time.
+FOREST = 1_000_000
 _BUCKETS = np.arange(REGISTERS, dtype=np.uint64)
 
 
@@ -192,9 +194,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
+def _forest(batches):
+    """(u, v) -> edges that join the same nodes without a circle, FOREST rows at a time."""
+    held, n = [], 0
+
+    def trees() -> pa.RecordBatch:
+        ends = np.stack([np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)])
+        nodes, places = np.unique(ends, return_inverse=True)
+        root, kept = list(range(len(nodes))), []
+
+        def top(node: int) -> int:
+            while root[node] != node:
+                root[node] = node = root[root[node]]
+            return node
+
+        for k, (u, v) in enumerate(places.reshape(2, -1).T.tolist()):
+            if (u := top(u)) != (v := top(v)):
+                root[max(u, v)] = min(u, v)
+                kept.append(k)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in ends[:, kept]], ["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= FOREST:
+            yield trees()
+            held, n = [], 0
+    if n:
+        yield trees()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> node, comp (smallest node reachable), by alternating stars; every pass is linear in the links."""
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """links(a, b) -> node, comp (smallest node reachable), by alternating stars; every pass is linear in the links.
+
+    First each task leaves out links that close a circle among its own, so up to FOREST links become fewer than their nodes.
+    """
+    ends = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    edges = cut(ends.repartition(-(-ends.count() // FOREST) or 1, "v").mapInArrow(_forest, "u long, v long"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -212,3 +212,20 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert len(kept) == 8 and {(7, 60), (8, 200), (5, 90), (3, 140)} <= set(kept) and all(n < 30 for i, n in kept if i in (None, 9))
     same = spark.createDataFrame([(1, " ".join(texts[0]))] * 2, "doc_id long, text string")
     assert sorted(r.is_first for r in S.repeated_spans(same).collect()) == [False, True]
+
+
+def test_links_become_forests_before_components(spark, monkeypatch):
+    """A clique's links are its members' square; what the passes see of them is fewer than the members."""
+    import pyarrow as pa
+
+    pairs = [(a, b) for c in range(0, 300, 100) for a in range(c, c + 60) for b in range(a + 1, c + 60)] + [(59, 100), (7, 7)]
+    u, v = (pa.array([p[i] for p in pairs[:-1]], pa.int64()) for i in (1, 0))
+    whole = pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+    assert sum(b.num_rows for b in N._forest(iter([whole.slice(0, 2000), whole.slice(2000)]))) == 180 - 2
+    assert list(N._forest(iter([]))) == []
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for bound in (1_000_000, 500):
+        monkeypatch.setattr(N, "FOREST", bound)
+        got = {r.node: r.comp for r in N.components(links).collect()}
+        assert got == {n: 200 if n >= 200 else 0 for c in range(0, 300, 100) for n in range(c, c + 60) if n not in (0, 200)}  # the least stands for itself
+    assert N.components(links.limit(0)).count() == 0
