@@ -46,6 +46,14 @@ def _class_of(points) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
+_ASCII = "[\\x{0}-\\x{7f}]"
+
+
+def _split_by(points: str) -> tuple[str, str]:
+    """A class of hundreds of ranges, and what else lies beyond ASCII; both ask first whether a character is ASCII, since a range is a step for every character."""
+    return f"[[^{_ASCII[1:]}&&{points}]", f"[[^{_ASCII[1:]}&&[^{points[1:]}]"
+
+
 def nfkd(text: Column) -> Column:
     single, several, classes = _tables()
     held = "".join(single)
@@ -61,15 +69,16 @@ def nfkd(text: Column) -> Column:
         return out.otherwise(c)
 
     # character by character, but only where there is one that becomes several
-    points = _class_of(p for table in several.values() for p in table)
-    apart = let(plain, lambda t: F.when(t.rlike(points), F.array_join(F.transform(_extract(t, f"{points}|[^{points[1:]}+"), lambda p: F.when(F.char_length(p) == 1, spelled(p)).otherwise(p)), "")).otherwise(t))
+    points, others = _split_by(_class_of(p for table in several.values() for p in table))
+    single_point = lambda p: (F.char_length(p) == 1) & (p > F.lit("\x7f"))
+    apart = let(plain, lambda t: F.when(t.rlike(points), F.array_join(F.transform(_extract(t, f"{_ASCII}+|{points}|{others}+"), lambda p: F.when(single_point(p), spelled(p)).otherwise(p)), "")).otherwise(t))
 
     # marks of lower classes first, those of one class as they come
-    marks = _class_of(classes)
+    marks, unmarked = _split_by(_class_of(classes))
     names = "".join(classes)
     ranks = "".join(chr(0x100 + classes[c]) for c in names)
     ordered = lambda run: F.array_join(F.transform(F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(F.translate(c, names, ranks).alias("rank"), i.alias("i"), c.alias("c")))), lambda s: s["c"]), "")
-    sorted_ = let(apart, lambda t: F.when(t.rlike(f"{marks}{{2}}"), F.array_join(F.transform(_extract(t, f"{marks}+|[^{marks[1:]}+"), lambda p: F.when((F.char_length(p) > 1) & p.rlike(f"^{marks}"), ordered(p)).otherwise(p)), "")).otherwise(t))
+    sorted_ = let(apart, lambda t: F.when(t.rlike(f"{marks}{{2}}"), F.array_join(F.transform(_extract(t, f"{_ASCII}+|{marks}+|{unmarked}+"), lambda p: F.when((F.char_length(p) > 1) & p.rlike(f"^{marks}"), ordered(p)).otherwise(p)), "")).otherwise(t))
     return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(sorted_)
 
 
@@ -77,13 +86,13 @@ def _extract(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def without_marks(text: Column) -> Column:
-    """NFKD without the combining marks of the first block."""
-    return F.regexp_replace(nfkd(text), "[\\u0300-\\u036f]", "")
+def without_marks(text: Column, decomposed: bool = False) -> Column:
+    """NFKD without the combining marks of the first block; a text that is decomposed already is taken as it is."""
+    return F.regexp_replace(text if decomposed else nfkd(text), "[\\u0300-\\u036f]", "")
 
 
-def file_slug(name: Column, lower: bool = True) -> Column:
+def file_slug(name: Column, lower: bool = True, decomposed: bool = False) -> Column:
     """A name for a file: letters and digits of the decomposed name, others as single hyphens, at most 60 characters; 'brand' where nothing is left."""
-    bare = F.regexp_replace(F.regexp_replace(nfkd(name), "[^a-zA-Z0-9]+", "-"), "^-|-$", "")
+    bare = F.regexp_replace(F.regexp_replace(name if decomposed else nfkd(name), "[^a-zA-Z0-9]+", "-"), "^-|-$", "")
     cut = F.substring(F.lower(bare) if lower else bare, 1, 60)
     return F.when(cut != "", cut).otherwise("brand")
