@@ -262,9 +262,9 @@ class Lattices:
             found[missing] = [self.words[words[i]] for i in missing.tolist()]
         return found
 
-    def forget(self) -> None:
+    def forget(self, most: int = ARENA_NODES) -> None:
         """Between batches: drop everything when the arena is full or holds a very long word."""
-        if self.nodes > ARENA_NODES or self.long_word:
+        if self.nodes > most or self.long_word:
             self.clear()
 
 
@@ -448,11 +448,11 @@ def sample_batch(lat: Lattices, texts: list[str | None], keys: list[int], k: int
 SAMPLED = "doc_id long, sample int, n_pieces int, ids array<int>, log_prob double, gumbel double, inclusion double, round_trip boolean"
 
 
-def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, path: str | None = None, tell_copies: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, theta: float = THETA, path: str | None = None, tell_copies: bool = False, arena_nodes: int = ARENA_NODES, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """docs(doc_id, text) -> up to k rows of SAMPLED per document; round_trip says that decoding the ids gives the text.
 
     With `tell_copies`, equal rows (of doc_id and text) draw as further copies: their key takes their number. They are brought together by a hash of both first, and stand next to each
-    other there, so how the rows lay before makes no difference.
+    other there, so how the rows lay before makes no difference. `arena_nodes` and `batch_chars` trade a worker's memory for time; samples do not depend on them, scores but for rounding.
     """
     small_batches(docs.sparkSession)
     path = path or tokenizer_path()
@@ -471,8 +471,8 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, th
             for i, text in enumerate(batch.column(1)):
                 texts.append(text.as_py() or "")
                 chars += len(texts[-1])
-                if chars >= BATCH_CHARS or i == batch.num_rows - 1:
-                    yield from _sampled_rows(lat, texts, batch.column(0).slice(begin, len(texts)), keys[begin : i + 1], k, seed, names)
+                if chars >= batch_chars or i == batch.num_rows - 1:
+                    yield from _sampled_rows(lat, texts, batch.column(0).slice(begin, len(texts)), keys[begin : i + 1], k, seed, names, arena_nodes)
                     texts, begin, chars = [], i + 1, 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -496,7 +496,7 @@ def _round_trips(lat: Lattices, texts: list[str], ids: np.ndarray, offsets: np.n
     return good
 
 
-def _sampled_rows(lat: Lattices, texts, doc_ids, keys, k, seed, names):
+def _sampled_rows(lat: Lattices, texts, doc_ids, keys, k, seed, names, arena_nodes):
     for s in sample_batch(lat, texts, keys, k, seed):
         rows, offsets = s["rows"], s["offsets"]
         lengths = (offsets[1:] - offsets[:-1])[rows]
@@ -512,7 +512,7 @@ def _sampled_rows(lat: Lattices, texts, doc_ids, keys, k, seed, names):
             pa.array(good, pa.bool_()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names)
-    lat.forget()
+    lat.forget(arena_nodes)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", theta: float = THETA, path: str | None = None) -> DataFrame:

@@ -14,6 +14,10 @@ from brandloom.llm import exact_dedup, mixing, near_dedup, sampled_segmentation,
 from brandloom.session import drop_folder, shared_dir
 
 
+#: The encoder's workers share their executors with what the stages before have left in the heap: smaller ones than op2's.
+ENCODER_NODES, ENCODER_CHARS = 300_000, 150_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -31,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sampled_segmentation.sample_segmentations(docs, tell_copies=True)
+    return sampled_segmentation.sample_segmentations(docs, tell_copies=True, arena_nodes=ENCODER_NODES, batch_chars=ENCODER_CHARS)
 
 
 STAGES = [
