@@ -45,7 +45,8 @@ def schema_nodes(blocks: DataFrame, levels: int = LEVELS) -> DataFrame:
     Levels are opened one after the other by variant_explode, so a block of any width is rows, not one value in a task. `top` marks a block's own object, or the items of
     a block that is a list. types are the texts of @type; address joins the parts that are there.
     """
-    level = blocks.filter("v is not null").select(*PAGE, "block", F.lit("$").alias("path"), F.lit(True).alias("top"), "v")
+    # the first level is read twice, for its objects and for what they hold: pages are parsed once for both
+    level = cut(blocks.filter("v is not null").select(*PAGE, "block", F.lit("$").alias("path"), F.lit(True).alias("top"), "v"))
     found = None
     for _ in range(levels):
         objects = level.filter(_is(F.col("v"), "OBJECT"))
