@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brandloom.functions import color as C, unicode as N
 from brandloom.llm import sampled_segmentation
-from brandloom.operators import structured, typography
+from brandloom.operators import pages as P, structured, typography
 from brandloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,6 +48,16 @@ def test_blocks_are_read_once(spark):
     assert sorted(r.path for r in structured.schema_nodes(structured.schema_blocks(pages)).collect()) == ["$", "$.address"] and read.value == 1
 
 
+def test_markup_is_read_once(spark):
+    # by a filter of what was read
+    pages = P.parse_pages(spark.createDataFrame([("https://mill.example/", "<button>Buy rye</button>")], "url string, html string"))
+    buttons = pages.select("site", F.explode("cta_buttons").alias("b"))
+    assert buttons.first()[:] == ("mill.example", "Buy rye") and _plan(buttons).count("ArrowEvalPython") == 1
+    # and by reports with several parts
+    for name in ("seo_report",):
+        assert _plan(registry.QUERIES[name](spark, FOLDER)).count("ArrowEvalPython") <= 1, name
+
+
 def test_samples_do_not_depend_on_the_workers_memory(spark):
     docs = spark.createDataFrame([(i, f"some words of text {i % 7} and their pieces " * 3) for i in range(40)], "doc_id long, text string")
     drawn = lambda **bounds: sorted((r.doc_id, r.sample, r.ids, round(r.log_prob, 6)) for r in sampled_segmentation.sample_segmentations(docs, tell_copies=True, **bounds).collect())
