@@ -54,7 +54,7 @@ def test_markup_is_read_once(spark):
     buttons = pages.select("site", F.explode("cta_buttons").alias("b"))
     assert buttons.first()[:] == ("mill.example", "Buy rye") and _plan(buttons).count("ArrowEvalPython") == 1
     # and by reports with several parts
-    for name in ("seo_report", "location_signals", "geo_report", "site_addresses", "cta_patterns", "header_logos", "marketing_buttons", "site_summaries"):
+    for name in ("seo_report", "logos", "marketing_elements", "location_signals", "geo_report", "site_addresses", "cta_patterns", "header_logos", "marketing_buttons", "site_summaries"):
         assert _plan(registry.QUERIES[name](spark, FOLDER)).count("ArrowEvalPython") <= 1, name
 
 
