@@ -58,6 +58,16 @@ def test_markup_is_read_once(spark):
         assert _plan(registry.QUERIES[name](spark, FOLDER)).count("ArrowEvalPython") <= 1, name
 
 
+def test_only_what_is_read_of_a_page_leaves_python(spark):
+    rows = spark.createDataFrame([("https://mill.example/", "<h1>Rye</h1><button>Buy rye</button>")], "url string, html string")
+    pages = P.parse_pages(rows, columns=("headings", "cta_buttons"))
+    assert pages.columns == ["site", "page_ord", "url", "html", "headings", "cta_buttons"]
+    assert pages.drop("html").first()[:] == P.parse_pages(rows).select("site", "page_ord", "url", "headings", "cta_buttons").first()[:]
+    for name in ("site_tones", "analysis_copy"):
+        made = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toJSON()
+        assert "cta_buttons" in made and "visible_text" not in made, name
+
+
 def test_samples_do_not_depend_on_the_workers_memory(spark):
     docs = spark.createDataFrame([(i, f"some words of text {i % 7} and their pieces " * 3) for i in range(40)], "doc_id long, text string")
     drawn = lambda **bounds: sorted((r.doc_id, r.sample, r.ids, round(r.log_prob, 6)) for r in sampled_segmentation.sample_segmentations(docs, tell_copies=True, **bounds).collect())
