@@ -63,7 +63,7 @@ def test_only_what_is_read_of_a_page_leaves_python(spark):
     pages = P.parse_pages(rows, columns=("headings", "cta_buttons"))
     assert pages.columns == ["site", "page_ord", "url", "html", "headings", "cta_buttons"]
     assert pages.drop("html").first()[:] == P.parse_pages(rows).select("site", "page_ord", "url", "headings", "cta_buttons").first()[:]
-    for name in ("site_tones", "analysis_copy"):
+    for name in ("site_tones", "analysis_copy", "cta_patterns"):
         made = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toJSON()
         assert "cta_buttons" in made and "visible_text" not in made, name
 
