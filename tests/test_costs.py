@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brandloom.functions import color as C, unicode as N
 from brandloom.llm import sampled_segmentation
-from brandloom.operators import pages as P, structured, typography
+from brandloom.operators import colors, pages as P, structured, typography
 from brandloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -68,6 +68,20 @@ def test_only_what_is_read_of_a_page_leaves_python(spark):
         assert "cta_buttons" in made and "visible_text" not in made, name
 
 
+def test_a_report_reads_style_sheets_once(spark):
+    plan = _plan(registry.QUERIES["consistency_scores"](spark, FOLDER))
+    # colours, fonts, and the names of brand fonts; not the sheets again for each of them
+    assert plan.count("ArrowEvalPython") <= 5
+
+
+def test_only_declarations_with_variables_carry_them(spark):
+    css = [("rye.example", 1, "u", 0, "body{--ink:#112233;--paper:var(--ink);color:var(--paper);background:#445566;font-family:VAR(--ink)} p{font:16px var(--ink)!important}")]
+    decls = P.css_declarations(spark.createDataFrame(css, "site string, page_ord int, page_url string, css_ord int, css string"))
+    rows = decls.join(P.css_variables(decls), "site").select("value", colors.variables_of("value").alias("v"))
+    assert {r.value: r.v is not None for r in rows.collect()} == {"#112233": False, "var(--ink)": True, "var(--paper)": True, "#445566": False, "VAR(--ink)": False, "16px var(--ink)!important": True}
+    assert {r.hex for r in colors.colour_uses(decls, P.css_variables(decls)).collect()} == {"#112233", "#445566"}
+
+
 def test_samples_do_not_depend_on_the_workers_memory(spark):
     docs = spark.createDataFrame([(i, f"some words of text {i % 7} and their pieces " * 3) for i in range(40)], "doc_id long, text string")
     drawn = lambda **bounds: sorted((r.doc_id, r.sample, r.ids, round(r.log_prob, 6)) for r in sampled_segmentation.sample_segmentations(docs, tell_copies=True, **bounds).collect())
