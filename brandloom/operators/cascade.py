@@ -39,9 +39,11 @@ RULE = (
     f"selectors:array<struct<spec:array<int>,steps:array<struct<comb:string,{_PARTS},nots:array<struct<{_PARTS}>>>>>>"
 )
 PAGE = ("site", "page_ord")
+#: Characters of markup whose elements a worker holds at a time; a single longer page is taken by itself.
+TREE_SIZE = 1 << 16
 
 
-@arrow(f"array<struct<{ELEMENT}>>")
+@arrow(f"array<struct<{ELEMENT}>>", size=TREE_SIZE)
 def _tree(html: pd.Series) -> pd.Series:
     return html.map(lambda text: [e | {"style": _inline(e["attrs"].get("style", ""))} for e in tree_of(text or "")])
 

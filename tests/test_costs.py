@@ -1,10 +1,11 @@
 """What plans must not hold: work that grows faster than the rows, or that is done again for each use."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from brandloom.functions import color as C, unicode as N
+from brandloom.functions import color as C, udf, unicode as N
 from brandloom.llm import sampled_segmentation
-from brandloom.operators import colors, pages as P, structured, typography
+from brandloom.operators import cascade, colors, pages as P, structured, typography
 from brandloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -82,6 +83,16 @@ def test_only_declarations_with_variables_carry_them(spark):
     assert {r.hex for r in colors.colour_uses(decls, P.css_variables(decls)).collect()} == {"#112233", "#445566"}
 
 
+def test_trees_are_made_of_less_markup_at_a_time(spark):
+    @udf.arrow("array<int>", size=cascade.TREE_SIZE)
+    def held(html: pd.Series) -> pd.Series:
+        return pd.Series([[len(html), int(html.str.len().sum())]] * len(html))
+
+    pages = spark.createDataFrame([("x" * n,) for n in [9_000] * 20 + [90_000, 10]], "html string").coalesce(1)
+    got = [tuple(r.h) for r in pages.select(held("html").alias("h")).collect()]
+    assert got == [(7, 63_000)] * 14 + [(6, 54_000)] * 6 + [(1, 90_000), (1, 10)]
+
+
 def test_samples_do_not_depend_on_the_workers_memory(spark):
     docs = spark.createDataFrame([(i, f"some words of text {i % 7} and their pieces " * 3) for i in range(40)], "doc_id long, text string")
     drawn = lambda **bounds: sorted((r.doc_id, r.sample, r.ids, round(r.log_prob, 6)) for r in sampled_segmentation.sample_segmentations(docs, tell_copies=True, **bounds).collect())
