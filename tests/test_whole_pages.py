@@ -1,6 +1,7 @@
 """Pages are read to their end, however long they are."""
 
 from brandloom.functions.html import parse_page
+from brandloom.operators import contact, pages as P
 from brandloom.plans import registry
 
 LONG = "plain words of a long page " * 8_000  # 216,000 characters
@@ -22,3 +23,13 @@ def test_the_end_of_a_text_is_a_row_of_its_query(spark, tmp_path):
     spark.createDataFrame([(1, "https://mill.example/", f"<body><p>{LONG}the end</p></body>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     row = registry.QUERIES["page_texts"](spark, str(tmp_path)).first()
     assert row.text == f"{LONG}the end" and registry.QUERIES["parsed_pages"](spark, str(tmp_path)).first().n_text == len(row.text)
+
+
+def test_locations_are_read_from_whole_texts_and_footers(spark):
+    page = f"<body><p>{LONG}The shop is at 27 Quarry Lane, Stowe, VT 05672, open daily; ring 407-555-0123.</p><div class='address'>63 Orchard Terrace Road, Salem, OR, 97301</div></body>"
+    rows = [("https://mill.example/contact", page), ("https://rye.example/bread", f"<body><footer>{LONG}Ring 321-555-0199</footer></body>")]
+    pages = P.parse_pages(spark.createDataFrame(rows, "url string, html string"))
+    found = {r.site: r for r in contact.geo_report(pages).collect()}
+    assert found["mill.example"].phones == ["407-555-0123"] and found["rye.example"].phones == ["321-555-0199"]
+    # what the text says comes before the blocks, however far in it stands
+    assert found["mill.example"].addresses == ["27 Quarry Lane, Stowe VT, 05672", "63 Orchard Terrace Road, Salem OR, 97301"]
