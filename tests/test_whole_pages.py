@@ -1,7 +1,7 @@
 """Pages are read to their end, however long they are."""
 
 from brandloom.functions.html import parse_page
-from brandloom.operators import contact, pages as P
+from brandloom.operators import contact, pages as P, seo
 from brandloom.plans import registry
 
 LONG = "plain words of a long page " * 8_000  # 216,000 characters
@@ -33,3 +33,9 @@ def test_locations_are_read_from_whole_texts_and_footers(spark):
     assert found["mill.example"].phones == ["407-555-0123"] and found["rye.example"].phones == ["321-555-0199"]
     # what the text says comes before the blocks, however far in it stands
     assert found["mill.example"].addresses == ["27 Quarry Lane, Stowe VT, 05672", "63 Orchard Terrace Road, Salem OR, 97301"]
+
+
+def test_seo_reads_whole_texts(spark):
+    pages = [("https://mill.example/", f"<title>Mill</title><body><h1>Mill</h1><p>{LONG}Ring 407-555-0123</p></body>"), ("https://rye.example/", f"<title>Rye</title><body><h1>Rye</h1><p>{LONG}</p></body>")]
+    report = seo.seo_report(P.parse_pages(spark.createDataFrame(pages, "url string, html string"))).collect()
+    assert {r.site: "Missing LocalBusiness schema" in [i.headline for i in r.issues] for r in report} == {"mill.example": True, "rye.example": False}
