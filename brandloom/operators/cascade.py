@@ -9,7 +9,7 @@ sibling. Winners go by importance, inline style, specificity and order; what an
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import selectors as S
 from ..functions.css import Variables
@@ -26,8 +26,8 @@ HIDDEN_TAGS = ("head", "script", "style", "template", "title", "meta", "link", "
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 TEXT_TAGS = ("p", "span", "a", "li", *HEADING_TAGS, "button", "label", "input", "textarea", "div", "td", "th", "blockquote", "figcaption", "strong", "em", "b", "i", "small")
 INITIAL_FAMILY, INITIAL_WEIGHT = "serif", "400"
-#: Width of the screen for media queries; text elements looked at on a page.
-WIDTH, MAX_SCAN = 1280, 4000
+#: Width of the screen for media queries.
+WIDTH = 1280
 
 ELEMENT = (
     "el:int,parent:int,prev:int,above:array<int>,tag:string,id:string,classes:array<string>,attrs:map<string,string>,"
@@ -176,14 +176,12 @@ def first_family(stack: Column) -> Column:
     return F.trim(F.regexp_replace(F.split_part(stack, F.lit(","), F.lit(1)), "['\"]", ""))
 
 
-def text_styles(elements: DataFrame, rules: DataFrame, variables: DataFrame | None = None, max_scan: int = MAX_SCAN) -> DataFrame:
+def text_styles(elements: DataFrame, rules: DataFrame, variables: DataFrame | None = None) -> DataFrame:
     """Computed family and weight of each visible text element: site, page_ord, el, tag, font, weight, is_heading.
 
-    The first `max_scan` text elements of a page are looked at. variables(site, page_ord, variables map) holds the custom properties for var(); a name that
-    stays unresolved stays in `font` as it is.
+    variables(site, page_ord, variables map) holds the custom properties for var(); a name that stays unresolved stays in `font` as it is.
     """
-    nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("el"))
-    asked = elements.filter(F.col("tag").isin(*TEXT_TAGS)).select(*PAGE, "el", "above", "tag", "has_text").withColumn("_n", nth).filter(F.col("_n") <= max_scan).filter("has_text")
+    asked = elements.filter(F.col("tag").isin(*TEXT_TAGS) & F.col("has_text")).select(*PAGE, "el", "above", "tag")
     properties = ("font-family", "font-weight", "display", "visibility", "opacity")
     declared = cut(declared_values(elements, rules, properties))
     held = inherited_values(asked, declared, ("font-family", "font-weight", "visibility"))

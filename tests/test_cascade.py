@@ -7,6 +7,7 @@ import pytest
 from brandloom.functions import selectors as S
 from brandloom.functions.html import MAX_TREE, tree_of
 from brandloom.operators import cascade, typography
+from brandloom.plans import registry
 
 R = random.Random(5)
 TAGS, CLASSES, IDS = ("div", "ul", "li", "a", "span", "em"), ("x", "y", "z"), ("one", "two")
@@ -172,3 +173,14 @@ def test_fonts_of_a_scan(spark):
     assert not {"FontAwesome", "Fontawesome", "var(--none)"} & got.keys()
     # of h1, three p, div, span, i, b and em: h1, two p, i and em are seen and say something
     assert got["Work Sans"]["confidence"] == min(98, round(5 / 9 * 100) + 10)
+
+
+def test_every_text_element_of_a_page_counts(spark, tmp_path):
+    tables = {
+        "pages": (spark.createDataFrame([(1, "https://mill.example/", f"<body><article><h1>Mill</h1>{'<p>rye</p>' * 4_200}</article><b>late</b></body>")], "page_id long, url string, html string")),
+        "part": (spark.createDataFrame([(1, "rye", "Rye", 5)], "p_partkey long, p_name string, p_brand string, p_size int")),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    fonts = {r.name: (r.role, r.variants, r.confidence) for r in registry.QUERIES["scanned_fonts"](spark, str(tmp_path)).collect()}
+    assert fonts == {"Rye": ("primary", "300,600", 98), "Display": ("heading", "700", 98), "Bold Face": ("secondary", "700", 51)}
