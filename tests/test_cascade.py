@@ -182,5 +182,7 @@ def test_every_text_element_of_a_page_counts(spark, tmp_path):
     }
     for name, rows in tables.items():
         rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    styles = {(r.tag, r.font, r.weight): r.n_elements for r in registry.QUERIES["text_styles"](spark, str(tmp_path)).collect()}
+    assert styles == {("h1", "Display", "700"): 1, ("p", "Rye", "300"): 1, ("p", "Rye", "600"): 4_199, ("b", "Bold Face", "700"): 1}
     fonts = {r.name: (r.role, r.variants, r.confidence) for r in registry.QUERIES["scanned_fonts"](spark, str(tmp_path)).collect()}
     assert fonts == {"Rye": ("primary", "300,600", 98), "Display": ("heading", "700", 98), "Bold Face": ("secondary", "700", 51)}
